@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossiergrid.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from dossiergrid.llm.line_dedup import OP6_SQL, op6_line_dedup
 from dossiergrid.llm.mixing import OP9_SQL, op9_mix_sources
+from dossiergrid.llm.token_counts import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op6_line_dedup": op6_line_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mix_sources": op9_mix_sources,
+        "op10_token_counts": op10_token_counts,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -23,5 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}
