@@ -72,18 +72,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.join(F.broadcast(small), "__h", "left").withColumn(
             "__s", F.when(F.col("__k").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("__k")).cast("int")).otherwise(-1)
         )
-    else:
-        rows = rows.withColumn("__s", F.lit(-1))
-    dealt = rows.select("doc_id", "__text", "__p", "__h", "__s").repartitionByRange("__p", "__h", "__s")
+    # A constant piece number would keep the window below from using the range partitioning.
+    key = ["__p", "__h", "__s"] if hot else ["__p", "__h"]
+    dealt = rows.select("doc_id", "__text", *key).repartitionByRange(*key)
     normal = dealt.withColumn("__text", ascii_lower(F.col("__text")))
     # The range partitioning satisfies this window's clustering: no further shuffle.
-    run = Window.partitionBy("__p", "__h", "__s", "__text")
+    run = Window.partitionBy(*key, "__text")
     first = F.col("doc_id").asc_nulls_last() if keep == "min" else F.col("doc_id").desc_nulls_last()
     best = F.min if keep == "min" else F.max
     runs = normal.select(
         "doc_id",
-        "__h",
-        "__s",
+        *key[1:],
         best("doc_id").over(run).alias("keep_id"),
         F.count(F.lit(1)).over(run).alias("group_size"),
         (F.row_number().over(run.orderBy(first)) == 1).alias("__lead"),
