@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossiergrid.llm.decontamination import OP3_SQL, op3_decontamination
 from dossiergrid.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from dossiergrid.llm.language_id import op4_language_id
 from dossiergrid.llm.line_dedup import OP6_SQL, op6_line_dedup
 from dossiergrid.llm.mixing import OP9_SQL, op9_mix_sources
 from dossiergrid.llm.token_counts import op10_token_counts
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op3_decontamination": op3_decontamination,
+        "op4_language_id": op4_language_id,
         "op6_line_dedup": op6_line_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mix_sources": op9_mix_sources,
@@ -27,5 +31,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op3_decontamination": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}
