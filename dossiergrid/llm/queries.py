@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dossiergrid.llm.decontamination import OP3_SQL, op3_decontamination
 from dossiergrid.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from dossiergrid.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from dossiergrid.llm.language_id import op4_language_id
 from dossiergrid.llm.line_dedup import OP6_SQL, op6_line_dedup
 from dossiergrid.llm.mixing import OP9_SQL, op9_mix_sources
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_line_dedup": op6_line_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mix_sources": op9_mix_sources,
@@ -31,5 +33,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op3_decontamination": OP3_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {
+        "op3_decontamination": OP3_SQL,
+        "op5_jaccard_join": OP5_SQL,
+        "op6_line_dedup": OP6_SQL,
+        "op8_exact_dedup": OP8_SQL,
+        "op9_mix_sources": OP9_SQL,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+    }
     return {name: sql for name, sql in found.items() if sql}
