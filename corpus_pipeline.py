@@ -1,21 +1,55 @@
-"""A corpus pipeline over ``documents``: each stage works on all that the one before it kept."""
+"""A corpus pipeline over ``documents``: each stage works on all that the one before it kept.
+
+Rows that share an identifier are one document to the stages that drop documents by
+identifier (near duplicates and contamination); null identifiers are never dropped there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossiergrid.llm.decontamination import decontaminate
 from dossiergrid.llm.exact_dedup import exact_dedup
+from dossiergrid.llm.jaccard_join import Rule, jaccard_components
+from dossiergrid.llm.language_id import NOT_KNOWN, identify, train
 from dossiergrid.llm.mixing import mix_sources
 from dossiergrid.scratch import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+REST = COLUMNS[1:]
+#: Identifiers to drop are sent to all executors up to this number (of 8 bytes).
+BROADCAST_ROWS = 500_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the identifiers ``ids`` (gone); the texts are shuffled only if those are many."""
+    ids = materialize(ids.distinct(), "pipeline-dropped")
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter go, and those whose two nearest languages are equally near."""
+    known = identify(docs, train(docs), carry=REST)
+    return known.where((F.col("lang_pred") != NOT_KNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal after lower-casing A-Z, the row with the smallest doc_id stays."""
-    kept = exact_dedup(docs, keep="min").where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*COLUMNS)
+    return exact_dedup(docs, keep="min", carry=REST).where("kept").select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the smallest doc_id stays."""
+    groups = jaccard_components(docs, Rule(width=5, percent=80))
+    return _without(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten consecutive words of a benchmark item go."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("gone")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +57,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs).documents.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-STAGES = [("exact_dedup", exact), ("mix_sources", mix)]
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("jaccard_join", near),
+    ("decontamination", benchmark),
+    ("mix_sources", mix),
+]
 
+#: Language identification can't be expressed in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

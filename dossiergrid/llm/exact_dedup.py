@@ -42,11 +42,12 @@ def _hot_pieces(keyed: DataFrame, parts: int) -> list[dict]:
     return [{"h": r["__h"], "k": int(r["n"] // least) + 1} for r in top.collect() if r["n"] > least]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", carry: tuple[str, ...] = ()) -> DataFrame:
     """Group rows whose texts are identical after lower-casing A-Z, and keep one of each group.
 
     ``keep`` says which identifier stays: ``"min"`` or ``"max"``. Returns one row
-    per input row: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    per input row: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and
+    the columns to ``carry`` along.
 
     Null texts count as empty and are equal to empty ones. A null identifier loses
     to any other; a group of null identifiers has a null ``keep_id`` and keeps one
@@ -65,7 +66,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text.alias("__text"),
         F.substring(low, 1, PREFIX_CHARS).alias("__p"),
         F.xxhash64(low).alias("__h"),
+        *[docs[c].alias(f"__carry_{c}") for c in carry],
     )
+    along = [f"__carry_{c}" for c in carry]
+    carried = [F.col(f"__carry_{c}").alias(c) for c in carry]
     hot = _hot_pieces(rows.select("__h"), parts)
     if hot:
         small = _inline(spark, hot, "array<struct<h:bigint,k:int>>").select(F.col("h").alias("__h"), F.col("k").alias("__k"))
@@ -74,7 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
     # A constant piece number would keep the window below from using the range partitioning.
     key = ["__p", "__h", "__s"] if hot else ["__p", "__h"]
-    dealt = rows.select("doc_id", "__text", *key).repartitionByRange(*key)
+    dealt = rows.select("doc_id", "__text", *key, *along).repartitionByRange(*key)
     normal = dealt.withColumn("__text", ascii_lower(F.col("__text")))
     # The range partitioning satisfies this window's clustering: no further shuffle.
     run = Window.partitionBy(*key, "__text")
@@ -88,9 +92,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.row_number().over(run.orderBy(first)) == 1).alias("__lead"),
         F.sha2(F.col("__text").cast("binary"), 256).alias("text_sha256"),
         "__text",
+        *along,
     )
     if not hot:
-        return runs.select("doc_id", "keep_id", "group_size", F.col("__lead").alias("kept"), "text_sha256")
+        return runs.select("doc_id", "keep_id", "group_size", F.col("__lead").alias("kept"), "text_sha256", *carried)
     slim = materialize(
         runs.withColumn("__text", F.when((F.col("__s") >= 0) & F.col("__lead"), F.col("__text"))), "exact-dedup-runs"
     )
@@ -118,6 +123,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
         ).alias("kept"),
         "text_sha256",
+        *carried,
     )
 
 

@@ -191,8 +191,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text
     return fit(x, [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="text") -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score``, ``margin``, ``ambiguous`` of every row, from its text alone.
+def identify(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``lang_pred``, ``score``, ``margin``, ``ambiguous`` of every row, from its text alone,
+    and the columns to ``carry`` along unseen.
 
     Texts that are null or hold no letter get ``und``, score 0, and are not called
     ambiguous; so does every text if no language was learned. Equal losses go to
@@ -200,9 +201,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="t
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(
-        docs[id_col].alias("doc_id"), F.when(docs[text_col].rlike(r"\p{L}"), docs[text_col].cast("binary")).alias("text")
+        docs[id_col].alias("doc_id"), F.when(docs[text_col].rlike(r"\p{L}"), docs[text_col].cast("binary")).alias("__text"), *[docs[c] for c in carry]
     )
     kind = rows.dtypes[0][1]
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -218,11 +220,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="t
                     lang[i] = m.langs[k]
                 done += len(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(margin), pa.array(margin < MARGIN)],
-                ["doc_id", "lang_pred", "score", "margin", "ambiguous"],
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(margin), pa.array(margin < MARGIN), *batch.columns[2:]],
+                ["doc_id", "lang_pred", "score", "margin", "ambiguous", *carry],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double, ambiguous boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double, ambiguous boolean{carried}")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,11 @@ def _shingles(words, width: int):
     return F.slice(hashed, F.lit(1), F.greatest(F.lit(0), F.size(words) - (width - 1)))
 
 
+def _tagged(words, width: int):
+    """The shingles with their width and place."""
+    return F.transform(_shingles(words, width), lambda h, i: F.struct(F.lit(width).alias("width"), i.alias("pos"), h.alias("h")))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """A small local table of (template_id, text)."""
     import json
@@ -86,11 +91,11 @@ def license_matches(docs: DataFrame, templates: DataFrame, width: int = WIDTH, c
     words = templates.select("template_id", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
     words = words.withColumn("size", F.size("w")).withColumn("width", F.least(F.lit(width), F.size("w")))
     widths = sorted(r["width"] for r in words.select("width").distinct().collect())  # at most ``width`` values
-    cut = F.array(*[F.transform(_shingles(F.col("w"), n), lambda h, n=n: F.struct(F.lit(n).alias("width"), h.alias("h"))) for n in widths])
-    shingles = words.select("template_id", "size", "width", F.explode(F.array_distinct(F.flatten(cut))).alias("s")).where("s.width = width")
+    cut = F.array(*[_tagged(F.col("w"), n) for n in widths])
+    shingles = words.select("template_id", "size", "width", F.explode(F.flatten(cut)).alias("s")).where("s.width = width")
     # A size class is the power of two that holds the template; its windows advance by it.
     span = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(2), F.col("size").cast("int"))))).cast("int")
-    shingles = materialize(shingles.select("template_id", span.alias("span"), F.col("s.width").alias("width"), F.col("s.h").alias("h")), "license-shingles")
+    shingles = materialize(shingles.select("template_id", span.alias("span"), F.col("s.width").alias("width"), F.col("s.h").alias("h")).distinct(), "license-shingles")
     counted = shingles.groupBy("template_id").agg(F.count(F.lit(1)).alias("n"))
     n_shingles = shingles.count()
 
@@ -98,21 +103,19 @@ def license_matches(docs: DataFrame, templates: DataFrame, width: int = WIDTH, c
     text = docs.select(rid.alias("row_id"), docs[id_col].alias("doc_id"), _words(docs[text_col]).alias("w"))
     # The last place of a row carries its identifier and length, so that the texts are read once.
     end = F.array(F.struct(F.lit(0).alias("width"), F.size("w").alias("pos"), F.lit(0).cast("long").alias("h")))
-    tagged = [
-        F.transform(_shingles(F.col("w"), n), lambda h, i, n=n: F.struct(F.lit(n).alias("width"), i.alias("pos"), h.alias("h"))) for n in widths
-    ]
-    places = text.select("row_id", "doc_id", F.inline(F.concat(end, *tagged) if tagged else end))
+    tagged = [_tagged(F.col("w"), n) for n in widths]
+    places = text.select("row_id", "doc_id", F.inline(F.concat(end, *tagged)))
     known = shingles.select("width", "h").distinct().union(docs.sparkSession.range(1).select(F.lit(0), F.lit(0).cast("long")))
     hits = places.join(small(known, n_shingles), ["width", "h"])
     hits = materialize(hits.select("row_id", F.when(F.col("width") == 0, F.col("doc_id")).alias("doc_id"), "width", "h", "pos"), "license-hits")
     rows = hits.where("width = 0").select("row_id", "doc_id", F.col("pos").cast("long").alias("n_words"))
 
-    spans = shingles.select("span").distinct()
-    found = hits.where("width > 0").join(F.broadcast(spans), how="cross") if widths else None
-    if found is None:
+    spans = sorted(r["span"] for r in shingles.select("span").distinct().collect())  # powers of two: at most 32
+    if not spans:
         none = rows.where("false").select("row_id", F.lit("").alias("template_id"), F.lit(0).alias("first_word"), F.lit(0.0).alias("containment"))
         return rows, none
     block = F.floor(F.col("pos") / F.col("span"))
+    found = hits.where("width > 0").withColumn("span", F.explode(F.array(*[F.lit(x) for x in spans])))
     found = found.select("row_id", "span", "width", "h", "pos", F.explode(F.array(block, block - 1)).alias("win")).where("win >= 0")
     # In a row shorter than a window, the window before the first would hold nothing more.
     windows = found.groupBy("row_id", "span", "win", "width", "h").agg(F.min("pos").alias("pos"))
