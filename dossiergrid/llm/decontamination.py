@@ -86,7 +86,8 @@ def _window_terms(index: PhraseIndex) -> DataFrame:
     """(window_id, n, off, term_id, rank) of the windows all of whose terms have postings; rank 1 is the rarest term."""
     spread = index.windows.select("window_id", F.size("w").alias("n"), F.posexplode("w").alias("off", "term"))
     lists = index.postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("postings"))
-    known = spread.join(index.terms, "term").join(lists, "term_id")
+    n_terms = index.terms.count()
+    known = spread.join(small(index.terms, n_terms), "term").join(small(lists, n_terms), "term_id")
     whole = Window.partitionBy("window_id")
     known = known.withColumn("known", F.count(F.lit(1)).over(whole)).where("known = n")
     return known.withColumn("rank", F.row_number().over(whole.orderBy("postings", "off"))).select("window_id", "n", "off", "term_id", "rank")
@@ -134,8 +135,9 @@ def proximity_matches(index: PhraseIndex, slop: int = 5) -> DataFrame:
     wanted = anchors.join(small(terms.select("window_id", "term_id").distinct(), n_terms), "window_id")
     # Positions are cut into cells as wide as the reach, so that the range join is an equality on neighbouring cells.
     wanted = wanted.withColumn("cell", F.explode(F.sequence(F.floor(F.col("at") / reach) - 1, F.floor(F.col("at") / reach) + 1)))
-    widths = terms.select("n").distinct().select(F.col("n").alias("n2"))
-    cells = index.postings.join(F.broadcast(widths), how="cross").withColumn("cell", F.floor(F.col("pos") / (F.col("n2") + slop)))
+    widths = [F.lit(r["n"]) for r in terms.select("n").distinct().collect()]  # at most the width of a window
+    cells = index.postings.withColumn("n2", F.explode(F.array(*widths) if widths else F.array().cast("array<int>")))
+    cells = cells.withColumn("cell", F.floor(F.col("pos") / (F.col("n2") + slop)))
     close = (wanted["row_id"] == cells["row_id"]) & (wanted["term_id"] == cells["term_id"]) & (wanted["cell"] == cells["cell"]) & (wanted["n"] == cells["n2"])
     met = wanted.join(cells, close).where(F.abs(F.col("pos") - F.col("at")) <= reach)
     met = met.groupBy(wanted["row_id"], "window_id", "at", "need").agg(F.count_distinct(wanted["term_id"]).alias("met"))
