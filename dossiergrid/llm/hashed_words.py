@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text hashed at a time; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

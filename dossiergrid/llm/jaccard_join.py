@@ -1,15 +1,18 @@
 """N-gram Jaccard self-join with rare-first prefix filtering, and its components.
 
 Texts with the same set of word n-grams form one class; classes are joined. The
-n-grams of a class are put in one global order, rarest first, by a counting
-sketch over the whole corpus (two classes can link only if they share an n-gram
-of their prefixes, whatever the order; a good order keeps the lists short). What
-the lists of prefix n-grams bring together passes the length and the positional
-filter, then the suffix filter, and is verified once by its exact intersection.
+n-grams of a class are put in one global order, rarest first (two classes can
+link only if they share an n-gram of their prefixes, whatever the order; a good
+order keeps the lists short). Rarity is judged by counters of fixed size over the
+whole corpus: first by how far the n-gram's counter stands out of the noise of
+n-grams that share it, then by the frequencies of its words. What the lists of
+prefix n-grams bring together passes the length and the positional filter, then a
+parity bitmap of each set (its bits that differ are no more than the members that
+do), then the suffix filter, and is verified once by its exact intersection.
 
 A list may hold a large part of the corpus. Pairs within a component need no
 verification, so the lists are worked through in two steps: first every member
-of a list is tried against a pivot and its neighbour in a random order (linear in
+of a list is tried against a pivot and its neighbours in a random order (linear in
 the list), twice; then, for exactness, every member outside the largest component
 of its list is joined with all members of other components that pass the filters.
 """
@@ -26,15 +29,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dossiergrid.llm.batches import bound_batches
 from dossiergrid.llm.components import connected_components
 from dossiergrid.llm.hashed_words import Words, hashed_words, mix, windows
 from dossiergrid.scratch import materialize
 
-#: Counters of the frequency sketch (two bytes each) and counters of one of its pieces.
-SKETCH_BITS = 24
+#: Counters of words and of n-grams (powers of two), counters of one piece of the sketch, and bytes of a parity bitmap.
+WORD_BITS = 20
+GRAM_BITS = 22
 PIECE = 1 << 16
-#: Members of a list worked on together in the pivot step; longer lists are dealt into pieces.
-LIST = 2048
+BITMAP = 256
+#: Members of a list worked on together; longer lists (by the sketch of n-grams) are dealt into pieces.
+LIST = 256
+#: Members before it in a random order of its list that each member is tried against, besides the pivot.
+BACK = 3
 #: Pairs are sent to all executors up to this number (of 24 bytes).
 BROADCAST_ROWS = 500_000
 #: Classes a task remembers, so as not to repeat the entries of copies.
@@ -49,21 +57,35 @@ class Rule:
     percent: int = 80
 
 
-def shingle_sets(block: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct shingles of every text, by text and hash; fewer words than ``width`` are one shingle."""
+def _slots(value: np.ndarray, bits: int) -> np.ndarray:
+    """The counter of each hash."""
+    return (value >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def shingle_sets(block: Words, width: int, commonness: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, commonness) of the distinct shingles of every text, by text and hash.
+
+    A text of fewer words than ``width`` is one shingle. ``commonness`` has the logarithm
+    of the frequency behind each counter; a shingle gets the sum over its words.
+    """
     at, value = windows(block, width)
-    text = block.text[at]
+    text, size = block.text[at], np.full(len(at), width)
     for n in range(1, width):
         if (block.counts == n).any():
-            at, short = windows(block, n)
-            own = block.counts[block.text[at]] == n
-            text = np.concatenate([text, block.text[at[own]]])
+            start, short = windows(block, n)
+            own = block.counts[block.text[start]] == n
+            at = np.concatenate([at, start[own]])
+            text = np.concatenate([text, block.text[start[own]]])
             value = np.concatenate([value, mix(short[own] + np.uint64(n))])
+            size = np.concatenate([size, np.full(own.sum(), n)])
     order = np.lexsort((value, text))
     text, value = text[order], value[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
-    return text[new], value[new]
+    if commonness is None:
+        return text[new], value[new], np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(commonness[_slots(block.hash, WORD_BITS)], dtype=np.int64)])
+    return text[new], value[new], (total[at + size] - total[at])[order][new]
 
 
 def _class_keys(value: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,68 +94,81 @@ def _class_keys(value: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(np.add.reduceat(one, start)).view(np.int64), mix(np.add.reduceat(two, start)).view(np.int64)
 
 
-def _sets(texts: list[bytes | None], width: int):
-    """Per block: first text, text of each set, start of each set, all hashes, both class keys."""
+@dataclass
+class _Sets:
+    """The sets of a block's texts that have any: text and start of each set, all hashes, class keys."""
+
+    block: Words
+    text: np.ndarray
+    start: np.ndarray
+    value: np.ndarray
+    common: np.ndarray
+    key: np.ndarray
+    key2: np.ndarray
+
+
+def _sets(texts: list[bytes | None], width: int, commonness: np.ndarray | None = None) -> Iterator[_Sets]:
     for block in hashed_words(texts, lower=True):
-        text, value = shingle_sets(block, width)
+        text, value, common = shingle_sets(block, width, commonness)
         if len(text):
             start = np.flatnonzero(np.diff(text, prepend=-1))
-            yield block.first, text[start], start, value, *_class_keys(value, start)
+            yield _Sets(block, text[start], start, value, common, *_class_keys(value, start))
+
+
+def _bitmaps(s: _Sets) -> list[bytes]:
+    """Per set, the parity of the number of members that fall on each bit."""
+    bits = BITMAP * 8
+    of = np.repeat(np.arange(len(s.start)), np.diff(np.append(s.start, len(s.value))))
+    hits = np.bincount(of * bits + (s.value & np.uint64(bits - 1)).astype(np.int64), minlength=len(s.start) * bits)
+    return [row.tobytes() for row in np.packbits((hits & 1).astype(np.uint8).reshape(len(s.start), bits), axis=1)]
 
 
 def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One pass: a row per document (doc_id, n, k, k2), and each task's sketch of how many documents hold an n-gram."""
+    """One pass: a row per document (doc_id, n, k, k2, counts with its bitmap), and each task's pieces of the
+    counters of words and of documents with an n-gram."""
     kind = docs.dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
-        waiting, held = [], 0
+        counts = np.zeros((1 << WORD_BITS) + (1 << GRAM_BITS), np.uint32)
         salt = TaskContext.get().partitionId() % 64
         names = ["doc_id", "n", "k", "k2", "piece", "counts"]
-
-        def settle():
-            at, n = np.unique(np.concatenate(waiting), return_counts=True)
-            counts[at] = np.minimum(counts[at] + n, 255)
-
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
             size = batch.num_rows
             n, k, k2 = (np.zeros(size, np.int64) for _ in range(3))
-            for first, text, start, value, key, key2 in _sets(batch.column(1).to_pylist(), rule.width):
-                n[first + text] = np.diff(np.append(start, len(value)))
-                k[first + text], k2[first + text] = key, key2
-                waiting.append((value >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
-                held += len(value)
-                if held > 1_000_000:
-                    settle()
-                    waiting, held = [], 0
-            none = pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(k), pa.array(k2), *none], names)
-        if waiting:
-            settle()
+            bitmap: list[bytes | None] = [None] * size
+            for s in _sets(batch.column(1).to_pylist(), rule.width):
+                at = s.block.first + s.text
+                n[at], k[at], k2[at] = np.diff(np.append(s.start, len(s.value))), s.key, s.key2
+                for i, bits in zip(at.tolist(), _bitmaps(s), strict=True):
+                    bitmap[i] = bits
+                np.add.at(counts, _slots(s.block.hash, WORD_BITS), 1)
+                np.add.at(counts, _slots(s.value, GRAM_BITS) + (1 << WORD_BITS), 1)
+            last = pa.nulls(size, pa.int32()), pa.array(bitmap, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(k), pa.array(k2), *last], names)
         if id_type is not None:
             for piece in range(len(counts) // PIECE):
                 part = counts[piece * PIECE : (piece + 1) * PIECE]
                 if part.any():
                     row = [pa.nulls(1, id_type), pa.array([salt], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())]
-                    sent = zlib.compress(part.astype(np.uint16).tobytes(), 1)
+                    sent = zlib.compress(part.tobytes(), 1)
                     yield pa.RecordBatch.from_arrays([*row, pa.array([piece], pa.int32()), pa.array([sent], pa.binary())], names)
 
     return docs.mapInArrow(run, f"doc_id {kind}, n long, k long, k2 long, piece int, counts binary")
 
 
-def _add_up(pieces: DataFrame, *by: str) -> DataFrame:
-    """Sum sketches of the same piece within a task; ``by`` places them."""
+def _add_up(pieces: DataFrame, wide: bool, *by: str) -> DataFrame:
+    """Sum counters of the same piece within a task, to eight bytes each; ``by`` places them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.uint32)
-                total[piece] = np.minimum(total[piece] + got, 65535) if piece in total else got
+                got = np.frombuffer(zlib.decompress(counts), np.uint64 if wide else np.uint32).astype(np.uint64)
+                total[piece] = total[piece] + got if piece in total else got
         for piece, counts in total.items():
-            sent = zlib.compress(counts.astype(np.uint16).tobytes(), 1)
+            sent = zlib.compress(counts.tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([piece], pa.int32()), pa.array([0], pa.int64()), pa.array([sent], pa.binary())], ["piece", "n", "counts"]
             )
@@ -141,41 +176,45 @@ def _add_up(pieces: DataFrame, *by: str) -> DataFrame:
     return pieces.select("piece", "n", "counts").repartition(*[F.col(c) for c in by]).mapInArrow(run, "piece int, n long, counts binary")
 
 
-def _sketch(scanned: DataFrame) -> np.ndarray:
-    """The whole corpus's sketch; its size is fixed by SKETCH_BITS."""
-    total = np.zeros(1 << SKETCH_BITS, np.uint16)
-    for r in _add_up(_add_up(scanned.where("piece is not null"), "piece", "n"), "piece").toLocalIterator():
-        total[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint16)
-    return total
+def _sketch(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By word counter: the logarithm of the frequency; by n-gram counter: how far it stands out, and pieces of its list."""
+    total = np.zeros((1 << WORD_BITS) + (1 << GRAM_BITS), np.uint64)
+    for r in _add_up(_add_up(scanned.where("piece is not null"), False, "piece", "n"), True, "piece").toLocalIterator():
+        total[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
+    words, grams = total[: 1 << WORD_BITS].astype(np.float32), total[1 << WORD_BITS :].astype(np.float32)
+    mean = grams.mean(dtype=np.float64)
+    out = np.maximum(1, (grams - mean) / (2 * np.sqrt(mean) + 1))
+    # Only what stands far out of the average is a long list.
+    pieces = np.where(grams > max(LIST, 4 * mean), np.minimum(grams // LIST + 1, 65535), 1)
+    return np.round(8 * np.log2(words + 1)).astype(np.int16), np.round(4 * np.log2(out)).astype(np.uint8), pieces.astype(np.uint16)
 
 
 def _prefixes(docs: DataFrame, rule: Rule, sketch) -> DataFrame:
     """(g, pieces, k, n, pos): the prefix n-grams of every class, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        commonness, standing, pieces = sketch.value
         seen: set[int] = set()
         for batch in batches:
-            for _, text, start, value, key, _ in _sets(batch.column(1).to_pylist(), rule.width):
-                n = np.diff(np.append(start, len(value)))
+            for s in _sets(batch.column(1).to_pylist(), rule.width, commonness):
+                n = np.diff(np.append(s.start, len(s.value)))
                 new = np.ones(len(n), bool)
-                for i, k in enumerate(key.tolist()):
+                for i, k in enumerate(s.key.tolist()):
                     new[i] = k not in seen
                     seen.add(k)
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 of = np.repeat(np.arange(len(n)), n)
-                often = counts[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((value, often, of))
-                pos = np.arange(len(value)) - np.repeat(start, n)
+                order = np.lexsort((s.value, s.common, standing[_slots(s.value, GRAM_BITS)], of))
+                pos = np.arange(len(s.value)) - np.repeat(s.start, n)
                 length = n - (-(-rule.percent * n // 100)) + 1
                 use = (pos < np.repeat(length, n)) & np.repeat(new, n)
-                g, of, often = value[order][use], of[use], often[order][use]
+                g, of = s.value[order][use], of[use]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(g.view(np.int64)),
-                        pa.array((often // LIST + 1).astype(np.int32)),
-                        pa.array(key[of]),
+                        pa.array(pieces[_slots(g, GRAM_BITS)].astype(np.int32)),
+                        pa.array(s.key[of]),
                         pa.array(n[of].astype(np.int32)),
                         pa.array(pos[use].astype(np.int32)),
                     ],
@@ -202,15 +241,21 @@ def _passes(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Col
 
 
 def _pivot_pairs(lists: DataFrame, labels: DataFrame | None, rule: Rule, seed: int) -> DataFrame:
-    """Pairs of each member with the first and the preceding member of its list in a seeded order."""
+    """Pairs of each member with the first and the preceding members of its list in a seeded order.
+
+    Members whose n-gram stands early enough to link with their like come first: two
+    others can only link if their sizes differ.
+    """
     rows = _labelled(lists, labels)
     piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("k", F.lit(seed)), F.col("pieces"))).otherwise(0)
-    order = Window.partitionBy("g", "piece").orderBy("r", "k")
+    late = F.col("n") - F.col("pos") < F.ceil(F.col("n") * 2 * rule.percent / (100 + rule.percent))
+    order = Window.partitionBy("g", "piece").orderBy("late", "r", "k")
     me = F.struct("k", "n", "pos", "c")
-    rows = rows.withColumn("piece", piece).withColumn("r", F.xxhash64("g", "k", F.lit(seed)))
-    rows = rows.withColumn("pivot", F.first(me).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("back", F.lag(me).over(order))
-    rows = rows.select("k", "n", "pos", "c", F.explode(F.array("pivot", "back")).alias("o")).where("o is not null and o.c <> c")
-    rows = rows.where(_passes(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), rule.percent))
+    rows = rows.withColumn("piece", piece).withColumn("r", F.xxhash64("g", "k", F.lit(seed))).withColumn("late", late)
+    pivot = F.first(me).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("tried", F.array(pivot, *[F.lag(me, back).over(order) for back in range(1, BACK + 1)]))
+    fits = lambda o: o.isNotNull() & (o["c"] != F.col("c")) & _passes(F.col("n"), F.col("pos"), o["n"], o["pos"], rule.percent)
+    rows = rows.select("k", F.explode(F.filter("tried", fits)).alias("o"))
     return rows.select(F.least("k", "o.k").alias("a"), F.greatest("k", "o.k").alias("b")).distinct()
 
 
@@ -247,44 +292,64 @@ def suffix_filter(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> bo
     return least(x, y, depth) <= most
 
 
-def _candidate_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(k, members): the sorted hashes of the wanted classes (doc_id, k), computed again from one text of each."""
-    n = wanted.count()
-    ids = wanted.select(F.col("doc_id").alias("wanted_id"))
-    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+def _both_ends(pairs: DataFrame, per_class: DataFrame) -> DataFrame:
+    """(a, b, x, y): the pairs with their classes' ``members``; only what the pairs need is shuffled."""
+    n = pairs.count()
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
+    both = per_class.join(F.broadcast(ends) if n <= BROADCAST_ROWS else ends, per_class["k"] == F.col("end")).select("a", "b", "k", "members")
+    x = F.min(F.when(F.col("k") == F.col("a"), F.col("members"))).alias("x")
+    return both.groupBy("a", "b").agg(x, F.min(F.when(F.col("k") == F.col("b"), F.col("members"))).alias("y"))
+
+
+def _filtered(ends: DataFrame, linked) -> DataFrame:
+    """The pairs (a, b) whose members are ``linked``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, start, value, key, _ in _sets(batch.column(1).to_pylist(), rule.width):
-                sets = [part.tobytes() for part in np.split(value, start[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sets, pa.binary())], ["k", "members"])
+            keep = [linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return texts.mapInArrow(run, "k long, members binary")
+    return ends.mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The links among ``pairs`` (a, b), each verified once by its exact intersection."""
+def _alike(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose parity bitmaps don't rule a link out."""
     percent = rule.percent
-    n = pairs.count()
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
-    both = sets.join(F.broadcast(ends) if n <= BROADCAST_ROWS else ends, sets["k"] == F.col("end")).select("a", "b", "k", "members")
-    met = both.groupBy("a", "b").agg(
-        F.min(F.when(F.col("k") == F.col("a"), F.col("members"))).alias("x"), F.min(F.when(F.col("k") == F.col("b"), F.col("members"))).alias("y")
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(x: bytes, y: bytes) -> bool:
+        n1, n2 = int.from_bytes(x[:8], "big"), int.from_bytes(y[:8], "big")
+        need = -(-percent * (n1 + n2) // (100 + percent))
+        return (int.from_bytes(x[8:], "big") ^ int.from_bytes(y[8:], "big")).bit_count() <= n1 + n2 - 2 * need
+
+    sized = classes.select("k", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), F.col("bitmap")).alias("members"))
+    return _filtered(_both_ends(pairs, sized), possible)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The links among ``pairs`` (a, b), each verified once by its exact intersection.
+
+    The sets are computed again from one text of each class that is left.
+    """
+    percent = rule.percent
+    pairs = materialize(_alike(pairs, classes, rule), "jaccard-alike")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes.select("k", "doc_id"), "k")
+    wanted = materialize(wanted.select(F.col("doc_id").alias("wanted_id")), "jaccard-wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                # Members in one of both sets only: at most so many.
-                linked.append(
-                    suffix_filter(x, y, len(x) + len(y) - 2 * need) and len(np.intersect1d(x, y, assume_unique=True)) >= need
-                )
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            for s in _sets(batch.column(1).to_pylist(), rule.width):
+                sets = [part.tobytes() for part in np.split(s.value, s.start[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(s.key), pa.array(sets, pa.binary())], ["k", "members"])
+
+    def linked(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        need = -(-percent * (len(x) + len(y)) // (100 + percent))
+        # Members in one of both sets only: at most so many.
+        return suffix_filter(x, y, len(x) + len(y) - 2 * need) and len(np.intersect1d(x, y, assume_unique=True)) >= need
 
-    return met.mapInArrow(run, "a long, b long")
+    return _filtered(_both_ends(pairs, texts.mapInArrow(members, "k long, members binary")), linked)
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,19 +361,19 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     equal sets are linked whatever their identifiers; a null identifier is never the
     smallest unless it is alone. Sets are compared by 64-bit hashes of shingles.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
     sc = docs.sparkSession.sparkContext
     scanned = materialize(_scan(rows, rule), "jaccard-scan")
-    known = scanned.where("piece is null").select("doc_id", "n", "k", "k2")
-    classes = known.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("k2").alias("lo"), F.max("k2").alias("hi"))
+    known = scanned.where("piece is null").select("doc_id", "n", "k", "k2", F.col("counts").alias("bitmap"))
+    classes = known.where("n > 0").groupBy("k").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("k2").alias("lo"), F.max("k2").alias("hi")
+    )
     classes = materialize(classes, "jaccard-classes")
     if not classes.where("lo <> hi").isEmpty():
         raise RuntimeError("two different sets have the same 64-bit key")  # seen by the second key, never passed over
     sketch = sc.broadcast(_sketch(scanned))
     lists = materialize(_lists(_prefixes(rows, rule, sketch)), "jaccard-lists")
-    wanted = classes.join(lists.select("k").distinct(), "k", "left_semi").select("doc_id", "k")
-    sets = _candidate_sets(rows, materialize(wanted, "jaccard-wanted"), rule)
-    sets = materialize(sets.join(lists.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "jaccard-sets")
     labels: DataFrame | None = None
     seen: DataFrame | None = None
     for step in (1, 2, 0):
@@ -316,7 +381,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "jaccard-pairs")
-        links = _verify(pairs, sets, rule)
+        links = _verify(pairs, rows, classes, rule)
         if labels is not None:
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
         labels = connected_components(links)
