@@ -91,7 +91,7 @@ def license_matches(docs: DataFrame, templates: DataFrame, width: int = WIDTH, c
     words = templates.select("template_id", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
     words = words.withColumn("size", F.size("w")).withColumn("width", F.least(F.lit(width), F.size("w")))
     widths = sorted(r["width"] for r in words.select("width").distinct().collect())  # at most ``width`` values
-    cut = F.array(*[_tagged(F.col("w"), n) for n in widths])
+    cut = F.array(*[_tagged(F.col("w"), n) for n in widths]) if widths else F.array().cast("array<array<struct<width:int,pos:int,h:bigint>>>")
     shingles = words.select("template_id", "size", "width", F.explode(F.flatten(cut)).alias("s")).where("s.width = width")
     # A size class is the power of two that holds the template; its windows advance by it.
     span = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(2), F.col("size").cast("int"))))).cast("int")

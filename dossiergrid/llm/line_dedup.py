@@ -193,7 +193,7 @@ class LineIndex:
             keys = touched.select("key").distinct()
             again = self._count(references.join(keys, "key", "left_semi"))
             untouched = self.counts.join(keys, "key", "left_anti")
-            counts = materialize(untouched.unionByName(again), "line-counts")
+            counts = materialize(untouched.unionByName(again).select("shard", "key", "n_docs", "max_doc"), "line-counts")
             was = self.counts.where(F.col("n_docs") >= self.min_docs).join(keys, "key", "left_semi").select("shard", "key", F.lit(-1).alias("step"))
             now = counts.where(F.col("n_docs") >= self.min_docs).join(keys, "key", "left_semi").select("shard", "key", F.lit(1).alias("step"))
             crossed = was.unionByName(now).groupBy("shard", "key").agg(F.sum("step").cast("int").alias("step")).where("step <> 0")

@@ -78,7 +78,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int)
         .withColumn("hi", F.sum("target").over(upto))
         .withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
         .withColumn("top", F.max("hi").over(everything))
-        .select("source", "source_size", "target", (F.col("lo") / F.col("top")).alias("lo"), (F.col("hi") / F.col("top")).alias("hi"))
+        .select("source", "source_size", "target", F.try_divide("lo", "top").alias("lo"), F.try_divide("hi", "top").alias("hi"))
     )
 
 
