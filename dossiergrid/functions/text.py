@@ -17,15 +17,19 @@ def any_of(*tests: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once and the plan no larger for each place it is used in."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def text_or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
 def split_lines(text: Column) -> Column:
     """Lines by any line boundary, without a last empty one; none for an empty text."""
-    parts = F.split(text_or_empty(text), _LINE_BREAK)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(last_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    open_end = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text_or_empty(text), _LINE_BREAK), open_end)
 
 
 def text_signature(text: Column) -> Column:
@@ -114,8 +118,13 @@ def distinct_word_share(text: Column) -> Column:
 def drop_adjacent_duplicates(lines: Column) -> Column:
     """Lines without those whose words equal the line before; an empty line ends a run."""
     key = lambda line: F.lower(F.trim(F.regexp_replace(line, r"(?U)[^\w]+", " ")))
-    keys = F.transform(lines, key)
-    return F.filter(lines, lambda line, i: (i == 0) | (key(line) == "") | (key(line) != F.get(keys, i - 1)))
+
+    def kept(lines: Column) -> Column:
+        pairs = F.transform(lines, lambda line: F.struct(line.alias("line"), key(line).alias("key")))
+        new = lambda p: F.filter(p, lambda x, i: (i == 0) | (x["key"] == "") | (x["key"] != F.get(p, i - 1)["key"]))
+        return F.transform(let(pairs, new), lambda x: x["line"])
+
+    return let(lines, kept)
 
 
 # Headings that design tools export with a space after every letter.
@@ -170,7 +179,10 @@ _QUALITY_HEADING = (
 
 def text_quality(text: Column, cleaned: bool = False) -> Column:
     """How readable and well structured an extracted text is; minus infinity for one without words."""
-    t = text_or_empty(text) if cleaned else text_or_empty(clean_text(text))
+    return let(text_or_empty(text if cleaned else clean_text(text)), _quality)
+
+
+def _quality(t: Column) -> Column:
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     lines = F.filter(F.transform(split_lines(t), lambda x: F.trim(x)), lambda x: x != "")
     words = count(r"[A-Za-z][A-Za-z'\-]*")
@@ -200,9 +212,9 @@ def best_text(candidates: Column) -> Column:
     """Of ``array<struct<method,text>>`` the element with the best text; the first one on ties, null without text."""
     scored = F.transform(
         F.filter(candidates, lambda c: F.trim(text_or_empty(c["text"])) != ""),
-        lambda c, i: F.struct(text_quality(c["text"]).alias("score"), (-i).alias("first"), c.alias("candidate")),
+        lambda c, i: F.struct(text_quality(c["text"]).alias("score"), (-i).alias("first"), c["method"].alias("method"), c["text"].alias("text")),
     )
-    return F.array_max(scored)["candidate"]
+    return let(F.array_max(scored), lambda b: F.when(b.isNotNull(), F.struct(b["method"].alias("method"), b["text"].alias("text"))))
 
 
 def section_of_heading(line: Column) -> Column:

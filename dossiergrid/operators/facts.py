@@ -254,7 +254,7 @@ def split_items(value: str) -> list[str]:
             current = ""
         else:
             current += c
-    return [x for x in (re.sub(r"^(?:and|or)\s+", "", _tidy(p).rstrip("."), flags=re.I) for p in [*out, current]) if x]
+    return [x for x in (re.sub(r"^(?:and|or)\s+", "", re.sub(r"\s+", " ", p).strip(" -*•|,;:."), flags=re.I) for p in [*out, current]) if x]
 
 
 def valid_skill(value: str) -> bool:

@@ -8,8 +8,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from dossiergrid.operators.duplicates import block_duplicates, duplicate_keys
 from dossiergrid.operators.facts import resume_facts
+from dossiergrid.scratch import materialize
 from dossiergrid.sources.documents import EXTENSIONS, MOST_FILES, extension, extract_texts
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def stored(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """A table of earlier batches, or None before the first."""
@@ -27,10 +30,10 @@ def screen_batch(files: DataFrame, accepted_path: str, rejected_path: str, as_of
     accepted table is read without that number, so nothing refuses itself.
     """
     spark = files.sparkSession
-    texts = extract_texts(files)
+    texts = materialize(extract_texts(files), "ingest-texts")
     unread = texts.where("text is null or trim(text) = ''").select("path", F.coalesce("error", F.lit("no text")).alias("reason"))
     facts = resume_facts(texts.where("trim(text) <> ''").withColumnRenamed("path", "resume_id"), as_of).withColumnRenamed("resume_id", "path")
-    facts = facts.join(texts.select("path", "file_hash"), "path")
+    facts = materialize(facts.join(texts.select("path", "file_hash"), "path"), "ingest-facts")
     # New uploads come behind all stored ones: the stamp orders them.
     new = facts.withColumn("id", F.format_string("%012d:%s", F.lit(batch_id), F.col("path")))
     old = stored(spark, accepted_path)
@@ -48,7 +51,7 @@ def screen_batch(files: DataFrame, accepted_path: str, rejected_path: str, as_of
 
 def screen_stream(spark: SparkSession, incoming: str, accepted_path: str, rejected_path: str, checkpoint: str, as_of: str) -> DataStreamWriter:
     """A stream over a folder of uploads, at most ten files a batch; start it with the trigger of your choice."""
-    stream = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", MOST_FILES).option("recursiveFileLookup", "true").load(incoming)
+    stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", MOST_FILES).option("recursiveFileLookup", "true").load(incoming)
     files = stream.where(extension(F.col("path")).isin(*EXTENSIONS)).withColumn("file_hash", F.sha2("content", 256))
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, k: screen_batch(batch, accepted_path, rejected_path, as_of, k))
 
