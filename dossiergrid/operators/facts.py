@@ -337,7 +337,7 @@ def parse(text: str | None, as_of: str, extra: list[str] = ()) -> dict:
     """All parsed facts of one text."""
     text = text or ""
     lines = sections(text)
-    email = re.search(r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", text)
+    email = re.search(r"(?<![\w.+-])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", text)
     return {
         "name": person_name(lines, email[0] if email else ""),
         "experience": experience(lines, as_of),

@@ -206,3 +206,46 @@ def record_evidence(lines: DataFrame, records: DataFrame, kind: str, key: str =
         key, "record_no", F.col("a.section").alias("section"),
         clip_excerpt(F.array_join(F.array_distinct(F.array_compact(F.concat(quoted, F.array(token)))), " | ")).alias("excerpt"),
     )
+
+
+def candidate_evidence(results: DataFrame, resumes: DataFrame, key: str = "resume_id", text: str = "text") -> DataFrame:
+    """What the detail page of a result quotes, one row per result.
+
+    ``results``: key, matched_critical, matched, matched_preferred, missing_critical, missing, experience, education,
+    years, experience_req, education_req. Returns key, skills (at most 8: name, kind, section, excerpt),
+    skill_total, experience and education (at most 3 each, quoted), their totals, missing (name, kind),
+    experience_met and education_met (null where nothing is required).
+    """
+    from dossiergrid.functions.text import degree_rank
+
+    table = line_table(resumes, key, text)
+    named = lambda c, kind: F.transform(c, lambda s: F.struct(s.alias("name"), F.lit(kind).alias("kind")))
+    groups = F.concat(named("matched_critical", "Critical"), named("matched", "Required"), named("matched_preferred", "Preferred"))
+    listed = results.select(key, F.posexplode(groups).alias("place", "s")).select(key, "place", "s.name", "s.kind").where("trim(name) <> ''")
+    first = Window.partitionBy(key, F.lower(F.trim("name"))).orderBy("place")
+    listed = listed.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    quoted = listed.join(skill_evidence(table, listed.select(key, F.col("name").alias("skill")), key).withColumnRenamed("skill", "name"), [key, "name"])
+    skills = quoted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "name", "kind", "section", "excerpt"))).alias("s"))
+    skills = skills.select(key, F.transform(F.slice("s", 1, 8), lambda x: x.dropFields("place")).alias("skills"), F.size("s").alias("skill_total"))
+
+    def records(column: str, primary: str, secondary: str, kind: str, section: str, otherwise: str) -> DataFrame:
+        rows = results.select(key, F.posexplode(F.slice(column, 1, 3)).alias("record_no", "rec"))
+        found = record_evidence(table, rows.select(key, "record_no", F.col(f"rec.{primary}").alias("primary"), F.col(f"rec.{secondary}").alias("secondary")), kind, key)
+        full = rows.join(found, [key, "record_no"], "left").withColumns({"section": F.coalesce("section", F.lit(section)), "excerpt": F.coalesce("excerpt", F.lit(otherwise))})
+        out = full.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("record_no", "rec", "section", "excerpt"))).alias(column))
+        return out.select(key, F.transform(column, lambda x: F.struct(x["rec"].alias("record"), x["section"].alias("section"), x["excerpt"].alias("excerpt"))).alias(column))
+
+    work = records("experience", "company", "job_title", "work", "Work Experience", "Extracted from the work-history section.")
+    school = records("education", "institution", "degree", "education", "Education", "Extracted from the education section.")
+    wanted = degree_rank(F.col("education_req"))
+    have = F.coalesce(F.array_max(F.transform("education", lambda r: degree_rank(r["degree"]))), F.lit(0))
+    base = results.select(
+        key,
+        F.size("experience").alias("experience_total"),
+        F.size("education").alias("education_total"),
+        F.concat(named("missing_critical", "Critical"), named("missing", "Required")).alias("missing"),
+        F.when(F.col("experience_req") > 0, F.col("years") >= F.col("experience_req")).alias("experience_met"),
+        F.when(wanted > 0, have >= wanted).alias("education_met"),
+    )
+    out = base.join(skills, key, "left").join(work, key, "left").join(school, key, "left")
+    return out.withColumn("skill_total", F.coalesce("skill_total", F.lit(0)))

@@ -289,3 +289,15 @@ def test_incremental_screening(spark, tmp_path):
 def test_uploads_per_week(spark):
     rows = spark.createDataFrame([(datetime(2026, 1, 1),), (datetime(2026, 1, 2),), (datetime(2026, 1, 20),)], "uploaded_at timestamp")
     assert sorted(r.uploads for r in ingest.uploads_per_week(rows).collect()) == [1, 2]
+
+
+def test_candidate_evidence(spark):
+    found = facts.resume_facts(resumes(spark, TEACHER), AS_OF)
+    lists = {"matched_critical": ["Lesson Planning"], "matched": ["lesson planning", "Classroom Management"], "matched_preferred": ["Chess"], "missing_critical": [], "missing": ["SQL"]}
+    rows = found.withColumns({k: F.array(*[F.lit(x) for x in v]).cast("array<string>") for k, v in lists.items()})
+    rows = rows.withColumn("experience_req", F.lit(3)).withColumn("education_req", F.lit("Master of Arts"))
+    got = lines.candidate_evidence(rows, rows.select("resume_id", "text")).first()
+    assert [(s.name, s.kind, s.section) for s in got.skills] == [("Lesson Planning", "Critical", "Skills"), ("Classroom Management", "Required", "Skills"), ("Chess", "Preferred", "Resume")]
+    assert (got.skill_total, got.experience_total, got.education_total, got.experience_met, got.education_met) == (3, 2, 1, True, False)
+    assert [tuple(m) for m in got.missing] == [("SQL", "Required")] and got.education[0].excerpt.startswith("State University")
+    assert [r.record.company for r in got.experience] == ["Greenfield High School", "Northside College"]
