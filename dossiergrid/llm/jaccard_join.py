@@ -39,12 +39,14 @@ WORD_BITS = 20
 GRAM_BITS = 22
 PIECE = 1 << 16
 BITMAP = 256
+#: Words of 64 bits of the folded bitmap that the last join compares.
+FOLDED = 8
 #: Members of a list worked on together; longer lists (by the sketch of n-grams) are dealt into pieces.
 LIST = 256
 #: Members before it in a random order of its list that each member is tried against, besides the pivot.
 BACK = 3
 #: Pairs are sent to all executors up to this number (of 24 bytes).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 250_000
 #: Classes a task remembers, so as not to repeat the entries of copies.
 REMEMBERED = 1 << 20
 
@@ -115,12 +117,14 @@ def _sets(texts: list[bytes | None], width: int, commonness: np.ndarray | None =
             yield _Sets(block, text[start], start, value, common, *_class_keys(value, start))
 
 
-def _bitmaps(s: _Sets) -> list[bytes]:
-    """Per set, the parity of the number of members that fall on each bit."""
+def _bitmaps(s: _Sets) -> tuple[list[bytes], np.ndarray]:
+    """Per set, the parity of the number of members that fall on each bit, and the same folded to eight words."""
     bits = BITMAP * 8
     of = np.repeat(np.arange(len(s.start)), np.diff(np.append(s.start, len(s.value))))
     hits = np.bincount(of * bits + (s.value & np.uint64(bits - 1)).astype(np.int64), minlength=len(s.start) * bits)
-    return [row.tobytes() for row in np.packbits((hits & 1).astype(np.uint8).reshape(len(s.start), bits), axis=1)]
+    parity = (hits & 1).astype(np.uint8).reshape(len(s.start), bits)
+    folded = np.packbits(parity.reshape(len(s.start), -1, 64 * FOLDED).sum(axis=1, dtype=np.uint8) & 1, axis=1).view(np.int64)
+    return [row.tobytes() for row in np.packbits(parity, axis=1)], folded
 
 
 def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -131,21 +135,25 @@ def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((1 << WORD_BITS) + (1 << GRAM_BITS), np.uint32)
         salt = TaskContext.get().partitionId() % 64
-        names = ["doc_id", "n", "k", "k2", "piece", "counts"]
+        names = ["doc_id", "n", "k", "k2", "piece", "counts", "folded"]
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
             size = batch.num_rows
             n, k, k2 = (np.zeros(size, np.int64) for _ in range(3))
             bitmap: list[bytes | None] = [None] * size
+            folded = np.zeros((size, FOLDED), np.int64)
             for s in _sets(batch.column(1).to_pylist(), rule.width):
                 at = s.block.first + s.text
                 n[at], k[at], k2[at] = np.diff(np.append(s.start, len(s.value))), s.key, s.key2
-                for i, bits in zip(at.tolist(), _bitmaps(s), strict=True):
-                    bitmap[i] = bits
+                bits, words = _bitmaps(s)
+                folded[at] = words
+                for i, own in zip(at.tolist(), bits, strict=True):
+                    bitmap[i] = own
                 np.add.at(counts, _slots(s.block.hash, WORD_BITS), 1)
                 np.add.at(counts, _slots(s.value, GRAM_BITS) + (1 << WORD_BITS), 1)
-            last = pa.nulls(size, pa.int32()), pa.array(bitmap, pa.binary())
+            small = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * FOLDED), pa.array(folded.ravel()))
+            last = pa.nulls(size, pa.int32()), pa.array(bitmap, pa.binary()), small
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(k), pa.array(k2), *last], names)
         if id_type is not None:
             for piece in range(len(counts) // PIECE):
@@ -153,9 +161,9 @@ def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
                 if part.any():
                     row = [pa.nulls(1, id_type), pa.array([salt], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())]
                     sent = zlib.compress(part.tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([*row, pa.array([piece], pa.int32()), pa.array([sent], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([*row, pa.array([piece], pa.int32()), pa.array([sent], pa.binary()), pa.nulls(1, pa.list_(pa.int64()))], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, k long, k2 long, piece int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, k long, k2 long, piece int, counts binary, folded array<long>")
 
 
 def _add_up(pieces: DataFrame, wide: bool, *by: str) -> DataFrame:
@@ -181,12 +189,16 @@ def _sketch(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.zeros((1 << WORD_BITS) + (1 << GRAM_BITS), np.uint64)
     for r in _add_up(_add_up(scanned.where("piece is not null"), False, "piece", "n"), True, "piece").toLocalIterator():
         total[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
-    words, grams = total[: 1 << WORD_BITS].astype(np.float32), total[1 << WORD_BITS :].astype(np.float32)
-    mean = grams.mean(dtype=np.float64)
-    out = np.maximum(1, (grams - mean) / (2 * np.sqrt(mean) + 1))
-    # Only what stands far out of the average is a long list.
-    pieces = np.where(grams > max(LIST, 4 * mean), np.minimum(grams // LIST + 1, 65535), 1)
-    return np.round(8 * np.log2(words + 1)).astype(np.int16), np.round(4 * np.log2(out)).astype(np.uint8), pieces.astype(np.uint16)
+    grams = total[1 << WORD_BITS :]
+    mean = float(grams.mean(dtype=np.float64))
+    standing, pieces = np.zeros(len(grams), np.uint8), np.ones(len(grams), np.uint16)
+    for at in range(0, len(grams), PIECE):  # in pieces: the driver's memory is small
+        part = grams[at : at + PIECE].astype(np.float64)
+        out = np.maximum(1, (part - mean) / (2 * np.sqrt(mean) + 1))
+        standing[at : at + PIECE] = np.round(4 * np.log2(out))
+        # Only what stands far out of the average is a long list.
+        pieces[at : at + PIECE] = np.where(part > max(LIST, 4 * mean), np.minimum(part // LIST + 1, 65535), 1)
+    return np.round(8 * np.log2(total[: 1 << WORD_BITS] + 1.0)).astype(np.int16), standing, pieces
 
 
 def _prefixes(docs: DataFrame, rule: Rule, sketch) -> DataFrame:
@@ -259,16 +271,19 @@ def _pivot_pairs(lists: DataFrame, labels: DataFrame | None, rule: Rule, seed: i
     return rows.select(F.least("k", "o.k").alias("a"), F.greatest("k", "o.k").alias("b")).distinct()
 
 
-def _cross_pairs(lists: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of one list and different components that pass the filters."""
+def _cross_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """All pairs of one list and different components that pass the filters and the folded bitmaps."""
     rows = _labelled(lists, labels)
     parts = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
     major = parts.groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rows = rows.join(major.select("g", "major"), "g")
-    minor = rows.where("c <> major").select("g", *[F.col(x).alias(f"{x}1") for x in ("k", "n", "pos", "c")])
+    rows = rows.join(major.select("g", "major"), "g").join(classes.select("k", "folded"), "k")
+    minor = rows.where("c <> major").select("g", *[F.col(x).alias(f"{x}1") for x in ("k", "n", "pos", "c", "folded")])
     other = (F.col("c1") != F.col("c")) & ((F.col("c") == F.col("major")) | (F.col("k1") < F.col("k")))
     close = _passes(F.col("n1"), F.col("pos1"), F.col("n"), F.col("pos"), rule.percent)
-    met = minor.join(rows.select(F.col("g").alias("g2"), "k", "n", "pos", "c", "major"), (F.col("g") == F.col("g2")) & other & close)
+    both = F.col("n1") + F.col("n")
+    apart = sum((F.bit_count(F.get("folded1", F.lit(i)).bitwiseXOR(F.get("folded", F.lit(i)))) for i in range(FOLDED)), F.lit(0))
+    alike = apart <= both - 2 * F.ceil(both * rule.percent / (100 + rule.percent))
+    met = minor.join(rows.select(F.col("g").alias("g2"), "k", "n", "pos", "c", "major", "folded"), (F.col("g") == F.col("g2")) & other & close & alike)
     return met.select(F.least("k1", "k").alias("a"), F.greatest("k1", "k").alias("b")).distinct()
 
 
@@ -365,19 +380,20 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
     sc = docs.sparkSession.sparkContext
     scanned = materialize(_scan(rows, rule), "jaccard-scan")
-    known = scanned.where("piece is null").select("doc_id", "n", "k", "k2", F.col("counts").alias("bitmap"))
+    known = scanned.where("piece is null").select("doc_id", "n", "k", "k2", F.col("counts").alias("bitmap"), "folded")
     classes = known.where("n > 0").groupBy("k").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("k2").alias("lo"), F.max("k2").alias("hi")
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("folded").alias("folded"), F.min("k2").alias("lo"), F.max("k2").alias("hi")
     )
     classes = materialize(classes, "jaccard-classes")
     if not classes.where("lo <> hi").isEmpty():
         raise RuntimeError("two different sets have the same 64-bit key")  # seen by the second key, never passed over
     sketch = sc.broadcast(_sketch(scanned))
     lists = materialize(_lists(_prefixes(rows, rule, sketch)), "jaccard-lists")
+    sketch.unpersist()
     labels: DataFrame | None = None
     seen: DataFrame | None = None
     for step in (1, 2, 0):
-        pairs = _pivot_pairs(lists, labels, rule, step) if step else _cross_pairs(lists, labels, rule)
+        pairs = _pivot_pairs(lists, labels, rule, step) if step else _cross_pairs(lists, labels, classes, rule)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "jaccard-pairs")

@@ -9,6 +9,7 @@ text whose two nearest codewords are almost equally far is flagged ambiguous.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 #: Hashed n-gram features. Training keeps at most SAMPLE rows, dealt evenly to the languages
 #: (never fewer than LEAST of a language, so the bound grows only with the number of languages).
 FEATURES = 8192
-SAMPLE = 3000
+SAMPLE = 2000
 LEAST = 32
 #: Bytes of text counted at a time; longer texts are counted in such pieces.
 BLOCK = 1 << 20
@@ -141,7 +142,8 @@ def fit(x: np.ndarray, y: list[str], ridge: float = 0.5) -> LanguageModel:
     bits = codes[who].astype(np.float64)
     bias = (bits * share[:, None]).mean(axis=0)
     kernel = (x @ x.T).astype(np.float64)
-    alpha = np.linalg.solve(kernel + np.diag(ridge / share), bits - bias)
+    kernel[np.diag_indices(len(x))] += ridge / share
+    alpha = np.linalg.solve(kernel, bits - bias)
     weights = (x.T @ alpha.astype(np.float32)).astype(np.float32)
     agree = np.mean((x @ weights + bias) * bits > 0, axis=0)
     return LanguageModel(langs, codes, weights, bias, np.maximum(2 * agree - 1, 0.05))
@@ -156,7 +158,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
 
     ``sample`` bounds the rows; each language gets an equal part of it, chosen by a
-    hash of the identifier. Only n-gram counts reach the driver.
+    hash of the identifier. A single task fits the model.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
@@ -184,11 +186,23 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text
                 )
                 done += len(x)
 
-    got = few.mapInArrow(counted, "lang string, at binary, value binary").orderBy("lang", "at", "value").collect()
-    x = np.zeros((len(got), FEATURES), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["value"], np.float32)
-    return fit(x, [r["lang"] for r in got])
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(zip(*columns, strict=True)) if (columns := _columns(batches)) else []
+        x = np.zeros((len(rows), FEATURES), np.float32)
+        for i, (_, at, value) in enumerate(rows):
+            x[i, np.frombuffer(at, np.int16)] = np.frombuffer(value, np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, [lang for lang, _, _ in rows]))], pa.binary())], ["model"])
+
+    # The sample is bounded, so one task fits the model; the driver gets the weights only.
+    sampled = few.mapInArrow(counted, "lang string, at binary, value binary").repartition(1)
+    made = sampled.mapInArrow(fitted, "model binary").first()  # none if Spark knows that there is no row
+    return pickle.loads(made["model"]) if made else fit(np.zeros((0, FEATURES), np.float32), [])
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> list[list]:
+    """The columns of all batches as lists."""
+    all_batches = list(batches)
+    return [[v for b in all_batches for v in b.column(c).to_pylist()] for c in range(all_batches[0].num_columns)] if all_batches else []
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="text", carry: tuple[str, ...] = ()) -> DataFrame:
