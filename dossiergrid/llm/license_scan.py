@@ -1,16 +1,17 @@
-"""License scans: MinHash retrieves templates for overlapping text windows, exact containment verifies them.
+"""License scans: MinHash sketches retrieve templates for overlapping text windows, exact containment verifies them.
 
 Containment of a template only depends on the shingles that some template has,
-so windows are reduced to those (an exact semi-join on the hash of each shingle);
-a window without any has containment zero and can share no minimum with a
-template either. Windows are twice as long as a template's size class and
-overlap by half, so every occurrence lies whole in one. What is retrieved is
-verified by counting. DataFrame operations only.
+so windows are reduced to those (an exact semi-join on the hash of each shingle).
+Windows are twice as long as a template's size class and overlap by half, so
+every occurrence lies whole in one. A template of n shingles is sketched by its
+smallest hashes, one more than may be missing from a match, so a window that
+contains the template holds one of them whatever else it holds. What is
+retrieved is verified by counting. DataFrame operations only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossiergrid.llm.decontamination import WORD, small
@@ -18,8 +19,8 @@ from dossiergrid.scratch import materialize
 
 WIDTH = 5
 CONTAINMENT = 0.8
-#: One row per band: a window and a template of similarity j (over template shingles) meet
-#: with probability 1 - (1 - j) ** BANDS, which is over 0.9999 from j = 0.3 on.
+#: One-row bands of the estimate below. The scan has none: a short template in a long window can be as
+#: little similar as 1 / 16, where 32 bands lose one match in eight.
 BANDS = 32
 
 #: Well-known notices.
@@ -81,7 +82,7 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<template_id:string,text:string>>")))
 
 
-def license_matches(docs: DataFrame, templates: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT, bands: int = BANDS, id_col="doc_id", text_col="text"):
+def license_matches(docs: DataFrame, templates: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT, id_col="doc_id", text_col="text"):
     """(rows, matches): a row per document (row_id, doc_id, n_words), and every window that contains a
     template: row_id, template_id, first_word, containment.
 
@@ -117,14 +118,15 @@ def license_matches(docs: DataFrame, templates: DataFrame, width: int = WIDTH, c
     block = F.floor(F.col("pos") / F.col("span"))
     found = hits.where("width > 0").withColumn("span", F.explode(F.array(*[F.lit(x) for x in spans])))
     found = found.select("row_id", "span", "width", "h", "pos", F.explode(F.array(block, block - 1)).alias("win")).where("win >= 0")
-    # In a row shorter than a window, the window before the first would hold nothing more.
+    # The window before the first would hold nothing that the first does not.
     windows = found.groupBy("row_id", "span", "win", "width", "h").agg(F.min("pos").alias("pos"))
     windows = materialize(windows, "license-windows")
-    minima = [F.min(F.xxhash64("width", "h", F.lit(b))).alias(f"m{b}") for b in range(bands)]
-    band = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"m{b}").alias("low")) for b in range(bands)]))
-    by_window = windows.groupBy("row_id", "span", "win").agg(*minima).select("row_id", "span", "win", band.alias("x")).select("row_id", "span", "win", "x.band", "x.low")
-    by_template = shingles.groupBy("template_id", "span").agg(*minima).select("template_id", "span", band.alias("x")).select("template_id", "span", "x.band", "x.low")
-    candidates = by_window.join(small(by_template, n_shingles * bands), ["span", "band", "low"]).select("row_id", "span", "win", "template_id").distinct()
+    # At least ceil(n * containment) shingles are met, so at most n less that are missing.
+    allowed = F.col("n") - F.ceil(F.col("n") * containment - 1e-9)
+    by_hash = Window.partitionBy("template_id").orderBy("h")
+    sketch = shingles.withColumn("at", F.row_number().over(by_hash)).join(small(counted, n_shingles), "template_id").where(F.col("at") <= allowed + 1)
+    sketch = sketch.select("template_id", "span", "width", "h")
+    candidates = windows.join(small(sketch, n_shingles), ["span", "width", "h"]).select("row_id", "span", "win", "template_id").distinct()
     wanted = candidates.join(small(shingles, n_shingles), ["template_id", "span"])
     met = wanted.join(windows, ["row_id", "span", "win", "width", "h"]).groupBy("row_id", "span", "win", "template_id")
     met = met.agg(F.count(F.lit(1)).alias("met"), F.min("pos").alias("first_word")).join(small(counted, n_shingles), "template_id")

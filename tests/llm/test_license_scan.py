@@ -58,3 +58,13 @@ def test_no_template_and_no_document(spark):
 def test_band_settings():
     assert op.collision_probability(0.3) > 0.9999
     assert op.collision_probability(0.8) == pytest.approx(1)
+
+
+def test_neighbours_at_every_offset(spark):
+    """A template counts whatever stands next to it: short ones were lost among the shingles of longer ones."""
+    rows = [(1, "Released under the MIT License. " + op.TEMPLATES["mit-permission"])]
+    for at in range(33):
+        for a in op.TEMPLATES.values():
+            rows += [(len(rows) + k, "x " * at + a + " " + b) for k, b in enumerate(op.TEMPLATES.values(), 1)]
+    got = {r.doc_id: r.licenses for r in op.license_scan(docs(spark, rows)).collect()}
+    assert got == {i: brute(t, op.TEMPLATES) for i, t in rows}
