@@ -6,7 +6,9 @@ targets of the sources cut the unit interval, and the source whose piece holds
 the point owns the slot. Slots are ranked within their source, every source's
 documents are laid end to end in a seeded shuffle, and the slot of rank ``r``
 takes the ``r``-th block of that stream. A stream starts again at its end, at
-most ``max_epochs`` times.
+most ``max_epochs`` times. A source that whole slots would leave more than
+``TOLERANCE`` off its target takes exactly its target: its last slots are cut, or
+slots are added to it at the end of the sequence.
 
 Ranks and stream offsets are prefix sums in two levels (chunks, then rows within
 a chunk), so a source with a third of all rows is spread over many tasks.
@@ -28,6 +30,8 @@ MAX_BLOCK = 4096
 #: Slots of one chunk of the ranking, and cells of the unit interval for the range join.
 CHUNK = 16384
 CELLS = 1024
+#: The most that a source may be off its target by whole slots, as a part of the target.
+TOLERANCE = 0.01
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -135,7 +139,7 @@ def mix_sources(
     x = (F.col("slot") + F.lit(0.5)) * F.lit(GOLDEN)
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("x", x - F.floor(x)).withColumn("cell", F.floor(F.col("x") * CELLS))
     owned = slots.join(cells, (slots["cell"] == cells["cell"]) & (slots["x"] >= cells["lo"]) & (slots["x"] < cells["hi"])).select(
-        "slot", "source", "source_size", F.floor(F.col("slot") / CHUNK).alias("chunk")
+        "slot", "source", F.floor(F.col("slot") / CHUNK).alias("chunk")
     )
     chunks = owned.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,18 +147,30 @@ def mix_sources(
     in_chunk = owned.withColumn("r", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1)
     ranked = in_chunk.join(
         chunk_base, in_chunk["source"].eqNullSafe(chunk_base["source"]) & (in_chunk["chunk"] == chunk_base["chunk"])
-    ).select(in_chunk["source"], in_chunk["source_size"], in_chunk["slot"], (F.col("r") + F.col("base")).alias("rank"))
+    ).select(in_chunk["source"], in_chunk["slot"], (F.col("r") + F.col("base")).alias("rank"))
+
+    # The words that a source takes, and the slots that it needs beyond its own; one row per source.
+    owns = chunks.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("n"))
+    quota = sources.join(owns, sources["source"].eqNullSafe(F.col("s")), "left").drop("s").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = F.least(F.col("n") * block, F.col("source_size") * max_epochs)
+    off = F.abs(whole - F.col("target")) > F.col("target") * TOLERANCE
+    quota = quota.withColumn("words", F.when(off, F.round("target").cast("long")).otherwise(whole))
+    quota = quota.withColumn("extra", F.greatest(F.lit(0), F.ceil(F.col("words") / block) - F.col("n")))
+    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    quota = quota.withColumn("next", n_slots + F.coalesce(F.sum("extra").over(before), F.lit(0)))
+    quota = materialize(quota.select("source", "source_size", "n", "words", "extra", "next"), "mix-quota")
+    added = quota.where("extra > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("extra") - 1)))
+    ranked = ranked.union(added.select("source", (F.col("next") + F.col("k")).alias("slot"), (F.col("n") + F.col("k")).alias("rank")))
 
     # The block of a rank is a span of the source's stream, which is repeated.
-    spans = placed.join(sources.select(F.col("source").alias("s"), "source_size", "target"), placed["source"].eqNullSafe(F.col("s")))
-    passes = F.ceil((F.col("target") + 4 * block) / F.col("source_size"))
-    spans = spans.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_epochs), passes).cast("int") - 1))).withColumn(
+    spans = placed.join(quota.where("words > 0").select(F.col("source").alias("s"), "source_size", "words"), placed["source"].eqNullSafe(F.col("s")))
+    passes = F.ceil(F.col("words") / F.col("source_size"))
+    spans = spans.withColumn("epoch", F.explode(F.sequence(F.lit(0), passes.cast("int") - 1))).withColumn(
         "from", F.col("start") + F.col("epoch") * F.col("source_size")
     )
-    spans = spans.withColumn(
-        "rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block)))
-    )
-    schedule = spans.join(ranked.drop("source_size"), spans["source"].eqNullSafe(ranked["source"]) & (spans["rank"] == ranked["rank"])).select(
+    spans = spans.where(F.col("from") < F.col("words")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("words")))
+    spans = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
+    schedule = spans.join(ranked, spans["source"].eqNullSafe(ranked["source"]) & (spans["rank"] == ranked["rank"])).select(
         "slot",
         spans["source"],
         spans["rank"],
@@ -162,7 +178,7 @@ def mix_sources(
         "doc_id",
         "epoch",
         F.greatest(F.lit(0), F.col("from") * -1 + spans["rank"] * block).alias("first_word"),
-        (F.least(F.col("from") + F.col("size"), (spans["rank"] + 1) * block) - F.greatest(F.col("from"), spans["rank"] * block)).alias("n_words"),
+        (F.least(F.col("to"), (spans["rank"] + 1) * block) - F.greatest(F.col("from"), spans["rank"] * block)).alias("n_words"),
     )
     taken = schedule.groupBy("row_id").agg(F.sum("n_words").alias("taken"))
     documents = (

@@ -66,3 +66,22 @@ def test_empty(spark):
     assert op.mix_sources(docs(spark, [])).documents.count() == 0
     got = op.mix_sources(docs(spark, [(1, None, None), (2, " ", "a"), (None, "", "a")])).documents.collect()
     assert [r.taken for r in got] == [0, 0, 0] and {r.target for r in got} == {0.0}
+
+
+def test_small_sources_in_a_large_total(spark):
+    """A source whose target is below one slot, or a few, is neither lost nor taken up to its cap."""
+    big = spark.range(16 * 42).selectExpr("id doc_id", "repeat('a ', 10000) text", "concat('big', id % 16) source")
+    tail = spark.range(64).selectExpr("10000 + id doc_id", "repeat('b ', int(3 + 7 * (id % 32))) text", "if(id % 32 = 9, null, concat('tail', id % 32)) source")
+    mix = op.mix_sources(big.union(tail))
+    got, pieces = mix.documents.collect(), mix.schedule.collect()
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+    target, taken, per_slot, owner = {r.source: r.target for r in got}, {}, {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert len(taken) == 48 and min(taken.values()) > 0
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 0.5 for s in taken)
+    for r in pieces:
+        per_slot[r.slot] = per_slot.get(r.slot, 0) + r.n_words
+        owner.setdefault(r.slot, set()).add(r.source)
+    assert min(r.n_words for r in pieces) > 0 and all(len(s) == 1 for s in owner.values())
+    assert max(per_slot.values()) == 102 and sum(per_slot.values()) == sum(taken.values())
