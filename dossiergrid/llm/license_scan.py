@@ -48,6 +48,45 @@ TEMPLATES = {
         "documentation files, to deal in the Software without restriction"
     ),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "agpl-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation"
+    ),
+    "lgpl-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation"
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies"
+    ),
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "cc0-1.0": "has waived all copyright and related or neighboring rights to",
+    "cc0-1.0-dedication": (
+        "dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"
+    ),
+    "epl-1.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "v1.0"
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+    ),
+    "cc-by-4.0-short": "Licensed under CC BY 4.0",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0",
+    "cc-by-sa-4.0-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nd-4.0-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-sa-4.0-work": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"
+    ),
+    "cc-by-nc-nd-4.0-work": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"
+    ),
+    "mit-licensed": "licensed under the MIT License",
+    "apache-2.0-project": "licensed under the Apache License 2.0",
 }
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -60,11 +61,31 @@ def test_band_settings():
     assert op.collision_probability(0.8) == pytest.approx(1)
 
 
-def test_neighbours_at_every_offset(spark):
+def test_neighbours_at_many_offsets(spark):
     """A template counts whatever stands next to it: short ones were lost among the shingles of longer ones."""
-    rows = [(1, "Released under the MIT License. " + op.TEMPLATES["mit-permission"])]
-    for at in range(33):
-        for a in op.TEMPLATES.values():
-            rows += [(len(rows) + k, "x " * at + a + " " + b) for k, b in enumerate(op.TEMPLATES.values(), 1)]
+    texts = ["Released under the MIT License. " + op.TEMPLATES["mit-permission"]]
+    for k, (a, b) in enumerate(itertools.product(op.TEMPLATES.values(), repeat=2)):
+        texts += ["x " * at + a + " " + b for at in range(k % 7, 33, 7)]
+    rows = list(enumerate(texts))
     got = {r.doc_id: r.licenses for r in op.license_scan(docs(spark, rows)).collect()}
     assert got == {i: brute(t, op.TEMPLATES) for i, t in rows}
+
+
+def test_usual_licenses(spark):
+    """Notices as they stand in files, with what is usually around them."""
+    notices = {
+        "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License",
+        "isc": "Copyright (c) 2020 A B. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy",
+        "cc0-1.0": "To the extent possible under law, A B has waived all copyright and related or neighboring rights to this work.",
+        "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is at",
+        "cc-by-nd-4.0": "(c) A B, licensed under CC BY-ND 4.0.",
+        "mit-licensed": "This project is licensed under the MIT License - see LICENSE",
+        "apache-2.0-project": "It is licensed under the Apache License 2.0 and free",
+    }
+    got = {r.doc_id: r.licenses.split(",") for r in op.license_scan(docs(spark, [*enumerate(notices.values()), (99, "under the terms of the contract")])).collect()}
+    assert all(name in got[k] for k, name in enumerate(notices)) and got[99] == [""]
