@@ -1,12 +1,13 @@
 """A corpus pipeline over ``documents``: each stage works on all that the one before it kept.
 
-Rows that share an identifier are one document to the stages that drop documents by
-identifier (near duplicates and contamination); null identifiers are never dropped there.
+Each row is a document of its own, also where identifiers repeat or are null: near
+duplicates and contaminated documents are dropped by identifier and text, which no two
+rows share after exact deduplication.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossiergrid.llm.decontamination import decontaminate
@@ -18,15 +19,23 @@ from dossiergrid.scratch import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[1:]
-#: Identifiers to drop are sent to all executors up to this number (of 8 bytes).
+#: Keys to drop are sent to all executors up to this number (of a few dozen bytes).
 BROADCAST_ROWS = 500_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the identifiers ``ids`` (gone); the texts are shuffled only if those are many."""
-    ids = materialize(ids.distinct(), "pipeline-dropped")
-    few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+def _key(docs: DataFrame) -> Column:
+    """A row's identifier and two independent hashes of its text; ordered by identifier, null last."""
+    text = docs["text"]
+    return F.struct(
+        docs["doc_id"].isNull().alias("unnamed"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2")
+    )
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keyed`` without the rows of the ``keys`` (gone); the texts are shuffled only if those are many."""
+    keys = materialize(keys.distinct(), "pipeline-dropped")
+    few = keys.count() <= BROADCAST_ROWS
+    return keyed.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +51,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the smallest doc_id stays."""
-    groups = jaccard_components(docs, Rule(width=5, percent=80))
-    return _without(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+    keyed = docs.withColumn("key", _key(docs))
+    groups = jaccard_components(keyed, Rule(width=5, percent=80), id_col="key")
+    return _without(keyed, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten consecutive words of a benchmark item go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("gone")))
+    keyed = docs.withColumn("key", _key(docs))
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    return _without(keyed, found.where("contaminated").select(F.col("doc_id").alias("gone")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

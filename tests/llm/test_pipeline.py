@@ -71,3 +71,15 @@ def test_mix(flow):
 def test_run(spark, flow):
     got = pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and abs(got.count() - len(flow["mix_sources"][1])) <= 3
+
+
+def test_rows_without_their_own_id(spark):
+    """Rows with a null or shared doc_id are judged by their own text."""
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    a, b, c = (" ".join(f"{p}{k}" for k in range(80)) for p in "abc")
+    rows = [(None, a), (None, a + " end"), (7, b + " end"), (7, b), (8, c), (8, item), (None, c + " " + item), (None, "left alone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.text for r in pipeline.near(spark, docs, SF).collect()]
+    assert sum(t in kept for t in (a, a + " end")) == 1 and sum(t in kept for t in (b, b + " end")) == 1 and "left alone" in kept
+    left = {(r.doc_id, r.text) for r in pipeline.benchmark(spark, docs, SF).collect()}
+    assert left == {(i, t) for i, t in rows if item not in t}
