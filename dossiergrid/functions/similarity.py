@@ -35,14 +35,14 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, indel_ratio(both, whole_a), indel_ratio(both, whole_b)) if both else best
 
 
-def _too_short(skill: str) -> bool:
+def too_short(skill: str) -> bool:
     return not skill or (len(skill.split()) < 2 and len(skill) < 4)
 
 
 def phrase_like(line: str, skill: str, threshold: float = 85) -> bool:
     """Whether a run of as many words as the skill has, or one or two more, is worded like it."""
     skill = skill.strip().lower()
-    if _too_short(skill):
+    if too_short(skill):
         return False
     tokens, n = line.split(), len(skill.split())
     return any(token_set_ratio(skill, " ".join(tokens[i : i + size])) >= threshold for size in range(n, n + 3) for i in range(len(tokens) - size + 1))
@@ -51,7 +51,7 @@ def phrase_like(line: str, skill: str, threshold: float = 85) -> bool:
 def all_stems_near(line: str, skill: str, slack: int = 3) -> bool:
     """Whether the stems of all words of the skill occur together within a few words."""
     skill = skill.strip().lower()
-    if _too_short(skill):
+    if too_short(skill):
         return False
     want = set(map(stem, re.findall(r"[a-z0-9]+", skill)))
     have = list(map(stem, re.findall(r"[a-z0-9]+", line.lower())))

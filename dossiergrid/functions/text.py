@@ -60,16 +60,13 @@ def json_list(value: Column) -> Column:
 
 def email_of(text: Column) -> Column:
     """The first e-mail address, lower-cased, or the placeholder."""
-    found = F.regexp_extract(text_or_empty(text), r"(?<![\w.-])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}(?![\w.-])", 0)
+    found = F.regexp_extract(text_or_empty(text), lx.EMAIL, 0)
     return F.when(found == "", F.lit(lx.UNKNOWN_EMAIL)).otherwise(F.lower(F.btrim(found, F.lit(" .,;:"))))
 
 
 def phone_of(text: Column) -> Column:
     """The first phone number in one of the accepted layouts, or the placeholder."""
-    mobile = r"(?:\+?63|0)[- .]?9\d{2}(?:[- .]?\d){7}"
-    local = r"(?:\+?63|0)[- .]?(?:9\d{2}|2)[- .]?\d{3}[- .]?\d{4}"
-    other = r"(?:\+?\d{1,3}[- .]?)?\(?\d{2,4}\)?[- .]?\d{3}[- .]?\d{4}"
-    found = F.regexp_extract(text_or_empty(text), rf"(?<!\d)(?:{mobile}|{local}|{other})(?!\d)", 0)
+    found = F.regexp_extract(text_or_empty(text), lx.PHONE, 0)
     return F.when(found == "", F.lit(lx.UNKNOWN_PHONE)).otherwise(found)
 
 
@@ -324,48 +321,3 @@ def term_found(text: Column, term: Column) -> Column:
     low, t = F.lower(text_or_empty(text)), F.lower(F.trim(text_or_empty(term)))
     pattern = F.concat(F.lit(r"\b"), F.regexp_replace(t, r"\s+", r"\\s+"), F.lit(r"\b"))
     return (t != "") & F.when(t.rlike(r"[^a-z0-9\s]"), F.contains(low, t)).otherwise(F.regexp_like(low, pattern))
-
-
-def toggled_lines(lines: Column, enters: Column | None, rules) -> Column:
-    """Lines kept by a state that headings switch.
-
-    ``rules(line)`` gives, per line, a struct (state, keep): the new state or null to
-    leave it, and the text to keep or null for the line itself when the state is on.
-    """
-    start = F.struct((F.lit(True) if enters is None else enters).alias("on"), F.array().cast("array<string>").alias("kept"))
-
-    def step(s: Column, line: Column) -> Column:
-        rule = rules(line)
-        on = F.coalesce(rule["state"], s["on"])
-        heading = rule["state"].isNotNull()
-        add = F.when(heading, rule["keep"]).otherwise(F.when(on, line))
-        return F.struct(on.alias("on"), F.when(add.isNotNull(), F.concat(s["kept"], F.array(add))).otherwise(s["kept"]).alias("kept"))
-
-    return F.aggregate(lines, start, step)["kept"]
-
-
-def claimed_lines(text: Column) -> Column:
-    """Lines outside sections that only list what someone is learning."""
-    lines = F.transform(split_lines(text), lambda x: F.trim(x))
-
-    def rule(line: Column) -> Column:
-        heading = (F.length(line) <= 60) & ~line.rlike(r"[.,;]$") & (
-            (line.rlike(r"\p{Lu}") & (line == F.upper(line))) | any_of(*[line.rlike(f"(?i){p}") for p in (lx.SKILL_HEADING, lx.INCLUDED_HEADING, lx.EXCLUDED_HEADING)])
-        )
-        state = F.when(line.rlike(f"(?i){lx.ASPIRATIONAL_HEADING}") & (line != ""), F.lit(False)).when(heading, F.lit(True))
-        return F.struct(state.alias("state"), F.when(state, line).alias("keep"))
-
-    return toggled_lines(lines, None, rule)
-
-
-def experience_lines(text: Column) -> Column:
-    """Lines below experience headings; all lines where there is no such heading."""
-    lines = F.filter(F.transform(split_lines(text), lambda x: F.trim(x)), lambda x: x != "")
-
-    def rule(line: Column) -> Column:
-        leaves = any_of(*[line.rlike(f"(?i){p}") for p in (lx.SKILL_HEADING, lx.EXCLUDED_HEADING)])
-        state = F.when(line.rlike(f"(?i){lx.EXPERIENCE_HEADING}"), F.lit(True)).when(leaves, F.lit(False))
-        return F.struct(state.alias("state"), F.lit(None).cast("string").alias("keep"))
-
-    inside = toggled_lines(lines, F.lit(False), rule)
-    return F.when(F.size(inside) > 0, inside).otherwise(lines)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossiergrid.functions import lexicon as lx
-from dossiergrid.functions.text import any_of, claimed_lines, degree_rank, experience_lines, field_relevance
+from dossiergrid.functions.text import degree_rank, field_relevance, half_even
 from dossiergrid.operators import scoring
-from dossiergrid.operators.matching import analyze_skills, preferred_bonus
-from dossiergrid.operators.similarity import bag_of_words, text_similarity
+from dossiergrid.operators.facts import skills_for_job
+from dossiergrid.operators.matching import SIDES, found_skills, matched_in, preferred_bonus, related_work, trimmed, with_jobs
+from dossiergrid.operators.similarity import pair_similarity
 from dossiergrid.scratch import materialize
 
 
@@ -17,43 +18,43 @@ def evaluate(facts: DataFrame, jobs: DataFrame, key: str = "resume_id") -> DataF
     """Screening results of ``facts`` (of ``resume_facts``, with ``job_id``) against their jobs.
 
     ``jobs``: job_id, title, required, critical, preferred (arrays), education_req, experience_req,
-    min_fit_score, requires_all_critical. Jobs are small and joined by id.
+    min_fit_score, requires_all_critical; one row a job. A resume meets its own job only, in one
+    join, and everything else is an expression over the joined row. Null texts and lists count as
+    empty; resumes whose job is null or unknown are left out; repeated resumes are each evaluated.
     """
-    facts = materialize(facts, "facts")
     empty = F.array().cast("array<string>")
+    listed = [F.coalesce(c, empty).alias(c) for c in SIDES]
+    words = F.concat_ws(" ", "title", *[F.array_join(c, " ") for c in SIDES])
     jobs = jobs.select(
-        "job_id", "title", *[F.coalesce(c, empty).alias(c) for c in ("required", "critical", "preferred")], "education_req",
+        "job_id", "title", *listed, "education_req",
         F.coalesce("experience_req", F.lit(0)).alias("experience_req"), F.coalesce("min_fit_score", F.lit(lx.DEFAULT_MINIMUM)).alias("minimum"),
         F.coalesce("requires_all_critical", F.lit(False)).alias("requires_all_critical"),
     )
-    sides = {}
-    for side, implied in (("required", True), ("critical", True), ("preferred", False)):
-        found = analyze_skills(facts, jobs.select("job_id", F.col(side).alias("skills")), key, implied=implied)
-        names = ["matched", "missing", "implied"] if side == "required" else ["matched", "missing"]
-        sides[side] = found.select(key, "job_id", *[F.col(n).alias(n if side == "required" else f"{n}_{side}") for n in names])
-    work = analyze_skills(
-        facts.withColumn("text", F.array_join(experience_lines(F.col("text")), "\n")),
-        jobs.select("job_id", F.array_union("required", F.array_union("critical", "preferred")).alias("skills")), key, implied=False,
-    ).select(key, "job_id", (F.size("matched") > 0).alias("skilled_work"))
-    job_text = jobs.select(
-        "job_id", bag_of_words(F.concat_ws(" ", "title", F.array_join("required", " "), F.array_join("critical", " "), F.array_join("preferred", " "))).alias("text")
+    jobs = jobs.withColumns({f"wanted_{s}": trimmed(F.col(s)) for s in SIDES} | {"job_words": words})
+    jobs = jobs.withColumns({"needed": F.array_union("wanted_required", "wanted_critical"), "every": F.array_union("wanted_required", F.array_union("wanted_critical", "wanted_preferred"))})
+    c = F.col
+    rows = with_jobs(facts, jobs).withColumns(
+        {
+            "found": found_skills(c("text"), c("needed"), True),
+            "found_preferred": found_skills(c("text"), c("wanted_preferred"), False),
+            "related": related_work(c("text"), c("every"), c("title")),
+            "skills": skills_for_job.asNondeterministic()(c("text"), c("every")),
+            "similarity": pair_similarity(c("text"), c("job_words"), bags=True),
+        }
     )
-    similar = text_similarity(facts.select(key, "job_id"), facts.select(key, bag_of_words(F.col("text")).alias("text")), job_text, key, "job_id")
-    rows = facts.join(jobs, "job_id")
-    for part in (*sides.values(), work, similar):
-        rows = rows.join(part, [key, "job_id"], "left")
-    letters = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)))
-    title_words = F.array_except(letters(F.col("title")), F.array(*[F.lit(w) for w in lx.TITLE_NOISE]))
-    work_words = letters(F.array_join(claimed_lines(F.array_join(experience_lines(F.col("text")), "\n")), " "))
-    relevance = F.when(any_of(F.col("skilled_work"), F.arrays_overlap(title_words, work_words)), 1.0).otherwise(0.4)
+    rows = materialize(rows, "skills-found").withColumn("similarity", half_even(c("similarity"), 2))
+    lists = {}
+    for side in SIDES:
+        parts = matched_in(F.col(f"wanted_{side}"), F.col("found_preferred" if side == "preferred" else "found"), implied=side != "preferred")
+        lists |= {n if side == "required" else f"{n}_{side}": parts[n] for n in ("matched", "missing")}
+    rows = rows.withColumns(lists | {"implied": F.col("found.inferred")})
     degrees = F.array_join(F.transform("education", lambda r: r["degree"]), " ")
     some = F.size("education") > 0
     rank = F.when(some, F.array_max(F.transform("education", lambda r: degree_rank(r["degree"])))).otherwise(degree_rank(F.col("text")))
-    c = F.col
     rows = rows.withColumns(
         {
-            "bonus": preferred_bonus(c("matched_preferred"), F.size(F.filter("preferred", lambda s: F.trim(s) != ""))),
-            "relevance": relevance,
+            "bonus": preferred_bonus(c("matched_preferred"), F.size("wanted_preferred")),
+            "relevance": F.when(c("related"), 1.0).otherwise(0.4),
             "years_score": scoring.years_score(c("years"), c("experience_req")),
             "candidate_rank": rank,
             "field_relevance": field_relevance(F.when(some, degrees).otherwise(c("text")), c("education_req")),
@@ -71,7 +72,7 @@ def evaluate(facts: DataFrame, jobs: DataFrame, key: str = "resume_id") -> DataF
     rows = rows.withColumn("verdict", scoring.overruled(scoring.fit_label(c("fit"), c("minimum")), e))
     e |= {"label": c("verdict.label"), "reason": c("verdict.reason")}
     return rows.select(
-        key, "job_id", c("verdict.label").alias("recommendation_label"), c("verdict.reason").alias("disqualification_reason"), "skill_score", "experience_score",
+        key, "job_id", c("verdict.label").alias("recommendation_label"), c("verdict.reason").alias("disqualification_reason"), half_even(c("skill_score"), 2).alias("skill_score"), "experience_score",
         "education_score", c("similarity").alias("text_similarity"), c("fit").alias("fit_score"), "matched", "missing", "implied", "matched_critical", "missing_critical",
         "matched_preferred", c("bonus").alias("preferred_bonus"), "name", "email", "phone", "years", "experience", "education", "credentials", "skills",
         scoring.confidence(e).alias("confidence"), scoring.narrative(e).alias("summary"), scoring.decision_explanation(e).alias("decision_explanation"),

@@ -15,6 +15,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import date_ranges, email_of, half_even, months_covered, phone_of, stated_years, text_or_empty
@@ -284,18 +285,39 @@ def skill_inventory(lines: list[Line], extra: list[str] = ()) -> list[str]:
         return list(out.values())
     disclaimed = re.compile(lx.DISCLAIMED_BEFORE, re.I)
     open_lines = [x.text for x in lines if x.section not in ("education", "personal", "references", "awards", "certifications", "training", "affiliations")]
-    for name, variants in {**lx.SKILL_CATALOG, **lx.EDUCATION_SKILLS, **{e: [] for e in extra}}.items():
+    whole = "\n".join(open_lines).lower()
+    vocabulary: dict[str, list[str]] = {**lx.SKILL_CATALOG, **lx.EDUCATION_SKILLS}
+    spelled = {n.lower(): n for n in vocabulary}
+    for skill in filter(None, (e.strip() for e in extra)):
+        name = spelled.get(skill.lower(), skill)
+        vocabulary[name] = [*vocabulary.get(name, []), skill, *lx.SKILL_ALIASES.get(skill.lower(), [])]
+    for name, variants in vocabulary.items():
         if len(re.sub(r"[^A-Za-z0-9]", "", name)) <= 2:
             continue
-        for variant in sorted({name, *variants}, key=len, reverse=True):
-            pattern = re.escape(variant) if re.search(r"[^a-z0-9\s]", variant, re.I) else r"\b" + re.escape(variant).replace(r"\ ", r"\s+") + r"\b"
-            hit = next((m for line in open_lines for m in re.finditer(pattern, line, re.I) if not disclaimed.search(line[: m.start()])), None)
-            if hit:
-                add(hit[0])
-                break
+        known = sorted((v for v in {name: 0, **dict.fromkeys(variants)} if v.split() and v.lower().split()[0] in whole), key=len, reverse=True)
+        said = _first_mention(open_lines, known, disclaimed) if known else None
+        if said and not any(said.lower() in x.lower() or x.lower() in said.lower() for x in out.values()):
+            add(said)
     return list(out.values())
 
 
+def _first_mention(lines: list[str], names: list[str], disclaimed: re.Pattern) -> str | None:
+    """The resume's own wording of the first name, line by line, that no disclaimer precedes."""
+    patterns = [re.compile(re.escape(n) if re.search(r"[^a-z0-9\s]", n, re.I) else r"\b" + r"\s+".join(map(re.escape, n.split())) + r"\b", re.I) for n in names]
+    for line in lines:
+        for pattern in patterns:
+            for m in pattern.finditer(line):
+                if not disclaimed.search(line, max(0, m.start() - 1000), m.start()):
+                    return m[0]
+    return None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def skills_for_job(text: pd.Series, extra: pd.Series) -> pd.Series:
+    """The skill inventory of a resume for a job, whose own skills count as catalog names."""
+    return pd.Series([skill_inventory(sections(t or ""), [] if e is None else [x for x in e if x]) for t, e in zip(text, extra, strict=True)])
+
+
 def person_name(lines: list[Line], email: str) -> str:
     """The applicant's name: labelled, or the header line that looks most like a name and like the address."""
     for x in lines:
@@ -334,16 +356,19 @@ def _name_like(line: str) -> str | None:
 
 
 def parse(text: str | None, as_of: str, extra: list[str] = ()) -> dict:
-    """All parsed facts of one text."""
+    """All parsed facts of one text; ``own_text`` is the text without a section of referees, null where there is none."""
     text = text or ""
     lines = sections(text)
-    email = re.search(r"(?<![\w.+-])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", text)
+    own = [(raw, x) for raw, x in zip(text.splitlines(), lines, strict=True) if x.section != "references"]
+    own_text = None if len(own) == len(lines) else "\n".join(raw for raw, _ in own)
+    email = re.search(lx.EMAIL, text if own_text is None else own_text)
     return {
-        "name": person_name(lines, email[0] if email else ""),
+        "name": person_name([x for _, x in own], email[0] if email else ""),
         "experience": experience(lines, as_of),
         "education": education(lines),
         "credentials": credentials(lines),
         "skills": skill_inventory(lines, extra),
+        "own_text": own_text,
     }
 
 
@@ -351,18 +376,21 @@ def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: s
     """One row per resume: ``key``, ``text`` and all facts. ``as_of`` (yyyy-mm-dd) is what "present" means.
 
     Total years: a stated total; else the months that the dated ranges of the work section cover
-    together (at most 40 years); else the sum of the records' years.
+    together (at most 40 years); else the sum of the records' years. Addresses and numbers below a
+    heading of references are the referees' and not taken. A null text counts as empty: unknown
+    name and address, no records, 0 years. Rows are not merged, whatever their keys.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [parse(t, as_of) for t in batch["text"]]
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(found, columns=["name", "experience", "education", "credentials", "skills"])], axis=1)
+            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(found, columns=["name", "experience", "education", "credentials", "skills", "own_text"])], axis=1)
 
     rows = resumes.select(F.col(key), F.col(text).alias("text"))
     kind = dict(rows.dtypes)[key]
-    parsed = rows.mapInPandas(run, f"{key} {kind}, text string, {SCHEMA}")
-    return parsed.withColumns({"email": email_of(F.col("text")), "phone": phone_of(F.col("text")), "years": total_years(F.col("text"), F.col("experience"), as_of)})
+    parsed = rows.mapInPandas(run, f"{key} {kind}, text string, {SCHEMA}, own_text string")
+    own = F.coalesce("own_text", "text")
+    return parsed.withColumns({"email": email_of(own), "phone": phone_of(own), "years": total_years(F.col("text"), F.col("experience"), as_of)}).drop("own_text")
 
 
 def total_years(text: Column, records: Column, as_of: str) -> Column:

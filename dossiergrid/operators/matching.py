@@ -1,125 +1,116 @@
-"""Which of a job's skills a resume claims.
+"""Which of its own job's skills a resume claims.
 
-Literal and alias matches are native: every skill becomes a list of patterns, tried
-on every line that the resume claims, and a match counts unless the words before it
-disclaim it. Only the pairs of resume and skill that are left go through the fuzzy
-and stemmed comparison in Python.
+A job's skills go to its resumes with the job; one scalar Arrow function per resume then
+tests them, so no text is copied per skill, no pair of resume and foreign skill is made and
+nothing but the jobs' rows is moved. Null lists and texts count as empty, blank skills are
+left out, a skill that is listed twice is reported twice.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dossiergrid.functions import lexicon as lx
-from dossiergrid.functions.similarity import all_stems_near, phrase_like
-from dossiergrid.functions.text import claimed_lines, split_lines
+from dossiergrid.functions import claims
+from dossiergrid.functions.text import split_lines, text_or_empty
 
+SIDES = ("required", "critical", "preferred")
+#: Jobs are sent to every executor up to this many rows and bytes of text; beyond it they are joined by salted key.
+MOST_JOBS, MOST_BYTES, SALT = 200_000, 64 << 20, 16
 
-def skill_names(skill: str) -> list[str]:
-    """A skill and its aliases, lower-cased, the longest first."""
-    plain = skill.strip().lower()
-    return sorted({plain, *lx.SKILL_ALIASES.get(plain, [])}, key=lambda n: (-len(n), n))
+_FOUND = T.StructType().add("claimed", T.ArrayType(T.StringType())).add("inferred", T.MapType(T.StringType(), T.StringType()))
 
 
-def mention_pattern(name: str) -> str:
-    """A pattern of a (lower-cased) name that no disclaimer precedes on its line.
+def with_jobs(rows: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their ``jobs`` by ``job_id`` (one row a job); rows without a job are left out.
 
-    Names with symbols match anywhere, others as whole words.
+    Few jobs are broadcast behind a count of their size. Else the rows of a job, however
+    many, are dealt to ``SALT`` keys, and every job is there under each of them.
     """
-    if re.search(r"[^a-z0-9\s]", name):
-        core = re.escape(name)
-    else:
-        core = r"\b" + r"\s+".join(re.escape(w) for w in name.split()) + r"\b"
-    return core
+    seen = jobs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*jobs.columns)))).alias("bytes")).first()
+    if seen["n"] <= MOST_JOBS and (seen["bytes"] or 0) <= MOST_BYTES:
+        return rows.join(F.broadcast(jobs), "job_id")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(SALT)).cast("int"))
+    every = jobs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(every, ["job_id", "salt"]).drop("salt")
+
+
+def _lists(column: pd.Series) -> list[list[str]]:
+    return [[] if x is None else [s.strip() for s in x if s is not None and s.strip()] for x in column]
+
+
+def _lines(column: pd.Series) -> list[list[str]]:
+    return [claims.claimed_lines(x or "") for x in column]
+
 
+@F.pandas_udf(_FOUND)
+def _claims(text: pd.Series, skills: pd.Series) -> pd.DataFrame:
+    have = claims.claimed(_lines(text), _lists(skills))
+    return pd.DataFrame({"claimed": [sorted(x) for x in have], "inferred": [{} for _ in have]})
 
-def mentioned(line: Column, name: str) -> Column:
-    """Whether the (lower-cased) line has a mention of the name that isn't disclaimed before it."""
-    # Cut at every mention: the text before the k-th mention is all pieces up to it.
-    pieces = F.split(line, mention_pattern(name))
-    ends = F.transform(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, i: F.array_join(F.slice(pieces, F.lit(1), i + 1), name)
-    )
-    return F.exists(ends, lambda before: ~before.rlike(f"(?i){lx.DISCLAIMED_BEFORE}"))
 
+@F.pandas_udf(_FOUND)
+def _claims_and_implied(text: pd.Series, skills: pd.Series) -> pd.DataFrame:
+    have, by = claims.with_implied(_lines(text), _lists(skills))
+    return pd.DataFrame({"claimed": [sorted(x) for x in have], "inferred": by})
 
-def claims(lines: Column, skill: str) -> Column:
-    """Whether any line mentions the skill or an alias of it without a disclaimer."""
-    names = skill_names(skill)
-    low = F.transform(lines, F.lower)
-    out = F.lit(False)
-    for name in names:
-        if name:
-            out = out | F.exists(low, _test(name))
-    return out
+
+@F.pandas_udf(T.BooleanType())
+def _related_work(text: pd.Series, skills: pd.Series, title: pd.Series) -> pd.Series:
+    return pd.Series(claims.related_work([x or "" for x in text], _lists(skills), [x or "" for x in title]))
+
+
+def found_skills(text: Column, skills: Column, implied: bool) -> Column:
+    """``struct<claimed,inferred>``: the skills that a text claims, and a map of entailed ones to what entails them.
+
+    ``text`` and ``skills`` must be columns of the input, not lambdas over them, which Spark does not hand to Python.
+    """
+    return (_claims_and_implied if implied else _claims).asNondeterministic()(text, skills)  # made once, where it stands
 
 
-def _test(name: str):
-    return lambda line: F.contains(line, F.lit(name.split()[0])) & mentioned(line, name)
+def related_work(text: Column, skills: Column, title: Column) -> Column:
+    """Whether the work section (the whole text where there is none) claims a skill or holds a word of the title."""
+    return _related_work.asNondeterministic()(text, skills, title)
 
 
-def paraphrased(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (key, skill, lines) with ``claimed``: a line without disclaimers words the skill alike or has its stems together."""
+def trimmed(skills: Column) -> Column:
+    """Skills without blanks around them, and without blank ones; null as none."""
+    some = F.coalesce(skills, F.array().cast("array<string>"))
+    return F.filter(F.transform(some, lambda s: F.regexp_replace(text_or_empty(s), r"^\s+|\s+$", "")), lambda s: s != "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cue = re.compile(f"{lx.NEGATION}|{lx.ASPIRATION}", re.I)
-        for batch in batches:
-            said = []
-            for skill, lines in zip(batch["skill"], batch["lines"], strict=True):
-                open_lines = [x.lower() for x in lines if x.strip() and not cue.search(x)]
-                said.append(any(phrase_like(x, skill) or all_stems_near(x, skill) for x in open_lines))
-            yield batch.assign(claimed=said)[["key", "skill", "claimed"]]
 
-    kind = dict(pairs.dtypes)["key"]
-    return pairs.mapInPandas(run, f"key {kind}, skill string, claimed boolean")
+def matched_in(skills: Column, found: Column, implied: bool = True) -> dict[str, Column]:
+    """Columns matched, missing (in the order of ``skills``, already trimmed) and implied, from ``found_skills``."""
+    names = F.map_keys(found["inferred"])
+    have = F.concat(found["claimed"], names) if implied else found["claimed"]
+    return {
+        "matched": F.filter(skills, lambda s: F.array_contains(have, s)),
+        "missing": F.filter(skills, lambda s: ~F.array_contains(have, s)),
+        "implied": F.map_filter(found["inferred"], lambda s, _: F.array_contains(skills, s)) if implied else F.create_map().cast("map<string,string>"),
+    }
 
 
 def claimed_skills(resumes: DataFrame, skills: list[str], key: str = "resume_id", text: str = "text") -> DataFrame:
-    """(key, skill, claimed) for every resume and every one of the (bounded) distinct ``skills``."""
+    """(key, skill, claimed) for every resume and every one of the (few, given) distinct ``skills``."""
     wanted = list(dict.fromkeys(s.strip() for s in skills if s.strip()))
-    rows = resumes.select(F.col(key).alias("key"), claimed_lines(F.col(text)).alias("lines"))
-    tests = F.array(*[F.struct(F.lit(s).alias("skill"), claims(F.col("lines"), s).alias("literal")) for s in wanted])
-    if not wanted:
-        return rows.select("key", F.lit("").alias("skill"), F.lit(False).alias("claimed")).where("false")
-    long = rows.select("key", "lines", F.inline(tests))
-    literal = long.where("literal").select("key", "skill", F.lit(True).alias("claimed"))
-    return literal.unionByName(paraphrased(long.where("not literal").select("key", "skill", "lines")))
+    every = F.array(*[F.lit(s) for s in wanted]).cast("array<string>")
+    rows = resumes.select(F.col(key).alias("key"), found_skills(F.col(text), every, False).alias("found"))
+    return rows.select("key", F.explode(every).alias("skill"), "found").select("key", "skill", F.array_contains("found.claimed", F.col("skill")).alias("claimed"))
 
 
 def analyze_skills(resumes: DataFrame, jobs: DataFrame, key: str = "resume_id", text: str = "text", implied: bool = True) -> DataFrame:
     """Matched and missing skills of every resume for its job.
 
-    ``resumes`` has ``job_id``; ``jobs`` has (job_id, skills array). Returns (key, job_id,
+    ``resumes`` has ``job_id``; ``jobs`` has (job_id, skills array), one row a job. Returns (key, job_id,
     matched, missing, implied): lists in the job's order, and a map from a skill that is
     only entailed to the one that entails it (the first of its list that is claimed).
     """
-    every = [r["s"] for r in jobs.select(F.explode("skills").alias("s")).distinct().collect()]  # the jobs' vocabulary
-    entailing = [i for s in every for i in lx.SKILL_IMPLICATIONS.get(s.strip().lower(), [])] if implied else []
-    claimed = claimed_skills(resumes, every + entailing, key, text).where("claimed").groupBy("key").agg(F.collect_set("skill").alias("have"))
-    rows = resumes.select(F.col(key), "job_id").join(F.broadcast(jobs.select("job_id", "skills")), "job_id")
-    rows = rows.join(claimed, F.col(key) == F.col("key"), "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
-    table = {s: lx.SKILL_IMPLICATIONS[s.strip().lower()] for s in every if implied and s.strip().lower() in lx.SKILL_IMPLICATIONS}
-    by = F.create_map(*[x for s, i in table.items() for x in (F.lit(s.strip()), F.array(*[F.lit(v) for v in i]))]) if table else None
-    wanted = F.filter(F.transform("skills", lambda x: F.trim(x)), lambda s: s != "")
-    rows = rows.withColumn("wanted", wanted)
-    first = (lambda s: F.try_element_at(F.filter(F.coalesce(F.try_element_at(by, s), F.array().cast("array<string>")), lambda i: F.array_contains("have", i)), F.lit(1))) if table else (lambda s: F.lit(None).cast("string"))  # noqa: E501
-    rows = rows.withColumn(
-        "each", F.transform("wanted", lambda s: F.struct(s.alias("skill"), F.array_contains("have", s).alias("direct"), first(s).alias("by")))
-    )
-    hit = lambda e: e["direct"] | e["by"].isNotNull()
-    inferred = F.filter("each", lambda e: ~e["direct"] & e["by"].isNotNull())
-    return rows.select(
-        key,
-        "job_id",
-        F.transform(F.filter("each", hit), lambda e: e["skill"]).alias("matched"),
-        F.transform(F.filter("each", lambda e: ~hit(e)), lambda e: e["skill"]).alias("missing"),
-        F.map_from_entries(F.array_distinct(F.transform(inferred, lambda e: F.struct(e["skill"], e["by"])))).alias("implied"),
-    )
+    own = jobs.select("job_id", trimmed(F.col("skills")).alias("skills"))
+    rows = with_jobs(resumes.select(F.col(key), "job_id", F.col(text).alias("text")), own)
+    rows = rows.withColumn("found", found_skills(F.col("text"), F.col("skills"), implied))
+    return rows.select(key, "job_id", *[c.alias(n) for n, c in matched_in(F.col("skills"), F.col("found"), implied).items()])
 
 
 def preferred_bonus(matched: Column, total: Column) -> Column:

@@ -9,15 +9,20 @@ from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import as_percent, degree_label, degree_rank, half_even, pick_phrase, split_lines, text_or_empty
 
 
-def fit_score(skill: Column, experience: Column, education: Column, similarity: Column | None = None) -> Column:
-    """The weighted score, at most 100; without a similarity (or with a null one) the other three share its weight."""
+def weighted_score(skill: Column, experience: Column, education: Column, similarity: Column | None = None) -> Column:
+    """``fit_score`` before it is rounded."""
     a, b, c = lx.FIT_WEIGHTS_WITHOUT_SIMILARITY
     three = skill * a + experience * b + education * c
     if similarity is None:
-        return half_even(F.least(three, F.lit(100.0)), 2)
+        return F.least(three, F.lit(100.0))
     a, b, c, d = lx.FIT_WEIGHTS
     four = skill * a + experience * b + education * c + similarity * d
-    return half_even(F.least(F.when(similarity.isNull(), three).otherwise(four), F.lit(100.0)), 2)
+    return F.least(F.when(similarity.isNull(), three).otherwise(four), F.lit(100.0))
+
+
+def fit_score(skill: Column, experience: Column, education: Column, similarity: Column | None = None) -> Column:
+    """The weighted score, at most 100; without a similarity (or with a null one) the other three share its weight."""
+    return half_even(weighted_score(skill, experience, education, similarity), 2)
 
 
 def fit_label(fit: Column, minimum: Column | float = lx.DEFAULT_MINIMUM) -> Column:
@@ -29,9 +34,9 @@ def fit_label(fit: Column, minimum: Column | float = lx.DEFAULT_MINIMUM) -> Colu
 
 
 def skill_score(matched: Column, required: Column, bonus: Column) -> Column:
-    """The share of required skills (blank entries count as required) plus the bonus, at most 100; 100 without requirements."""
+    """The share of required skills (blank entries count as required) plus the bonus, at most 100; 100 without requirements. Not rounded: it is weighed as it is."""
     share = F.size(matched) / F.size(required) * 100
-    return F.when(F.size(required) == 0, F.lit(100.0)).otherwise(F.least(half_even(share + bonus, 2), F.lit(100.0)))
+    return F.when(F.size(required) == 0, F.lit(100.0)).otherwise(F.least(share + bonus, F.lit(100.0)))
 
 
 def years_score(years: Column, required: Column) -> Column:
@@ -41,9 +46,8 @@ def years_score(years: Column, required: Column) -> Column:
 
 
 def experience_score(years: Column, required: Column, relevance: Column) -> Column:
-    """Experience by years, discounted for irrelevant work where experience is required."""
-    plain = years_score(years, required)
-    return F.when(F.coalesce(required, F.lit(0)) <= 0, plain).otherwise(half_even(plain * relevance, 2))
+    """Experience by years, discounted for irrelevant work, also where no experience is required."""
+    return half_even(years_score(years, required) * relevance, 2)
 
 
 def education_score(candidate_rank: Column, required_rank: Column, relevance: Column) -> Column:

@@ -1,21 +1,28 @@
-"""TF-IDF cosine similarity of each resume and its job, from joins and sums.
+"""TF-IDF cosine similarity of each resume and its job, from the two texts of a row.
 
 The two texts are their own corpus: a term in both has the weight 1 + ln(tf), a term
 in one of them that times c = ln(3/2) + 1. With S the sum of squares over all terms of
-a text and B that over shared ones, its squared norm is c^2 (S - B) + B, so only
-shared terms have to meet in a join.
+a text and B that over shared ones, its squared norm is c^2 (S - B) + B. Terms are counted
+where the row is, in Arrow batches: none is shuffled, and a job's are counted once a worker.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import half_even, text_or_empty
+from dossiergrid.operators.matching import with_jobs
 
+_STOP = frozenset(lx.STOPWORDS)
 C2 = (math.log(1.5) + 1) ** 2
 
 
@@ -26,23 +33,59 @@ def bag_of_words(text: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), " ")
 
 
-def term_weights(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, w): single words of at least two characters and neighbouring pairs, with 1 + ln(tf)."""
-    words = F.regexp_extract_all(F.lower(text_or_empty(F.col(text))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    rows = texts.select(F.col(key), words.alias("w"))
-    pairs = F.filter(F.transform("w", lambda a, i: F.concat_ws(" ", a, F.get("w", i + 1))), lambda t: F.contains(t, F.lit(" ")))
-    terms = rows.select(key, F.explode(F.concat("w", pairs)).alias("term"))
-    return terms.groupBy(key, "term").agg((F.log(F.count(F.lit(1)).cast("double")) + 1).alias("w"))
+_WORD = re.compile(r"\b\w\w+\b")
+
+
+def term_weights(text: str) -> tuple[dict[str, float], float]:
+    """1 + ln(tf) of the single words of at least two characters and of neighbouring pairs, and the sum of squares."""
+    words = _WORD.findall(text.lower())
+    count = Counter(words)
+    count.update(map(" ".join, zip(words, words[1:], strict=False)))
+    weights = {t: 1 + math.log(n) for t, n in count.items()}
+    return weights, math.fsum(w * w for w in weights.values())
+
+
+_item_weights = lru_cache(1024)(term_weights)
+
+
+def cosine(left: str, right: str) -> float:
+    """0..100 for two texts; 0 where they share no term. The right one is a job's, seen again and again."""
+    (a, all_a), (b, all_b) = term_weights(left), _item_weights(right)
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    shared = [t for t in few if t in many]
+    if not shared:
+        return 0.0
+    one, two = math.fsum(a[t] ** 2 for t in shared), math.fsum(b[t] ** 2 for t in shared)
+    norm = math.sqrt(C2 * (all_a - one) + one) * math.sqrt(C2 * (all_b - two) + two)
+    return math.fsum(a[t] * b[t] for t in shared) / norm * 100
+
+
+def plain_words(text: str) -> str:
+    """What ``bag_of_words`` gives, for one text."""
+    return " ".join(w for w in re.findall(r"[a-z]{2,}", text.lower()) if w not in _STOP)
+
+
+@F.pandas_udf(T.DoubleType())
+def _cosines(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([cosine(a or "", b or "") for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _cosines_of_bags(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([cosine(plain_words(a or ""), plain_words(b or "")) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def pair_similarity(left: Column, right: Column, bags: bool = False) -> Column:
+    """0..100 for the two texts of a row (columns of the input), as they are or as bags of words; null counts as empty."""
+    return (_cosines_of_bags if bags else _cosines).asNondeterministic()(left, right)
 
 
 def text_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str, digits: int | None = 2) -> DataFrame:
-    """(left_key, right_key, similarity) in 0..100 of all ``pairs``; texts are in columns ``text``; 0 where one has no words."""
-    one, two = term_weights(left, left_key, "text"), term_weights(right, right_key, "text").withColumnRenamed("w", "w2")
-    sums = lambda t, key, w, name: t.groupBy(key).agg(F.sum(F.col(w) * F.col(w)).alias(name))
-    ids = pairs.select(left_key, right_key).distinct()
-    shared = ids.join(one, left_key).join(two, [right_key, "term"]).groupBy(left_key, right_key)
-    shared = shared.agg(F.sum(F.col("w") * F.col("w2")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("b1"), F.sum(F.col("w2") * F.col("w2")).alias("b2"))
-    out = ids.join(shared, [left_key, right_key], "left").join(sums(one, left_key, "w", "s1"), left_key, "left").join(sums(two, right_key, "w2", "s2"), right_key, "left")
-    norm = lambda s, b: F.sqrt(C2 * (F.col(s) - F.col(b)) + F.col(b))
-    value = F.coalesce(F.col("dot") / (norm("s1", "b1") * norm("s2", "b2")) * 100, F.lit(0.0))
-    return out.select(left_key, right_key, (value if digits is None else half_even(value, digits)).alias("similarity"))
+    """(left_key, right_key, similarity) in 0..100 of all ``pairs``, one a left text; texts are in columns ``text``; 0 where one has no words.
+
+    The right texts are jobs: broadcast behind a count of their size, else joined by salted key.
+    """
+    known = left.select(left_key, F.col("text").alias("left_text"))
+    rows = with_jobs(pairs.select(left_key, F.col(right_key).alias("job_id")).join(known, left_key), right.select(F.col(right_key).alias("job_id"), F.col("text").alias("right_text")))
+    value = pair_similarity(F.col("left_text"), F.col("right_text"))
+    return rows.select(left_key, F.col("job_id").alias(right_key), (value if digits is None else half_even(value, digits)).alias("similarity"))

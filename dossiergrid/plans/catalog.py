@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dossiergrid.functions import lexicon, text
 from dossiergrid.operators import duplicates, evaluation, facts, intervals, lines, matching, metrics, review, scoring, similarity
+from dossiergrid.scratch import spread
 from dossiergrid.sources import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; ``documents`` is dealt to all cores where it is one small file, as every query on it works on texts."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,11 +449,7 @@ def interval_union_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_score_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unrounded, so that both engines agree; the half-even rounding has its own tests."""
     c = F.col
-    a, b, d, e = lexicon.FIT_WEIGHTS
-    fit = F.least(
-        F.lit(100.0),
-        c("l_quantity") * 2 * a + (100 - c("l_discount") * 500) * b + F.least(F.lit(100.0), c("l_tax") * 2000) * d + (c("l_extendedprice") % 100) * e,
-    )
+    fit = scoring.weighted_score(c("l_quantity") * 2, 100 - c("l_discount") * 500, F.least(F.lit(100.0), c("l_tax") * 2000), c("l_extendedprice") % 100)
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fit.alias("fit"))
     return rows.select("l_orderkey", "l_linenumber", F.round("fit", 6).alias("fit"), scoring.fit_label(c("fit")).alias("label"))
 

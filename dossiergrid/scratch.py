@@ -60,3 +60,13 @@ def release(spark: SparkSession) -> int:
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it is read in fewer parts than there are cores; else as it is.
+
+    For costly work on each row of an input that is one small file: a large input has more parts
+    than cores and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
