@@ -8,13 +8,19 @@ the hash of those words. A node with one edge in and one edge out, over all its
 occurrences, is nonbranching: whoever reads it reads the same words around it.
 Joins with the node table cut every document's sequence of nodes at its branching
 ones; what is between is one compacted path, held by one row per document instead
-of one per window. Windows at branching nodes keep a row each. Finally the source
-coordinates of a path or window give the smallest document that holds its exact
-words, and all others lose them.
+of one per window. Windows at branching nodes keep a row each. Paths and windows meet
+by two independent 64-bit hashes of their words; the least of a group is the source of
+the others. What follows each other in a document and in its source makes one span, and
+a span goes only if its words have the SHA-256 of the words at the source coordinates.
+
+A node, path or window may be in a large part of all documents. Every join by such a hash
+is therefore dealt by the hash and one of ``PARTS`` parts of the documents: the least
+of each part is found first, then the least of the parts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +32,8 @@ from dossiergrid.llm.batches import bound_batches
 from dossiergrid.llm.hashed_words import hashed_words, mix
 from dossiergrid.scratch import materialize
 
+#: Rows of one hash are dealt to so many parts.
+PARTS = 64
 #: Identifiers are sent to all executors up to this number (of 16 bytes).
 BROADCAST_ROWS = 500_000
 
@@ -108,15 +116,15 @@ def _nodes(rows: DataFrame, k: int, window: int) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, k: int, window: int) -> DataFrame:
-    """(doc_id, text_key, hash, from_word, to_word): compacted paths and single windows of texts with repeated nodes.
+    """(doc_id, text_key, hash, check, from_word, to_word): compacted paths and single windows of texts with repeated nodes.
 
     ``rows`` has doc_id, text_key, text, ``at`` (sorted starts of repeated nodes), ``plain`` (nonbranching or not).
     """
     kind = rows.dtypes[0][1]
 
-    def of(text: bytes, at: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (block,) = hashed_words([text], lower=False)
-        runs = Runs(block.hash)
+    def of(text: bytes, at: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        (block,) = hashed_words([text], lower=False, second=True)
+        runs, other = Runs(block.hash), Runs(block.second)
         start, node = sampled(runs, block.text, k, window)
         state = np.zeros(len(block.hash), np.int8)
         state[at] = np.where(plain, 2, 1)
@@ -136,32 +144,39 @@ def _pieces(rows: DataFrame, k: int, window: int) -> DataFrame:
         new[1:] = (np.diff(inside) != 1) | (path_from[inside][1:] != path_from[inside][:-1])
         head = inside[new]
         tail = inside[np.append(np.flatnonzero(new)[1:] - 1, len(inside) - 1)] if len(inside) else inside
-        path = mix(runs.of(path_from[head], path_to[head]) ^ np.uint64(0x5851F42D4C957F2D))
         single = start[alone]
-        return (
-            np.concatenate([path, runs.of(single, single + window)]),
-            np.concatenate([start[head], single]),
-            np.concatenate([start[tail] + window, single + window]),
-        )
+        # A path's stretches are told apart by their place in it.
+        salt = mix((start[head] - path_from[head]).astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+
+        def value(of: Runs) -> np.ndarray:
+            return np.concatenate([mix(of.of(path_from[head], path_to[head]) ^ salt), of.of(single, single + window)])
+
+        return value(runs), value(other), np.concatenate([start[head], single]), np.concatenate([start[tail] + window, single + window])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 text, at, plain = (batch.column(c)[row].as_py() for c in (2, 3, 4))
-                value, first, last = of(text, np.array(at), np.array(plain))
+                value, check, first, last = of(text, np.array(at), np.array(plain))
                 same = pa.array(np.full(len(value), row))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(same),
                         batch.column(1).take(same),
                         pa.array(value.view(np.int64)),
+                        pa.array(check.view(np.int64)),
                         pa.array(first.astype(np.int32)),
                         pa.array(last.astype(np.int32)),
                     ],
-                    ["doc_id", "text_key", "hash", "from_word", "to_word"],
+                    ["doc_id", "text_key", "hash", "check", "from_word", "to_word"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, hash long, from_word int, to_word int")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, hash long, check long, from_word int, to_word int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with the part of their document."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PARTS)).cast("int"))
 
 
 def _only(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -171,28 +186,100 @@ def _only(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, text_key, from_word, to_word): words of windows that start in a document with a smaller doc_id too.
+    """(doc_id, text_key, from_word, to_word, digest): words of windows that start in a document with a smaller doc_id too.
 
     ``rows`` has doc_id (not null), text_key and text (binary).
     """
     k = max(1, window * 2 // 5)
-    nodes = materialize(_nodes(rows, k, window), "substring-nodes")
-    table = nodes.groupBy("h").agg(
-        F.min("doc_id").alias("lo"),
-        F.max("doc_id").alias("hi"),
-        (
-            (F.min("before") == F.max("before")) & (F.min("after") == F.max("after"))
-            & (F.count("before") == F.count(F.lit(1))) & (F.count("after") == F.count(F.lit(1)))
-        ).alias("plain"),
+    nodes = _dealt(materialize(_nodes(rows, k, window), "substring-nodes"))
+    here = nodes.groupBy("h", "part").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *[f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in _ENDS.items()], F.count(F.lit(1)).alias("n")
     )
+    one_edge = lambda c: (F.min(f"min_{c}") == F.max(f"max_{c}")) & (F.sum(f"count_{c}") == F.sum("n"))
+    table = here.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (one_edge("before") & one_edge("after")).alias("plain"))
     table = table.where("lo < hi").select("h", F.coalesce("plain", F.lit(False)).alias("plain"))
-    marked = nodes.select("doc_id", "text_key", "at", "h").join(table, "h")
+    marked = nodes.select("doc_id", "text_key", "at", "h", "part").join(here.select("h", "part").join(table, "h"), ["h", "part"])
     marked = marked.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("at", "plain"))).alias("nodes"))
     marked = materialize(marked.select("doc_id", "text_key", F.col("nodes.at").alias("at"), F.col("nodes.plain").alias("plain")), "substring-marked")
     some = _only(rows, marked.select("doc_id", "text_key"), marked.count()).dropDuplicates(["doc_id", "text_key"])
-    pieces = materialize(_pieces(some.join(marked, ["doc_id", "text_key"]), k, window), "substring-pieces")
-    first = pieces.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
-    return pieces.join(first, "hash").where("doc_id > lo").select("doc_id", "text_key", "from_word", "to_word")
+    pieces = _dealt(materialize(_pieces(some.join(marked, ["doc_id", "text_key"]), k, window), "substring-pieces"))
+    both = ["hash", "check"]
+    here = pieces.groupBy(*both, "part").agg(F.min(F.struct("doc_id", "text_key", "from_word")).alias("src"), F.max("doc_id").alias("hi"))
+    first = here.groupBy(*both).agg(F.min("src").alias("src"), F.max("hi").alias("hi")).where("src.doc_id < hi").drop("hi")
+    found = pieces.join(here.select(*both, "part").join(first, both), [*both, "part"]).where("doc_id > src.doc_id")
+    span = F.struct("from_word", "to_word", F.col("src.doc_id").alias("s_doc"), F.col("src.text_key").alias("s_key"), F.col("src.from_word").alias("s_from"))
+    per_text = found.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans"))
+    return _verified(rows, materialize(_merged(per_text), "substring-found"))
+
+
+_ENDS = {"min": F.min, "max": F.max, "count": F.count}
+
+
+def _merged(per_text: DataFrame) -> DataFrame:
+    """Spans that overlap or touch in a text and, at the same distance, in one source, as one."""
+    kind = per_text.dtypes[0][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], []
+            for k, spans in enumerate(batch.column(2).to_pylist()):
+                by_source: dict[tuple, list[tuple[int, int]]] = {}
+                for x in spans:
+                    by_source.setdefault((x["s_doc"], x["s_key"], x["s_from"] - x["from_word"]), []).append((x["from_word"], x["to_word"]))
+                for (doc, key, shift), own in by_source.items():
+                    own.sort()
+                    a, b = own[0]
+                    for c, d in [*own[1:], (None, None)]:
+                        if c is not None and c <= b:
+                            b = max(b, d)
+                            continue
+                        row.append(k)
+                        out.append((a, b, doc, key, a + shift))
+                        a, b = c, d
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int32(), pa.int32(), batch.schema.field(0).type, pa.int64(), pa.int32())
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
+                ["doc_id", "text_key", "from_word", "to_word", "s_doc", "s_key", "s_from"],
+            )
+
+    return per_text.mapInArrow(run, f"doc_id {kind}, text_key long, from_word int, to_word int, s_doc {kind}, s_key long, s_from int")
+
+
+def _verified(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` with ``digest``: SHA-256 of the words at the source coordinates, which the removal compares with the words it removes."""
+    at = ["s_doc", "s_key", "s_from", "length"]
+    spans = _dealt(spans.withColumn("length", F.col("to_word") - F.col("from_word")))
+    asked = spans.select(*at, "part").distinct()
+    wanted = asked.select(*at).distinct().groupBy(F.col("s_doc").alias("doc_id"), F.col("s_key").alias("text_key")).agg(F.collect_list(F.struct("s_from", "length")).alias("asked"))
+    wanted = materialize(wanted, "substring-sources")
+    texts = _only(rows, wanted.select("doc_id", "text_key"), wanted.count()).dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"])
+    kind = rows.dtypes[0][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, first, length, digest = [], [], [], []
+            for k, (text, asked) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                words = text.split()
+                for x in asked:
+                    row.append(k)
+                    first.append(x["s_from"])
+                    length.append(x["length"])
+                    digest.append(_digest(words[x["s_from"] : x["s_from"] + x["length"]]))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(length, pa.int32()), pa.array(digest, pa.binary())],
+                ["s_doc", "s_key", "s_from", "length", "digest"],
+            )
+
+    known = texts.select("doc_id", "text_key", "text", "asked").mapInArrow(run, f"s_doc {kind}, s_key long, s_from int, length int, digest binary")
+    known = asked.join(known, at)
+    return spans.join(known, [*at, "part"]).select("doc_id", "text_key", "from_word", "to_word", "digest")
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,13 +290,13 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     identifier; windows are judged on the input. Kept words are joined by one space.
     A null text has no words. Rows with a null identifier keep all their words and
     are no source for others; rows that repeat an identifier are one document with
-    several texts. Windows are compared by 64-bit hashes of their words.
+    several texts. A text shorter than a window keeps all its words, as does an empty table.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     spans = materialize(repeated_spans(rows.where("doc_id is not null"), window), "substring-spans")
-    gone = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("from_word", "to_word")).alias("gone"))
+    gone = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("from_word", "to_word", "digest")).alias("gone"))
     gone = materialize(gone, "substring-gone")
     n = gone.count()
     ids = gone.select("doc_id", "text_key")
@@ -227,8 +314,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                 if spans:
                     change = np.zeros(len(words) + 1, np.int64)
                     for s in spans:
-                        change[s["from_word"]] += 1
-                        change[s["to_word"]] -= 1
+                        if _digest(words[s["from_word"] : s["to_word"]]) == s["digest"]:
+                            change[s["from_word"]] += 1
+                            change[s["to_word"]] -= 1
                     words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
                 removed.append(total[-1] - len(words))
                 kept_text.append(b" ".join(words))
