@@ -1,0 +1,20 @@
+"""Joins with a table of unique keys when one key may have a large part of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of one key are dealt to so many tasks.
+PARTS = 64
+
+
+def join_dealt(rows: DataFrame, table: DataFrame, key: str, by: Column) -> DataFrame:
+    """``rows`` inner joined with ``table`` (a row per ``key``), the rows of a key dealt to ``PARTS`` parts by ``by``.
+
+    The table meets the distinct pairs of key and part first, of which a key has at most
+    ``PARTS``, so no task gets a key's rows whole however many they are.
+    """
+    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    known = dealt.select(key, "dealt").distinct().join(table, key)
+    return dealt.join(known, [key, "dealt"]).drop("dealt")

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from dossiergrid.llm.batches import bound_batches
 from dossiergrid.llm.components import connected_components
 from dossiergrid.llm.hashed_words import Words, hashed_words, mix, windows
+from dossiergrid.llm.hot_keys import join_dealt
 from dossiergrid.scratch import materialize
 
 #: Counters of words and of n-grams (powers of two), counters of one piece of the sketch, and bytes of a parity bitmap.
@@ -43,6 +44,8 @@ BITMAP = 256
 FOLDED = 8
 #: Members of a list worked on together; longer lists (by the sketch of n-grams) are dealt into pieces.
 LIST = 256
+#: Members of a piece of a list in the last, exact join.
+DEALT = 4096
 #: Members before it in a random order of its list that each member is tried against, besides the pivot.
 BACK = 3
 #: Pairs are sent to all executors up to this number (of 24 bytes).
@@ -90,10 +93,15 @@ def shingle_sets(block: Words, width: int, commonness: np.ndarray | None = None)
     return text[new], value[new], (total[at + size] - total[at])[order][new]
 
 
-def _class_keys(value: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit keys of each set: sums of mixed hashes, which no order changes."""
+def _class_keys(value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A key of 128 bits of each set, as two columns: sums of mixed hashes, which no order changes."""
     one, two = mix(value ^ np.uint64(0xA5A5A5A55A5A5A5A)), mix(value + np.uint64(0x1234567887654321))
-    return mix(np.add.reduceat(one, start)).view(np.int64), mix(np.add.reduceat(two, start)).view(np.int64)
+    return np.column_stack([mix(np.add.reduceat(one, start)), mix(np.add.reduceat(two, start))])
+
+
+def _as_binary(key: np.ndarray) -> pa.Array:
+    """Keys as binary values of 16 bytes."""
+    return pa.Array.from_buffers(pa.binary(16), len(key), [None, pa.py_buffer(key.astype(">u8").tobytes())]).cast(pa.binary())
 
 
 @dataclass
@@ -106,7 +114,6 @@ class _Sets:
     value: np.ndarray
     common: np.ndarray
     key: np.ndarray
-    key2: np.ndarray
 
 
 def _sets(texts: list[bytes | None], width: int, commonness: np.ndarray | None = None) -> Iterator[_Sets]:
@@ -114,7 +121,7 @@ def _sets(texts: list[bytes | None], width: int, commonness: np.ndarray | None =
         text, value, common = shingle_sets(block, width, commonness)
         if len(text):
             start = np.flatnonzero(np.diff(text, prepend=-1))
-            yield _Sets(block, text[start], start, value, common, *_class_keys(value, start))
+            yield _Sets(block, text[start], start, value, common, _class_keys(value, start))
 
 
 def _bitmaps(s: _Sets) -> tuple[list[bytes], np.ndarray]:
@@ -128,24 +135,24 @@ def _bitmaps(s: _Sets) -> tuple[list[bytes], np.ndarray]:
 
 
 def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One pass: a row per document (doc_id, n, k, k2, counts with its bitmap), and each task's pieces of the
+    """One pass: a row per document (doc_id, n, k, counts with its bitmap), and each task's pieces of the
     counters of words and of documents with an n-gram."""
     kind = docs.dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((1 << WORD_BITS) + (1 << GRAM_BITS), np.uint32)
         salt = TaskContext.get().partitionId() % 64
-        names = ["doc_id", "n", "k", "k2", "piece", "counts", "folded"]
+        names = ["doc_id", "n", "k", "salt", "piece", "counts", "folded"]
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
             size = batch.num_rows
-            n, k, k2 = (np.zeros(size, np.int64) for _ in range(3))
+            n, k = np.zeros(size, np.int64), np.zeros((size, 2), np.uint64)
             bitmap: list[bytes | None] = [None] * size
             folded = np.zeros((size, FOLDED), np.int64)
             for s in _sets(batch.column(1).to_pylist(), rule.width):
                 at = s.block.first + s.text
-                n[at], k[at], k2[at] = np.diff(np.append(s.start, len(s.value))), s.key, s.key2
+                n[at], k[at] = np.diff(np.append(s.start, len(s.value))), s.key
                 bits, words = _bitmaps(s)
                 folded[at] = words
                 for i, own in zip(at.tolist(), bits, strict=True):
@@ -154,16 +161,16 @@ def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
                 np.add.at(counts, _slots(s.value, GRAM_BITS) + (1 << WORD_BITS), 1)
             small = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * FOLDED), pa.array(folded.ravel()))
             last = pa.nulls(size, pa.int32()), pa.array(bitmap, pa.binary()), small
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(k), pa.array(k2), *last], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _as_binary(k), pa.nulls(size, pa.int64()), *last], names)
         if id_type is not None:
             for piece in range(len(counts) // PIECE):
                 part = counts[piece * PIECE : (piece + 1) * PIECE]
                 if part.any():
-                    row = [pa.nulls(1, id_type), pa.array([salt], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())]
+                    row = [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([salt], pa.int64())]
                     sent = zlib.compress(part.tobytes(), 1)
                     yield pa.RecordBatch.from_arrays([*row, pa.array([piece], pa.int32()), pa.array([sent], pa.binary()), pa.nulls(1, pa.list_(pa.int64()))], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, k long, k2 long, piece int, counts binary, folded array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, k binary, salt long, piece int, counts binary, folded array<long>")
 
 
 def _add_up(pieces: DataFrame, wide: bool, *by: str) -> DataFrame:
@@ -178,16 +185,16 @@ def _add_up(pieces: DataFrame, wide: bool, *by: str) -> DataFrame:
         for piece, counts in total.items():
             sent = zlib.compress(counts.tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([piece], pa.int32()), pa.array([0], pa.int64()), pa.array([sent], pa.binary())], ["piece", "n", "counts"]
+                [pa.array([piece], pa.int32()), pa.array([0], pa.int64()), pa.array([sent], pa.binary())], ["piece", "salt", "counts"]
             )
 
-    return pieces.select("piece", "n", "counts").repartition(*[F.col(c) for c in by]).mapInArrow(run, "piece int, n long, counts binary")
+    return pieces.select("piece", "salt", "counts").repartition(*[F.col(c) for c in by]).mapInArrow(run, "piece int, salt long, counts binary")
 
 
 def _sketch(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By word counter: the logarithm of the frequency; by n-gram counter: how far it stands out, and pieces of its list."""
     total = np.zeros((1 << WORD_BITS) + (1 << GRAM_BITS), np.uint64)
-    for r in _add_up(_add_up(scanned.where("piece is not null"), False, "piece", "n"), True, "piece").toLocalIterator():
+    for r in _add_up(_add_up(scanned.where("piece is not null"), False, "piece", "salt"), True, "piece").toLocalIterator():
         total[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
     grams = total[1 << WORD_BITS :]
     mean = float(grams.mean(dtype=np.float64))
@@ -206,12 +213,12 @@ def _prefixes(docs: DataFrame, rule: Rule, sketch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         commonness, standing, pieces = sketch.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for s in _sets(batch.column(1).to_pylist(), rule.width, commonness):
                 n = np.diff(np.append(s.start, len(s.value)))
                 new = np.ones(len(n), bool)
-                for i, k in enumerate(s.key.tolist()):
+                for i, k in enumerate(map(tuple, s.key.tolist())):
                     new[i] = k not in seen
                     seen.add(k)
                 if len(seen) > REMEMBERED:
@@ -226,14 +233,14 @@ def _prefixes(docs: DataFrame, rule: Rule, sketch) -> DataFrame:
                     [
                         pa.array(g.view(np.int64)),
                         pa.array(pieces[_slots(g, GRAM_BITS)].astype(np.int32)),
-                        pa.array(s.key[of]),
+                        _as_binary(s.key[of]),
                         pa.array(n[of].astype(np.int32)),
                         pa.array(pos[use].astype(np.int32)),
                     ],
                     ["g", "pieces", "k", "n", "pos"],
                 )
 
-    return docs.mapInArrow(run, "g long, pieces int, k long, n int, pos int")
+    return docs.mapInArrow(run, "g long, pieces int, k binary, n int, pos int")
 
 
 def _lists(entries: DataFrame) -> DataFrame:
@@ -275,15 +282,19 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, rule:
     """All pairs of one list and different components that pass the filters and the folded bitmaps."""
     rows = _labelled(lists, labels)
     parts = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
-    major = parts.groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rows = rows.join(major.select("g", "major"), "g").join(classes.select("k", "folded"), "k")
-    minor = rows.where("c <> major").select("g", *[F.col(x).alias(f"{x}1") for x in ("k", "n", "pos", "c", "folded")])
+    major = parts.groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).where("parts > 1")
+    # A list is dealt to pieces of a bounded size; the members outside its largest component go to each of them.
+    pieces = F.ceil(F.col("m") / DEALT).cast("int").alias("of")
+    rows = join_dealt(rows, major.select("g", "major", pieces), "g", F.col("k")).join(classes.select("k", "folded"), "k")
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("k"), F.col("of")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("piece")
+    minor = rows.where("c <> major").select("g", every, *[F.col(x).alias(f"{x}1") for x in ("k", "n", "pos", "c", "folded")])
     other = (F.col("c1") != F.col("c")) & ((F.col("c") == F.col("major")) | (F.col("k1") < F.col("k")))
     close = _passes(F.col("n1"), F.col("pos1"), F.col("n"), F.col("pos"), rule.percent)
     both = F.col("n1") + F.col("n")
     apart = sum((F.bit_count(F.get("folded1", F.lit(i)).bitwiseXOR(F.get("folded", F.lit(i)))) for i in range(FOLDED)), F.lit(0))
     alike = apart <= both - 2 * F.ceil(both * rule.percent / (100 + rule.percent))
-    met = minor.join(rows.select(F.col("g").alias("g2"), "k", "n", "pos", "c", "major", "folded"), (F.col("g") == F.col("g2")) & other & close & alike)
+    met = minor.join(rows.select(F.col("g").alias("g2"), F.col("piece").alias("piece2"), "k", "n", "pos", "c", "major", "folded"), (F.col("g") == F.col("g2")) & (F.col("piece") == F.col("piece2")) & other & close & alike)
     return met.select(F.least("k1", "k").alias("a"), F.greatest("k1", "k").alias("b")).distinct()
 
 
@@ -324,7 +335,7 @@ def _filtered(ends: DataFrame, linked) -> DataFrame:
             keep = [linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return ends.mapInArrow(run, "a long, b long")
+    return ends.mapInArrow(run, "a binary, b binary")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -356,7 +367,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -
         for batch in batches:
             for s in _sets(batch.column(1).to_pylist(), rule.width):
                 sets = [part.tobytes() for part in np.split(s.value, s.start[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(s.key), pa.array(sets, pa.binary())], ["k", "members"])
+                yield pa.RecordBatch.from_arrays([_as_binary(s.key), pa.array(sets, pa.binary())], ["k", "members"])
 
     def linked(x: bytes, y: bytes) -> bool:
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -364,7 +375,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -
         # Members in one of both sets only: at most so many.
         return suffix_filter(x, y, len(x) + len(y) - 2 * need) and len(np.intersect1d(x, y, assume_unique=True)) >= need
 
-    return _filtered(_both_ends(pairs, texts.mapInArrow(members, "k long, members binary")), linked)
+    return _filtered(_both_ends(pairs, texts.mapInArrow(members, "k binary, members binary")), linked)
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,19 +385,18 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     ``rule.width`` is one shingle, a null text or one without words has none and is
     alone. ``component_id`` is the smallest identifier reachable by links. Rows with
     equal sets are linked whatever their identifiers; a null identifier is never the
-    smallest unless it is alone. Sets are compared by 64-bit hashes of shingles.
+    smallest unless it is alone. Shingles are compared by 64-bit hashes, and sets are
+    told apart by 128-bit keys.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
     sc = docs.sparkSession.sparkContext
     scanned = materialize(_scan(rows, rule), "jaccard-scan")
-    known = scanned.where("piece is null").select("doc_id", "n", "k", "k2", F.col("counts").alias("bitmap"), "folded")
+    known = scanned.where("piece is null").select("doc_id", "n", "k", F.col("counts").alias("bitmap"), "folded")
     classes = known.where("n > 0").groupBy("k").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("folded").alias("folded"), F.min("k2").alias("lo"), F.max("k2").alias("hi")
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), F.min("folded").alias("folded")
     )
     classes = materialize(classes, "jaccard-classes")
-    if not classes.where("lo <> hi").isEmpty():
-        raise RuntimeError("two different sets have the same 64-bit key")  # seen by the second key, never passed over
     sketch = sc.broadcast(_sketch(scanned))
     lists = materialize(_lists(_prefixes(rows, rule, sketch)), "jaccard-lists")
     sketch.unpersist()

@@ -1,34 +1,49 @@
 """Incremental, reversible line dedup.
 
-An index holds three tables in the shared folder: the exact references (one row
-per line key and document), the exact counts per key made from them, and one
-cuckoo filter per shard over the keys that enough documents hold. Inserting or
-deleting documents changes the references, recounts the keys they touch, and
-inserts into or deletes from the filters those keys that crossed the threshold;
-deleting what was inserted restores the former state. Applying the index sends
-only the lines that a filter doesn't rule out to the exact counts.
+An index holds three tables in the shared folder, each a list of changes that is only
+added to: the exact references (a step of +1 or -1 per line key and document), the exact
+counts per key (the latest row of a key holds), and one cuckoo filter per shard over the
+keys that enough documents hold (the latest of a shard holds). Inserting or deleting
+documents writes rows for the references, keys and shards it touches and no others;
+deleting what was inserted restores the former state. After ``DELTAS`` changes they are
+merged into one table. Shards are added as the index grows, so that one holds some
+thousand keys, whatever the corpus.
+
+Applying the index sends every line key to its shard's filter: keys and filters are dealt
+by shard, and by one of ``PIECES`` pieces of the documents, sorted so that the filter comes
+first, and pass through it as a stream. Only lines that a filter doesn't rule out reach the
+exact counts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossiergrid.llm.hot_keys import join_dealt
 from dossiergrid.scratch import materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 #: Largest part of the slots that may be filled.
 LOAD = 0.85
-#: Filters of all shards together are sent to the executors only up to this size.
-FILTER_BYTES = 32 << 20
+#: Frequent keys of a shard, about; twice as many make the shards double.
+SHARD_KEYS = 4096
+LEAST_SHARDS = 64
+#: Lines of one shard are dealt to so many pieces, each with the shard's filter.
+PIECES = 32
+#: Changes a table holds before they are merged.
+DELTAS = 8
+#: Rounds of moves after which a filter counts as too full.
+ROUNDS = 500
 
 
 class CuckooFilter:
@@ -54,6 +69,10 @@ class CuckooFilter:
     def capacity(self) -> int:
         return int(self.table.size * LOAD)
 
+    @property
+    def items(self) -> int:
+        return int(np.count_nonzero(self.table))
+
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         marks = (hashes >> np.uint64(48)).astype(np.uint16)
         marks[marks == 0] = 1
@@ -63,43 +82,63 @@ class CuckooFilter:
     def _other(self, at, mark):
         return at ^ ((np.asarray(mark).astype(np.int64) * 0x5BD1E995 >> 7) & self.mask)
 
+    def _put(self, marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Place marks in free slots of their buckets; returns which found none."""
+        order = np.argsort(at, kind="stable")
+        free = self.table[at[order]] == 0
+        rank = _rank(at[order])
+        fits = rank < free.sum(axis=1)
+        slot = np.argmax(np.cumsum(free, axis=1) == (rank + 1)[:, None], axis=1)
+        self.table[at[order][fits], slot[fits]] = marks[order][fits]
+        left = np.ones(len(at), bool)
+        left[order[fits]] = False
+        return left
+
     def add(self, hashes: np.ndarray) -> bool:
         """False if the filter is too full; some of the hashes are in it then."""
-        marks, first, second = self._places(hashes)
+        marks, at, _ = self._places(hashes)
         rng = np.random.default_rng(len(hashes))
-        for mark, a, b in zip(marks.tolist(), first.tolist(), second.tolist(), strict=True):
-            for at in (a, b):
-                free = np.flatnonzero(self.table[at] == 0)
-                if len(free):
-                    self.table[at, free[0]] = mark
-                    break
-            else:
-                at = b
-                for slot in rng.integers(0, SLOTS, 500).tolist():
-                    mark, self.table[at, slot] = int(self.table[at, slot]), mark
-                    at = int(self._other(at, mark))
-                    free = np.flatnonzero(self.table[at] == 0)
-                    if len(free):
-                        self.table[at, free[0]] = mark
-                        break
-                else:
-                    return False
-        return True
+        for _ in range(ROUNDS):
+            for _ in range(2):
+                left = self._put(marks, at)
+                marks = marks[left]
+                at = self._other(at[left], marks)
+                if not len(marks):
+                    return True
+            # One mark of each full bucket takes the place of another, which goes on to its other bucket.
+            bucket, one = np.unique(at, return_index=True)
+            slot = rng.integers(0, SLOTS, len(bucket))
+            out = self.table[bucket, slot].copy()
+            self.table[bucket, slot] = marks[one]
+            marks[one] = out
+            at[one] = self._other(bucket, out)
+        return False
 
     def remove(self, hashes: np.ndarray) -> None:
         """Delete hashes that were added."""
-        for mark, a, b in zip(*(x.tolist() for x in self._places(hashes)), strict=True):
-            for at in (a, b):
-                held = np.flatnonzero(self.table[at] == mark)
-                if len(held):
-                    self.table[at, held[0]] = 0
-                    break
+        marks, at, other = self._places(hashes)
+        for _ in range(2):
+            order = np.lexsort((marks, at))
+            marks, at, other = marks[order], at[order], other[order]
+            held = self.table[at] == marks[:, None]
+            rank = _rank(at * (1 << 16) + marks)
+            there = rank < held.sum(axis=1)
+            slot = np.argmax(np.cumsum(held, axis=1) == (rank + 1)[:, None], axis=1)
+            self.table[at[there], slot[there]] = 0
+            marks, at, other = marks[~there], other[~there], at[~there]
 
     def might_hold(self, hashes: np.ndarray) -> np.ndarray:
         marks, first, second = self._places(hashes)
         return ((self.table[first] == marks[:, None]) | (self.table[second] == marks[:, None])).any(axis=1)
 
 
+def _rank(values: np.ndarray) -> np.ndarray:
+    """The place of each of the sorted values among its equals."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.arange(len(values)) - np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+
+
 def line_key(line: bytes, min_chars: int) -> bytes | None:
     """128 bits of the SHA-256 of the stripped line with A-Z lower-cased; None if it is too short."""
     line = line.strip(SPACE)
@@ -112,38 +151,61 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
 
 
+def _shard(shards: int) -> Column:
+    return F.pmod(F.conv(F.hex(F.substring("key", 9, 6)), 16, 10).cast("long"), F.lit(shards)).cast("int").alias("shard")
+
+
 @dataclass
 class LineIndex:
     """The state: keys held by at least ``min_docs`` documents lose all lines but those of the largest doc_id.
 
     Null identifiers count as one document, below all others. A document counts a
-    key once however often it repeats the line, and in however many rows.
+    key once however often it repeats the line, and in however many rows. The three
+    tables are lists of changes; ``references``, ``counts`` and ``filters`` read them.
     """
 
-    references: DataFrame
-    counts: DataFrame
-    filters: DataFrame
+    spark: SparkSession
+    id_type: str
     min_docs: int = 5
     min_chars: int = 40
-    shards: int = 64
+    shards: int = LEAST_SHARDS
+    steps: tuple[DataFrame, ...] = ()  # key, doc_id, step
+    recounts: tuple[DataFrame, ...] = ()  # key, n_docs, max_doc
+    blobs: tuple[DataFrame, ...] = ()  # shard, blob
 
     @classmethod
-    def empty(cls, spark: SparkSession, min_docs: int = 5, min_chars: int = 40, shards: int = 64, id_type: str = "bigint") -> LineIndex:
-        none = spark.range(0)
-        key = F.lit(b"").alias("key")
-        one = F.lit(None).cast(id_type)
-        return cls(
-            none.select(F.lit(0).alias("shard"), key, one.alias("doc_id")),
-            none.select(F.lit(0).alias("shard"), key, F.lit(0).cast("long").alias("n_docs"), one.alias("max_doc")),
-            none.select(F.lit(0).alias("shard"), F.lit(b"").alias("blob")),
-            min_docs,
-            min_chars,
-            shards,
-        )
-
-    def _references_of(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        min_chars, shards = self.min_chars, self.shards
-        rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
+    def empty(cls, spark: SparkSession, min_docs: int = 5, min_chars: int = 40, shards: int = LEAST_SHARDS, id_type: str = "bigint") -> LineIndex:
+        return cls(spark, id_type, min_docs, min_chars, shards)
+
+    def _table(self, deltas: tuple[DataFrame, ...], schema: str) -> DataFrame:
+        if not deltas:
+            return self.spark.createDataFrame([], schema)
+        return reduce(DataFrame.unionByName, [d.withColumn("version", F.lit(k)) for k, d in enumerate(deltas)])
+
+    @property
+    def references(self) -> DataFrame:
+        """(key, doc_id): the exact references."""
+        if len(self.steps) == 1:
+            return self.steps[0].select("key", "doc_id")
+        table = self._table(self.steps, f"key binary, doc_id {self.id_type}, step int, version int")
+        return table.groupBy("key", "doc_id").agg(F.sum("step").alias("step")).where("step > 0").select("key", "doc_id")
+
+    @property
+    def counts(self) -> DataFrame:
+        """(shard, key, n_docs, max_doc): the exact counts."""
+        table = self._table(self.recounts, f"key binary, n_docs long, max_doc {self.id_type}, version int")
+        return _latest(table, len(self.recounts), "key").where("n_docs > 0").select(_shard(self.shards), "key", "n_docs", "max_doc")
+
+    @property
+    def filters(self) -> DataFrame:
+        """(shard, blob): the filters."""
+        return _latest(self._table(self.blobs, "shard int, blob binary, version int"), len(self.blobs), "shard").select("shard", "blob")
+
+    def _keys_of(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(key, doc_id, text_key): the distinct line keys of every row."""
+        min_chars = self.min_chars
+        text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
+        rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
         kind = rows.dtypes[0][1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,105 +216,115 @@ class LineIndex:
                     found = {line_key(x, min_chars) for x in text.as_py().split(b"\n")} - {None}
                     keys += found
                     at += [i] * len(found)
-                shard = [int.from_bytes(k[8:10], "little") % shards for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), batch.column(0).take(pa.array(at, pa.int64()))], ["shard", "key", "doc_id"]
-                )
-
-        return rows.mapInArrow(run, f"shard int, key binary, doc_id {kind}").dropDuplicates(["key", "doc_id"])
+                row = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(row), batch.column(2).take(row)], ["key", "doc_id", "text_key"])
 
-    @staticmethod
-    def _count(references: DataFrame) -> DataFrame:
-        return references.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        return rows.mapInArrow(run, f"key binary, doc_id {kind}, text_key long")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index with these documents in it; those it holds already change nothing."""
-        new = self._references_of(docs, id_col, text_col)
-        if not self.references.isEmpty():
-            same = [self.references["key"] == new["key"], self.references["doc_id"].eqNullSafe(new["doc_id"])]
-            new = new.join(self.references, same, "left_anti")
-        new = materialize(new, "line-references-new")
-        return self._changed(self.references.unionByName(new), new)
+        new = self._keys_of(docs, id_col, text_col).select("key", "doc_id").distinct()
+        if self.steps:
+            known = self.references.select(F.col("key").alias("known"), F.col("doc_id").alias("known_doc"))
+            new = new.join(known, (F.col("key") == F.col("known")) & F.col("doc_id").eqNullSafe(F.col("known_doc")), "left_anti")
+        new = materialize(new.withColumn("step", F.lit(1)), "line-references")
+        added = new.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
+        if not self.steps:
+            return self._with(new, materialize(added.select("key", F.col("n").alias("n_docs"), F.col("top").alias("max_doc")), "line-counts"))
+        was = self.counts.select("key", "n_docs", "max_doc")
+        now = added.join(was, "key", "left").select("key", (F.col("n") + F.coalesce("n_docs", F.lit(0))).alias("n_docs"), F.greatest("top", "max_doc").alias("max_doc"))
+        return self._with(new, materialize(now, "line-counts"))
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """The index without the documents whose identifiers ``ids`` lists."""
-        gone_ids = ids.select(ids[id_col].alias("gone")).distinct()
-        same = self.references["doc_id"].eqNullSafe(gone_ids["gone"])
-        gone = materialize(self.references.join(gone_ids, same, "left_semi"), "line-references-gone")
-        return self._changed(self.references.join(gone_ids, same, "left_anti"), gone)
-
-    def _changed(self, references: DataFrame, touched: DataFrame) -> LineIndex:
-        """Recount the touched keys and carry those that crossed the threshold into the filters."""
-        first = self.references.isEmpty()
-        if first:
-            references = touched
-            counts = materialize(self._count(references), "line-counts")
-            crossed = counts.where(F.col("n_docs") >= self.min_docs).select("shard", "key", F.lit(1).alias("step"))
-        else:
-            references = materialize(references, "line-references")
-            keys = touched.select("key").distinct()
-            again = self._count(references.join(keys, "key", "left_semi"))
-            untouched = self.counts.join(keys, "key", "left_anti")
-            counts = materialize(untouched.unionByName(again).select("shard", "key", "n_docs", "max_doc"), "line-counts")
-            was = self.counts.where(F.col("n_docs") >= self.min_docs).join(keys, "key", "left_semi").select("shard", "key", F.lit(-1).alias("step"))
-            now = counts.where(F.col("n_docs") >= self.min_docs).join(keys, "key", "left_semi").select("shard", "key", F.lit(1).alias("step"))
-            crossed = was.unionByName(now).groupBy("shard", "key").agg(F.sum("step").cast("int").alias("step")).where("step <> 0")
-        return LineIndex(references, counts, self._filters(counts, crossed), self.min_docs, self.min_chars, self.shards)
-
-    def _filters(self, counts: DataFrame, crossed: DataFrame) -> DataFrame:
-        """One row per shard. A shard whose filter lacks room is built anew from the exact counts."""
-        frequent = counts.where(F.col("n_docs") >= self.min_docs)
-        held = {r["shard"]: r["n"] for r in frequent.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
-        room = {r["shard"]: int(r["n"] // 2 * LOAD) for r in self.filters.select("shard", F.octet_length("blob").alias("n")).collect()}
-        anew = [s for s, n in held.items() if n > room.get(s, -1)]
-        steps = crossed.where(~F.col("shard").isin(anew)) if anew else crossed
-        steps = steps.unionByName(frequent.where(F.col("shard").isin(anew)).select("shard", "key", F.lit(1).alias("step")))
-        old = self.filters.where(~F.col("shard").isin(anew)) if anew else self.filters
-
-        def update(key, was: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
-            plus = _hashes(list(change["key"][change["step"] > 0]))
-            minus = _hashes(list(change["key"][change["step"] < 0]))
-            size = len(plus)
-            held = CuckooFilter.from_bytes(was["blob"][0]) if len(was) else CuckooFilter.sized(2 * size)
-            held.remove(minus)
-            while not held.add(plus):
-                if len(was):
-                    raise RuntimeError(f"the filter of shard {key[0]} is full")  # not below LOAD
-                size *= 2
-                held = CuckooFilter.sized(2 * size)
-            return pd.DataFrame({"shard": [key[0]], "blob": [held.to_bytes()]})
-
-        made = old.groupBy("shard").cogroup(steps.groupBy("shard")).applyInPandas(update, "shard int, blob binary")
-        return materialize(made, "line-filters")
+        gone_ids = ids.select(ids[id_col].alias("gone_id")).distinct()
+        gone = self.references.join(gone_ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_semi")
+        gone = materialize(gone.select("key", "doc_id", F.lit(-1).alias("step")), "line-references")
+        lost = gone.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        left = replace(self, steps=(*self.steps, gone)).references.join(lost.select("key"), "key", "left_semi")
+        tops = left.groupBy("key").agg(F.max("doc_id").alias("max_doc"))
+        was = self.counts.select("key", "n_docs")
+        now = lost.join(was, "key").join(tops, "key", "left").select("key", (F.col("n_docs") - F.col("n")).alias("n_docs"), "max_doc")
+        return self._with(gone, materialize(now, "line-counts"))
+
+    def _with(self, steps: DataFrame, recounts: DataFrame) -> LineIndex:
+        """The index with these changes, and with the keys among them that crossed the threshold carried into the filters."""
+        out = replace(self, steps=(*self.steps, steps), recounts=(*self.recounts, recounts))
+        if len(out.steps) > DELTAS:
+            whole = materialize(out.references.withColumn("step", F.lit(1)), "line-references")
+            counts = materialize(out.counts.select("key", "n_docs", "max_doc"), "line-counts")
+            out = replace(out, steps=(whole,), recounts=(counts,))
+        often = F.col("n_docs") >= self.min_docs
+        n = out.counts.where(often).count()
+        if n > 2 * SHARD_KEYS * out.shards:
+            # More shards: all filters are made anew.
+            more = 1 << int(np.ceil(np.log2(n / SHARD_KEYS)))
+            grown = replace(out, shards=more, blobs=())
+            return grown._built(grown.counts.where(often).select("shard", "key", F.lit(1).alias("step")))
+        now = recounts.select("key", often.cast("int").alias("now"))
+        was = self.counts.where(often).select("key", F.lit(1).alias("was")) if self.recounts else None
+        step = F.col("now") if was is None else F.col("now") - F.coalesce("was", F.lit(0))
+        crossed = now if was is None else now.join(was, "key", "left")
+        return out._built(crossed.select(_shard(out.shards), "key", step.alias("step")).where("step <> 0"))
+
+    def _built(self, crossed: DataFrame) -> LineIndex:
+        """The index with the filters of the shards that ``crossed`` (shard, key, step) touches brought up to date.
+
+        A filter without room is built anew, twice as large, from the exact counts.
+        """
+        crossed = materialize(crossed, "line-crossed")
+        out = self
+        made = materialize(_updated(self.filters if self.blobs else None, crossed), "line-filters")
+        out = replace(out, blobs=(*out.blobs, made.where("blob is not null")))
+        for grow in (1, 2, 4, 8, 16):
+            full = made.where("blob is null").select("shard")
+            if full.isEmpty():
+                break
+            frequent = self.counts.where(F.col("n_docs") >= self.min_docs).join(full, "shard", "left_semi")
+            made = materialize(_updated(None, frequent.select("shard", "key", F.lit(1).alias("step")), grow), "line-filters")
+            out = replace(out, blobs=(*out.blobs, made.where("blob is not null")))
+        if len(out.blobs) > DELTAS:
+            out = replace(out, blobs=(materialize(out.filters, "line-filters"),))
+        return out
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id``, ``kept_text``, ``n_lines``, ``n_dropped``: each row's text without the lines it loses.
 
         A null or empty text is one empty line. Repeated rows are treated alike.
         """
-        sc = docs.sparkSession.sparkContext
-        frequent = self.counts.where(F.col("n_docs") >= self.min_docs)
-        keys = self._references_of(docs, id_col, text_col)
-        size = self.filters.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-        if size <= FILTER_BYTES:
-            shared = sc.broadcast({r["shard"]: bytes(r["blob"]) for r in self.filters.collect()})
-
-            def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                filters = {s: CuckooFilter.from_bytes(b) for s, b in shared.value.items()}
-                for batch in batches:
-                    shard, hashes = batch.column(0).to_numpy(), _hashes(batch.column(1).to_pylist())
-                    maybe = np.zeros(len(shard), bool)
-                    for s in np.unique(shard):
-                        if s in filters:
-                            maybe[shard == s] = filters[s].might_hold(hashes[shard == s])
-                    yield batch.filter(pa.array(maybe))
-
-            keys = keys.mapInArrow(probe, keys.schema)
+        keys = self._keys_of(docs, id_col, text_col)
+        piece = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PIECES)).cast("int")
+        none = F.lit(None).cast("binary").alias("blob")
+        lines = keys.select(_shard(self.shards), piece.alias("piece"), none, "key", "doc_id", "text_key")
+        every = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("piece")
+        held = self.filters.select("shard", every, "blob", *[F.lit(None).cast(t).alias(c) for c, t in keys.dtypes])
+        both = lines.unionByName(held).repartition("shard", "piece").sortWithinPartitions("shard", "piece", F.col("blob").isNull())
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, held = None, None
+            for batch in batches:
+                at = batch.column(0).to_numpy().astype(np.int64) * PIECES + batch.column(1).to_numpy()
+                maybe = np.zeros(len(at), bool)
+                cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if at[a] != place:
+                        place, held = at[a], None
+                    blob = batch.column(2)[a]
+                    if blob.is_valid:
+                        held, a = CuckooFilter.from_bytes(blob.as_py()), a + 1
+                    if held is not None and a < b:
+                        maybe[a:b] = held.might_hold(_hashes(batch.column(3).slice(a, b - a).to_pylist()))
+                yield batch.filter(pa.array(maybe)).select(["key", "doc_id", "text_key"])
+
+        keys = both.mapInArrow(probe, keys.schema)
         # The exact counts decide; false positives of a filter end here.
-        lost = keys.join(frequent.select("key", "max_doc"), "key").where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-        lost = lost.groupBy(F.col("doc_id").alias("lost_doc")).agg(F.collect_list("key").alias("lost"))
-        rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-        rows = rows.join(lost, rows["doc_id"].eqNullSafe(lost["lost_doc"]), "left").select("doc_id", "text", "lost")
+        frequent = self.counts.where(F.col("n_docs") >= self.min_docs).select("key", "max_doc")
+        lost = join_dealt(keys, frequent, "key", F.struct("doc_id", "text_key")).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+        lost = lost.groupBy(F.col("doc_id").alias("lost_doc"), F.col("text_key").alias("lost_text")).agg(F.collect_set("key").alias("lost"))
+        text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
+        rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+        same = (rows["text_key"] == lost["lost_text"]) & rows["doc_id"].eqNullSafe(lost["lost_doc"])
+        rows = rows.join(lost, same, "left").select("doc_id", "text", "lost")
         min_chars, kind = self.min_chars, rows.dtypes[0][1]
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +351,36 @@ class LineIndex:
         return done.select("doc_id", F.col("kept_text").cast("string").alias("kept_text"), "n_lines", "n_dropped")
 
 
+def _latest(table: DataFrame, versions: int, key: str) -> DataFrame:
+    """The row of the highest version of each key."""
+    if versions <= 1:
+        return table.drop("version")
+    rest = [c for c in table.columns if c not in (key, "version")]
+    return table.groupBy(key).agg(F.max_by(F.struct(*rest), "version").alias("row")).select(key, "row.*")
+
+
+def _updated(old: DataFrame | None, crossed: DataFrame, grow: int = 1) -> DataFrame:
+    """(shard, blob) of every shard in ``crossed``; a null blob where the keys don't fit into the filter."""
+
+    def change(held: CuckooFilter | None, steps: pd.DataFrame) -> bytes | None:
+        plus, minus = (_hashes(list(steps["key"][steps["step"] * way > 0])) for way in (1, -1))
+        held = CuckooFilter.sized(2 * grow * len(plus)) if held is None else held
+        held.remove(minus)
+        return held.to_bytes() if held.items + len(plus) <= held.capacity and held.add(plus) else None
+
+    def one(key: tuple, steps: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [key[0]], "blob": [change(None, steps)]})
+
+    def both(key: tuple, was: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        if not len(steps):  # not touched: its last filter holds
+            return pd.DataFrame({"shard": pd.Series([], dtype="int32"), "blob": pd.Series([], dtype=object)})
+        return pd.DataFrame({"shard": [key[0]], "blob": [change(CuckooFilter.from_bytes(was["blob"][0]) if len(was) else None, steps)]})
+
+    if old is None:
+        return crossed.groupBy("shard").applyInPandas(one, "shard int, blob binary")
+    return old.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(both, "shard int, blob binary")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = LineIndex.empty(spark).insert(docs).apply(docs)

@@ -46,6 +46,7 @@ def test_against_brute_force(spark, monkeypatch, width, percent, many):
     if many:
         monkeypatch.setattr(op, "BROADCAST_ROWS", -1)
         monkeypatch.setattr(op, "LIST", 4)
+        monkeypatch.setattr(op, "DEALT", 3)
     rows = corpus(n=80) + near_copies() + [(None, "lonely words here"), (8000, "a b c"), (8001, "A  b\nC"), (8002, "a b")]
     # A repeated identifier with another text is one document of two sets.
     got = op.jaccard_components(docs(spark, rows), op.Rule(width, percent)).collect()

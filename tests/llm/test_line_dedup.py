@@ -65,6 +65,22 @@ def test_insertions_and_deletions_are_reversible(spark):
     assert frequent and all(filters[r.shard].might_hold(_hashes([bytes(r.key)]))[0] for r in frequent)
 
 
+def test_more_shards_merged_changes_and_full_filters(spark, monkeypatch):
+    """Many small changes with tiny shards give the tables of one insertion."""
+    from dossiergrid.llm import line_dedup as op
+
+    monkeypatch.setattr(op, "SHARD_KEYS", 2)
+    monkeypatch.setattr(op, "DELTAS", 2)
+    all_rows = rows() + [(300 + i, LONG + str(i // 6)) for i in range(60)]
+    index = LineIndex.empty(spark, shards=1)
+    for k in range(0, len(all_rows), 30):
+        index = index.insert(docs(spark, all_rows[k : k + 30]))
+    index = index.delete(docs(spark, [(7, ""), (303, "")]).select("doc_id"))
+    kept = [r for r in all_rows if r[0] not in (7, 303)]
+    assert index.shards > 1 and len(index.steps) <= 2
+    assert got(index, docs(spark, kept)) == brute(kept)
+
+
 @pytest.mark.parametrize("n", [0, 1, 1000, 20000])
 def test_cuckoo_filter(n):
     rng = np.random.default_rng(n)
