@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossiergrid.llm.hot_keys import join_dealt
+from dossiergrid.llm.hot_keys import join_split
 from dossiergrid.scratch import materialize
 
 
@@ -15,17 +15,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     Every step connects each node's neighbours to the least of them, which keeps the
     components and halves the paths; the links end as stars. Nodes without a link to
     another node have no row. Each round is written to the shared folder. The links of a hub
-    are dealt to several tasks.
+    are not shuffled to one task.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    before, total = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_dealt(both.where("v > u"), least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_split(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Every link now points to a smaller node.
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = join_dealt(large, small, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_split(large, small, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = materialize(joined.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

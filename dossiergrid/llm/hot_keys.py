@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A key is hot from this many rows and this part of all rows on, so there are at most ``1 / SHARE`` hot keys.
+LEAST, SHARE = 10_000, 1e-5
 #: Rows of one key are dealt to so many tasks.
 PARTS = 64
 
@@ -18,3 +20,15 @@ def join_dealt(rows: DataFrame, table: DataFrame, key: str, by: Column) -> DataF
     dealt = rows.withColumn("dealt", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
     known = dealt.select(key, "dealt").distinct().join(table, key)
     return dealt.join(known, [key, "dealt"]).drop("dealt")
+
+
+def join_split(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` inner joined with ``table``: a row per ``keys``, with ``n``, the number of its rows among the ``total`` ones.
+
+    The rows of hot keys stay where they are and meet those keys by a broadcast, which
+    ``SHARE`` bounds whatever the data are; the others are shuffled by key. ``n`` is left out.
+    """
+    hot = F.col("n") > max(LEAST, int(total * SHARE))
+    few = F.broadcast(table.where(hot).drop("n"))
+    met = rows.join(few, keys)
+    return met.unionByName(rows.join(few.select(*keys), keys, "left_anti").join(table.where(~hot).drop("n"), keys))

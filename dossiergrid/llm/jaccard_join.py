@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from dossiergrid.llm.batches import bound_batches
 from dossiergrid.llm.components import connected_components
 from dossiergrid.llm.hashed_words import Words, hashed_words, mix, windows
-from dossiergrid.llm.hot_keys import join_dealt
+from dossiergrid.llm.hot_keys import join_split
 from dossiergrid.scratch import materialize
 
 #: Counters of words and of n-grams (powers of two), counters of one piece of the sketch, and bytes of a parity bitmap.
@@ -285,7 +285,7 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, rule:
     major = parts.groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m")).where("parts > 1")
     # A list is dealt to pieces of a bounded size; the members outside its largest component go to each of them.
     pieces = F.ceil(F.col("m") / DEALT).cast("int").alias("of")
-    rows = join_dealt(rows, major.select("g", "major", pieces), "g", F.col("k")).join(classes.select("k", "folded"), "k")
+    rows = join_split(rows, major.select("g", "major", pieces, F.col("m").alias("n")), ["g"], lists.count()).join(classes.select("k", "folded"), "k")
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("k"), F.col("of")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("piece")
     minor = rows.where("c <> major").select("g", every, *[F.col(x).alias(f"{x}1") for x in ("k", "n", "pos", "c", "folded")])
