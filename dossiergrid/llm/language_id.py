@@ -3,8 +3,9 @@
 Every learned language has a codeword; one binary classifier per bit of it works
 on hashed byte n-grams of the whole text. Decoding adds up, for each language,
 the logistic losses of all bits against its codeword, each weighted by how well
-that bit was predicted in training, and takes the language with the least. A
-text whose two nearest codewords are almost equally far is flagged ambiguous.
+that bit was predicted for sample rows by classifiers that had not seen them, and
+takes the language with the least. A text whose two nearest codewords are almost
+equally far is flagged ambiguous.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dossiergrid.scratch import spread
+
 #: Hashed n-gram features. Training keeps at most SAMPLE rows, dealt evenly to the languages
 #: (never fewer than LEAST of a language, so the bound grows only with the number of languages).
 FEATURES = 8192
@@ -27,6 +30,8 @@ LEAST = 32
 BLOCK = 1 << 20
 #: Share of the total loss by which the second codeword must be farther than the nearest.
 MARGIN = 0.02
+#: Factor of a classifier's output (about -1 to 1) in its logistic loss.
+SHARPNESS = 4
 NOT_KNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -121,12 +126,12 @@ class LanguageModel:
         """Index of the nearest codeword, its score in 0..1, and the margin to the second."""
         if len(self.langs) == 1:
             return np.zeros(len(x), int), np.ones(len(x)), np.ones(len(x))
-        out = (x @ self.weights + self.bias) * 4
+        out = (x @ self.weights + self.bias) * SHARPNESS
         loss = np.stack([(np.logaddexp(0, -out * code) * self.trust).sum(axis=1) for code in self.codes], axis=1)
         order = np.argsort(loss, axis=1, kind="stable")
         row = np.arange(len(x))
         near, second = loss[row, order[:, 0]], loss[row, order[:, 1]]
-        p = np.exp(-(loss - near[:, None]) * 4 / self.trust.sum())
+        p = np.exp(-(loss - near[:, None]) * SHARPNESS / self.trust.sum())
         return order[:, 0], 1 / p.sum(axis=1), (second - near) / np.maximum(loss.mean(axis=1), 1e-9)
 
 
@@ -143,10 +148,20 @@ def fit(x: np.ndarray, y: list[str], ridge: float = 0.5) -> LanguageModel:
     bias = (bits * share[:, None]).mean(axis=0)
     kernel = (x @ x.T).astype(np.float64)
     kernel[np.diag_indices(len(x))] += ridge / share
-    alpha = np.linalg.solve(kernel, bits - bias)
+    inverse = np.linalg.inv(kernel)
+    alpha = inverse @ (bits - bias)
     weights = (x.T @ alpha.astype(np.float32)).astype(np.float32)
-    agree = np.mean((x @ weights + bias) * bits > 0, axis=0)
-    return LanguageModel(langs, codes, weights, bias, np.maximum(2 * agree - 1, 0.05))
+    return LanguageModel(langs, codes, weights, bias, trusted(bits, alpha, inverse))
+
+
+def trusted(bits: np.ndarray, alpha: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Per bit, one less its mean logistic loss (in bits, at least 0.05) on each row as fitted without that row.
+
+    Leaving row i out of a ridge regression changes its prediction by alpha[i] / inverse[i, i].
+    """
+    unseen = bits - alpha / np.diag(inverse)[:, None]
+    loss = np.logaddexp(0, -SHARPNESS * unseen * bits).mean(axis=0) / np.log(2)
+    return np.maximum(1 - loss, 0.05)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -242,7 +257,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="t
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     return identify(docs, train(docs)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "ambiguous"
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossiergrid.scratch import materialize
+from dossiergrid.scratch import materialize, spread
 
 #: Frequent function words of four languages.
 FUNCTION_WORDS = {
@@ -176,32 +176,35 @@ class QualityModel:
     bias: float
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text") -> QualityModel:
+def train(docs: DataFrame, sample: int = SAMPLE, text_col="text") -> QualityModel:
     """Label model over all documents; scorer on a bounded sample.
 
-    ``sample`` bounds the rows the scorer is fitted on: an equal part of it from each
+    ``sample`` bounds the texts the scorer is fitted on: an equal part of it from each
     vote pattern's share would drown rare patterns, so half goes to patterns that are
-    probably good and half to the others, each chosen by a hash of the identifier.
+    probably good and half to the others. Distinct texts are chosen by a hash of the text,
+    each once, whatever identifiers (null, repeated) their rows have.
     """
-    rows = docs.select(docs[id_col].cast("string").alias("doc_id"), docs[text_col].cast("binary").alias("text")).where("text is not null")
+    text = docs[text_col].cast("binary")
+    names = ["h1", "h2"]
+    rows = docs.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")).where("text is not null")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [votes(statistics(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], ["doc_id", "pattern"])
+            said = [votes(statistics(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string())], [*names, "pattern"])
 
-    said = materialize(rows.mapInArrow(vote, "doc_id string, pattern string"), "quality-votes")
+    said = materialize(rows.mapInArrow(vote, "h1 long, h2 long, pattern string"), "quality-votes")
     patterns = {r["pattern"]: r["count"] for r in said.groupBy("pattern").count().collect()}  # at most 3 ** labellers
     labels = fit_labels(patterns)
     posterior = {p: labels.posterior(p) for p in patterns}
     sizes = {side: sum(n for p, n in patterns.items() if (posterior[p] > 0.5) == side) for side in (True, False)}
-    luck = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    luck = F.pmod(F.xxhash64(*names, F.lit("quality")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     wanted = None
     for side, n in sizes.items():
         own = [p for p in patterns if (posterior[p] > 0.5) == side]
         if own:
-            few = said.where(F.col("pattern").isin(own)).withColumn("luck", luck).where(F.col("luck") * n < sample)
-            few = few.orderBy("luck", "doc_id").limit(sample // 2).select("doc_id", "pattern")
+            few = said.where(F.col("pattern").isin(own)).withColumn("luck", luck).where(F.col("luck") * n < sample).distinct()
+            few = few.orderBy("luck", *names).limit(sample // 2).select(*names, "pattern")
             wanted = few if wanted is None else wanted.unionByName(few)
     if wanted is None:
         return QualityModel(labels, np.zeros(FEATURES + len(LABELLERS) * BUCKETS, np.float32), 0.0)
@@ -210,21 +213,21 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = part.column(2).to_pylist()
+                texts = part.column(1).to_pylist()
                 x = shape_features(texts, [statistics(t) for t in texts])
                 full = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(1),
+                        part.column(0),
                         pa.array([a.astype(np.int16).tobytes() for a in full], pa.binary()),
                         pa.array([r[a].tobytes() for r, a in zip(x, full, strict=True)], pa.binary()),
                     ],
                     ["pattern", "at", "value"],
                 )
 
-    # At most ``sample`` identifiers: a bounded broadcast.
-    chosen = F.broadcast(wanted.dropDuplicates(["doc_id"]))
-    got = chosen.join(rows, "doc_id").select("doc_id", "pattern", "text").mapInArrow(featured, "pattern string, at binary, value binary")
+    # At most ``sample`` texts: a bounded broadcast, and one row of each, put together before any shuffle.
+    once = F.broadcast(wanted).join(rows, names).groupBy(*names, "pattern").agg(F.first("text").alias("text"))
+    got = once.select("pattern", "text").mapInArrow(featured, "pattern string, at binary, value binary")
     got = got.orderBy("pattern", "at", "value").limit(2 * sample).collect()
     x = np.zeros((len(got), FEATURES + len(LABELLERS) * BUCKETS), np.float32)
     for i, r in enumerate(got):
@@ -266,5 +269,5 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col="doc_id", text_co
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return score_quality(docs, train(docs))

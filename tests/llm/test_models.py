@@ -57,6 +57,77 @@ def test_language_edge_cases(spark):
     assert language_id.identify(docs(spark, []), language_id.train(docs(spark, []))).count() == 0
 
 
+def test_trust_is_of_rows_left_out_and_decoding_is_the_least_weighted_loss():
+    rng = np.random.default_rng(3)
+    y = [f"l{k}" for k in rng.integers(0, 6, 60)]
+    x = np.abs(rng.normal(size=(60, language_id.FEATURES))).astype(np.float32)
+    for i, lang in enumerate(y):
+        x[i, 100 * int(lang[1]) : 100 * int(lang[1]) + 80] += 1.0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = language_id.fit(x, y)
+    who = [model.langs.index(v) for v in y]
+    share = 1 / np.bincount(who)[who]
+    share *= len(who) / share.sum()
+    bits = model.codes[who].astype(float)
+    for i in (0, 17, 59):  # each fitted anew without the row
+        rest = np.arange(60) != i
+        kernel = (x[rest] @ x[rest].T).astype(float) + np.diag(0.5 / share[rest])
+        out = (x[i] @ x[rest].T) @ np.linalg.solve(kernel, bits[rest] - model.bias) + model.bias
+        full = (x @ x.T).astype(float) + np.diag(0.5 / share)
+        inverse = np.linalg.inv(full)
+        alpha = inverse @ (bits - model.bias)
+        assert np.allclose(out, bits[i] - alpha[i] / inverse[i, i], atol=1e-4)
+    assert model.trust.std() > 0 and ((model.trust >= 0.05) & (model.trust <= 1)).all()
+    model.trust = rng.random(len(model.trust)) + 0.05
+    best, score, margin = model.decode(x)
+    for row, k, s, m in zip(x, best, score, margin, strict=True):
+        out = [4 * (float(row @ model.weights[:, b]) + model.bias[b]) for b in range(len(model.trust))]
+        loss = [sum(t * np.log1p(np.exp(-o * c)) for o, c, t in zip(out, code.astype(float), model.trust, strict=True)) for code in model.codes]
+        first, second = sorted(loss)[:2]
+        assert loss.index(first) == k and m == pytest.approx((second - first) / np.mean(loss), rel=1e-3, abs=1e-6)
+        assert s == pytest.approx(1 / sum(np.exp(-(v - first) * 4 / model.trust.sum()) for v in loss), rel=1e-3)
+
+
+def test_label_model_against_row_by_row_maximisation():
+    rng = np.random.default_rng(4)
+    rows = ["".join(rng.choice(list("-+."), 3, p=[0.3, 0.5, 0.2])) for _ in range(300)]
+    good = [0.1 if "-" in r else 0.9 for r in rows]
+    for _ in range(40):
+        prior = (sum(good) + 1) / (len(rows) + 2)
+        table = [[{"-": m, "+": p} for _ in range(3)] for m, p in ((0.6, 0.4), (0.1, 0.9))]
+        for r, g in zip(rows, good, strict=True):
+            for j, v in enumerate(r):
+                if v != ".":
+                    table[0][j][v] += 1 - g
+                    table[1][j][v] += g
+        table = [[{v: n / sum(t.values()) for v, n in t.items()} for t in side] for side in table]
+        for i, r in enumerate(rows):
+            bad_p, good_p = 1 - prior, prior
+            for j, v in enumerate(r):
+                if v != ".":
+                    bad_p, good_p = bad_p * table[0][j][v], good_p * table[1][j][v]
+            good[i] = good_p / (good_p + bad_p)
+    counts = {r: rows.count(r) for r in rows}
+    model = quality.fit_labels(counts, rounds=40)
+    assert model.prior == pytest.approx(prior, abs=1e-6)
+    assert all(model.posterior(r) == pytest.approx(g, abs=1e-4) for r, g in zip(rows, good, strict=True))
+
+
+def test_quality_against_plain_scoring_and_identifiers_don_t_matter(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200).collect()]
+    named = docs(spark, list(enumerate(texts)))
+    model = quality.train(named)
+    for ids in ([None] * len(texts), [7] * len(texts)):
+        other = quality.train(docs(spark, list(zip(ids, texts, strict=True))))
+        assert np.allclose(other.weight, model.weight, atol=1e-4) and model.weight.any()
+    for r in quality.score_quality(named, model).collect():
+        stats = quality.statistics((texts[r.doc_id] or "").encode())
+        said = quality.votes(stats)
+        x = quality.shape_features([(texts[r.doc_id] or "").encode()], [stats])[0]
+        score = 0.0 if stats[0] == 0 else float(1 / (1 + np.exp(-np.clip(x @ model.weight + model.bias, -50, 50))))
+        assert r.votes == said and r.posterior == pytest.approx(model.labels.posterior(said)) and r.score == pytest.approx(score, abs=1e-5)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(0)
     right = [0.95, 0.9, 0.8, 0.85, 0.9, 0.7, 0.75, 0.9]
