@@ -12,6 +12,7 @@ properties, every text is encoded whole by the library.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossiergrid.scratch import spread
+
 MARK = "▁"
 #: Entries of a worker's table of merged pre-tokens; it is emptied when full.
 REMEMBERED = 1 << 18
@@ -40,10 +43,45 @@ def prove(model: bytes) -> Proof:
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     plain = [i for i in range(len(pieces)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     splits = all(MARK not in pieces[i].lstrip(MARK) and "\n" not in pieces[i] for i in plain)
-    # The normaliser must change nothing but the spaces, and put one mark in front.
-    sample = "  Aﬁ① Åá　b\tc \n d  "
-    splits = splits and sp.decode(sp.encode(sample)) == sample and len(sp.encode("\n")) == 2 and sp.encode("") == []
-    return Proof(splits, frozenset(pieces[i][1:] for i in plain if pieces[i][:1] == MARK and sp.encode(pieces[i][1:]) == [i] and len(pieces[i]) > 1))
+    return Proof(splits and spaces_only(model), frozenset(pieces[i][1:] for i in plain if pieces[i][:1] == MARK and sp.encode(pieces[i][1:]) == [i] and len(pieces[i]) > 1))
+
+
+def spaces_only(model: bytes) -> bool:
+    """Whether the model merges byte pairs and its normaliser, as the file specifies it, only turns
+    spaces into marks and puts one mark in front: no character map, no rules, spaces kept."""
+    spec: dict[str, dict[int, int | bytes]] = {"trainer": {}, "normalizer": {}}
+    for number, value in _fields(model):
+        if number in (2, 3):
+            spec["trainer" if number == 2 else "normalizer"].update(_fields(value))
+    trainer, normalizer = spec["trainer"], spec["normalizer"]
+    # Defaults of the published format where a field is left out.
+    return (
+        trainer.get(3, 1) == 2 and not trainer.get(24, 0)
+        and not normalizer.get(2, b"") and not normalizer.get(6, b"")
+        and normalizer.get(3, 1) == 1 and normalizer.get(4, 1) == 0 and normalizer.get(5, 1) == 1
+    )
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer; fixed-width values as their bytes."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            byte = message[at]
+            value, at, shift = value | (byte & 127) << shift, at + 1, shift + 7
+            if byte < 128:
+                return value, at
+
+    at = 0
+    while at < len(message):
+        key, at = varint(at)
+        if key & 7 == 0:
+            value, at = varint(at)
+        else:
+            size, at = varint(at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = message[at : at + size], at + size
+        yield key >> 3, value
 
 
 class Counter:
@@ -100,7 +138,8 @@ class Counter:
         return len(self.sp.encode(" " * (n - 1))) if n > 1 else 1
 
 
-_counters: dict[int, Counter] = {}
+#: By the SHA-256 of the model, so that a reused worker never counts with another one.
+_counters: dict[str, Counter] = {}
 
 
 def token_counts(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,14 +150,14 @@ def token_counts(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str =
     token. Invalid UTF-8 is counted with replacement characters. Rows are
     independent: repeated rows, null identifiers and other columns are no matter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model, prove(model)))
+    shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(model).hexdigest(), model, prove(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent, proof = shared.value
-        if id(sent) not in _counters:
+        key, sent, proof = shared.value
+        if key not in _counters:
             _counters.clear()
-            _counters[id(sent)] = Counter(sent, proof)
-        counter = _counters[id(sent)]
+            _counters[key] = Counter(sent, proof)
+        counter = _counters[key]
         for batch in batches:
             n = [counter.count(t.as_py().decode("utf-8", "replace")) if t.is_valid else 0 for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
@@ -137,4 +176,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
+    return token_counts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), model)

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from dossiergrid.llm.token_counts import Counter, Proof, prove, token_counts
+from dossiergrid.llm.token_counts import Counter, Proof, prove, spaces_only, token_counts
 from tests.llm.helpers import corpus, docs
 
 
@@ -28,6 +28,17 @@ def test_counts_equal_the_library(model):
     assert counters[0].count(long) == len(sp.encode(long))
 
 
+def test_proof_reads_the_normaliser_of_the_model(model):
+    assert spaces_only(model)
+    field = lambda number, body: bytes([number << 3 | 2, len(body)]) + body
+    flag = lambda number, value: bytes([number << 3, value])
+    bpe, plain = field(2, flag(3, 2)), flag(3, 1) + flag(4, 0) + flag(5, 1)
+    assert spaces_only(bpe + field(3, plain))
+    for other in (field(2, b"x"), flag(3, 0), flag(4, 1), flag(5, 0), field(6, b"rule")):
+        assert not spaces_only(bpe + field(3, plain + other))
+    assert not spaces_only(field(3, plain)) and not spaces_only(bpe)  # unigram model; extra spaces removed by default
+
+
 def test_table(spark, model):
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     rows = corpus() + [(None, "null id"), (None, None)]
