@@ -12,6 +12,7 @@ the others. DataFrame operations only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,25 +124,55 @@ def exact_matches(index: PhraseIndex) -> DataFrame:
     return met.select("row_id", "window_id", "start", "n").unionByName(left.where("n <= 2").select("row_id", "window_id", "start", "n"))
 
 
+def _near(wanted: DataFrame, postings: DataFrame, lengths: list[int], slop: int) -> DataFrame:
+    """The rows of ``wanted`` (row_id, window_id, n, need, at, term_id) with a posting of the term at most n + slop words away.
+
+    Positions are cut into cells as wide as the reach, so that the range join is an equality on neighbouring cells.
+    """
+    reach = F.col("n") + slop
+    own = F.floor(F.col("at") / reach)
+    wanted = wanted.withColumn("cell", F.explode(F.sequence(own - 1, own + 1)))
+    sizes = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    cells = postings.select(F.col("row_id").alias("row2"), F.col("term_id").alias("term2"), "pos", F.explode(sizes).alias("n2"))
+    cells = cells.withColumn("cell2", F.floor(F.col("pos") / (F.col("n2") + slop)))
+    close = (F.col("row_id") == F.col("row2")) & (F.col("term_id") == F.col("term2")) & (F.col("cell") == F.col("cell2")) & (F.col("n") == F.col("n2"))
+    met = wanted.join(cells, close & (F.abs(F.col("pos") - F.col("at")) <= reach))
+    return met.select("row_id", "window_id", "n", "need", "at", "term_id").distinct()
+
+
 def proximity_matches(index: PhraseIndex, slop: int = 5) -> DataFrame:
     """(row_id, window_id, pos): places of a window's rarest term with all its other distinct terms
-    at most ``n + slop`` words away, in any order."""
+    at most ``n + slop`` words away, in any order. From the rarest on: the second rarest term
+    must be near before any other is looked for."""
     terms = materialize(_window_terms(index), "decontamination-proximity-terms")
-    first = terms.where("rank = 1").select("window_id", "n", "term_id")
-    distinct = terms.groupBy("window_id").agg(F.count_distinct("term_id").alias("need"))
-    reach = F.col("n") + slop
     n_terms = terms.count()
-    anchors = index.postings.join(small(first.join(distinct, "window_id"), n_terms), "term_id").select("row_id", "window_id", "n", "need", F.col("pos").alias("at"))
-    wanted = anchors.join(small(terms.select("window_id", "term_id").distinct(), n_terms), "window_id")
-    # Positions are cut into cells as wide as the reach, so that the range join is an equality on neighbouring cells.
-    wanted = wanted.withColumn("cell", F.explode(F.sequence(F.floor(F.col("at") / reach) - 1, F.floor(F.col("at") / reach) + 1)))
-    widths = [F.lit(r["n"]) for r in terms.select("n").distinct().collect()]  # at most the width of a window
-    cells = index.postings.withColumn("n2", F.explode(F.array(*widths) if widths else F.array().cast("array<int>")))
-    cells = cells.withColumn("cell", F.floor(F.col("pos") / (F.col("n2") + slop)))
-    close = (wanted["row_id"] == cells["row_id"]) & (wanted["term_id"] == cells["term_id"]) & (wanted["cell"] == cells["cell"]) & (wanted["n"] == cells["n2"])
-    met = wanted.join(cells, close).where(F.abs(F.col("pos") - F.col("at")) <= reach)
-    met = met.groupBy(wanted["row_id"], "window_id", "at", "need").agg(F.count_distinct(wanted["term_id"]).alias("met"))
-    return met.where("met = need").select("row_id", "window_id", F.col("at").alias("pos"))
+    own = terms.groupBy("window_id", "n", "term_id").agg(F.min("rank").alias("rank"))
+    window = Window.partitionBy("window_id")
+    own = own.withColumn("need", F.count(F.lit(1)).over(window)).withColumn("rank", F.row_number().over(window.orderBy("rank")))
+    own = materialize(own, "decontamination-proximity-order")
+    lengths = [r["n"] for r in own.select("n").distinct().collect()]  # at most the width of a window
+    anchors = index.postings.join(small(own.where("rank = 1"), n_terms), "term_id")
+    anchors = anchors.select("row_id", "window_id", "n", "need", F.col("pos").alias("at"))
+    second = own.where("rank = 2").select("window_id", "term_id")
+    few = index.postings.join(small(second.select("term_id").distinct(), n_terms), "term_id", "left_semi")
+    two = _near(anchors.where("need > 1").join(small(second, n_terms), "window_id"), few, lengths, slop).drop("term_id")
+    two = materialize(two, "decontamination-proximity-pairs")
+    rows = two.select("row_id").distinct()
+    here = index.postings.join(small(rows, rows.count()), "row_id", "left_semi")
+    others = own.where("rank > 2").select("window_id", "term_id")
+    all_met = _near(two.where("need > 2").join(small(others, n_terms), "window_id"), here, lengths, slop)
+    all_met = all_met.groupBy("row_id", "window_id", "at", "need").agg(F.count(F.lit(1)).alias("met")).where("met = need - 2")
+    done = [anchors.where("need = 1"), two.where("need = 2"), all_met]
+    return reduce(DataFrame.unionByName, [d.select("row_id", "window_id", F.col("at").alias("pos")) for d in done])
+
+
+def near_items(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 5, **cols: str) -> DataFrame:
+    """(doc_id, item_id, n_places) of every document row and item with a window whose terms all stand near each other
+    in some order; ``n_places`` counts the places of the windows' rarest terms. Null texts have no words."""
+    index = build_index(docs, items, width, **cols)
+    met = proximity_matches(index, slop).join(index.window_items, "window_id").select("row_id", "item_id", "pos").distinct()
+    met = met.groupBy("row_id", "item_id").agg(F.count(F.lit(1)).alias("n_places"))
+    return met.join(index.rows, "row_id").select("doc_id", "item_id", "n_places")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, **cols: str) -> DataFrame:
@@ -174,6 +205,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, **cols: st
     )
 
 
+def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of all documents with all items."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))

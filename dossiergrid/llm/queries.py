@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from dossiergrid.llm.decontamination import OP3_SQL, op3_decontamination
+from dossiergrid.llm.decontamination import OP3_SQL, decontamination_proximity, op3_decontamination
 from dossiergrid.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from dossiergrid.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from dossiergrid.llm.language_id import op4_language_id
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mix_sources": op9_mix_sources,
         "op10_token_counts": op10_token_counts,
         "pipeline": corpus_pipeline.run,
+        "decontamination_proximity": decontamination_proximity,
     }
 
 

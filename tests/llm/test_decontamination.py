@@ -65,3 +65,31 @@ def test_proximity(spark):
     met = op.proximity_matches(index, slop=3).join(index.rows, "row_id")
     assert sorted({r.doc_id for r in met.collect()}) == [1, 3]
     assert op.exact_matches(index).count() == 0
+
+
+def test_proximity_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(words(rng, rng.randrange(0, 60), 12))) for i in range(60)] + [(None, "w1 w2 w3"), (70, None), (3, "w3 w2 w2 w1")]
+    items = [(1, "w1 w2 w3"), (2, "w4 w4"), (3, "w5 w6 w7 w8 w9"), (4, "w1 zzz"), (5, None), (6, "w2")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in op.near_items(docs(spark, rows), table, width=4, slop=2).collect()), key=repr)
+    lower_words = lambda t: [w.lower() for w in ALNUM_WORD.findall(t or "")]
+    count = {}
+    for _, t in rows:
+        for w in lower_words(t):
+            count[w] = count.get(w, 0) + 1
+    want = []
+    for i, t in rows:
+        w = lower_words(t)
+        for k, x in items:
+            own = lower_words(x)
+            cuts = [own[s : s + 4] for s in range(max(1, len(own) - 3))] if own else []
+            if any(
+                any(all(any(w[q] == term for q in range(max(0, p - len(c) - 2), min(len(w), p + len(c) + 3))) for term in c) for p in range(len(w)) if w[p] == r)
+                for c in cuts if all(term in count for term in c)
+                for r in [min(enumerate(c), key=lambda e: (count[e[1]], e[0]))[1]]
+            ):
+                want.append((i, k))
+    assert got == sorted(want, key=repr) and len(got) > 20
