@@ -19,45 +19,16 @@ from pyspark.sql import types as T
 
 from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import date_ranges, email_of, half_even, months_covered, phone_of, stated_years, text_or_empty
+from dossiergrid.operators.records import BULLET, DATE, EMPLOYER, MONTH, TITLE, education, experience, tidy, years_of
+
+__all__ = ["education", "experience", "years_of"]
 
 SCHEMA = (
     "name string, experience array<struct<job_title:string,company:string,location:string,years:double,duration_unknown:boolean>>, "
     "education array<struct<degree:string,institution:string>>, "
     "credentials array<struct<certification_name:string,credential_type:string,issuer:string,date_obtained:string>>, skills array<string>"
 )
-NOT_STATED = "Position Not Stated"
-MOST_RECORDS = 25
-
 _SECTIONS = {name: re.compile(f"(?:{pattern})", re.I) for name, pattern in lx.SECTION_HEADINGS.items()}
-_BULLET = re.compile(r"^[\s\-*•▪·]+")
-_MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?"
-_DATE = rf"(?:{_MONTH}\s*(?:\d{{1,2}},\s*)?\d{{4}}|\d{{1,2}}/\d{{4}}|(?:19|20)\d{{2}})"
-_RANGE = re.compile(rf"\(?\s*({_DATE}|{_MONTH})\s*(?:-|–|—|\bto\b)\s*(present|current|till date|to date|now|{_DATE})\s*\)?", re.I)
-_DURATION = re.compile(r"\b(\d+(?:\.\d+)?)\+?\s*(years?|yrs?|months?)\b", re.I)
-_DEGREE = re.compile(
-    r"\b(?:ph\.?d\b|doctor(?:ate|al)?\b|master(?:'?s)?\b|m\.?s\.?c?\b(?=\s+in)|mba\b|m\.?a\.?\b(?=\s+in)|bachelor(?:'?s)?\b|b\.?s\.?(?:c\.?)?\b(?=\s+(?:in\b|[A-Z]))"
-    r"|b\.?a\.?\b(?=\s+in)|bsed|beed|bsit|bscs|bsba|bsn|associate(?:'?s)?\s+(?:degree|of|in)|diploma\b|senior\s+high|high\s+school|college\s+graduate)",
-    re.I,
-)
-_SCHOOL = re.compile(r"\b(?:university|college|institute|school|academy|polytechnic|universidad|université|seminary)\b", re.I)
-_TITLE = re.compile(
-    r"\b(?:developer|engineer|manager|analyst|consultant|architect|lead|specialist|programmer|administrator|officer|designer|director|coordinator"
-    r"|supervisor|intern|associate|executive|scientist|teacher|instructor|professor|lecturer|faculty|principal|dean|tutor|librarian|educator|trainer"
-    r"|advis[eo]r|accountant|auditor|nurse|physician|therapist|assistant|technician|clerk|cashier|representative|agent|secretary|receptionist"
-    r"|aide|bookkeeper|caregiver|chef|cook|counsell?or|driver|electrician|mechanic|operator|pharmacist|recruiter|volunteer|worker|writer|editor)\b",
-    re.I,
-)
-_EMPLOYER = re.compile(
-    r"\b(?:inc|corp(?:oration)?|company|co\.|llc|ltd|limited|group|solutions|technologies|systems|services|bank|hospital|school|university|college"
-    r"|institute|academy|department|agency|foundation|center|centre|clinic|hotel|restaurant|store)\b",
-    re.I,
-)
-_DUTY = re.compile(
-    r"^(?:responsible|managed?|developed?|created?|implement(?:ed)?|prepared?|provided?|assist(?:ed)?|collaborated?|communicated?|conduct(?:ed)?|facilitat"
-    r"|maintain(?:ed)?|organiz|coordinated?|handled?|taught|design(?:ed)?|support(?:ed)?|ensur|observ|supervis|participat|promot|built|led)\w*\b",
-    re.I,
-)
-_HONOR = re.compile(r"dean'?s\s+list|honor|scholar|awardee|recognition|medal|rank\s+\d", re.I)
 _CREDENTIAL = re.compile(r"\b(?:certified|certification|certificate|licensed?|licensure|passer|board exam|eligibility|training|seminar|workshop|award(?:ee)?)\b", re.I)
 # Credentials known by name, and the kind of each word.
 _KNOWN_CREDENTIALS = [
@@ -94,7 +65,7 @@ def sections(text: str) -> list[Line]:
 
 def headings(line: str) -> list[str]:
     """The sections a heading line names; none unless all its parts are headings."""
-    raw = re.sub(r"^[A-Z]\s*[.)-]\s*", "", _BULLET.sub("", line).strip(), flags=re.I).split(":", 1)[0]
+    raw = re.sub(r"^[A-Z]\s*[.)-]\s*", "", BULLET.sub("", line).strip(), flags=re.I).split(":", 1)[0]
     out = []
     for part in filter(None, (p.strip() for p in re.split(r"\s*(?:,|&|/|\band\b)\s*", raw, flags=re.I))):
         plain = re.sub(r"\s+", " ", part).strip(" ,/&-|.").casefold()
@@ -105,125 +76,15 @@ def headings(line: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def ordinal(token: str, as_of: str) -> int | None:
-    """Months since year 0; a bare year is its January."""
-    low = token.strip().lower()
-    if low in ("present", "current", "till date", "to date", "now"):
-        return int(as_of[:4]) * 12 + int(as_of[5:7]) - 1
-    if m := re.fullmatch(r"(\d{1,2})/(\d{4})", low):
-        return int(m[2]) * 12 + int(m[1]) - 1
-    if (m := re.fullmatch(r"([a-z]+)\.?\s*(?:\d{1,2},\s*)?(\d{4})", low)) and m[1][:3] in lx.MONTHS:
-        return int(m[2]) * 12 + lx.MONTHS.index(m[1][:3])
-    return int(low) * 12 if re.fullmatch(r"\d{4}", low) else None
-
-
-def years_of(line: str, as_of: str) -> float | None:
-    """The duration a line states: a date range of at least a month, or a number of years or months."""
-    if m := _RANGE.search(line):
-        first, last = m[1], m[2]
-        if not re.search(r"\d", first) and (y := re.search(r"\d{4}", last)):
-            first = f"{first} {y[0]}"
-        a, b = ordinal(first, as_of), ordinal(last, as_of)
-        if a is not None and b is not None and 0 <= b - a <= 600:
-            return round(max(1, b - a) / 12, 2)
-        return None
-    if m := _DURATION.search(line):
-        n = float(m[1])
-        return round(n / 12, 2) if m[2].lower().startswith("m") else n
-    return None
-
-
-def _tidy(value: str) -> str:
-    return re.sub(r"\s+", " ", value).strip(" -–—|,;:•*()\t")
-
-
-def _without_dates(line: str) -> str:
-    return _tidy(_RANGE.sub(" ", line))
-
-
-def _parts(line: str) -> list[str]:
-    """What separators, "at" and wide gaps on one line hold apart."""
-    return [p for p in map(_tidy, re.split(r"\s+[|–—-]\s+|\s*\|\s*|\t+|\s{2,}|,\s+|\s+at\s+(?=[A-Z])|\s+@\s+", line)) if p]
-
-
-def experience(lines: list[Line], as_of: str) -> list[dict]:
-    """Work history: every dated line of the work sections (or every role if none is dated) with the role,
-    employer and place written on it or next to it."""
-    own = [x for x in lines if x.section == "experience" and not x.heading]
-    out: list[dict] = []
-    text = [x.text for x in own]
-    dated = [i for i, t in enumerate(text) if _RANGE.search(t) and not _HONOR.search(t)]
-
-    def plain(i: int) -> bool:
-        return 0 <= i < len(text) and bool(text[i]) and not _DUTY.match(_BULLET.sub("", text[i])) and len(text[i]) <= 90 and not text[i].endswith(".") and i not in dated
-
-    def record(parts: list[str], years: float | None) -> None:
-        title = next((p for p in parts if _TITLE.search(p)), None)
-        rest = [p for p in parts if p != title]
-        company = next((p for p in rest if _EMPLOYER.search(p)), rest[0] if rest else None)
-        place = next((p for p in rest if p != company and not _TITLE.search(p)), "")
-        if not title and not company:
-            return
-        out.append({"job_title": title or NOT_STATED, "company": company or "", "location": place, "years": years or 0.0, "duration_unknown": years is None})
-
-    for i in dated:
-        parts = _parts(_without_dates(text[i]))
-        around = []
-        for j in (i - 1, i - 2):
-            if not plain(j):
-                break
-            around += _parts(text[j])
-        for j in (i + 1, i + 2):
-            if not plain(j) or any(abs(j - k) < abs(j - i) for k in dated):
-                break
-            if not around or (j == i + 1 and len(parts) + len(around) < 2):
-                around += _parts(text[j])
-        have_title = any(_TITLE.search(p) for p in parts)
-        wanted = parts + [p for p in around if not (have_title and _TITLE.search(p))]
-        record(wanted, years_of(text[i], as_of))
-    if not dated:
-        for i, t in enumerate(text):
-            if plain(i) and _TITLE.search(t):
-                parts = _parts(t)
-                if len(parts) == 1 and plain(i + 1) and not _TITLE.search(text[i + 1]):
-                    parts += _parts(text[i + 1])
-                record(parts, None)
-    seen, kept = set(), []
-    for r in out:
-        key = (r["job_title"].lower(), r["company"].lower(), r["years"])
-        if key not in seen:
-            seen.add(key)
-            kept.append(r)
-    return kept[:MOST_RECORDS]
-
-
-def education(lines: list[Line]) -> list[dict]:
-    """Degrees of the education sections (of all lines if there is none) with the nearest school."""
-    own = [x.text for x in lines if x.section == "education" and not x.heading] or [x.text for x in lines if _DEGREE.search(x.text) or _SCHOOL.search(x.text)]
-    out, used = [], set()
-    for i, line in enumerate(own):
-        if not _DEGREE.search(line) or _HONOR.search(line) or len(line) > 200:
-            continue
-        parts = _parts(re.sub(rf"{_DATE}|{_RANGE.pattern}", " ", line, flags=re.I))
-        degree = next((p for p in parts if _DEGREE.search(p)), _tidy(line))
-        school = next((p for p in parts if p != degree and _SCHOOL.search(p)), None)
-        for j in (i + 1, i - 1, i + 2, i - 2):
-            if school is None and 0 <= j < len(own) and j not in used and _SCHOOL.search(own[j]) and not _DEGREE.search(own[j]):
-                school = next((p for p in _parts(re.sub(_DATE, " ", own[j], flags=re.I)) if _SCHOOL.search(p)), None)
-                used.add(j)
-        out.append({"degree": degree, "institution": school or "Unknown Institution"})
-    return list({(r["degree"].lower(), r["institution"].lower()): r for r in reversed(out)}.values())[::-1]
-
-
 def credentials(lines: list[Line]) -> list[dict]:
     """Credentials known by name anywhere, and the lines of credential, training and award sections."""
     out: dict[str, dict] = {}
 
     def add(name: str, kind: str, line: str) -> None:
-        date = re.search(rf"{_MONTH}\s*(?:\d{{1,2}},\s*)?\d{{4}}|\b(?:19|20)\d{{2}}\b", line, re.I)
+        date = re.search(rf"{MONTH}\s*(?:\d{{1,2}},\s*)?\d{{4}}|\b(?:19|20)\d{{2}}\b", line, re.I)
         issuer = re.search(r"\b(?:by|from)\s+([A-Z][\w&. ]+)", line)
         key = re.sub(r"[^a-z0-9]+", " ", name.lower()).strip()
-        new = {"certification_name": name, "credential_type": kind, "issuer": _tidy(issuer[1]) if issuer else "", "date_obtained": date[0] if date else ""}
+        new = {"certification_name": name, "credential_type": kind, "issuer": tidy(issuer[1]) if issuer else "", "date_obtained": date[0] if date else ""}
         if key and key in out:
             out[key] = out[key] | {k: v for k, v in new.items() if v and not out[key][k]}
         elif key:
@@ -232,12 +93,12 @@ def credentials(lines: list[Line]) -> list[dict]:
     for x in lines:
         for pattern, name, kind in _KNOWN_CREDENTIALS:
             if m := re.search(pattern, x.text, re.I):
-                add(name or _tidy(m[0]).title(), kind, x.text)
+                add(name or tidy(m[0]).title(), kind, x.text)
         if x.heading or x.section not in ("certifications", "training", "awards") or len(x.text) > 200:
             continue
         if any(re.search(p, x.text, re.I) for p, _, _ in _KNOWN_CREDENTIALS):
             continue
-        name = _tidy(re.sub(rf"\b(?:by|from)\s+[A-Z][\w&. ]+|{_DATE}", " ", _BULLET.sub("", x.text), flags=re.I))
+        name = tidy(re.sub(rf"\b(?:by|from)\s+[A-Z][\w&. ]+|{DATE}", " ", BULLET.sub("", x.text), flags=re.I))
         default = {"training": "Training", "awards": "Award"}.get(x.section, "Certification")
         if name and (_CREDENTIAL.search(name) or len(name.split()) <= 12):
             add(name, next((k for p, k in _KINDS if re.search(p, name, re.I)), default), x.text)
@@ -278,7 +139,7 @@ def skill_inventory(lines: list[Line], extra: list[str] = ()) -> list[str]:
         inline = re.match(r"^\s*[-*•▪]?\s*skills?\s*:\s*(.+)$", x.text, re.I)
         if inline or (x.section == "skills" and not x.heading):
             value = inline[1] if inline else re.sub(r"^(?:[\w/& ]{1,40}):\s*", "", x.text) if re.match(r"^(?:programming\s+)?(?:languages?|frameworks?|databases?|tools?|soft skills?|hard skills?|platforms?|technical|others?)\s*:", x.text, re.I) else x.text
-            for item in split_items(_BULLET.sub("", value).replace(": ", ", ")):
+            for item in split_items(BULLET.sub("", value).replace(": ", ", ")):
                 if valid_skill(item):
                     add(item)
     if out:
@@ -333,7 +194,7 @@ def person_name(lines: list[Line], email: str) -> str:
         score = 100 - 5 * i + 15 * (2 <= len(words) <= 4) + 8 * (x.text.isupper() or x.text.istitle())
         if local:
             score += 35 * (sum(len(w) > 2 and w in local for w in words) >= 2) + 40 * (SequenceMatcher(None, "".join(words), local).ratio() >= 0.88)
-        if _TITLE.search(name) or _EMPLOYER.search(name):
+        if TITLE.search(name) or EMPLOYER.search(name):
             score -= 60
         if score > best_score:
             best, best_score = name, score
