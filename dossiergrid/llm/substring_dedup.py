@@ -13,9 +13,8 @@ by two independent 64-bit hashes of their words; the least of a group is the sou
 the others. What follows each other in a document and in its source makes one span, and
 a span goes only if its words have the SHA-256 of the words at the source coordinates.
 
-A node, path or window may be in a large part of all documents. Every join by such a hash
-is therefore dealt by the hash and one of ``PARTS`` parts of the documents: the least
-of each part is found first, then the least of the parts.
+A node, path or window may be in a large part of all documents. The rows of such a hash
+are not shuffled by it; they meet what is known of it by a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -30,10 +29,9 @@ from pyspark.sql import functions as F
 
 from dossiergrid.llm.batches import bound_batches
 from dossiergrid.llm.hashed_words import hashed_words, mix
+from dossiergrid.llm.hot_keys import join_split
 from dossiergrid.scratch import materialize
 
-#: Rows of one hash are dealt to so many parts.
-PARTS = 64
 #: Identifiers are sent to all executors up to this number (of 16 bytes).
 BROADCAST_ROWS = 500_000
 
@@ -174,11 +172,6 @@ def _pieces(rows: DataFrame, k: int, window: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, hash long, check long, from_word int, to_word int")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` with the part of their document."""
-    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PARTS)).cast("int"))
-
-
 def _only(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """The rows whose document is among the ``n`` wanted ones, found without a shuffle of the texts if those are few."""
     keys = ["doc_id", "text_key"]
@@ -191,30 +184,27 @@ def repeated_spans(rows: DataFrame, window: int = 50) -> DataFrame:
     ``rows`` has doc_id (not null), text_key and text (binary).
     """
     k = max(1, window * 2 // 5)
-    nodes = _dealt(materialize(_nodes(rows, k, window), "substring-nodes"))
-    here = nodes.groupBy("h", "part").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *[f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in _ENDS.items()], F.count(F.lit(1)).alias("n")
+    nodes = materialize(_nodes(rows, k, window), "substring-nodes")
+    one_edge = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1)))
+    table = nodes.groupBy("h").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.coalesce(one_edge("before") & one_edge("after"), F.lit(False)).alias("plain")
     )
-    one_edge = lambda c: (F.min(f"min_{c}") == F.max(f"max_{c}")) & (F.sum(f"count_{c}") == F.sum("n"))
-    table = here.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (one_edge("before") & one_edge("after")).alias("plain"))
-    table = table.where("lo < hi").select("h", F.coalesce("plain", F.lit(False)).alias("plain"))
-    marked = nodes.select("doc_id", "text_key", "at", "h", "part").join(here.select("h", "part").join(table, "h"), ["h", "part"])
+    marked = join_split(nodes.select("doc_id", "text_key", "at", "h"), table.where("lo < hi").select("h", "plain", "n"), ["h"], nodes.count())
     marked = marked.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("at", "plain"))).alias("nodes"))
     marked = materialize(marked.select("doc_id", "text_key", F.col("nodes.at").alias("at"), F.col("nodes.plain").alias("plain")), "substring-marked")
     some = _only(rows, marked.select("doc_id", "text_key"), marked.count()).dropDuplicates(["doc_id", "text_key"])
-    pieces = _dealt(materialize(_pieces(some.join(marked, ["doc_id", "text_key"]), k, window), "substring-pieces"))
+    pieces = materialize(_pieces(some.join(marked, ["doc_id", "text_key"]), k, window), "substring-pieces")
+    # What repeats by the first hash alone is few; only that is grouped by both.
+    twice = pieces.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("hash", "n")
+    twice = materialize(join_split(pieces, twice, ["hash"], pieces.count()), "substring-repeated")
     both = ["hash", "check"]
-    here = pieces.groupBy(*both, "part").agg(F.min(F.struct("doc_id", "text_key", "from_word")).alias("src"), F.max("doc_id").alias("hi"))
-    first = here.groupBy(*both).agg(F.min("src").alias("src"), F.max("hi").alias("hi")).where("src.doc_id < hi").drop("hi")
-    found = pieces.join(here.select(*both, "part").join(first, both), [*both, "part"]).where("doc_id > src.doc_id")
+    first = twice.groupBy(*both).agg(F.min(F.struct("doc_id", "text_key", "from_word")).alias("src"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    found = join_split(twice, first.where("src.doc_id < hi").drop("hi"), both, twice.count()).where("doc_id > src.doc_id")
     span = F.struct("from_word", "to_word", F.col("src.doc_id").alias("s_doc"), F.col("src.text_key").alias("s_key"), F.col("src.from_word").alias("s_from"))
     per_text = found.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans"))
     return _verified(rows, materialize(_merged(per_text), "substring-found"))
 
 
-_ENDS = {"min": F.min, "max": F.max, "count": F.count}
-
-
 def _merged(per_text: DataFrame) -> DataFrame:
     """Spans that overlap or touch in a text and, at the same distance, in one source, as one."""
     kind = per_text.dtypes[0][1]
@@ -250,9 +240,9 @@ def _merged(per_text: DataFrame) -> DataFrame:
 def _verified(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """``spans`` with ``digest``: SHA-256 of the words at the source coordinates, which the removal compares with the words it removes."""
     at = ["s_doc", "s_key", "s_from", "length"]
-    spans = _dealt(spans.withColumn("length", F.col("to_word") - F.col("from_word")))
-    asked = spans.select(*at, "part").distinct()
-    wanted = asked.select(*at).distinct().groupBy(F.col("s_doc").alias("doc_id"), F.col("s_key").alias("text_key")).agg(F.collect_list(F.struct("s_from", "length")).alias("asked"))
+    spans = spans.withColumn("length", F.col("to_word") - F.col("from_word"))
+    asked = spans.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    wanted = asked.groupBy(F.col("s_doc").alias("doc_id"), F.col("s_key").alias("text_key")).agg(F.collect_list(F.struct("s_from", "length")).alias("asked"))
     wanted = materialize(wanted, "substring-sources")
     texts = _only(rows, wanted.select("doc_id", "text_key"), wanted.count()).dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"])
     kind = rows.dtypes[0][1]
@@ -274,8 +264,7 @@ def _verified(rows: DataFrame, spans: DataFrame) -> DataFrame:
             )
 
     known = texts.select("doc_id", "text_key", "text", "asked").mapInArrow(run, f"s_doc {kind}, s_key long, s_from int, length int, digest binary")
-    known = asked.join(known, at)
-    return spans.join(known, [*at, "part"]).select("doc_id", "text_key", "from_word", "to_word", "digest")
+    return join_split(spans, asked.join(known, at), at, spans.count()).select("doc_id", "text_key", "from_word", "to_word", "digest")
 
 
 def _digest(words: list[bytes]) -> bytes:

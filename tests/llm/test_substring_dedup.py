@@ -60,3 +60,16 @@ def test_samples_depend_on_the_window_alone():
     for s in range(0, 451, 7):
         _, alone = op.sampled(op.Runs(text[s : s + 50]), np.zeros(50, int), 20, 50)
         assert alone[0] == node[s] - s
+
+
+def test_hot_pieces_and_words_at_the_source(spark, monkeypatch):
+    """With every repeated hash counted as hot the result is the same; a span's digest is that of the words at its source."""
+    from dossiergrid.llm import hot_keys
+
+    monkeypatch.setattr(hot_keys, "LEAST", 0)
+    monkeypatch.setattr(hot_keys, "SHARE", 0.0)
+    rows = shared_passages()
+    assert sorted(map(tuple, op.substring_dedup(docs(spark, rows), 12).collect()), key=repr) == brute(rows, 12)
+    texts = spark.createDataFrame([(1, 7, bytearray(b"a b c d"))], "doc_id long, text_key long, text binary")
+    spans = spark.createDataFrame([(2, 8, 0, 2, 1, 7, 1)], "doc_id long, text_key long, from_word int, to_word int, s_doc long, s_key long, s_from int")
+    assert bytes(op._verified(texts, spans).first().digest) == op._digest([b"b", b"c"])
