@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot from this many rows and this part of all rows on, so there are at most ``1 / SHARE`` hot keys.
-LEAST, SHARE = 10_000, 1e-5
+LEAST, SHARE = 1_000, 1e-5
 #: Rows of one key are dealt to so many tasks.
 PARTS = 64
 

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossiergrid.llm.decontamination import WORD, small
-from dossiergrid.scratch import materialize
+from dossiergrid.llm.license_texts import FULL_TEXTS
+from dossiergrid.scratch import materialize, spread
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -181,7 +182,7 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, **options)
     Null and empty texts have no words and no license. Rows are documents of their own
     even where identifiers repeat or are null. Other columns are ignored.
     """
-    templates = template_table(docs.sparkSession, TEMPLATES) if templates is None else templates
+    templates = template_table(docs.sparkSession, TEMPLATES | FULL_TEXTS) if templates is None else templates
     rows, matches = license_matches(docs, templates, **options)
     found = matches.groupBy("row_id").agg(
         F.count(F.lit(1)).alias("n_matches"),
@@ -199,4 +200,4 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, **options)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return license_scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

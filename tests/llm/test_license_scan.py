@@ -89,3 +89,26 @@ def test_usual_licenses(spark):
     }
     got = {r.doc_id: r.licenses.split(",") for r in op.license_scan(docs(spark, [*enumerate(notices.values()), (99, "under the terms of the contract")])).collect()}
     assert all(name in got[k] for k, name in enumerate(notices)) and got[99] == [""]
+
+
+def test_recall_of_whole_texts_in_plain_text(spark):
+    """Whole license texts with some words changed, at any place of other text: what containment over the
+    whole document finds is the measure, and at least nine in ten of it must be retrieved (all of it is)."""
+    rng = random.Random(12)
+    rows, want = [], []
+    for k, (name, t) in enumerate([*op.FULL_TEXTS.items()] * 4):
+        own = t.split()
+        for _ in range(rng.randrange(len(own) // 60 + 1)):
+            own[rng.randrange(len(own))] = "changed"
+        w = words(rng, rng.randrange(400))
+        at = rng.randrange(len(w) + 1)
+        w[at:at] = own
+        rows.append((k, " ".join(w)))
+        have = {tuple(split(rows[-1][1])[i : i + 5]) for i in range(len(split(rows[-1][1])))}
+        for other, u in op.FULL_TEXTS.items():
+            s = {tuple(split(u)[i : i + 5]) for i in range(len(split(u)) - 4)}
+            want += [(k, other)] if len(s & have) >= 0.8 * len(s) else []
+    found = op.license_scan(docs(spark, rows), op.template_table(spark, op.FULL_TEXTS)).collect()
+    got = {(r.doc_id, x) for r in found for x in r.licenses.split(",") if x}
+    assert got <= set(want) and len(got & set(want)) >= 0.9 * len(set(want)) > 40
+    assert got == set(want)
