@@ -126,6 +126,42 @@ def valid_skill(value: str) -> bool:
     return not re.fullmatch(r"[\W\d_]+", value) and not re.match(r"(?:for|and|or|to|including|catering\s+to|no|not|without|lack(?:s|ing)?)\b", value, re.I)
 
 
+# Words that a wrapped skill line ends or begins with.
+_WRAPS_AFTER = re.compile(r"\b(?:and|or|of|in|for|with|to|subject|written|instructional|interactive|teaching|formative)\s*$", re.I)
+_WRAPS_FROM = re.compile(r"^(?:curriculum\s+and|verbal\s+and|modifying\b|integrating\b|utilizing\b|providing\b|excellent\s+in\b)", re.I)
+
+
+def wraps(item: str, line: str, joined: int) -> bool:
+    """Whether a short line goes on with the skill item before it, to which ``joined`` lines were put already."""
+    item = BULLET.sub("", item).strip()
+    if not item or not line or len(line.split()) > 5 or headings(line):
+        return False
+    if joined == 0 and item.count("(") > item.count(")") and line.count(")") > line.count("("):
+        return True
+    if line[0].islower():
+        return joined < 4
+    if _WRAPS_AFTER.search(item):
+        return True
+    return bool(_WRAPS_FROM.match(item)) and joined < (2 if item.lower().startswith("integrating") else 1)
+
+
+def unwrapped(lines: list[Line]) -> list[Line]:
+    """Lines, with the bulleted items of skill sections that were broken over several lines put together."""
+    out: list[Line] = []
+    joined, open_item = 0, False
+    for x in lines:
+        inside = x.section == "skills" and not x.heading and x.text
+        bullet = bool(inside and BULLET.match(x.text))
+        closes = bool(inside and out and out[-1].section == "skills" and not out[-1].heading and out[-1].text.count("(") > out[-1].text.count(")"))
+        if inside and not bullet and (open_item or closes) and wraps(out[-1].text, x.text, joined):
+            out[-1] = Line(f"{out[-1].text} {x.text}", x.section, False)
+            joined += 1
+            continue
+        out.append(x)
+        joined, open_item = 0, bullet
+    return out
+
+
 def skill_inventory(lines: list[Line], extra: list[str] = ()) -> list[str]:
     """Skills as the resume words them: the items of its skill sections, else catalog names it mentions."""
     out: dict[str, str] = {}
@@ -135,7 +171,7 @@ def skill_inventory(lines: list[Line], extra: list[str] = ()) -> list[str]:
         if key:
             out.setdefault(key, value)
 
-    for x in lines:
+    for x in unwrapped(lines):
         inline = re.match(r"^\s*[-*•▪]?\s*skills?\s*:\s*(.+)$", x.text, re.I)
         if inline or (x.section == "skills" and not x.heading):
             value = inline[1] if inline else re.sub(r"^(?:[\w/& ]{1,40}):\s*", "", x.text) if re.match(r"^(?:programming\s+)?(?:languages?|frameworks?|databases?|tools?|soft skills?|hard skills?|platforms?|technical|others?)\s*:", x.text, re.I) else x.text

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossiergrid.functions import claims
-from dossiergrid.functions.text import split_lines, text_or_empty
+from dossiergrid.functions.text import text_or_empty
 
 SIDES = ("required", "critical", "preferred")
 #: Jobs are sent to every executor up to this many rows and bytes of text; beyond it they are joined by salted key.
@@ -125,6 +125,8 @@ def skills_percentage(have: Column, required: Column) -> Column:
     return F.when(F.size(required) == 0, F.lit(100.0)).otherwise(F.bround(hit / F.size(required) * 100, 2))
 
 
-def raw_lines(text: Column) -> Column:
-    """All lines, for tests on texts without sections."""
-    return split_lines(text)
+def predefined_skills(text: Column, skills: Column) -> Column:
+    """The skills of a list that a text names as whole words, whatever their case, in the list's order; null as none."""
+    low = F.lower(text_or_empty(text))
+    quoted = lambda s: F.concat(F.lit(r"\b\Q"), F.regexp_replace(F.lower(F.trim(s)), r"\\E", ""), F.lit(r"\E\b"))
+    return F.transform(F.filter(trimmed(skills), lambda s: F.contains(low, F.lower(s)) & F.regexp_like(low, quoted(s))), lambda s: F.trim(s))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossiergrid.scratch import materialize, shuffle_partitions
+
 #: What a reviewer may set, and the orders of a list.
 REVIEW_STATUSES = ("Pending Review", "Reviewed", "Move to Interview", "Rejected", "Needs Clarification")
 PAGE = 20
@@ -38,18 +40,23 @@ def ranked_results(results: DataFrame, job_id: int | None = None, status: str |
 def candidate_navigation(results: DataFrame, job_id: int | None = None, status: str | None = None, sort: str | None = None) -> DataFrame:
     """``id``, ``previous_id``, ``next_id``, ``position``, ``total`` of every row of the review list.
 
-    The list of a job is as long as its applicants; the unfiltered one has a page, so the
-    window over the whole list is bounded by what is shown.
+    The list is cut into ranges of its order; a row's position is its place in its range plus
+    the lengths of the ranges before, and its neighbours are those of the positions beside it.
+    No task gets the whole list. Ids must be unique, as they are the last sort key.
     """
-    rows = ranked_results(results, job_id, status, sort)
-    order = Window.orderBy(*result_order(sort))
-    return rows.select(
-        "id",
-        F.lag("id").over(order).alias("previous_id"),
-        F.lead("id").over(order).alias("next_id"),
-        F.row_number().over(order).alias("position"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("total"),
-    )
+    order = result_order(sort)
+    rows = ranked_results(results, job_id, status, sort).select("id", "fit_score", "screened_at")
+    ranged = materialize(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).withColumn("part", F.spark_partition_id()), "review-list")
+    # One row per range.
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    listed = ranged.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).cast("int").alias("position"))
+    listed = materialize(listed, "review-places")
+    beside = lambda step, name: listed.select((F.col("position") + step).alias("position"), F.col("id").alias(name))
+    out = listed.join(beside(1, "previous_id"), "position", "left").join(beside(-1, "next_id"), "position", "left").crossJoin(F.broadcast(total))
+    return out.select("id", "previous_id", "next_id", "position", "total")
 
 
 def dashboard_counts(results: DataFrame, label: str = "recommendation_label", labels: tuple[str, ...] = ("Qualified", "For Review", "Not Qualified")) -> DataFrame:
@@ -153,3 +160,41 @@ def preview(items: Column, n: int) -> Column:
 def overridden(label: Column, fit: Column) -> Column:
     """A result that a rule rejected though its score would do."""
     return (label == "Not Qualified") & (fit >= 50)
+
+
+def by_key(rows: DataFrame, value: object, key: str = "id") -> DataFrame:
+    """The row of a key, or none; a null key finds nothing. The test reaches the scan."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def insert_numbered(rows: DataFrame, new: DataFrame, key: str = "id", buckets: int = 1024) -> DataFrame:
+    """``rows`` and ``new``, whose keys go on from the highest one without a gap.
+
+    New rows are numbered within buckets of their hash, and a bucket begins where those before
+    it end, so that no task numbers them all. Equal rows get numbers of their own.
+    """
+    new = materialize(new.withColumn("__bucket", F.pmod(F.xxhash64(*new.columns), F.lit(buckets)).cast("int")), "numbered")
+    sizes = new.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    base = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__base"))
+    top = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*[c for c in new.columns if c != "__bucket"]))
+    ids = (F.col("__top") + F.col("__base") + F.col("__place")).cast(rows.schema[key].dataType).alias(key)
+    kept = [c for c in new.columns if c not in (key, "__bucket")]
+    numbered = new.withColumn("__place", place).join(F.broadcast(base), "__bucket").crossJoin(F.broadcast(top)).select(ids, *kept)
+    return rows.unionByName(numbered, allowMissingColumns=True)
+
+
+def allowed(role: Column, roles: tuple[str, ...]) -> Column:
+    """Whether a user's role is one of those that may; nobody without a role may."""
+    return F.coalesce(role.isin(*roles), F.lit(False))
+
+
+def safe_next(target: Column) -> Column:
+    """Whether a link stays on this site: a path, and not one that names another host."""
+    return F.coalesce(target.startswith("/") & ~target.startswith("//"), F.lit(False))
+
+
+def within_limit(attempts: DataFrame, who: str, at: str, key: str, most: int = 5, window: str = "MINUTE") -> DataFrame:
+    """``attempts`` with ``admitted``: the first ``most`` of each address in each minute, by time and key."""
+    order = Window.partitionBy(who, F.date_trunc(window, F.col(at))).orderBy(at, key)
+    return attempts.withColumn("admitted", F.row_number().over(order) <= most)

@@ -237,14 +237,14 @@ def latest_review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     "upsert_and_seed",
     """
     SELECT coalesce(p.k, s.k) AS key, coalesce(s.name, p.name) AS name, p.size
-    FROM (SELECT p_partkey AS k, p_name AS name, p_size AS size FROM part WHERE p_partkey % 3 <> 0) p
-    FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN p_brand END AS name FROM part WHERE p_partkey % 2 = 0) s ON p.k = s.k
+    FROM (SELECT p_partkey AS k, p_name AS name, p_size AS size FROM part) p
+    FULL JOIN (SELECT s_suppkey * 30 AS k, CASE WHEN s_acctbal > 5000 THEN s_name END AS name FROM supplier) s ON p.k = s.k
     """,
 )
 def upsert_and_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    rows = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
-    changes = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("name"))
+    """All parts, changed and added to by all suppliers under keys of their own."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    changes = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 30).alias("key"), F.when(F.col("s_acctbal") > 5000, F.col("s_name")).alias("name"))
     return review.upsert(rows, changes, "key")
 
 
@@ -283,12 +283,13 @@ def doc_text_signature_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text <> ''),
     k AS (SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}_]+', ' ', 'g')) AS key FROM l),
     p AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM k)
-    SELECT doc_id, count(*) AS n_kept, count(*) FILTER (WHERE key <> '') AS n_words_kept FROM p WHERE key = '' OR before IS NULL OR key <> before GROUP BY doc_id
+    SELECT d.doc_id, count(p.doc_id) AS n_kept, count(*) FILTER (WHERE key <> '') AS n_words_kept
+    FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND (key = '' OR before IS NULL OR key <> before) GROUP BY d.doc_id
     """,
 )
 def adjacent_line_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text <> ''")
-    kept = docs.select("doc_id", text.drop_adjacent_duplicates(F.split("text", "\n")).alias("kept"))
+    found = F.when(F.col("text") != "", F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
+    kept = table(spark, sf_dir, "documents").select("doc_id", text.drop_adjacent_duplicates(found).alias("kept"))
     filled = F.size(F.filter("kept", lambda x: F.trim(F.regexp_replace(x, r"(?U)[^\w]+", " ")) != ""))
     return kept.select("doc_id", F.size("kept").cast("long").alias("n_kept"), filled.cast("long").alias("n_words_kept"))
 
@@ -315,12 +316,14 @@ def doc_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text <> ''),
     c AS (SELECT *, sum((trim(line) = '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM l)
-    SELECT doc_id, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(DISTINCT CASE WHEN trim(line) <> '' THEN block END) AS n_blocks FROM c GROUP BY doc_id
+    SELECT d.doc_id, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(DISTINCT CASE WHEN trim(line) <> '' THEN block END) AS n_blocks
+    FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
     """,
 )
 def doc_lines_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.evidence_lines(lines.line_table(table(spark, sf_dir, "documents").where("text <> ''"), "doc_id"), "doc_id")
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("block").alias("n_blocks"))
+    docs = table(spark, sf_dir, "documents")
+    rows = lines.evidence_lines(lines.line_table(docs, "doc_id"), "doc_id").select(F.col("doc_id").alias("own"), "block")
+    return docs.select("doc_id").join(rows, F.col("doc_id") == F.col("own"), "left").groupBy("doc_id").agg(F.count("own").alias("n_lines"), F.count_distinct("block").alias("n_blocks"))
 
 
 @query("doc_sections")
@@ -563,9 +566,16 @@ def duplicate_block_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.block_duplicates(duplicates.duplicate_keys(docs), docs.select("id"))
 
 
+def _all() -> None:
+    """Registers the queries of the other module, which needs this one's."""
+    from dossiergrid.plans import more  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
