@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossiergrid.functions.text import identity_signature, phone_signature, text_signature
+from dossiergrid.hot_keys import join_split
 from dossiergrid.scratch import materialize
 
 
@@ -52,16 +53,19 @@ def block_duplicates(keys: DataFrame, ids: DataFrame) -> DataFrame:
     A key that many uploads share needs no pairs among them: of one key only the earliest
     accepted upload matters, so a round compares each undecided upload with the least
     undecided and the least accepted one of each of its keys. Every round decides at
-    least the least undecided upload of every key.
+    least the least undecided upload of every key. The uploads of a key that many share are not
+    shuffled by it. Null identifiers have no place in the order and must not occur.
     """
     keys = materialize(keys.distinct(), "duplicate-keys")
+    total = keys.count()
     state = ids.select("id", F.lit(None).cast("boolean").alias("accepted")).distinct()
     while True:
         tagged = keys.join(state, "id")
         best = tagged.groupBy("kind", "value").agg(
-            F.min(F.when(F.col("accepted"), F.col("id"))).alias("first_accepted"), F.min(F.when(F.col("accepted").isNull(), F.col("id"))).alias("first_open")
+            F.min(F.when(F.col("accepted"), F.col("id"))).alias("first_accepted"), F.min(F.when(F.col("accepted").isNull(), F.col("id"))).alias("first_open"),
+            F.count(F.lit(1)).alias("n"),
         )
-        met = tagged.where("accepted is null").join(best, ["kind", "value"]).groupBy("id").agg(
+        met = join_split(tagged.where("accepted is null"), best, ["kind", "value"], total).groupBy("id").agg(
             F.min(F.when(F.col("first_accepted") < F.col("id"), F.col("first_accepted"))).alias("hit"), F.min("first_open").alias("least_open")
         )
         decided = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.col("hit").isNotNull(), F.lit(False)).when(
@@ -70,8 +74,10 @@ def block_duplicates(keys: DataFrame, ids: DataFrame) -> DataFrame:
         state = materialize(state.join(met, "id", "left").select("id", decided.alias("accepted")), "duplicate-state")
         if state.where("accepted is null").isEmpty():
             break
-    accepted = keys.join(state.where("accepted"), "id").groupBy("kind", "value").agg(F.min("id").alias("first"))
-    cause = keys.join(state.where("not accepted"), "id").join(accepted, ["kind", "value"]).where("first < id")
+    first = F.min(F.when(F.col("accepted"), F.col("id"))).alias("first")
+    tagged = keys.join(state, "id")
+    accepted = tagged.groupBy("kind", "value").agg(first, F.count(F.lit(1)).alias("n")).where("first is not null")
+    cause = join_split(tagged.where("not accepted"), accepted, ["kind", "value"], total).where("first < id")
     return state.join(cause.groupBy("id").agg(F.min("first").alias("duplicate_of")), "id", "left").select("id", "accepted", "duplicate_of")
 
 

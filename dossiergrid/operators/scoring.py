@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossiergrid.functions import lexicon as lx
+from dossiergrid.functions import wording as say
 from dossiergrid.functions.text import as_percent, degree_label, degree_rank, half_even, pick_phrase, split_lines, text_or_empty
 
 
@@ -64,13 +65,13 @@ def overruled(label: Column, e: dict[str, Column]) -> Column:
     """
     some = lambda name: F.size(e[name]) > 0
     needs_years = F.coalesce(e["experience_req"], F.lit(0)) > 0
-    critical = F.concat(F.lit("the resume is missing required critical skill(s): "), F.array_join(e["missing_critical"], ", "))
+    critical = F.concat(F.lit(say.RESUME_MISSING_REQUIRED), F.array_join(e["missing_critical"], ", "))
     rule = lambda label, reason: F.struct(F.lit(label).alias("label"), reason.alias("reason"))
     return (
         F.when(e["requires_all_critical"] & some("missing_critical"), rule(lx.NOT_QUALIFIED, critical))
-        .when(some("required") & ~some("matched"), rule(lx.NOT_QUALIFIED, F.lit("none of the configured required skills were found in the resume")))
-        .when(some("missing") & (label == lx.QUALIFIED), rule(lx.REVIEW, F.concat(F.lit("required skill(s) not evidenced in the resume: "), F.array_join(e["missing"], ", "))))
-        .when(needs_years & (e["years_score"] < 50), rule(lx.NOT_QUALIFIED, F.lit("the detected work experience is far below the configured minimum requirement")))
+        .when(some("required") & ~some("matched"), rule(lx.NOT_QUALIFIED, F.lit(say.NONE_CONFIGURED_REQUIRED)))
+        .when(some("missing") & (label == lx.QUALIFIED), rule(lx.REVIEW, F.concat(F.lit(say.REQUIRED_SKILL_NOT), F.array_join(e["missing"], ", "))))
+        .when(needs_years & (e["years_score"] < 50), rule(lx.NOT_QUALIFIED, F.lit(say.DETECTED_WORK_EXPERIENCE)))
         .when(needs_years & (e["years_score"] < 100) & (label == lx.QUALIFIED), rule(lx.REVIEW, F.lit(None).cast("string")))
         .otherwise(F.struct(label.alias("label"), F.lit(None).cast("string").alias("reason")))
     )
@@ -104,82 +105,82 @@ def confidence(e: dict[str, Column]) -> Column:
 
     true = F.lit(True)
     add(
-        ((length >= 700) & (n >= 100) & (variety >= 0.18) & (lines >= 8), 25, "resume text is substantial and structurally readable", None),
-        ((length >= 300) & (n >= 45) & (variety >= 0.12), 16, "resume text is readable but has limited extraction coverage", None),
-        (length > 0, 4, None, "resume text is sparse or repetitive, so extraction may be incomplete"),
-        (true, 0, None, "no readable resume text was available"),
+        ((length >= 700) & (n >= 100) & (variety >= 0.18) & (lines >= 8), 25, say.RESUME_TEXT_SUBSTANTIAL, None),
+        ((length >= 300) & (n >= 45) & (variety >= 0.12), 16, say.RESUME_TEXT_READABLE, None),
+        (length > 0, 4, None, say.RESUME_TEXT_SPARSE),
+        (true, 0, None, say.NO_READABLE_RESUME),
     )
     name = F.lower(F.trim(text_or_empty(e["name"])))
     add(
-        (~name.isin("", "unknown candidate", "unknown", "n/a"), 7, "candidate identity was detected", None),
-        (true, 0, None, "candidate name was not confidently detected"),
+        (~name.isin("", "unknown candidate", "unknown", "n/a"), 7, say.CANDIDATE_IDENTITY_DETECTED, None),
+        (true, 0, None, say.CANDIDATE_NAME_NOT),
     )
     # The placeholder of an unknown address counts as an address.
-    add(((text_or_empty(e["email"]) != "") | (text_or_empty(e["phone"]) != ""), 3, "contact evidence was detected", None))
+    add(((text_or_empty(e["email"]) != "") | (text_or_empty(e["phone"]) != ""), 3, say.CONTACT_EVIDENCE_DETECTED, None))
     required = F.size(F.filter(e["required"], lambda s: F.trim(s) != ""))
     matched = F.size(e["matched"])
-    add((required > 0, 15, None, None), (true, 0, None, "no required-skill list was configured"))
+    add((required > 0, 15, None, None), (true, 0, None, say.NO_REQUIRED_SKILL))
     add(
-        ((required > 0) & (matched + F.size(e["missing"]) == required), 5, "every configured required skill was evaluated", None),
-        (required > 0, 0, None, "required-skill results do not reconcile with the configured list"),
+        ((required > 0) & (matched + F.size(e["missing"]) == required), 5, say.EVERY_CONFIGURED_REQUIRED, None),
+        (required > 0, 0, None, say.REQUIRED_SKILL_RESULTS),
     )
     so_far = sum((p for p, _, _ in items), F.lit(0))
     add(
-        ((required > 0) & (matched == required), 5, "all required skills have direct text evidence", None),
-        ((required > 0) & (matched == 0) & (so_far < 40), 0, None, "missing skills may reflect incomplete text extraction"),
+        ((required > 0) & (matched == required), 5, say.ALL_REQUIRED_SKILLS, None),
+        ((required > 0) & (matched == 0) & (so_far < 40), 0, None, say.MISSING_SKILLS_MAY),
     )
     readable = (length >= 300) & (n >= 45)
     add(
-        (some("missing_critical") & readable, 5, "critical-skill rule was evaluated against readable text", None),
-        (some("missing_critical"), 0, None, "critical skills appear missing from incomplete resume text"),
-        (some("matched_critical"), 5, "critical-skill evidence was found", None),
+        (some("missing_critical") & readable, 5, say.CRITICAL_SKILL_RULE, None),
+        (some("missing_critical"), 0, None, say.CRITICAL_SKILLS_APPEAR),
+        (some("matched_critical"), 5, say.CRITICAL_SKILL_EVIDENCE, None),
     )
     needs = F.coalesce(e["experience_req"], F.lit(0)) > 0
     dated = F.exists(e["experience"], lambda r: F.coalesce(r["years"], F.lit(0.0)) > 0)
     total = F.aggregate(e["experience"], F.lit(0.0), lambda s, r: s + F.greatest(F.lit(0.0), F.coalesce(r["years"], F.lit(0.0))))
     complete = F.size(F.filter(e["experience"], both("job_title", "company")))
     add(
-        (needs & (dated | (e["years"] > 0)), 10, "work experience evidence was detected", None),
-        (needs & some("experience"), -8, None, "work roles were detected but their dates were not provided, so duration cannot be verified"),
-        (needs, 0, None, "work experience requirement exists but no work history was extracted"),
-        (some("experience") | (e["years"] > 0), 0, "work history was detected", None),
+        (needs & (dated | (e["years"] > 0)), 10, say.WORK_EXPERIENCE_EVIDENCE, None),
+        (needs & some("experience"), -8, None, say.WORK_ROLES_WERE),
+        (needs, 0, None, say.WORK_EXPERIENCE_REQUIREMENT),
+        (some("experience") | (e["years"] > 0), 0, say.WORK_HISTORY_DETECTED, None),
     )
     add(
         (needs & (complete > 0), F.least(F.lit(8), complete * 3), None, None),
-        (needs & some("experience"), 0, None, "work-history records are missing a title or employer"),
+        (needs & some("experience"), 0, None, say.WORK_HISTORY_RECORDS),
     )
     known = needs & (total > 0) & (e["years"] > 0)
     add(
-        (known & (F.abs(total - e["years"]) > F.greatest(F.lit(2.0), e["years"] * 0.5)), -8, None, "total experience conflicts with extracted work-history durations"),
-        (known, 4, "experience totals agree with extracted work history", None),
+        (known & (F.abs(total - e["years"]) > F.greatest(F.lit(2.0), e["years"] * 0.5)), -8, None, say.TOTAL_EXPERIENCE_CONFLICTS),
+        (known, 4, say.EXPERIENCE_TOTALS_AGREE, None),
     )
     score = e["experience_score"]
-    add((needs & (score.between(45, 55) | ((score >= 90) & (score < 100))), -5, None, "experience score is near a review boundary"))
+    add((needs & (score.between(45, 55) | ((score >= 90) & (score < 100))), -5, None, say.EXPERIENCE_SCORE_NEAR))
     schooled = degree_rank(e["education_req"]) > 0
     add(
-        (schooled & (some("education") | (e["education_score"] >= 100)), 8, "education evidence was detected", None),
-        (schooled, 0, None, "education requirement exists but no education history was extracted"),
-        (some("education"), 0, "education history was detected", None),
+        (schooled & (some("education") | (e["education_score"] >= 100)), 8, say.EDUCATION_EVIDENCE_DETECTED, None),
+        (schooled, 0, None, say.EDUCATION_REQUIREMENT_EXISTS),
+        (some("education"), 0, say.EDUCATION_HISTORY_DETECTED, None),
     )
     add(
         (schooled & F.exists(e["education"], both("degree", "institution")), 4, None, None),
-        (schooled & some("education"), 0, None, "education record is missing a degree or institution"),
+        (schooled & some("education"), 0, None, say.EDUCATION_RECORD_MISSING),
     )
-    add((schooled & (e["education_score"] >= 80) & (e["education_score"] < 100), -4, None, "education score is close but not a full match"))
+    add((schooled & (e["education_score"] >= 80) & (e["education_score"] < 100), -4, None, say.EDUCATION_SCORE_CLOSE))
     distance = F.least(F.abs(e["fit"] - lx.QUALIFIED_AT), F.abs(e["fit"] - e["minimum"]))
     add(
-        (distance <= 3, 0, None, "fit score is close to a decision threshold"),
-        (distance >= 12, 10, "fit score is well separated from decision thresholds", None),
+        (distance <= 3, 0, None, say.FIT_SCORE_CLOSE),
+        (distance >= 12, 10, say.FIT_SCORE_WELL, None),
         (true, 5, None, None),
     )
-    add((e["label"] == lx.REVIEW, 0, None, "decision is intentionally routed for human review"))
+    add((e["label"] == lx.REVIEW, 0, None, say.DECISION_INTENTIONALLY_ROUTED))
 
     points = F.greatest(F.lit(0), F.least(F.lit(100), sum((p for p, _, _ in items), F.lit(0))))
     level = F.when((points >= 75) & (e["label"] != lx.REVIEW), "High").when(points >= 45, "Medium").otherwise("Low")
     first = lambda k: F.array_join(F.slice(F.array_compact(F.array(*[x[k] for x in items])), 1, 3), "; ")
     part = lambda head, k: F.when(first(k) != "", F.concat(F.lit(head), first(k), F.lit(".")))
     reason = F.concat_ws(
-        " ", F.format_string("Evidence confidence score: %d/100.", points), part("Confidence support: ", 1), part("Reviewer should verify: ", 2)
+        " ", F.format_string(say.EVIDENCE_CONFIDENCE_SCORE, points), part("Confidence support: ", 1), part(say.REVIEWER_SHOULD_VERIFY, 2)
     )
     return F.struct(points.alias("score"), level.alias("level"), reason.alias("reason"))
 
@@ -222,78 +223,76 @@ def narrative(e: dict[str, Column]) -> Column:
         F.when(
             reason.isNotNull(),
             _say(
-                "This candidate is marked Not Qualified for the {} role because {}. The overall fit score remains {}% to reflect the weighted "
-                "skills, experience, and education evidence separately from the rule outcome.",
+                say.CANDIDATE_MARKED_NOT,
                 title, reason, fit,
             ),
         )
-        .when(strong, _say("This candidate is a strong match for the {} role, achieving an overall fit score of {}% - well above the qualification threshold.", title, fit))
-        .when(moderate, _say("This candidate shows a moderate fit for the {} role with an overall fit score of {}%, placing them in the 'For Review' category.", title, fit))
-        .otherwise(_say("This candidate does not meet the minimum qualifications for the {} role, scoring {}% overall - below the required threshold.", title, fit))
+        .when(strong, _say(say.CANDIDATE_STRONG_MATCH, title, fit))
+        .when(moderate, _say(say.CANDIDATE_SHOWS_MODERATE, title, fit))
+        .otherwise(_say(say.CANDIDATE_DOES_NOT, title, fit))
     )
     m, x = F.size(e["matched"]), F.size(e["missing"])
     bonus = F.when(
         _some(e["matched_preferred"]),
         _say(
-            " The candidate also matched {} preferred skill(s) ({}{}), earning a +{}pt bonus.",
+            say.CANDIDATE_ALSO_MATCHED,
             F.size(e["matched_preferred"]), _list(e["matched_preferred"], 3), F.when(F.size(e["matched_preferred"]) > 3, "...").otherwise(""), as_percent(e["bonus"]),
         ),
     ).otherwise(F.lit(""))
     skills = (
-        F.when(m + x == 0, F.lit("No specific required skills were defined for this role, so skill matching was not evaluated."))
-        .when(x == 0, _say("Notably, the candidate demonstrates all {} required skill(s) ({}), achieving a perfect skills match score.", m, _list(e["matched"])))
-        .when(m == 0, _say("The resume did not surface any of the {} required skill(s) ({}). This is the primary driver of the low overall score.", x, _list(e["missing"])))
+        F.when(m + x == 0, F.lit(say.NO_SPECIFIC_REQUIRED))
+        .when(x == 0, _say(say.NOTABLY_CANDIDATE_DEMONSTRATES, m, _list(e["matched"])))
+        .when(m == 0, _say(say.RESUME_DID_NOT, x, _list(e["missing"])))
         .otherwise(
             _say(
-                "Out of {} required skill(s), {} matched: {}. The {} missing skill(s) - {} - account for the skills gap and result in a required "
-                "skills score of {}%.{}",
+                say.OUT_REQUIRED_SKILL,
                 m + x, m, _more(e["matched"]), x, _more(e["missing"]), as_percent(e["skill_score"]), bonus,
             )
         )
     )
     critical = F.concat_ws(
         "; ",
-        F.when(_some(e["matched_critical"]), F.concat(F.lit("matched critical skill(s): "), _list(e["matched_critical"]))),
-        F.when(_some(e["missing_critical"]), F.concat(F.lit("missing critical skill(s): "), _list(e["missing_critical"]))),
+        F.when(_some(e["matched_critical"]), F.concat(F.lit(say.MATCHED_CRITICAL_SKILL), _list(e["matched_critical"]))),
+        F.when(_some(e["missing_critical"]), F.concat(F.lit(say.MISSING_CRITICAL_SKILL), _list(e["missing_critical"]))),
     )
-    skills = F.concat(skills, F.when(critical != "", _say(" Critical-skill check: {}.", critical)).otherwise(F.lit("")))
+    skills = F.concat(skills, F.when(critical != "", _say(say.CRITICAL_SKILL_CHECK, critical)).otherwise(F.lit("")))
     needs = F.coalesce(e["experience_req"], F.lit(0)) > 0
     exp, req = as_percent(e["experience_score"]), e["experience_req"]
     experience = (
         F.when(
             needs & (e["years"] >= req),
-            _say("Their work history indicates approximately {} year(s) of relevant experience, meeting or exceeding the {}-year requirement (experience score: {}%).", _years(e["years"]), req, exp),
+            _say(say.THEIR_WORK_HISTORY, _years(e["years"]), req, exp),
         )
         .when(
             needs & (e["years"] > 0),
-            _say("Their work history reflects around {} year(s) of experience, which falls short of the {}-year requirement (experience score: {}%).", _years(e["years"]), req, exp),
+            _say(say.THEIR_WORK_HISTORY_REFLECTS, _years(e["years"]), req, exp),
         )
         .when(
             needs,
-            _say("No verifiable work experience timeline was detected in the resume. The role requires {} year(s) of experience, resulting in an experience score of 0%.", req),
+            _say(say.NO_VERIFIABLE_WORK, req),
         )
         .when(
             e["years"] > 0,
-            _say("No minimum experience was specified for this role; the candidate's resume indicates approximately {} year(s) of relevant work history.", _years(e["years"])),
+            _say(say.NO_MINIMUM_EXPERIENCE, _years(e["years"])),
         )
-        .otherwise(F.lit("No minimum experience was specified for this role, and no explicit experience timeline was detected in the resume."))
+        .otherwise(F.lit(say.NO_MINIMUM_EXPERIENCE_SPECIFIED))
     )
     have = F.coalesce(F.array_max(F.transform(e["education"], lambda r: degree_rank(r["degree"]))), F.lit(0))
     want = degree_rank(e["education_req"])
     edu = as_percent(e["education_score"])
     education = (
-        F.when(want == 0, _say("No specific education requirement was set for this role. The candidate's highest detected credential is a {}.", degree_label(have)))
+        F.when(want == 0, _say(say.NO_SPECIFIC_EDUCATION, degree_label(have)))
         .when(
             have >= want,
-            _say("The candidate's detected education level ({}) meets or exceeds the required {} for this role (education score: {}%).", degree_label(have), degree_label(want), edu),
+            _say(say.CANDIDATE_DETECTED_EDUCATION, degree_label(have), degree_label(want), edu),
         )
-        .otherwise(_say("The candidate's detected education ({}) does not meet the required {} for this role (education score: {}%).", degree_label(have), degree_label(want), edu))
+        .otherwise(_say(say.CANDIDATE_DETECTED_EDUCATION_DOES, degree_label(have), degree_label(want), edu))
     )
     closing = (
-        F.when(reason.isNotNull(), "Recommendation: Do not advance unless the rule-triggering gap is resolved or verified differently during human review.")
-        .when(strong, "Recommendation: Advance to the next stage. This candidate presents a compelling profile and is well-suited for further evaluation.")
-        .when(moderate, "Recommendation: Human review advised. The candidate shows promise but has gaps that should be explored further during an interview or assessment.")
-        .otherwise("Recommendation: Not advised for advancement at this stage. The candidate's profile does not meet the minimum criteria required for this position.")
+        F.when(reason.isNotNull(), say.RECOMMENDATION_DO_NOT)
+        .when(strong, say.RECOMMENDATION_ADVANCE_TO)
+        .when(moderate, say.RECOMMENDATION_HUMAN_REVIEW)
+        .otherwise(say.RECOMMENDATION_NOT_ADVISED)
     )
     return F.concat_ws(" ", opening, skills, experience, education, closing)
 
@@ -317,16 +316,16 @@ def decision_explanation(e: dict[str, Column]) -> Column:
     verdict = by_label(
         {
             lx.QUALIFIED: F.concat(
-                pick(0, "Decision: Qualified for {}.", "Decision: This applicant is qualified for {}.", "Decision: The resume reached Qualified status for {}.", values=(title,)),
-                _say(" Fit score: {}%. No hard disqualification rule was triggered.", fit),
+                pick(0, say.DECISION_QUALIFIED, say.DECISION_APPLICANT_QUALIFIED, say.DECISION_RESUME_REACHED, values=(title,)),
+                _say(say.FIT_SCORE_NO, fit),
             ),
             lx.REVIEW: F.concat(
-                pick(0, "Decision: For Review for {}.", "Decision: This applicant needs manual review for {}.", "Decision: The resume is not a clear pass or fail for {}.", values=(title,)),
-                _say(" Fit score: {}%. Some useful evidence was found, but important gaps still need checking.", fit),
+                pick(0, say.DECISION_REVIEW, say.DECISION_APPLICANT_NEEDS, say.DECISION_RESUME_NOT, values=(title,)),
+                _say(say.FIT_SCORE_SOME, fit),
             ),
             lx.NOT_QUALIFIED: F.concat(
-                pick(0, "Decision: Not Qualified for {}.", "Decision: This applicant is not qualified for {}.", "Decision: The resume did not meet the minimum screening standard for {}.", values=(title,)),
-                _say(" Fit score: {}%. One or more screening rules found a gap that is too large to ignore.", fit),
+                pick(0, say.DECISION_NOT_QUALIFIED, say.DECISION_APPLICANT_NOT, say.DECISION_RESUME_DID, values=(title,)),
+                _say(say.FIT_SCORE_ONE, fit),
             ),
         }
     )
@@ -338,11 +337,11 @@ def decision_explanation(e: dict[str, Column]) -> Column:
             when(_some(e["matched"]), F.concat(F.lit("required skill(s): "), _list(e["matched"], 5))),
             when(_some(e["matched_critical"]), F.concat(F.lit("critical skill(s): "), _list(e["matched_critical"], 5))),
             when(_some(e["matched_preferred"]), F.concat(F.lit("preferred skill(s): "), _list(e["matched_preferred"], 5))),
-            when(worked & needs & (e["years"] >= req), _say("work experience advantage: about {} year(s), meeting the {}-year requirement", years, req)),
-            when(worked & needs & (e["years"] < req), _say("work experience advantage: about {} year(s), but below the {}-year requirement", years, req)),
-            when(worked & ~needs, _say("work experience advantage: about {} year(s)", years)),
-            when(~worked & ~needs, "no minimum experience requirement was set"),
-            when(e["education_score"] >= 100, "education requirement appears satisfied"),
+            when(worked & needs & (e["years"] >= req), _say(say.WORK_EXPERIENCE_ADVANTAGE, years, req)),
+            when(worked & needs & (e["years"] < req), _say(say.WORK_EXPERIENCE_ADVANTAGE_ABOUT, years, req)),
+            when(worked & ~needs, _say(say.WORK_EXPERIENCE_ADVANTAGE_ABOUT_YEAR, years)),
+            when(~worked & ~needs, say.NO_MINIMUM_EXPERIENCE_REQUIREMENT),
+            when(e["education_score"] >= 100, say.EDUCATION_REQUIREMENT_APPEARS),
         )
     )
     rest = lambda items, head: when(F.size(items) > 1, _say(head, F.array_join(F.slice(items, F.lit(2), F.greatest(F.lit(0), F.size(items) - 1)), "; ")))
@@ -351,77 +350,77 @@ def decision_explanation(e: dict[str, Column]) -> Column:
         _some(strengths),
         F.concat_ws(
             "",
-            pick(1, "Strengths: the applicant's main advantage is {}.", "Strengths: the strongest evidence is {}.", "Strengths: what works in the applicant's favor is {}.", values=(head,)),
+            pick(1, say.STRENGTHS_APPLICANT_MAIN, say.STRENGTHS_STRONGEST_EVIDENCE, say.STRENGTHS_WHAT_WORKS, values=(head,)),
             rest(strengths, " Also found: {}."),
         ),
-    ).otherwise(F.lit("Strengths: no clear advantage was detected from the configured requirements."))
+    ).otherwise(F.lit(say.STRENGTHS_NO_CLEAR))
     gaps = F.array_compact(
         F.array(
-            when(_some(e["missing_critical"]), F.concat(F.lit("missing critical skill(s): "), _list(e["missing_critical"]))),
-            when(_some(e["missing"]), F.concat(F.lit("missing required skill(s): "), _list(e["missing"]))),
-            when(needs & (e["experience_score"] < 100), _say("experience score did not fully clear the {}-year requirement", req)),
+            when(_some(e["missing_critical"]), F.concat(F.lit(say.MISSING_CRITICAL_SKILL), _list(e["missing_critical"]))),
+            when(_some(e["missing"]), F.concat(F.lit(say.MISSING_REQUIRED_SKILL), _list(e["missing"]))),
+            when(needs & (e["experience_score"] < 100), _say(say.EXPERIENCE_SCORE_DID, req)),
             when(
                 e["education_score"] < 100,
-                _say("education did not fully match the configured requirement ({})", F.coalesce(F.nullif(e["education_req"], F.lit("")), F.lit("not specified"))),
+                _say(say.EDUCATION_DID_NOT, F.coalesce(F.nullif(e["education_req"], F.lit("")), F.lit("not specified"))),
             ),
         )
     )
     first_gap = F.try_element_at(gaps, F.lit(1))
     weak = F.when(
         _some(gaps), F.concat_ws("", pick(2, "Concern: {}.", "Gap: {}.", "Weakness: {}.", values=(first_gap,)), rest(gaps, " Also check: {}."))
-    ).otherwise(F.lit("Concern: no major gap was detected, but the extracted resume details should still be verified."))
+    ).otherwise(F.lit(say.CONCERN_NO_MAJOR))
     risks = F.array_compact(
         F.array(
-            when(_some(e["missing_critical"]), F.concat(F.lit("missing critical skill(s): "), _list(e["missing_critical"]))),
-            when((total > 0) & (m == 0), "zero required skills were matched"),
-            when((total > 0) & (m > 0) & (m * 2 < total), "less than half of the required skills were matched"),
-            when(needs & (e["experience_score"] < 50), "experience is far below the minimum requirement"),
-            when(needs & (e["experience_score"] >= 50) & (e["experience_score"] < 100), "experience is below the stated minimum requirement"),
-            when(_some(e["missing"]) & (label != lx.NOT_QUALIFIED), "some required skills are still missing"),
+            when(_some(e["missing_critical"]), F.concat(F.lit(say.MISSING_CRITICAL_SKILL), _list(e["missing_critical"]))),
+            when((total > 0) & (m == 0), say.ZERO_REQUIRED_SKILLS),
+            when((total > 0) & (m > 0) & (m * 2 < total), say.LESS_THAN_HALF),
+            when(needs & (e["experience_score"] < 50), say.EXPERIENCE_FAR_BELOW),
+            when(needs & (e["experience_score"] >= 50) & (e["experience_score"] < 100), say.EXPERIENCE_BELOW_STATED),
+            when(_some(e["missing"]) & (label != lx.NOT_QUALIFIED), say.SOME_REQUIRED_SKILLS),
         )
     )
     named = F.array_join(risks, ", ")
     risk = F.when(
-        _some(risks), pick(3, "Risk to review: {}.", "Manual review should focus on: {}.", "Most important risk: {}.", values=(named,))
+        _some(risks), pick(3, say.RISK_TO_REVIEW, say.MANUAL_REVIEW_SHOULD, say.MOST_IMPORTANT_RISK, values=(named,))
     ).otherwise(
         pick(
             4,
-            "Risk to review: no major rule-based risk was detected.",
-            "Manual review focus: verify that the extracted resume details are accurate.",
-            "Most important risk: no high-risk issue was detected by the configured rules.",
+            say.RISK_TO_REVIEW_NO,
+            say.MANUAL_REVIEW_FOCUS,
+            say.MOST_IMPORTANT_RISK_NO,
         )
     )
     scores = tuple(as_percent(e[k]) for k in ("skill_score", "experience_score", "education_score"))
     requirements = F.when(
-        total > 0, _say("Matched {} out of {} required skill(s). Scores: skills {}%, experience {}%, education {}%.", m, total, *scores)
-    ).otherwise(_say("No required-skill list was provided. Scores: experience {}%, education {}%.", *scores[1:]))
+        total > 0, _say(say.MATCHED_OUT_REQUIRED, m, total, *scores)
+    ).otherwise(_say(say.NO_REQUIRED_SKILL_LIST, *scores[1:]))
     preferred = F.when(
-        _some(e["matched_preferred"]), _say("Preferred skill bonus: +{}; it does not replace required skills.", F.format_string("%.2f", half_even(e["bonus"], 2)))
-    ).otherwise(F.lit("No preferred-skill bonus was applied."))
-    similarity = F.when(e["similarity"].isNotNull(), _say("Text similarity: {}% (10% of the fit score).", as_percent(e["similarity"]))).otherwise(
-        F.lit("Text similarity was not available and did not affect the decision.")
+        _some(e["matched_preferred"]), _say(say.PREFERRED_SKILL_BONUS, F.format_string("%.2f", half_even(e["bonus"], 2)))
+    ).otherwise(F.lit(say.NO_PREFERRED_SKILL))
+    similarity = F.when(e["similarity"].isNotNull(), _say(say.TEXT_SIMILARITY_FIT, as_percent(e["similarity"]))).otherwise(
+        F.lit(say.TEXT_SIMILARITY_NOT)
     )
-    weights = "skills 50%, experience 25%, education 15%, text similarity 10%."
+    weights = say.SKILLS_EXPERIENCE_EDUCATION
     scoring = F.concat_ws(" ", pick(5, f"Scoring: {weights}", f"Score basis: {weights}", f"Fit score weights: {weights}"), requirements, preferred, similarity)
     advice = by_label(
         {
             lx.QUALIFIED: pick(
                 6,
-                "Reviewer recommendation: advance to the next screening stage after verifying the extracted evidence.",
-                "Reviewer recommendation: consider moving forward, but confirm the resume details manually.",
-                "Reviewer recommendation: suitable for next-stage screening, pending human verification.",
+                say.REVIEWER_RECOMMENDATION_ADVANCE,
+                say.REVIEWER_RECOMMENDATION_CONSIDER,
+                say.REVIEWER_RECOMMENDATION_SUITABLE,
             ),
             lx.REVIEW: pick(
                 7,
-                "Reviewer recommendation: review the gaps before deciding whether to move forward.",
-                "Reviewer recommendation: check the weaker areas manually before advancing.",
-                "Reviewer recommendation: use this as a review queue item, not a final decision.",
+                say.REVIEWER_RECOMMENDATION_REVIEW,
+                say.REVIEWER_RECOMMENDATION_CHECK,
+                say.REVIEWER_RECOMMENDATION_USE,
             ),
             lx.NOT_QUALIFIED: pick(
                 8,
-                "Reviewer recommendation: do not advance unless clearer evidence addresses the missing requirements.",
-                "Reviewer recommendation: hold from advancement unless additional information resolves the gaps.",
-                "Reviewer recommendation: current resume evidence is not strong enough for next-stage screening.",
+                say.REVIEWER_RECOMMENDATION_DO,
+                say.REVIEWER_RECOMMENDATION_HOLD,
+                say.REVIEWER_RECOMMENDATION_CURRENT,
             ),
         }
     )

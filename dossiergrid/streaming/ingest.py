@@ -27,7 +27,8 @@ def screen_batch(files: DataFrame, accepted_path: str, rejected_path: str, as_of
 
     Earlier accepted resumes can refuse new ones; new ones refuse each other in the order of
     their paths. A batch that runs again writes the same rows under its number, and the
-    accepted table is read without that number, so nothing refuses itself.
+    table of accepted keys is read without that number, so nothing refuses itself. That table, beside
+    the accepted one, is all that a batch looks at: no stored resume is read or decided again.
     """
     spark = files.sparkSession
     texts = materialize(extract_texts(files), "ingest-texts")
@@ -36,17 +37,25 @@ def screen_batch(files: DataFrame, accepted_path: str, rejected_path: str, as_of
     facts = materialize(facts.join(texts.select("path", "file_hash"), "path"), "ingest-facts")
     # New uploads come behind all stored ones: the stamp orders them.
     new = facts.withColumn("id", F.format_string("%012d:%s", F.lit(batch_id), F.col("path")))
-    old = stored(spark, accepted_path)
-    old = old.where(F.col("batch") != batch_id) if old is not None else None
     columns = ["id", "file_hash", "email", "phone", "name", "text", "experience", "education"]
-    pool = new.select(*columns)
-    pool = pool.unionByName(old.select(*columns)) if old is not None else pool
-    decided = block_duplicates(duplicate_keys(pool), pool.select("id"))
+    keys = materialize(duplicate_keys(new.select(*columns)), "ingest-keys")
+    # Of what is stored, only the keys that a new upload has too; accepted resumes share none among each other.
+    keys_path = f"{accepted_path.rstrip('/')}-keys"
+    old = stored(spark, keys_path)
+    ids, pool = new.select("id"), keys
+    if old is not None:
+        known = old.where(F.col("batch") != batch_id).join(keys.select("kind", "value").distinct(), ["kind", "value"], "left_semi").select("id", "kind", "value")
+        known = materialize(known, "ingest-known")
+        ids, pool = ids.unionByName(known.select("id").distinct()), pool.unionByName(known)
+    decided = block_duplicates(pool, ids)
     outcome = new.join(decided, "id").withColumn("batch", F.lit(batch_id))
+    outcome = materialize(outcome, "ingest-outcome")
+    dynamic = lambda rows: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
     refused = outcome.where("not accepted").select("path", F.concat(F.lit("duplicate of "), "duplicate_of").alias("reason"))
-    outcome.where("accepted").drop("accepted", "duplicate_of").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(accepted_path)
+    dynamic(outcome.where("accepted").drop("accepted", "duplicate_of")).parquet(accepted_path)
+    dynamic(keys.join(outcome.where("accepted").select("id"), "id", "left_semi").withColumn("batch", F.lit(batch_id))).parquet(keys_path)
     rejected = refused.unionByName(unread).withColumn("batch", F.lit(batch_id))
-    rejected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejected_path)
+    dynamic(rejected).parquet(rejected_path)
 
 
 def screen_stream(spark: SparkSession, incoming: str, accepted_path: str, rejected_path: str, checkpoint: str, as_of: str) -> DataStreamWriter:
