@@ -29,6 +29,7 @@ _ENTITIES = [
     ),
     ("license", r"licensed professional teacher|let passer|lpt|teaching license|professional teaching certificate", None),
 ]
+# How a line of duties begins.
 _DUTY = (
     r"(?i)^(?:responsible|managed|developed|created|implemented|prepared|provided|assisted|collaborated|communicated|conducted|facilitated"
     r"|maintained|organized|coordinated|handled|taught|designed|supported|encourag(?:e|ed|ing)|ensur(?:e|ed|ing)|observ(?:e|ed|ing)"
@@ -102,6 +103,7 @@ def _checked(*cases: tuple[Column, str]) -> Column:
     return F.struct(reason.isNull().alias("valid"), reason.alias("reason"))
 
 
+# The reasons of both checks are fixed values.
 def check_experience(title: Column, company: Column, years: Column, duration_unknown: Column) -> Column:
     """``struct<valid,reason>`` of a work record."""
     title, company = (F.trim(F.regexp_replace(text_or_empty(c), r"\s+", " ")) for c in (title, company))
