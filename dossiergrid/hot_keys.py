@@ -15,6 +15,8 @@ def join_split(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -
     The rows of hot keys stay where they are and meet those keys by a broadcast, which
     ``SHARE`` bounds whatever the data are; the others are shuffled by key. ``n`` is left out.
     """
+    if total <= LEAST:  # then no key can be hot
+        return rows.join(table.drop("n"), keys)
     hot = F.col("n") > max(LEAST, int(total * SHARE))
     few = F.broadcast(table.where(hot).drop("n"))
     met = rows.join(few, keys)
