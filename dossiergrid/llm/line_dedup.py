@@ -23,12 +23,12 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossiergrid.llm.hot_keys import join_dealt
+from dossiergrid.llm.batches import bound_batches
+from dossiergrid.hot_keys import join_split
 from dossiergrid.scratch import materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -223,6 +223,7 @@ class LineIndex:
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index with these documents in it; those it holds already change nothing."""
+        bound_batches(self.spark)
         new = self._keys_of(docs, id_col, text_col).select("key", "doc_id").distinct()
         if self.steps:
             known = self.references.select(F.col("key").alias("known"), F.col("doc_id").alias("known_doc"))
@@ -292,6 +293,7 @@ class LineIndex:
 
         A null or empty text is one empty line. Repeated rows are treated alike.
         """
+        bound_batches(self.spark)
         keys = self._keys_of(docs, id_col, text_col)
         piece = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PIECES)).cast("int")
         none = F.lit(None).cast("binary").alias("blob")
@@ -316,10 +318,11 @@ class LineIndex:
                         maybe[a:b] = held.might_hold(_hashes(batch.column(3).slice(a, b - a).to_pylist()))
                 yield batch.filter(pa.array(maybe)).select(["key", "doc_id", "text_key"])
 
-        keys = both.mapInArrow(probe, keys.schema)
+        keys = materialize(both.mapInArrow(probe, keys.schema), "line-probed")
         # The exact counts decide; false positives of a filter end here.
         frequent = self.counts.where(F.col("n_docs") >= self.min_docs).select("key", "max_doc")
-        lost = join_dealt(keys, frequent, "key", F.struct("doc_id", "text_key")).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+        met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        lost = join_split(keys, met.join(frequent, "key"), ["key"], keys.count()).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
         lost = lost.groupBy(F.col("doc_id").alias("lost_doc"), F.col("text_key").alias("lost_text")).agg(F.collect_set("key").alias("lost"))
         text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
         rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -362,23 +365,25 @@ def _latest(table: DataFrame, versions: int, key: str) -> DataFrame:
 def _updated(old: DataFrame | None, crossed: DataFrame, grow: int = 1) -> DataFrame:
     """(shard, blob) of every shard in ``crossed``; a null blob where the keys don't fit into the filter."""
 
-    def change(held: CuckooFilter | None, steps: pd.DataFrame) -> bytes | None:
-        plus, minus = (_hashes(list(steps["key"][steps["step"] * way > 0])) for way in (1, -1))
+    def change(held: CuckooFilter | None, steps: pa.Table) -> pa.Table:
+        keys, way = steps["key"].to_pylist(), steps["step"].to_pylist()
+        plus, minus = (_hashes([k for k, w in zip(keys, way, strict=True) if w * sign > 0]) for sign in (1, -1))
         held = CuckooFilter.sized(2 * grow * len(plus)) if held is None else held
         held.remove(minus)
-        return held.to_bytes() if held.items + len(plus) <= held.capacity and held.add(plus) else None
+        blob = held.to_bytes() if held.items + len(plus) <= held.capacity and held.add(plus) else None
+        return pa.table({"shard": pa.array([steps["shard"][0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
-    def one(key: tuple, steps: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [key[0]], "blob": [change(None, steps)]})
+    def one(steps: pa.Table) -> pa.Table:
+        return change(None, steps)
 
-    def both(key: tuple, was: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-        if not len(steps):  # not touched: its last filter holds
-            return pd.DataFrame({"shard": pd.Series([], dtype="int32"), "blob": pd.Series([], dtype=object)})
-        return pd.DataFrame({"shard": [key[0]], "blob": [change(CuckooFilter.from_bytes(was["blob"][0]) if len(was) else None, steps)]})
+    def both(was: pa.Table, steps: pa.Table) -> pa.Table:
+        if not steps.num_rows:  # not touched: its last filter holds
+            return pa.table({"shard": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        return change(CuckooFilter.from_bytes(was["blob"][0].as_py()) if was.num_rows else None, steps)
 
     if old is None:
-        return crossed.groupBy("shard").applyInPandas(one, "shard int, blob binary")
-    return old.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(both, "shard int, blob binary")
+        return crossed.groupBy("shard").applyInArrow(one, "shard int, blob binary")
+    return old.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(both, "shard int, blob binary")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

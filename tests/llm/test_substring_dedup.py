@@ -64,7 +64,7 @@ def test_samples_depend_on_the_window_alone():
 
 def test_hot_pieces_and_words_at_the_source(spark, monkeypatch):
     """With every repeated hash counted as hot the result is the same; a span's digest is that of the words at its source."""
-    from dossiergrid.llm import hot_keys
+    from dossiergrid import hot_keys
 
     monkeypatch.setattr(hot_keys, "LEAST", 0)
     monkeypatch.setattr(hot_keys, "SHARE", 0.0)
