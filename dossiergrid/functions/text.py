@@ -303,6 +303,19 @@ def months_covered(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), start, step)["sum"]
 
 
+def ranges_near_work(text: Column, as_of: str) -> Column:
+    """The first date range of each line that, with the lines beside it, tells of work and not of studies or an honour."""
+    work = r"(?i)\b(?:" + "|".join(lx.WORK_HINTS) + r")\b"
+    none = F.array().cast("array<struct<from:int,to:int>>")
+
+    def of(lines: Column) -> Column:
+        beside = lambda i: F.concat_ws(" ", F.slice(lines, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)))
+        fits = lambda x, i: beside(i).rlike(work) & ~beside(i).rlike(f"(?i){lx.STUDY_HINTS}") & ~x.rlike(f"(?i){lx.HONOUR_HINTS}")
+        return F.flatten(F.transform(lines, lambda x, i: F.when(x.rlike(DATE_RANGE) & fits(x, i), F.slice(date_ranges(x, as_of), 1, 1)).otherwise(none)))
+
+    return let(F.split(text_or_empty(text), "\n"), of)
+
+
 def stated_years(text: Column) -> Column:
     """The largest stated total of years of experience over 0 and up to 50; null if none is stated."""
     t = text_or_empty(text)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossiergrid.functions import lexicon as lx
-from dossiergrid.functions.text import date_ranges, email_of, half_even, months_covered, phone_of, stated_years, text_or_empty
+from dossiergrid.functions.text import date_ranges, email_of, half_even, months_covered, phone_of, ranges_near_work, stated_years, text_or_empty
 from dossiergrid.operators.records import BULLET, DATE, EMPLOYER, MONTH, TITLE, education, experience, tidy, years_of
 
 __all__ = ["education", "experience", "years_of"]
@@ -291,12 +291,13 @@ def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: s
 
 
 def total_years(text: Column, records: Column, as_of: str) -> Column:
-    """Years of experience from what is stated, from the ranges in the text's work section, or from the records."""
+    """Years of experience from what is stated, from the ranges in the text's work section, from the records, or from ranges near words of work."""
     head = r"(?:(?:work\s+)?experiences?|employment(?:\s+history)?|work\s+history|professional\s+(?:experience|background)|career\s+history|teaching\s+experience|positions?\s+held)"
     stop = r"(?:education(?:al)?(?:\s+background)?|skills?|certifications?|achievements?|awards?|projects?|interests?|languages?|publications?|summary|objective|profile|affiliations?|seminars?|references?|personal\s+(?:information|data)|volunteer)"
     body = F.regexp_extract(text_or_empty(text), rf"(?ims)^\s*{head}\s*:?\s*$\n(.*?)(?=^\s*{stop}\s*:?\s*$|\z)", 1)
     months = months_covered(date_ranges(body, as_of))
     summed = F.aggregate(records, F.lit(0.0), lambda s, r: s + F.coalesce(r["years"], F.lit(0.0)))
     capped = lambda value: F.least(half_even(value, 1), F.lit(40.0))
-    found = F.when((F.size(records) > 0) & (months > 0), capped(months / 12)).when(summed > 0, capped(summed)).otherwise(F.lit(0.0))
+    found = F.when((F.size(records) > 0) & (months > 0), capped(months / 12)).when(summed > 0, capped(summed))
+    found = found.otherwise(capped(months_covered(ranges_near_work(text, as_of)) / 12))
     return F.coalesce(stated_years(text), found)

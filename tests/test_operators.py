@@ -141,6 +141,11 @@ def test_contacts_of_referees_are_not_the_applicants(spark):
     assert (a.email, a.phone, a.name) == ("Unknown Email", "Unknown Phone", "Jane Doe") and b.email == "jane@own.org"
 
 
+def test_years_near_words_of_work(spark):
+    texts = ["Ann Lee\nBarista\n2018 - 2020\nplain\nBachelor of Arts\n2010 - 2014\nteacher", "Dean's list 2018 - 2020\nclerk", "nothing 2018 - 2020", "clerk 2019 - 2020\nclerk 2019 - 2021", None]
+    assert [r.years for r in facts.resume_facts(resumes(spark, *texts), AS_OF).orderBy("resume_id").collect()] == [2.0, 0.0, 0.0, 2.0, 0.0]
+
+
 def test_skills_of_the_job_in_the_inventory_and_implied_critical_skills(spark):
     text = "Ann Lee\nEXPERIENCE\nBuilt underwater robots with Django for Acme Inc\nNo experience with falconry\n"
     found = facts.resume_facts(resumes(spark, text), AS_OF).withColumn("job_id", F.lit(1))
