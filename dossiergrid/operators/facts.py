@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +18,8 @@ from pyspark.sql import types as T
 
 from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import date_ranges, email_of, half_even, months_covered, phone_of, ranges_near_work, stated_years, text_or_empty
-from dossiergrid.operators.records import BULLET, DATE, EMPLOYER, MONTH, TITLE, education, experience, tidy, years_of
+from dossiergrid.operators.names import applicant
+from dossiergrid.operators.records import BULLET, DATE, MONTH, education, experience, tidy, years_of
 
 __all__ = ["education", "experience", "years_of"]
 
@@ -215,43 +215,6 @@ def skills_for_job(text: pd.Series, extra: pd.Series) -> pd.Series:
     return pd.Series([skill_inventory(sections(t or ""), [] if e is None else [x for x in e if x]) for t, e in zip(text, extra, strict=True)])
 
 
-def person_name(lines: list[Line], email: str) -> str:
-    """The applicant's name: labelled, or the header line that looks most like a name and like the address."""
-    for x in lines:
-        if (m := re.match(r"^\s*(?:full\s+)?name\s*:\s*(.+)$", x.text, re.I)) and (n := _name_like(m[1])):
-            return n
-    local = re.sub(r"[^a-z]", "", email.split("@")[0].lower()) if "@" in email else ""
-    best, best_score = None, 0.0
-    for i, x in enumerate([y for y in lines if y.section in ("header", "personal", "profile") and y.text][:12]):
-        name = _name_like(x.text)
-        if not name:
-            continue
-        words = [w.lower().strip(".") for w in name.split()]
-        score = 100 - 5 * i + 15 * (2 <= len(words) <= 4) + 8 * (x.text.isupper() or x.text.istitle())
-        if local:
-            score += 35 * (sum(len(w) > 2 and w in local for w in words) >= 2) + 40 * (SequenceMatcher(None, "".join(words), local).ratio() >= 0.88)
-        if TITLE.search(name) or EMPLOYER.search(name):
-            score -= 60
-        if score > best_score:
-            best, best_score = name, score
-    if best is None and "@" in email:
-        parts = [p for p in re.split(r"[._\-0-9]+", email.split("@")[0]) if len(p) > 1]
-        best = " ".join(p.capitalize() for p in parts) if len(parts) >= 2 else None
-    return best or lx.UNKNOWN_NAME
-
-
-def _name_like(line: str) -> str | None:
-    value = re.sub(r"^(?:mr|mrs|ms|dr|engr|prof)\.?\s+|,?\s+(?:lpt|rn|cpa|mba|ph\.?d|maed|msc?)\.?$", "", line.strip(), flags=re.I)
-    if m := re.fullmatch(r"([A-Za-zÀ-ÿ'\-]+),\s*([A-Za-zÀ-ÿ'\-. ]+)", value):
-        value = f"{m[2]} {m[1]}"
-    words = value.split()
-    if not 2 <= len(words) <= 6 or re.search(r"[\d@:/|]|https?", value) or headings(value):
-        return None
-    if not all(re.fullmatch(r"[A-Za-zÀ-ÿ'\-]+\.?|[A-Z]\.", w) for w in words) or not all(w[0].isupper() or w.lower() in ("de", "del", "la", "dela", "van", "von", "y") for w in words):
-        return None
-    return " ".join(w.capitalize() if w.isupper() and len(w.strip(".")) > 1 else w for w in words)
-
-
 def parse(text: str | None, as_of: str, extra: list[str] = ()) -> dict:
     """All parsed facts of one text; ``own_text`` is the text without a section of referees, null where there is none."""
     text = text or ""
@@ -260,7 +223,7 @@ def parse(text: str | None, as_of: str, extra: list[str] = ()) -> dict:
     own_text = None if len(own) == len(lines) else "\n".join(raw for raw, _ in own)
     email = re.search(lx.EMAIL, text if own_text is None else own_text)
     return {
-        "name": person_name([x for _, x in own], email[0] if email else ""),
+        "name": applicant([x for _, x in own], email[0] if email else ""),
         "experience": experience(lines, as_of),
         "education": education(lines),
         "credentials": credentials(lines),
