@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 LEAST, SHARE = 1_000, 1e-5
 
 
-def join_split(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+def join_split(rows: DataFrame, table: DataFrame, keys: list[str], total: int, least: int | None = None) -> DataFrame:
     """``rows`` inner joined with ``table``: a row per ``keys``, with ``n``, the number of its rows among the ``total`` ones.
 
     The rows of hot keys stay where they are and meet those keys by a broadcast, which
     ``SHARE`` bounds whatever the data are; the others are shuffled by key. ``n`` is left out.
+    ``least`` may be higher where a row costs little.
     """
-    if total <= LEAST:  # then no key can be hot
+    least = LEAST if least is None else least
+    if total <= least:  # then no key can be hot
         return rows.join(table.drop("n"), keys)
-    hot = F.col("n") > max(LEAST, int(total * SHARE))
+    hot = F.col("n") > max(least, int(total * SHARE))
     few = F.broadcast(table.where(hot).drop("n"))
     met = rows.join(few, keys)
     return met.unionByName(rows.join(few.select(*keys), keys, "left_anti").join(table.where(~hot).drop("n"), keys))
