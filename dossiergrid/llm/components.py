@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from dossiergrid.hot_keys import join_split
 from dossiergrid.scratch import materialize
 
+#: Links of a node that are no matter in one task.
+LEAST_HUB = 20_000
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``node``, ``root`` from links ``a``, ``b``: the root is the least node of the component.
@@ -22,10 +25,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_split(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_split(both.where("v > u"), least, ["u"], total, LEAST_HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Every link now points to a smaller node.
         small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        joined = join_split(large, small, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        joined = join_split(large, small, ["u"], total, LEAST_HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = materialize(joined.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
