@@ -9,7 +9,7 @@ from dossiergrid.hot_keys import join_split
 from dossiergrid.scratch import materialize
 
 #: Links of a node that are no matter in one task.
-LEAST_HUB = 20_000
+LEAST_HUB = 100_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:

@@ -48,8 +48,8 @@ LIST = 256
 DEALT = 4096
 #: Members before it in a random order of its list that each member is tried against, besides the pivot.
 BACK = 3
-#: Pairs are sent to all executors up to this number (of 24 bytes).
-BROADCAST_ROWS = 250_000
+#: Pairs are sent to all executors up to this number (of two rows of 48 bytes).
+BROADCAST_ROWS = 100_000
 #: Classes a task remembers, so as not to repeat the entries of copies.
 REMEMBERED = 1 << 20
 
