@@ -271,8 +271,12 @@ class LineIndex:
     def _built(self, crossed: DataFrame) -> LineIndex:
         """The index with the filters of the shards that ``crossed`` (shard, key, step) touches brought up to date.
 
-        A filter without room is built anew, twice as large, from the exact counts.
+        A filter without room is built anew, twice as large, from the exact counts. A shard for which none can be built
+        gets an empty blob, which rules out nothing. The first filters are made for every shard, so that a missing one is never taken for one without keys.
         """
+        if not self.blobs:
+            every = self.spark.range(self.shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("key"), F.lit(0).alias("step"))
+            crossed = crossed.unionByName(every)
         crossed = materialize(crossed, "line-crossed")
         out = self
         made = materialize(_updated(self.filters if self.blobs else None, crossed), "line-filters")
@@ -284,6 +288,8 @@ class LineIndex:
             frequent = self.counts.where(F.col("n_docs") >= self.min_docs).join(full, "shard", "left_semi")
             made = materialize(_updated(None, frequent.select("shard", "key", F.lit(1).alias("step")), grow), "line-filters")
             out = replace(out, blobs=(*out.blobs, made.where("blob is not null")))
+        else:
+            out = replace(out, blobs=(*out.blobs, made.where("blob is null").select("shard", F.lit(b"").alias("blob"))))
         if len(out.blobs) > DELTAS:
             out = replace(out, blobs=(materialize(out.filters, "line-filters"),))
         return out
@@ -313,8 +319,10 @@ class LineIndex:
                         place, held = at[a], None
                     blob = batch.column(2)[a]
                     if blob.is_valid:
-                        held, a = CuckooFilter.from_bytes(blob.as_py()), a + 1
-                    if held is not None and a < b:
+                        held, a = CuckooFilter.from_bytes(blob.as_py()) if len(blob.as_py()) else None, a + 1
+                    if held is None:
+                        maybe[a:b] = True  # no filter rules these lines out: the exact counts decide
+                    elif a < b:
                         maybe[a:b] = held.might_hold(_hashes(batch.column(3).slice(a, b - a).to_pylist()))
                 yield batch.filter(pa.array(maybe)).select(["key", "doc_id", "text_key"])
 
@@ -379,6 +387,8 @@ def _updated(old: DataFrame | None, crossed: DataFrame, grow: int = 1) -> DataFr
     def both(was: pa.Table, steps: pa.Table) -> pa.Table:
         if not steps.num_rows:  # not touched: its last filter holds
             return pa.table({"shard": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        if was.num_rows and not len(was["blob"][0].as_py()):  # without a filter so far: it is built anew
+            return pa.table({"shard": was["shard"][:1], "blob": pa.array([None], pa.binary())})
         return change(CuckooFilter.from_bytes(was["blob"][0].as_py()) if was.num_rows else None, steps)
 
     if old is None:

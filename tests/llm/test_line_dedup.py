@@ -99,3 +99,22 @@ def test_cuckoo_filter(n):
 def test_overfull_filter():
     held = CuckooFilter(np.zeros((16, 4), np.uint16))
     assert not held.add(np.random.default_rng(0).integers(0, 1 << 63, 80, dtype=np.uint64))
+
+
+def test_lines_of_a_shard_without_a_filter(spark, monkeypatch):
+    """Where no filter can be built, the exact counts alone decide, and later changes try again."""
+    from dossiergrid.llm import line_dedup as op
+
+    real = op._updated
+    monkeypatch.setattr(op, "_updated", lambda *a: real(*a).withColumn("blob", op.F.lit(None).cast("binary")))
+    all_rows = rows()
+    table = docs(spark, all_rows)
+    index = LineIndex.empty(spark, shards=4).insert(table)
+    assert {bytes(r.blob) for r in index.filters.collect()} == {b""}
+    want = brute(all_rows)
+    assert got(index, table) == want and sum(r[3] for r in want) > 0
+    monkeypatch.setattr(op, "_updated", real)
+    more = [(500 + i, LONG + f"new {i // 8}") for i in range(32)]
+    later = index.insert(docs(spark, more))
+    assert got(later, docs(spark, all_rows + more)) == brute(all_rows + more)
+    assert any(len(r.blob) for r in later.filters.collect())
