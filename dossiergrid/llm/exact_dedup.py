@@ -10,8 +10,8 @@ normalised text.
 A text held by very many rows would end in one range. The hashes held by more
 than a quarter of an average partition are counted first (there are fewer than
 four times the number of partitions of them, so broadcasting them is bounded);
-their rows get a piece number in the range key, and one leader of each piece is
-joined by a second full comparison.
+their rows get a piece number in the range key, by the place where they are read (identifiers
+may be null or repeat), and one leader of each piece is joined by a second full comparison.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if hot:
         small = _inline(spark, hot, "array<struct<h:bigint,k:int>>").select(F.col("h").alias("__h"), F.col("k").alias("__k"))
         rows = rows.join(F.broadcast(small), "__h", "left").withColumn(
-            "__s", F.when(F.col("__k").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("__k")).cast("int")).otherwise(-1)
+            "__s", F.when(F.col("__k").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__k")).cast("int")).otherwise(-1)
         )
     # A constant piece number would keep the window below from using the range partitioning.
     key = ["__p", "__h", "__s"] if hot else ["__p", "__h"]
@@ -105,23 +105,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(
             best("keep_id").alias("__keep"),
             F.sum("group_size").alias("__size"),
-            F.min(F.when(F.col("keep_id").isNull(), F.col("__s"))).alias("__null_s"),
-            F.collect_list(F.struct("__h", "__s", "text_sha256")).alias("__pieces"),
+            F.collect_list(F.struct("__h", "__s", "text_sha256", F.col("keep_id").alias("__best"))).alias("__pieces"),
         )
-        .select("__keep", "__size", "__null_s", F.inline("__pieces"))
+        # Several pieces may hold the identifier that stays; the first of them keeps its row.
+        .withColumn("__lead_s", F.array_min(F.transform(F.filter("__pieces", lambda p: p["__best"].eqNullSafe(F.col("__keep"))), lambda p: p["__s"])))
+        .select("__keep", "__size", "__lead_s", F.inline("__pieces"))
+        .drop("__best")
     )
     return slim.join(F.broadcast(whole), ["__h", "__s", "text_sha256"], "left").select(
         "doc_id",
         F.when(F.col("__size").isNull(), F.col("keep_id")).otherwise(F.col("__keep")).alias("keep_id"),
         F.coalesce("__size", "group_size").alias("group_size"),
-        (
-            F.col("__lead")
-            & (
-                F.col("__size").isNull()
-                | (F.col("doc_id") == F.col("__keep"))
-                | (F.col("__keep").isNull() & (F.col("__s") == F.col("__null_s")))
-            )
-        ).alias("kept"),
+        (F.col("__lead") & (F.col("__size").isNull() | (F.col("__s") == F.col("__lead_s")))).alias("kept"),
         "text_sha256",
         *carried,
     )

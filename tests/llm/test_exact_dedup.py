@@ -43,3 +43,19 @@ def test_empty_table_and_carry(spark):
     assert [(r.doc_id, r.text, r.source) for r in got] == [(1, "Ab", "s")]
     with pytest.raises(ValueError):
         op.exact_dedup(docs(spark, []), keep="any")
+
+
+def test_hot_text_without_own_identifiers(spark, monkeypatch):
+    """Rows of a hot text are dealt to all its pieces also where they share an identifier or have none, and one of them stays."""
+    monkeypatch.setattr(op, "LEAST_HOT_ROWS", 16)
+    written = []
+    real = op.materialize
+    monkeypatch.setattr(op, "materialize", lambda df, name: written.append(real(df, name)) or written[-1])
+    for shared in (None, 7):
+        rows = [(shared, "Hot Text")] * 400 + [(9, "other"), (shared, "x")]
+        got = op.exact_dedup(docs(spark, rows).repartition(4), keep="max").collect()
+        assert len(got) == 402 and sum(r.kept for r in got) == 3
+        hot = [r for r in got if r.group_size == 400]
+        assert len(hot) == 400 and sum(r.kept for r in hot) == 1 and {r.keep_id for r in hot} == {shared}
+        pieces = written[-1].where("__s >= 0").groupBy("__s").count().collect()
+        assert len(pieces) > 10 and max(r["count"] for r in pieces) < 100
