@@ -52,7 +52,7 @@ def candidate_navigation(results: DataFrame, job_id: int | None = None, status:
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     total = sizes.agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    listed = ranged.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).cast("int").alias("position"))
+    listed = ranged.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).alias("position"))
     listed = materialize(listed, "review-places")
     beside = lambda step, name: listed.select((F.col("position") + step).alias("position"), F.col("id").alias(name))
     out = listed.join(beside(1, "previous_id"), "position", "left").join(beside(-1, "next_id"), "position", "left").crossJoin(F.broadcast(total))

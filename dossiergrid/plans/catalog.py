@@ -457,26 +457,6 @@ def fit_score_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.round("fit", 6).alias("fit"), scoring.fit_label(c("fit")).alias("label"))
 
 
-_DEGREES = ["PhD in Music", "Master of Science, ongoing", "MBA", "BS Computer Science", "Associate in Business", "High School", "Certificate of Nursing"]
-
-
-@query(
-    "degree_rank_case",
-    f"""
-    WITH d AS (SELECT p_partkey, {_DEGREES!r}[p_partkey % 7 + 1] AS degree FROM part)
-    SELECT p_partkey, degree,
-           CASE degree WHEN 'PhD in Music' THEN 5 WHEN 'MBA' THEN 4 WHEN 'High School' THEN 1 WHEN 'Associate in Business' THEN 2 WHEN 'Certificate of Nursing' THEN 0 ELSE 3 END AS rank,
-           CASE degree WHEN 'PhD in Music' THEN 'arts' WHEN 'MBA' THEN 'business' WHEN 'BS Computer Science' THEN 'computing' WHEN 'Associate in Business' THEN 'business'
-                       WHEN 'Certificate of Nursing' THEN 'health' END AS field
-    FROM d
-    """,
-)
-def degree_rank_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    degree = F.element_at(F.array(*[F.lit(d) for d in _DEGREES]), (F.pmod("p_partkey", F.lit(7)) + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", degree.alias("degree"))
-    return rows.select("*", text.degree_rank(F.col("degree")).alias("rank"), text.degree_field(F.col("degree")).alias("field"))
-
-
 @query(
     "prf_metrics",
     """
@@ -567,8 +547,8 @@ def duplicate_block_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> None:
-    """Registers the queries of the other module, which needs this one's."""
-    from dossiergrid.plans import more  # noqa: F401
+    """Registers the queries of the other modules, which need this one's."""
+    from dossiergrid.plans import derived, more, screening  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,259 +1,16 @@
-"""More registered queries: the review surface, and parsers on texts whose facts are known.
-
-The test tables hold no resumes. Queries named ``known_*`` therefore give every part one of
-some short resumes, by its number, and the SQL joins the facts that a reader of the resume sees.
-"""
+"""More registered queries: the review surface, lists and signatures."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossiergrid.functions import text
-from dossiergrid.operators import duplicates, evaluation, facts, lines, matching, metrics, review
-from dossiergrid.plans.catalog import _RESULTS, _ordered, query, results, table
+from dossiergrid.operators import duplicates, matching, metrics, review
+from dossiergrid.plans.catalog import _RESULTS, query, results, table
 from dossiergrid.sources import documents
 from dossiergrid.streaming import ingest
 
-AS_OF = "2026-06-23"
-
-_ordered("results_unknown_status", "fit_desc", "fit_score DESC NULLS LAST, id DESC", None, None)
-
-
-def known_texts(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
-    """(p_partkey, k, text): every part with the text of its number."""
-    rows = json.dumps([{"k": k, "text": t} for k, t in enumerate(texts)])
-    few = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<k:int,text:string>>")))
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.pmod("p_partkey", F.lit(len(texts))).cast("int").alias("k"))
-    return parts.join(F.broadcast(few), "k")
-
-
-def known_sql(columns: str, rows: list[tuple]) -> str:
-    """SQL that gives every part the row of its number."""
-    quoted = lambda v: "NULL" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, bool | int) else "'" + v.replace("'", "''") + "'"
-    values = ", ".join(f"({k}, {', '.join(map(quoted, r))})" for k, r in enumerate(rows))
-    return f"SELECT p_partkey, {columns} FROM part JOIN (VALUES {values}) AS v(k, {columns}) ON p_partkey % {len(rows)} = k"
-
-
-def joined(values: Column, *fields: str) -> Column:
-    """A list of records as text."""
-    return F.array_join(F.transform(values, lambda r: F.concat_ws(" / ", *[r[f].cast("string") for f in fields])), "; ")
-
-
-# Resumes whose facts are stated below, one by one.
-TEACHER = (
-    "JANE A. DOE\njane.doe@mail.org | 0917 123 4567\n\nSKILLS\n- Lesson Planning\n- Communication (oral and\nwritten)\n- Classroom Management\n\n"
-    "WORK EXPERIENCE\nMathematics Teacher\nGreenfield High School\nJune 2018 - May 2021\n- Prepared lessons for grade 7\n\n"
-    "EDUCATION\nBachelor of Secondary Education\nState University, 2014 - 2018\n\nCERTIFICATIONS\nLicensed Professional Teacher 2018\n\n"
-    "REFERENCES\nJohn Smith\njohn@ref.org 0999 888 7777\n"
-)
-ENGINEER = (
-    "Name: Rey Cruz\nSummary\nBackend engineer with 6 years of experience. No experience with Java. Eager to learn Kotlin.\n"
-    "Technologies I am currently learning\nRust\nEXPERIENCE\nSoftware Engineer - Acme Solutions - Jan 2019 - Dec 2022\nBuilt APIs with Django and PostgreSQL\n"
-    "EDUCATION\nBS Computer Science | Tech University\n"
-)
-CLIENTS = (
-    "PROFESSIONAL EXPERIENCE\nClient: Capital One                  Mar 17 - Feb 19\nLocation: Mclean, VA\nRole: Java Developer\n\n"
-    "Client: Cigna Healthcare             Nov 13 - Nov 15 Location: Windsor, CT\nRole: Tester and Analyst\n"
-)
-EMPTY = ""
-RESUMES = [TEACHER, ENGINEER, CLIENTS, EMPTY]
-
-
-@query(
-    "known_facts",
-    known_sql(
-        "email, phone, years, n_skills",
-        [("jane.doe@mail.org", "0917 123 4567", 2.9, 3), ("Unknown Email", "Unknown Phone", 6.0, 2), ("Unknown Email", "Unknown Phone", 3.9, 1), ("Unknown Email", "Unknown Phone", 0.0, 0)],
-    ),
-)
-def known_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts without the referees', total years (stated, covered or summed), skills put together over line breaks."""
-    found = facts.resume_facts(known_texts(spark, sf_dir, RESUMES), AS_OF, "p_partkey")
-    return found.select("p_partkey", "email", "phone", "years", F.size("skills").alias("n_skills"))
-
-
-@query(
-    "known_work",
-    known_sql(
-        "work",
-        [
-            ("Mathematics Teacher / Greenfield High School / Not Identified / 2.92",), ("Software Engineer / Acme Solutions / Not Identified / 3.92",),
-            ("Java Developer / Capital One / Mclean, VA / 1.92; Tester and Analyst / Cigna Healthcare / Windsor, CT / 2.0",), ("",),
-        ],
-    ),
-)
-def known_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = facts.resume_facts(known_texts(spark, sf_dir, RESUMES), AS_OF, "p_partkey")
-    return found.select("p_partkey", joined(F.col("experience"), "job_title", "company", "location", "years").alias("work"))
-
-
-@query(
-    "known_education",
-    known_sql("school, names", [
-        ("Bachelor of Secondary Education / State University", "Jane A. Doe"), ("BS Computer Science / Tech University", "Rey Cruz"), ("", "Unknown Candidate"), ("", "Unknown Candidate"),
-    ]),
-)
-def known_education(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = facts.resume_facts(known_texts(spark, sf_dir, RESUMES), AS_OF, "p_partkey")
-    return found.select("p_partkey", joined(F.col("education"), "degree", "institution").alias("school"), F.col("name").alias("names"))
-
-
-@query(
-    "known_credentials",
-    known_sql("credentials, skills", [
-        ("Licensed Professional Teacher / Professional License / 2018", "Lesson Planning; Communication (oral and written); Classroom Management"),
-        ("", "PostgreSQL; Django"), ("", "Java"), ("", ""),
-    ]),
-)
-def known_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = facts.resume_facts(known_texts(spark, sf_dir, RESUMES), AS_OF, "p_partkey")
-    said = joined(F.col("credentials"), "certification_name", "credential_type", "date_obtained")
-    return found.select("p_partkey", said.alias("credentials"), F.array_join("skills", "; ").alias("skills"))
-
-
-_JOB = "array('Lesson Planning', 'SQL', 'REST API', 'Rust', 'Java', 'Classroom Managment')"
-
-
-@query(
-    "known_claims",
-    known_sql("matched, missing, implied", [
-        ("Lesson Planning,Classroom Managment", "SQL,REST API,Rust,Java", "{}"),
-        ("SQL,REST API", "Lesson Planning,Rust,Java,Classroom Managment", '{"REST API":"django"}'),
-        ("Java", "Lesson Planning,SQL,REST API,Rust,Classroom Managment", "{}"),
-        ("", "Lesson Planning,SQL,REST API,Rust,Java,Classroom Managment", "{}"),
-    ]),
-)
-def known_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named, misspelt, disclaimed, only being learned, and entailed skills."""
-    rows = known_texts(spark, sf_dir, RESUMES).withColumn("job_id", F.lit(1))
-    jobs = spark.range(1).select(F.lit(1).alias("job_id"), F.expr(_JOB).alias("skills"))
-    found = matching.analyze_skills(rows, jobs, "p_partkey")
-    return found.select("p_partkey", F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"), F.to_json("implied").alias("implied"))
-
-
-@query(
-    "known_evaluation",
-    # Teacher: skills 100 (2 of 2), experience 2.9 of 2 years at related work, education of the same rank and field.
-    # Engineer: SQL entailed, 1 of 2; without the critical skill.
-    known_sql("label, skill_score, experience_score, education_score, reason", [
-        ("Qualified", 100.0, 100.0, 100.0, None),
-        ("Not Qualified", 0.0, 40.0, 50.0, "the resume is missing required critical skill(s): Lesson Planning"),
-        ("Not Qualified", 0.0, 40.0, 0.0, "the resume is missing required critical skill(s): Lesson Planning"),
-        ("Not Qualified", 0.0, 0.0, 0.0, "the resume is missing required critical skill(s): Lesson Planning"),
-    ]),
-)
-def known_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = facts.resume_facts(known_texts(spark, sf_dir, RESUMES), AS_OF, "p_partkey").withColumn("job_id", F.lit(1))
-    jobs = spark.range(1).selectExpr(
-        "1 as job_id", "'Mathematics Teacher' as title", "array('Lesson Planning', 'Classroom Management') as required", "array('Lesson Planning') as critical",
-        "cast(null as array<string>) as preferred", "'Bachelor of Secondary Education' as education_req", "2 as experience_req", "50.0D as min_fit_score", "true as requires_all_critical",
-    )
-    out = evaluation.evaluate(found, jobs, "p_partkey")
-    return out.select("p_partkey", F.col("recommendation_label").alias("label"), "skill_score", "experience_score", "education_score", F.col("disqualification_reason").alias("reason"))
-
-
-@query(
-    "known_evidence",
-    known_sql("section, excerpt", [
-        ("Skills", "Classroom Management"), ("Resume", "Matched in the extracted resume text."), ("Resume", "Matched in the extracted resume text."), ("Resume", "Matched in the extracted resume text."),
-    ]),
-)
-def known_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line that shows a skill; without one the resume is named."""
-    rows = known_texts(spark, sf_dir, RESUMES)
-    asked = rows.select("p_partkey", F.lit("Classroom Management").alias("skill"))
-    return lines.skill_evidence(lines.line_table(rows, "p_partkey"), asked, "p_partkey").select("p_partkey", "section", "excerpt")
-
-
-@query(
-    "known_record_evidence",
-    known_sql("section, excerpt", [("Work Experience", "Greenfield High School | Mathematics Teacher | June 2018 - May 2021")]),
-)
-def known_record_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A work record with its employer's line, its role and the nearest dates."""
-    rows = known_texts(spark, sf_dir, [TEACHER])
-    record = rows.select("p_partkey", F.lit(0).alias("record_no"), F.lit("Greenfield High School").alias("primary"), F.lit("Mathematics Teacher").alias("secondary"))
-    return lines.record_evidence(lines.line_table(rows, "p_partkey"), record, "work", "p_partkey").select("p_partkey", "section", "excerpt")
-
-
-_CHECKS = [
-    ("Teacher", "State University", 2.0, True, None), ("", "State University", 2.0, False, "missing role"), ("Skills", "Acme", 1.0, False, "role resembles a heading"),
-    ("Managed a team of five people", "Acme", 1.0, False, "role resembles a responsibility"), ("Clerk", "", 1.0, False, "missing employer"),
-    ("Clerk", "- Acme", 1.0, False, "malformed employer"), ("Clerk", "a@b.org", 1.0, False, "malformed employer"), ("Clerk", "Acme", 51.0, False, "invalid duration"),
-]
-
-
-@query("known_work_checks", known_sql("valid, reason", [r[3:] for r in _CHECKS]))
-def known_work_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = known_texts(spark, sf_dir, [json.dumps(r[:3]) for r in _CHECKS])
-    part = lambda i: F.get_json_object("text", f"$[{i}]")
-    checked = rows.withColumn("c", lines.check_experience(part(0), part(1), part(2).cast("double"), F.lit(False)))
-    return checked.select("p_partkey", "c.valid", "c.reason")
-
-
-_SCHOOL_CHECKS = [
-    ("BS Biology", "State University", True, None), ("", "State University", False, "missing or oversized credential"), ("Education", "X", False, "credential resembles non-education content"),
-    ("Awards of the year", "X", False, "credential contains unrelated content"), ("BS Biology", "", False, "missing institution value"), ("BS Biology", "2019", False, "invalid institution"),
-]
-
-
-@query("known_school_checks", known_sql("valid, reason", [r[2:] for r in _SCHOOL_CHECKS]))
-def known_school_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = known_texts(spark, sf_dir, [json.dumps(r[:2]) for r in _SCHOOL_CHECKS])
-    checked = rows.withColumn("c", lines.check_education(F.get_json_object("text", "$[0]"), F.get_json_object("text", "$[1]")))
-    return checked.select("p_partkey", "c.valid", "c.reason")
-
-
-_HEADINGS = [("WORK EXPERIENCE", "experience"), ("Skills & Certifications:", "skills,certifications"), ("A. Education", "education"), ("Built many things", ""), ("S K I L L S", "skills")]
-
-
-@query("known_headings", known_sql("sections", [r[1:] for r in _HEADINGS]))
-def known_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings, also those spelt letter by letter, with all sections they name."""
-    rows = known_texts(spark, sf_dir, [r[0] for r in _HEADINGS])
-    return rows.select("p_partkey", F.array_join(text.section_of_heading(text.plain_heading(F.col("text"))), ",").alias("sections"))
-
-
-_DEGREES = [
-    ("Bachelor of Science in Nursing", "BS Nursing", 1.0, "Bachelor's degree"), ("Bachelor of Arts in Music", "BS Nursing", 0.5, "Bachelor's degree"),
-    ("Master of Something", "BS Nursing", 0.85, "Master's degree"), ("High School", None, 1.0, "High School diploma"), ("none", None, 1.0, "unverified education"),
-]
-
-
-@query("known_degrees", known_sql("relevance, label", [r[2:] for r in _DEGREES]))
-def known_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = known_texts(spark, sf_dir, [json.dumps(r[:2]) for r in _DEGREES])
-    have, want = F.get_json_object("text", "$[0]"), F.get_json_object("text", "$[1]")
-    return rows.select("p_partkey", text.field_relevance(have, want).alias("relevance"), text.degree_label(text.degree_rank(have)).alias("label"))
-
-
-_STATED = [("12 years of IT experience and 3 years experience", 12.0), ("experience of 4 years", 4.0), ("a 7-year professional experience", 7.0), ("60 years of experience", None), ("4 years of study", None)]
-
-
-@query("known_stated_years", known_sql("years", [r[1:] for r in _STATED]))
-def known_stated_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return known_texts(spark, sf_dir, [r[0] for r in _STATED]).select("p_partkey", text.stated_years(F.col("text")).alias("years"))
-
-
-_PHONES = [("call 0917 123 4567 now", "0917 123 4567", "09171234567"), ("+63 917 123 4567", "+63 917 123 4567", "639171234567"), ("(02) 812-4567", "(02) 812-4567", "028124567"), ("12345", "Unknown Phone", "")]
-
-
-@query("known_phones", known_sql("phone, digits", [r[1:] for r in _PHONES]))
-def known_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text.phone_of(F.col("text"))
-    return known_texts(spark, sf_dir, [r[0] for r in _PHONES]).select("p_partkey", found.alias("phone"), text.phone_signature(found).alias("digits"))
-
-
-_DIRTY = [("infor-\nmation  here", "information  here"), ("in 201 9", "in 2019"), ("a\na\n\n\n\nb", "a\n\nb"), ("W O R K E X P E R I E N C E", "WORK EXPERIENCE"), ("", "")]
-
-
-@query("known_clean_text", known_sql("cleaned", [r[1:] for r in _DIRTY]))
-def known_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return known_texts(spark, sf_dir, [r[0] for r in _DIRTY]).select("p_partkey", text.clean_text(F.col("text")).alias("cleaned"))
-
 
 @query(
     "preview_skills",
@@ -368,20 +125,6 @@ def roles_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", review.allowed(F.col("c_mktsegment"), ("BUILDING", "MACHINERY")).alias("may"), review.safe_next(link).alias("safe"))
 
 
-@query(
-    "same_files",
-    """
-    WITH f AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), l AS (SELECT h, min(doc_id) AS first FROM f GROUP BY h)
-    SELECT doc_id, first AS same_as FROM f JOIN l USING (h) WHERE doc_id <> first
-    """,
-)
-def same_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads with the file of an earlier one."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("same_as"))
-    return rows.join(first, "h").where("doc_id <> same_as").select("doc_id", "same_as")
-
-
 @query(
     "identity_signatures",
     "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '' ELSE lower(trim(c_name)) END AS who FROM customer",

@@ -10,25 +10,18 @@ from dossiergrid.operators.duplicates import block_duplicates, duplicate_keys
 from dossiergrid.operators.facts import resume_facts
 from dossiergrid.scratch import materialize
 from dossiergrid.sources.documents import EXTENSIONS, MOST_FILES, extension, extract_texts
+from dossiergrid.streaming.keyed import KeyTable
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stored(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """A table of earlier batches, or None before the first."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return spark.read.parquet(path)
-
-
 def screen_batch(files: DataFrame, accepted_path: str, rejected_path: str, as_of: str, batch_id: int = 0) -> None:
     """Append what a batch of files (path, content, file_hash) brings to the accepted and the rejected table.
 
     Earlier accepted resumes can refuse new ones; new ones refuse each other in the order of
     their paths. A batch that runs again writes the same rows under its number, and the
-    table of accepted keys is read without that number, so nothing refuses itself. That table, beside
-    the accepted one, is all that a batch looks at: no stored resume is read or decided again.
+    table of accepted keys is read without that number, so nothing refuses itself. The buckets of that table (beside
+    the accepted one) that the batch's own keys fall into are all it looks at: its cost doesn't grow with what is stored.
     """
     spark = files.sparkSession
     texts = materialize(extract_texts(files), "ingest-texts")
@@ -39,12 +32,12 @@ def screen_batch(files: DataFrame, accepted_path: str, rejected_path: str, as_of
     new = facts.withColumn("id", F.format_string("%012d:%s", F.lit(batch_id), F.col("path")))
     columns = ["id", "file_hash", "email", "phone", "name", "text", "experience", "education"]
     keys = materialize(duplicate_keys(new.select(*columns)), "ingest-keys")
-    # Of what is stored, only the keys that a new upload has too; accepted resumes share none among each other.
-    keys_path = f"{accepted_path.rstrip('/')}-keys"
-    old = stored(spark, keys_path)
+    # Of what is stored, only the keys that a new upload has too, from the folders of their buckets; accepted resumes share
+    # none among each other.
+    stored_keys = KeyTable(spark, f"{accepted_path.rstrip('/')}-keys")
     ids, pool = new.select("id"), keys
-    if old is not None:
-        known = old.where(F.col("batch") != batch_id).join(keys.select("kind", "value").distinct(), ["kind", "value"], "left_semi").select("id", "kind", "value")
+    known = stored_keys.matching(keys, batch_id)
+    if known is not None:
         known = materialize(known, "ingest-known")
         ids, pool = ids.unionByName(known.select("id").distinct()), pool.unionByName(known)
     decided = block_duplicates(pool, ids)
@@ -53,7 +46,7 @@ def screen_batch(files: DataFrame, accepted_path: str, rejected_path: str, as_of
     dynamic = lambda rows: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
     refused = outcome.where("not accepted").select("path", F.concat(F.lit("duplicate of "), "duplicate_of").alias("reason"))
     dynamic(outcome.where("accepted").drop("accepted", "duplicate_of")).parquet(accepted_path)
-    dynamic(keys.join(outcome.where("accepted").select("id"), "id", "left_semi").withColumn("batch", F.lit(batch_id))).parquet(keys_path)
+    stored_keys.put(keys.join(outcome.where("accepted").select("id"), "id", "left_semi"), batch_id)
     rejected = refused.unionByName(unread).withColumn("batch", F.lit(batch_id))
     dynamic(rejected).parquet(rejected_path)
 
