@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossiergrid.functions import text
-from dossiergrid.operators import duplicates, history, lines, ranking, review
+from dossiergrid.operators import duplicates, history, layout, lines, ranking, review
 from dossiergrid.plans.catalog import _RESULTS, query, results, table
 from dossiergrid.scratch import new_path
 from dossiergrid.sources.versioned import VersionedTable
@@ -260,3 +260,42 @@ def versioned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results_unknown_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A status that doesn't exist filters nothing: the first page of all results."""
     return review.ranked_results(results(spark, sf_dir), status="Archived").select("id", "fit_score")
+
+
+_PAGE_WORDS = """
+w AS (
+  SELECT l_suppkey AS page, p_name AS text, (l_quantity * 14 + l_linenumber % 3)::DOUBLE AS top, side,
+         (CASE WHEN side = 2 THEN 270 + l_partkey % 20 WHEN side = 1 THEN 320 + l_partkey % 200 ELSE 40 + l_partkey % 200 END)::DOUBLE AS x0, (20 + l_partkey % 23)::DOUBLE AS w, l_quantity AS row
+  FROM (SELECT *, CASE WHEN l_discount > 0.095 AND l_suppkey % 2 = 1 THEN 2 WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS side FROM lineitem) JOIN part ON p_partkey = l_partkey
+), p AS (SELECT *, x0 + w + CASE WHEN side = 2 THEN 40 ELSE 0 END AS x1 FROM w)"""
+
+
+@query(
+    "page_layout",
+    f"""
+    WITH {_PAGE_WORDS}, s AS (SELECT page, count(*) AS words, 600.0::DOUBLE AS width FROM p GROUP BY page),
+    b AS (SELECT page, words, k, width * 0.22 + 2 * k AS x, width * 0.68 AS r FROM s, range(138) AS t(k) WHERE words >= 35),
+    c AS (SELECT b.*, (SELECT count(*) FROM p WHERE p.page = b.page AND x0 < x + 2 AND x1 > x) <= 1 AS free FROM b),
+    i AS (SELECT *, k - row_number() OVER (PARTITION BY page, free ORDER BY k) AS island FROM c),
+    g AS (SELECT page, any_value(words) AS words, min(x) AS l, least(max(x) + 2, any_value(r)) AS r FROM i WHERE free GROUP BY page, island HAVING least(max(x) + 2, any_value(r)) - min(x) >= 16),
+    h AS (SELECT g.page, l, r, any_value(words) AS words, count(*) FILTER (WHERE x1 <= l) AS n, count(*) FILTER (WHERE x0 >= r) AS m FROM g JOIN p ON p.page = g.page GROUP BY g.page, l, r),
+    f AS (SELECT page, arg_min(l, [l - r, l]) AS l, arg_min(r, [l - r, l]) AS r FROM h WHERE n >= 12 AND m >= 20 AND least(n, m) / words >= 0.12 GROUP BY page),
+    q AS (SELECT p.*, CASE WHEN (x0 + x1) / 2 >= (l + r) / 2 THEN 1 ELSE 0 END AS col FROM p LEFT JOIN f ON f.page = p.page),
+    o AS (SELECT *, lag(x1) OVER (PARTITION BY page, col, row ORDER BY x0, top, text, x1) AS before, row_number() OVER (PARTITION BY page, col, row ORDER BY x0, top, text, x1) AS nth FROM q),
+    t AS (
+      SELECT page, col, row, string_agg(CASE WHEN nth = 1 THEN '' WHEN x0 - before >= 12 THEN '  ' ELSE ' ' END || text, '' ORDER BY nth) AS line,
+             min(min(top)) OVER (PARTITION BY page, col) AS begins FROM o GROUP BY page, col, row
+    )
+    SELECT page, row_number() OVER (PARTITION BY page ORDER BY begins, col, row) - 1 AS line_no, line FROM t
+    """,
+)
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as pages whose words are their order lines, in two columns that a word of some pages crosses."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    side = F.when((F.col("l_discount") > 0.095) & (F.col("l_suppkey") % 2 == 1), 2).when(F.col("l_tax") > 0.04, 1).otherwise(0)
+    part = F.col("l_partkey")
+    x0 = F.when(side == 2, part % 20 + 270).when(side == 1, part % 200 + 320).otherwise(part % 200 + 40).cast("double")
+    x1 = x0 + part % 23 + 20 + F.when(side == 2, 40).otherwise(0)
+    words = rows.select(F.col("l_suppkey").alias("page"), F.col("p_name").alias("text"), x0.alias("x0"), x1.alias("x1"), (F.col("l_quantity") * 14 + F.col("l_linenumber") % 3).alias("top"))
+    pages = words.select("page").distinct().select("page", F.lit(600.0).alias("width"))
+    return layout.page_lines(words, pages).withColumn("line_no", F.col("line_no").cast("long"))
