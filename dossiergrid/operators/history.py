@@ -1,7 +1,7 @@
 """Work history on the line table: flags of lines, what stands around a date, and roles that swallowed their employer.
 
-Every function works on rows of lines or records; the frames are bounded, so a line looks at no
-more than ``REACH`` lines on either side.
+Every function works on rows of lines or records; a line is told by what stands up to ``REACH`` lines
+before or behind it.
 """
 
 from __future__ import annotations
@@ -24,26 +24,28 @@ def line_flags(lines: DataFrame, title: str, employer: str, date: str = DATE_RAN
     ``title``, ``employer`` and ``date`` are patterns that a line must hold. Headings, long lines and those that end in a colon are
     neither roles nor employers. Null lines are nothing.
     """
-    text = F.trim(text_or_empty(F.col(line)))
-    heading = F.size(section_of_heading(F.col(line))) > 0
+    # Told once per line: every flag needs both.
+    rows = lines.withColumns({"__text": F.trim(text_or_empty(F.col(line))), "__heading": F.size(section_of_heading(F.col(line))) > 0})
+    text, heading = F.col("__text"), F.col("__heading")
     short = (text != "") & (F.length(text) <= LONGEST) & ~text.endswith(":") & ~heading
-    dated = text.rlike(date)
     flags = F.struct(
-        dated.alias("date"),
+        text.rlike(date).alias("date"),
         (short & text.rlike(title)).alias("title"),
         (short & text.rlike(employer) & ~text.rlike(title)).alias("employer"),
         heading.alias("heading"),
     )
-    return lines.withColumn("flags", flags)
+    return rows.withColumn("flags", flags).drop("__text", "__heading")
+
 
+def _nearest(key: str, flag: str, line: str, reach: int) -> tuple[Column, Column]:
+    """The nearest flagged line (line_no, text) before, and the one behind, within ``reach`` lines; a heading isn't crossed.
 
-def _nearest(order, flag: str, line: str, before: int, after: int) -> tuple[Column, Column]:
-    """The nearest flagged line (line_no, text) before, and the one behind, within as many lines; a heading isn't crossed."""
-    hit = F.when(F.col(f"flags.{flag}") | F.col("flags.heading"), F.struct(F.col("line_no").alias("at"), F.col(line).alias("text"), F.col("flags.heading").alias("wall")))
-    back = F.last(hit, ignorenulls=True).over(order.rowsBetween(-before, -1))
-    ahead = F.first(hit, ignorenulls=True).over(order.rowsBetween(1, after))
-    open_ = lambda x: F.when(~x["wall"], x)
-    return open_(back), open_(ahead)
+    The frames only grow, from either end, so a line costs one step whatever the reach.
+    """
+    seen = F.when(F.col(f"flags.{flag}") | F.col("flags.heading"), F.struct(F.col("line_no").alias("at"), F.col(line).alias("text"), F.col("flags.heading").alias("wall")))
+    upto = lambda order: F.last(seen, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    near = lambda x: F.when(~x["wall"] & (F.abs(x["at"] - F.col("line_no")) <= reach), x)
+    return near(upto(F.col("line_no"))), near(upto(F.col("line_no").desc()))
 
 
 def dated_roles(lines: DataFrame, key: str = "resume_id", line: str = "line", reach: int = REACH) -> DataFrame:
@@ -51,12 +53,11 @@ def dated_roles(lines: DataFrame, key: str = "resume_id", line: str = "line", re
 
     ``lines`` has ``line_no`` and ``flags``. A date line that is a role or an employer itself names it. Else the nearest line counts,
     the one before among equally near ones, and none beyond a heading or ``reach`` lines. Lines of one resume are sorted in
-    one task; frames hold ``reach`` lines.
+    one task.
     """
-    order = Window.partitionBy(key).orderBy("line_no")
 
     def of(flag: str) -> Column:
-        back, ahead = _nearest(order, flag, line, reach, reach)
+        back, ahead = _nearest(key, flag, line, reach)
         own = F.when(F.col(f"flags.{flag}"), F.struct(F.col("line_no").alias("at"), F.col(line).alias("text"), F.lit(False).alias("wall")))
         nearer = F.when(back.isNull() | (ahead["at"] - F.col("line_no") < F.col("line_no") - back["at"]), F.coalesce(ahead, back)).otherwise(back)
         return F.coalesce(own, nearer)

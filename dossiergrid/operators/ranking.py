@@ -81,13 +81,6 @@ def corpus_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, left_
     return out if digits is None else out.withColumn("similarity", half_even(F.col("similarity"), digits))
 
 
-def _weights(terms: DataFrame, df: DataFrame, n: int, total: int, name: str) -> DataFrame:
-    """(key, term, w): weights of vectors of length 1."""
-    rows = materialize(join_split(terms, df, ["term"], total).select("key", "term", (F.col("tf") * _idf(n, F.col("df"))).alias("w")), f"{name}-raw")
-    length = rows.groupBy("key").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
-    return rows.join(length, "key").select("key", "term", (F.col("w") / F.col("length")).alias("w"))
-
-
 def rank_jobs(resumes: DataFrame, jobs: DataFrame, k: int, resume_key: str = "resume_id", job_key: str = "job_id") -> DataFrame:
     """(resume_key, place, job_key, similarity): the ``k`` most similar jobs of every resume, with weights fitted over all texts.
 
@@ -99,10 +92,15 @@ def rank_jobs(resumes: DataFrame, jobs: DataFrame, k: int, resume_key: str = "re
     n = resumes.where("text <> ''").count() + jobs.where("text <> ''").count()
     df = materialize(mine.select("term").unionByName(other.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", F.col("df")), "ranking-terms")
     total = mine.count() + other.count()
-    index = materialize(_weights(other, df, n, total, "ranking-jobs").select("term", F.col("key").alias("job"), F.col("w").alias("job_w")), "ranking-index")
-    # The most that a term of some resume's weight can add to a job's score; terms that no job has end here.
-    bounds = index.groupBy("term").agg(F.max("job_w").alias("most")).join(df.select("term", "n"), "term")
-    terms = join_split(_weights(mine, df, n, total, "ranking-resumes"), bounds, ["term"], total)
+    weight = (F.col("tf") * _idf(n, F.col("df"))).alias("w")
+    length = lambda rows: rows.groupBy("key").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
+    raw = materialize(join_split(other, df, ["term"], total).select("key", "term", weight), "ranking-jobs-raw")
+    index = raw.join(length(raw), "key").select("term", F.col("key").alias("job"), (F.col("w") / F.col("length")).alias("job_w"))
+    index = materialize(index, "ranking-index")
+    # The most that a term can add to a job's score for each unit of a resume's weight. Terms that no job has count for the length only.
+    bounds = df.join(index.groupBy("term").agg(F.max("job_w").alias("most")), "term", "left")
+    raw = materialize(join_split(mine, bounds, ["term"], total).select("key", "term", weight, "most"), "ranking-resumes-raw")
+    terms = raw.where("most is not null").join(length(raw), "key").select("key", "term", (F.col("w") / F.col("length")).alias("w"), "most")
     terms = terms.select(F.col("key").alias("resume"), "term", "w", (F.col("w") * F.col("most")).alias("bound"))
     of = Window.partitionBy("resume")
     terms = terms.withColumn("nth", F.row_number().over(of.orderBy(F.desc("bound"), "term")))
