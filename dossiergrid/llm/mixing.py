@@ -238,6 +238,7 @@ SELECT p.doc_id, p.size, t.source_size, t.target,
         + greatest(0, least(p.size, m.words % greatest(t.source_size, 1) - p.start)))::BIGINT AS taken
 FROM p
 JOIN t ON t.source IS NOT DISTINCT FROM p.source
-JOIN (SELECT n.source, least(n.slots * k.block, 3 * t.source_size)::BIGINT AS words
-      FROM n JOIN t ON t.source IS NOT DISTINCT FROM n.source, k) m ON m.source IS NOT DISTINCT FROM p.source
+JOIN (SELECT source, CASE WHEN abs(whole - target) > target * 0.01::DOUBLE THEN round(target)::BIGINT ELSE whole END AS words
+      FROM (SELECT n.source, t.target, least(n.slots * k.block, 3 * t.source_size)::BIGINT AS whole
+            FROM n JOIN t ON t.source IS NOT DISTINCT FROM n.source, k)) m ON m.source IS NOT DISTINCT FROM p.source
 """

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from dossiergrid.llm import mixing as op
 from tests.llm.helpers import SPACE_WORD, corpus, docs
 
@@ -85,3 +87,23 @@ def test_small_sources_in_a_large_total(spark):
         owner.setdefault(r.slot, set()).add(r.source)
     assert min(r.n_words for r in pieces) > 0 and all(len(s) == 1 for s in owner.values())
     assert max(per_slot.values()) == 102 and sum(per_slot.values()) == sum(taken.values())
+
+
+def test_long_tail_against_sql(spark, tmp_path):
+    """Small sources beside large ones, whose targets whole slots miss, take what the SQL says."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randrange(900, 1100), f"big{i % 3}") for i in range(300)] + [(1000 + i, "x y z", f"tail{i % 20:02d}") for i in range(60)] + [(2000, "a b", None), (2001, None, "tail00")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op.op9_mix_sources(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.sql(op.OP9_SQL)
+    order = [found.columns.index(c) for c in ("doc_id", "size", "source_size", "target", "taken")]
+    want = {r[order[0]]: [r[i] for i in order[1:]] for r in found.fetchall()}
+    assert {r.doc_id: [r["size"], r.source_size, pytest.approx(r.target), r.taken] for r in got} == want
+    assert sum(r.taken for r in got if r.doc_id // 20 == 50) > 0
