@@ -1,28 +1,28 @@
-"""License scans: MinHash sketches retrieve templates for overlapping text windows, exact containment verifies them.
-
-Containment of a template only depends on the shingles that some template has,
-so windows are reduced to those (an exact semi-join on the hash of each shingle).
-Windows are twice as long as a template's size class and overlap by half, so
-every occurrence lies whole in one. A template of n shingles is sketched by its
-smallest hashes, one more than may be missing from a match, so a window that
-contains the template holds one of them whatever else it holds. What is
-retrieved is verified by counting. DataFrame operations only.
+"""License scans: MinHash bands retrieve templates for overlapping text windows, exact shingle containment verifies them.
+
+Windows are twice as long as a template's size class and overlap by half, so every occurrence lies whole in one.
+Containment of a template depends on its own shingles only, so a window keeps those that some template of its class has (a semi-join
+on the hash of each shingle), which also makes it as similar to the template as it can be. How similar a window that contains a
+template is at least follows from the window's number of shingles, and that number tells how many bands it needs to share one with the
+template but for a probability of ``MISS``. What a band retrieves is verified by counting. DataFrame operations only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossiergrid.llm.decontamination import WORD, small
+from dossiergrid.hot_keys import join_dealt
+from dossiergrid.llm.decontamination import BROADCAST_ROWS, WORD
 from dossiergrid.llm.license_texts import FULL_TEXTS
 from dossiergrid.scratch import materialize, spread
 
 WIDTH = 5
 CONTAINMENT = 0.8
-#: One-row bands of the estimate below. The scan has none: a short template in a long window can be as
-#: little similar as 1 / 16, where 32 bands lose one match in eight.
-BANDS = 32
+#: A window that contains a template shares none of its bands with at most this probability.
+MISS = 1e-6
+#: Minima in a band. A window is at least a sixteenth to a quarter as similar as it can be: bands of two would need many times the minima.
+ROWS = 1
 
 #: Well-known notices.
 TEMPLATES = {
@@ -91,9 +91,27 @@ TEMPLATES = {
 }
 
 
-def collision_probability(similarity: float, bands: int = BANDS) -> float:
-    """That a window and a template of this similarity share a minimum in at least one band."""
-    return 1 - (1 - similarity) ** bands
+def collision_probability(similarity: float, bands: int, rows: int = ROWS) -> float:
+    """That two sets of this similarity share all minima of at least one band."""
+    return 1 - (1 - similarity**rows) ** bands
+
+
+def bands_needed(similarity, rows: int = ROWS, miss: float = MISS):
+    """The least number of bands (a column) by which sets of this similarity (a column) share one, but for a probability of ``miss``."""
+    alike = F.least(F.pow(similarity, F.lit(float(rows))), F.lit(1.0))
+    return F.when(alike >= 1, F.lit(1)).otherwise(F.ceil(F.log(F.lit(miss)) / F.log(1 - alike))).cast("int")
+
+
+def _bands(shingles, bands, rows: int = ROWS):
+    """(band, key) of the first ``bands`` bands of a set of hashes: the hash of the minima of ``rows`` hash functions."""
+    least = lambda k: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, k)))
+    minima = lambda j: F.transform(F.sequence(j * rows, (j + 1) * rows - 1), least)
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda j: F.struct(j.alias("band"), F.xxhash64(minima(j)).alias("key")))
+
+
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``rows`` joined with a ``table`` of ``n`` rows: broadcast if these are few, else hot keys are dealt to pieces."""
+    return rows.join(F.broadcast(table), keys) if n <= BROADCAST_ROWS else join_dealt(rows, table, keys, F.col("row_id"), rows.count())
 
 
 def _words(text):
@@ -137,8 +155,19 @@ def license_matches(docs: DataFrame, templates: DataFrame, width: int = WIDTH, c
     # A size class is the power of two that holds the template; its windows advance by it.
     span = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(2), F.col("size").cast("int"))))).cast("int")
     shingles = materialize(shingles.select("template_id", span.alias("span"), F.col("s.width").alias("width"), F.col("s.h").alias("h")).distinct(), "license-shingles")
-    counted = shingles.groupBy("template_id").agg(F.count(F.lit(1)).alias("n"))
     n_shingles = shingles.count()
+    own = shingles.groupBy("template_id", "span", "width").agg(F.count(F.lit(1)).alias("n"), F.collect_list("h").alias("set"))
+    # At least ``must`` of a template's n shingles are met, so at most ``spare`` are missing.
+    must = F.ceil(F.col("n") * containment - 1e-9)
+    own = own.withColumn("must", must).withColumn("spare", F.col("n") - must)
+    # One row per size class and width: at most 32 times ``width`` of them.
+    classes = own.groupBy("span", "width").agg(F.min("must").alias("must"), F.max("spare").alias("spare"))
+    similarity = lambda size: F.col("must") / (size + F.col("spare"))
+    signed = own.select("template_id", "span", "width", "set").join(F.broadcast(classes), ["span", "width"])
+    signed = signed.select("template_id", "span", "width", F.inline(_bands(F.col("set"), bands_needed(similarity(2 * F.col("span"))))))
+    signed = materialize(signed, "license-bands")
+    n_bands = signed.count()
+    counted = own.select("template_id", "n")
 
     rid = F.monotonically_increasing_id()
     text = docs.select(rid.alias("row_id"), docs[id_col].alias("doc_id"), _words(docs[text_col]).alias("w"))
@@ -146,30 +175,30 @@ def license_matches(docs: DataFrame, templates: DataFrame, width: int = WIDTH, c
     end = F.array(F.struct(F.lit(0).alias("width"), F.size("w").alias("pos"), F.lit(0).cast("long").alias("h")))
     tagged = [_tagged(F.col("w"), n) for n in widths]
     places = text.select("row_id", "doc_id", F.inline(F.concat(end, *tagged)))
-    known = shingles.select("width", "h").distinct().union(docs.sparkSession.range(1).select(F.lit(0), F.lit(0).cast("long")))
-    hits = places.join(small(known, n_shingles), ["width", "h"])
-    hits = materialize(hits.select("row_id", F.when(F.col("width") == 0, F.col("doc_id")).alias("doc_id"), "width", "h", "pos"), "license-hits")
+    known = shingles.groupBy("width", "h").agg(F.collect_set("span").alias("spans"))
+    known = known.union(docs.sparkSession.range(1).select(F.lit(0), F.lit(0).cast("long"), F.array().cast("array<int>")))
+    hits = _meet(places, known, ["width", "h"], n_shingles)
+    hits = materialize(hits.select("row_id", F.when(F.col("width") == 0, F.col("doc_id")).alias("doc_id"), "width", "h", "pos", "spans"), "license-hits")
     rows = hits.where("width = 0").select("row_id", "doc_id", F.col("pos").cast("long").alias("n_words"))
 
-    spans = sorted(r["span"] for r in shingles.select("span").distinct().collect())  # powers of two: at most 32
-    if not spans:
-        none = rows.where("false").select("row_id", F.lit("").alias("template_id"), F.lit(0).alias("first_word"), F.lit(0.0).alias("containment"))
-        return rows, none
+    # A place is in the window that starts in its block, and in the one before; before the first there is none.
+    found = hits.where("width > 0").select("row_id", "width", "h", "pos", F.explode("spans").alias("span"))
     block = F.floor(F.col("pos") / F.col("span"))
-    found = hits.where("width > 0").withColumn("span", F.explode(F.array(*[F.lit(x) for x in spans])))
     found = found.select("row_id", "span", "width", "h", "pos", F.explode(F.array(block, block - 1)).alias("win")).where("win >= 0")
-    # The window before the first would hold nothing that the first does not.
-    windows = found.groupBy("row_id", "span", "win", "width", "h").agg(F.min("pos").alias("pos"))
+    # A window has at most twice its span of places.
+    met = F.collect_list(F.struct("h", "pos")).alias("met")
+    windows = found.groupBy("row_id", "span", "win", "width", "h").agg(F.min("pos").alias("pos")).groupBy("row_id", "span", "win", "width").agg(met)
+    windows = windows.join(F.broadcast(classes), ["span", "width"]).where(F.size("met") >= F.col("must"))
     windows = materialize(windows, "license-windows")
-    # At least ceil(n * containment) shingles are met, so at most n less that are missing.
-    allowed = F.col("n") - F.ceil(F.col("n") * containment - 1e-9)
-    by_hash = Window.partitionBy("template_id").orderBy("h")
-    sketch = shingles.withColumn("at", F.row_number().over(by_hash)).join(small(counted, n_shingles), "template_id").where(F.col("at") <= allowed + 1)
-    sketch = sketch.select("template_id", "span", "width", "h")
-    candidates = windows.join(small(sketch, n_shingles), ["span", "width", "h"]).select("row_id", "span", "win", "template_id").distinct()
-    wanted = candidates.join(small(shingles, n_shingles), ["template_id", "span"])
-    met = wanted.join(windows, ["row_id", "span", "win", "width", "h"]).groupBy("row_id", "span", "win", "template_id")
-    met = met.agg(F.count(F.lit(1)).alias("met"), F.min("pos").alias("first_word")).join(small(counted, n_shingles), "template_id")
+    keys = _bands(F.col("met.h"), bands_needed(similarity(F.size("met"))))
+    banded = windows.select("row_id", "span", "win", "width", F.inline(keys))
+    candidates = _meet(banded, signed, ["span", "width", "band", "key"], n_bands).select("row_id", "span", "win", "width", "template_id").distinct()
+    candidates = candidates.join(windows, ["row_id", "span", "win", "width"])
+    # Only templates that a window was retrieved for are held against it, shingle by shingle.
+    places = candidates.select("row_id", "span", "win", "template_id", F.inline("met"))
+    met = _meet(places, shingles.select("template_id", "h"), ["template_id", "h"], n_shingles).groupBy("row_id", "span", "win", "template_id")
+    met = met.agg(F.count(F.lit(1)).alias("met"), F.min("pos").alias("first_word"))
+    met = _meet(met, counted, ["template_id"], n_shingles)
     met = met.withColumn("containment", F.col("met") / F.col("n")).where(F.col("containment") >= containment)
     # The same place seen through two overlapping windows counts once.
     return rows, met.groupBy("row_id", "template_id", "first_word").agg(F.max("containment").alias("containment"))

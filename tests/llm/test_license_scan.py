@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from dossiergrid.llm import license_scan as op
 from tests.llm.helpers import ALNUM_WORD, docs, words
@@ -56,9 +57,31 @@ def test_no_template_and_no_document(spark):
     assert [(r.doc_id, r.n_words, r.licenses, r.best) for r in got] == [(1, 2, "", 0.0)]
 
 
-def test_band_settings():
-    assert op.collision_probability(0.3) > 0.9999
-    assert op.collision_probability(0.8) == pytest.approx(1)
+def test_band_settings(spark):
+    """The scan's own bands: as many as a probability asks for, and no more."""
+    for rows in (1, 2):
+        got = spark.range(1, 41).select((F.col("id") / 40).alias("s")).select("s", op.bands_needed(F.col("s"), rows).alias("b")).collect()
+        for r in got:
+            assert 1 - op.collision_probability(r.s, r.b, rows) <= op.MISS * 1.0001
+            assert r.b == 1 or 1 - op.collision_probability(r.s, r.b - 1, rows) > op.MISS * 0.9999
+
+
+def test_bands_collide_as_often_as_sets_are_similar(spark):
+    """Shared bands, over many pairs of sets of one similarity, against the probability that the settings rest on."""
+    pairs = spark.range(400).select(F.sequence(F.lit(0), F.lit(29)).alias("a"), F.sequence(F.lit(20), F.lit(39)).alias("b"), "id")
+    salted = [F.transform(c, lambda x: F.xxhash64(x, F.col("id"))) for c in ("a", "b")]
+    for rows in (1, 2):
+        a, b = (op._bands(c, F.lit(8), rows) for c in salted)
+        shared = pairs.select(F.size(F.array_intersect(a, b)).alias("n")).agg(F.avg("n") / 8, F.avg((F.col("n") > 0).cast("int"))).first()
+        assert shared[0] == pytest.approx(0.25**rows, abs=0.03) and shared[1] == pytest.approx(op.collision_probability(0.25, 8, rows), abs=0.08)
+
+
+def test_many_templates_without_a_broadcast(spark, monkeypatch):
+    """Beyond the size that is broadcast, the same matches come by dealt joins."""
+    rows = [(i, f"x y {t} z") for i, t in enumerate(op.TEMPLATES.values())] + [(900, None)]
+    want = op.license_scan(docs(spark, rows)).collect()
+    monkeypatch.setattr(op, "BROADCAST_ROWS", 10)
+    assert sorted(op.license_scan(docs(spark, rows)).collect(), key=str) == sorted(want, key=str)
 
 
 def test_neighbours_at_many_offsets(spark):
