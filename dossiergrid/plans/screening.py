@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossiergrid.functions import text
-from dossiergrid.operators import duplicates, history, layout, lines, ranking, review
+from dossiergrid.operators import duplicates, history, layout, lines, ranking, review, skill_join
 from dossiergrid.plans.catalog import _RESULTS, query, results, table
 from dossiergrid.scratch import new_path
 from dossiergrid.sources.versioned import VersionedTable
@@ -299,3 +299,50 @@ def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = rows.select(F.col("l_suppkey").alias("page"), F.col("p_name").alias("text"), x0.alias("x0"), x1.alias("x1"), (F.col("l_quantity") * 14 + F.col("l_linenumber") % 3).alias("top"))
     pages = words.select("page").distinct().select("page", F.lit(600.0).alias("width"))
     return layout.page_lines(words, pages).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query(
+    "skills_in_lines",
+    """
+    WITH RECURSIVE s AS (SELECT DISTINCT p_name AS skill, string_split(p_name, ' ') AS w FROM part WHERE p_name IS NOT NULL),
+    l AS (SELECT l_orderkey, l_linenumber, 'makes ' || left(p_name, l_linenumber) || substr(p_name, l_linenumber + 2) || ' daily' AS line FROM lineitem JOIN part ON p_partkey = l_partkey),
+    u AS (SELECT DISTINCT line, regexp_split_to_array(line, ' +') AS w FROM l),
+    r AS (
+      SELECT DISTINCT line, k, list_sort(list_distinct(w[i:i + k - 1])) AS a
+      FROM u, (SELECT unnest([2, 3, 4]) AS k), (SELECT unnest([1, 2, 3, 4, 5]) AS i) WHERE i + k - 1 <= len(w)
+    ),
+    p AS MATERIALIZED (
+      SELECT a, skill, list_sort(list_filter(a, lambda x: list_contains(w, x))) AS c,
+             list_sort(list_filter(a, lambda x: NOT list_contains(w, x))) AS x, list_sort(list_filter(list_distinct(w), lambda y: NOT list_contains(a, y))) AS y
+      FROM (SELECT DISTINCT a FROM r), s
+    ),
+    q AS MATERIALIZED (
+      SELECT row_number() OVER () AS id, a, skill, len(c) AS n, len(x) AS nx, len(y) AS ny,
+             array_to_string(c, ' ') AS t, array_to_string(list_concat(c, x), ' ') AS ta, array_to_string(list_concat(c, y), ' ') AS tb FROM p
+    ),
+    dp AS (
+      SELECT id, 0 AS i, unnest(range(0, length(tb) + 1)) AS j, 0 AS v, ta, tb FROM q WHERE 200.0 * least(length(ta), length(tb)) >= 85 * (length(ta) + length(tb))
+      UNION ALL
+      SELECT id, i + 1, j, max(m) OVER (PARTITION BY id ORDER BY j), ta, tb
+      FROM (
+        SELECT id, i, j, ta, tb, CASE WHEN j > 0 AND substr(ta, i + 1, 1) = substr(tb, j, 1) THEN lag(v, 1, 0) OVER (PARTITION BY id ORDER BY j) + 1 ELSE v END AS m
+        FROM dp WHERE i < length(ta)
+      )
+    ),
+    e AS (SELECT id, max(v) AS v FROM dp WHERE i = length(ta) GROUP BY id),
+    z AS (
+      SELECT a, skill, CASE WHEN n > 0 AND (nx = 0 OR ny = 0) THEN 100.0::DOUBLE ELSE greatest(
+        coalesce(200.0::DOUBLE * v / (length(ta) + length(tb)), 0), CASE WHEN n > 0 THEN 200.0::DOUBLE * length(t) / (length(t) + least(length(ta), length(tb))) ELSE 0 END) END AS ratio
+      FROM q LEFT JOIN e USING (id)
+    )
+    SELECT l_orderkey, l_linenumber, skill, max(ratio) AS ratio
+    FROM l JOIN r USING (line) JOIN z USING (a) JOIN s USING (skill) WHERE ratio >= 85 AND k BETWEEN len(s.w) AND len(s.w) + 2 GROUP BY ALL
+    """,
+)
+def skills_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, as skills, in a line for every item sold that leaves a letter of its part's name out."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    name, at = F.col("p_name"), F.col("l_linenumber")
+    line = F.concat(F.lit("makes "), F.substring(name, F.lit(1), at), F.substring(name, at + 2, F.length(name)), F.lit(" daily"))
+    rows = table(spark, sf_dir, "lineitem").join(parts, F.col("p_partkey") == F.col("l_partkey"))
+    return skill_join.similar_skills(rows.select("l_orderkey", "l_linenumber", line.alias("line")), parts, skill="p_name")
