@@ -41,22 +41,56 @@ def candidate_navigation(results: DataFrame, job_id: int | None = None, status:
     """``id``, ``previous_id``, ``next_id``, ``position``, ``total`` of every row of the review list.
 
     The list is cut into ranges of its order; a row's position is its place in its range plus
-    the lengths of the ranges before, and its neighbours are those of the positions beside it.
+    the lengths of the ranges before, and the ends of a range meet the ends of the ranges beside it.
     No task gets the whole list. Ids must be unique, as they are the last sort key.
     """
     order = result_order(sort)
     rows = ranked_results(results, job_id, status, sort).select("id", "fit_score", "screened_at")
     ranged = materialize(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).withColumn("part", F.spark_partition_id()), "review-list")
+    of = Window.partitionBy("part").orderBy(*order)
+    listed = ranged.select("id", "part", F.row_number().over(of).alias("place"), F.lag("id").over(of).alias("previous_id"), F.lead("id").over(of).alias("next_id"))
     # One row per range.
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    total = sizes.agg(F.sum("n").alias("total"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    listed = ranged.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).alias("position"))
-    listed = materialize(listed, "review-places")
-    beside = lambda step, name: listed.select((F.col("position") + step).alias("position"), F.col("id").alias(name))
-    out = listed.join(beside(1, "previous_id"), "position", "left").join(beside(-1, "next_id"), "position", "left").crossJoin(F.broadcast(total))
-    return out.select("id", "previous_id", "next_id", "position", "total")
+    ends = listed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "place").alias("first"), F.max_by("id", "place").alias("last"))
+    parts = Window.orderBy("part")
+    upto = F.sum("n").over(parts)
+    every = F.sum("n").over(Window.partitionBy())
+    ends = ends.select("part", (upto - F.col("n")).alias("before"), every.alias("total"), F.lag("last").over(parts).alias("left"), F.lead("first").over(parts).alias("right"))
+    return listed.join(F.broadcast(ends), "part").select(
+        "id",
+        F.coalesce("previous_id", "left").alias("previous_id"),
+        F.coalesce("next_id", "right").alias("next_id"),
+        (F.col("before") + F.col("place")).alias("position"),
+        "total",
+    )
+
+
+def navigation_of(results: DataFrame, candidate: int, job_id: int | None = None, status: str | None = None, sort: str | None = None) -> DataFrame:
+    """The row that ``candidate_navigation`` has for one candidate, or none if the list hasn't got them.
+
+    Neighbours are the nearest rows on either side of the candidate's sort key, so one aggregate over
+    the list does, with no sort of it. Null scores and times count as the least.
+    """
+    column, way = _ORDERS.get(sort or "", _ORDERS["fit_desc"])
+    rows = ranked_results(results, job_id, status, sort).select("id", F.col(column).alias("value"))
+    own = rows.where(F.col("id") == candidate).first()
+    # Higher keys come first: newer ids do in every order.
+    last = F.col("id") if way == "desc" else -F.col("id")
+    key = F.struct(F.col("value"), last.alias("last"))
+    kind = rows.schema["value"].dataType
+    value, number = (own["value"], own["id"]) if own else (None, None)
+    mine = F.struct(F.lit(value).cast(kind).alias("value"), F.lit(number if own is None or way == "desc" else -number).cast(rows.schema["id"].dataType).alias("last"))
+    above, below = (key > mine, key < mine) if way == "desc" else (key < mine, key > mine)
+    nearest_above, nearest_below = (F.min_by, F.max_by) if way == "desc" else (F.max_by, F.min_by)
+    keyed = lambda near: F.when(near, key)
+    found = rows.agg(
+        nearest_above("id", keyed(above)).alias("previous_id"),
+        nearest_below("id", keyed(below)).alias("next_id"),
+        (F.count_if(above) + 1).alias("position"),
+        F.count(F.lit(1)).alias("total"),
+    )
+    # Nullable whether the candidate is there or not, so that the schema doesn't tell.
+    name = F.when(F.col("total") > 0, F.lit(number)).cast(rows.schema["id"].dataType).alias("id")
+    return found.select(name, "*").where(F.lit(own is not None))
 
 
 def dashboard_counts(results: DataFrame, label: str = "recommendation_label", labels: tuple[str, ...] = ("Qualified", "For Review", "Not Qualified")) -> DataFrame:

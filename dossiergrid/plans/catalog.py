@@ -104,6 +104,23 @@ def candidate_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.candidate_navigation(results(spark, sf_dir), job_id=2)
 
 
+@query(
+    "navigation_of_candidate",
+    f"""
+    WITH {_RESULTS}, n AS (
+      SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id, row_number() OVER w AS position, count(*) OVER () AS total
+      FROM results WHERE job_id = 2 WINDOW w AS (ORDER BY screened_at NULLS FIRST, id DESC)
+    )
+    SELECT * FROM n WHERE id = (SELECT max(id) FROM results WHERE job_id = 2)
+    """,
+)
+def navigation_of_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of a job's newest candidate, oldest first."""
+    rows = results(spark, sf_dir)
+    newest = rows.where("job_id = 2").agg(F.max("id")).first()[0]
+    return review.navigation_of(rows, newest, job_id=2, sort="oldest")
+
+
 @query(
     "dashboard_counts",
     f"""
