@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossiergrid.functions import text
 from dossiergrid.operators import duplicates, history, layout, lines, ranking, review, skill_join
 from dossiergrid.plans.catalog import _RESULTS, query, results, table
-from dossiergrid.scratch import new_path
+from dossiergrid.scratch import new_path, spread
 from dossiergrid.sources.versioned import VersionedTable
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
@@ -344,5 +344,5 @@ def skills_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     name, at = F.col("p_name"), F.col("l_linenumber")
     line = F.concat(F.lit("makes "), F.substring(name, F.lit(1), at), F.substring(name, at + 2, F.length(name)), F.lit(" daily"))
-    rows = table(spark, sf_dir, "lineitem").join(parts, F.col("p_partkey") == F.col("l_partkey"))
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")).join(parts, F.col("p_partkey") == F.col("l_partkey"))
     return skill_join.similar_skills(rows.select("l_orderkey", "l_linenumber", line.alias("line")), parts, skill="p_name")
