@@ -71,7 +71,10 @@ def navigation_of(results: DataFrame, candidate: int, job_id: int | None = None,
     the list does, with no sort of it. Null scores and times count as the least.
     """
     column, way = _ORDERS.get(sort or "", _ORDERS["fit_desc"])
-    rows = ranked_results(results, job_id, status, sort).select("id", F.col(column).alias("value"))
+    # A filtered list is all that is selected: its order needs no sort here.
+    filtered = job_id is not None or status in REVIEW_STATUSES
+    rows = filter_results(results, job_id, status) if filtered else ranked_results(results, sort=sort)
+    rows = rows.select("id", F.col(column).alias("value"))
     own = rows.where(F.col("id") == candidate).first()
     # Higher keys come first: newer ids do in every order.
     last = F.col("id") if way == "desc" else -F.col("id")
