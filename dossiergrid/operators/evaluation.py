@@ -38,11 +38,11 @@ def evaluate(facts: DataFrame, jobs: DataFrame, key: str = "resume_id") -> DataF
             "found": found_skills(c("text"), c("needed"), True),
             "found_preferred": found_skills(c("text"), c("wanted_preferred"), False),
             "related": related_work(c("text"), c("every"), c("title")),
-            "skills": skills_for_job.asNondeterministic()(c("text"), c("every")),
+            "mentioned": skills_for_job.asNondeterministic()(F.when(~c("listed"), c("text")), c("every")),
             "similarity": pair_similarity(c("text"), c("job_words"), bags=True),
         }
     )
-    rows = materialize(rows, "skills-found").withColumn("similarity", half_even(c("similarity"), 2))
+    rows = materialize(rows, "skills-found").withColumns({"similarity": half_even(c("similarity"), 2), "skills": F.when(c("listed"), c("skills")).otherwise(c("mentioned"))})
     lists = {}
     for side in SIDES:
         parts = matched_in(F.col(f"wanted_{side}"), F.col("found_preferred" if side == "preferred" else "found"), implied=side != "preferred")

@@ -20,6 +20,7 @@ from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import date_ranges, email_of, half_even, months_covered, phone_of, ranges_near_work, stated_years, text_or_empty
 from dossiergrid.operators.names import applicant
 from dossiergrid.operators.records import BULLET, DATE, MONTH, education, experience, tidy, years_of
+from dossiergrid.operators.skill_items import listed_skills
 
 __all__ = ["education", "experience", "years_of"]
 
@@ -28,6 +29,8 @@ SCHEMA = (
     "education array<struct<degree:string,institution:string>>, "
     "credentials array<struct<certification_name:string,credential_type:string,issuer:string,date_obtained:string>>, skills array<string>"
 )
+#: Every heading of a list of skills holds one of these.
+_MAY_LIST = r"(?iu)skill|comp[eé]t|expertise|proficienc|technologies|tools"
 _SECTIONS = {name: re.compile(f"(?:{pattern})", re.I) for name, pattern in lx.SECTION_HEADINGS.items()}
 _CREDENTIAL = re.compile(r"\b(?:certified|certification|certificate|licensed?|licensure|passer|board exam|eligibility|training|seminar|workshop|award(?:ee)?)\b", re.I)
 # Credentials known by name, and the kind of each word.
@@ -105,65 +108,8 @@ def credentials(lines: list[Line]) -> list[dict]:
     return list(out.values())
 
 
-def split_items(value: str) -> list[str]:
-    """Items of a list; commas inside brackets don't separate, nor do those of a sentence."""
-    out, depth, current = [], 0, ""
-    sentence = bool(re.match(r"(?:ability|able|excellent|strong|effective|knowledge|proficient|skilled|experienced?|familiar)\b", value, re.I))
-    for c in value:
-        depth = max(0, depth + (c in "([{") - (c in ")]}"))
-        if depth == 0 and (c in "|•·\t" or (c in ",;" and not sentence)):
-            out.append(current)
-            current = ""
-        else:
-            current += c
-    return [x for x in (re.sub(r"^(?:and|or)\s+", "", re.sub(r"\s+", " ", p).strip(" -*•|,;:."), flags=re.I) for p in [*out, current]) if x]
-
-
-def valid_skill(value: str) -> bool:
-    """No address, no sentence, not only punctuation, no half phrase."""
-    if not value or len(value) > 300 or len(value.split()) > 50 or re.search(r"@|https?://|www\.", value, re.I):
-        return False
-    return not re.fullmatch(r"[\W\d_]+", value) and not re.match(r"(?:for|and|or|to|including|catering\s+to|no|not|without|lack(?:s|ing)?)\b", value, re.I)
-
-
-# Words that a wrapped skill line ends or begins with.
-_WRAPS_AFTER = re.compile(r"\b(?:and|or|of|in|for|with|to|subject|written|instructional|interactive|teaching|formative)\s*$", re.I)
-_WRAPS_FROM = re.compile(r"^(?:curriculum\s+and|verbal\s+and|modifying\b|integrating\b|utilizing\b|providing\b|excellent\s+in\b)", re.I)
-
-
-def wraps(item: str, line: str, joined: int) -> bool:
-    """Whether a short line goes on with the skill item before it, to which ``joined`` lines were put already."""
-    item = BULLET.sub("", item).strip()
-    if not item or not line or len(line.split()) > 5 or headings(line):
-        return False
-    if joined == 0 and item.count("(") > item.count(")") and line.count(")") > line.count("("):
-        return True
-    if line[0].islower():
-        return joined < 4
-    if _WRAPS_AFTER.search(item):
-        return True
-    return bool(_WRAPS_FROM.match(item)) and joined < (2 if item.lower().startswith("integrating") else 1)
-
-
-def unwrapped(lines: list[Line]) -> list[Line]:
-    """Lines, with the bulleted items of skill sections that were broken over several lines put together."""
-    out: list[Line] = []
-    joined, open_item = 0, False
-    for x in lines:
-        inside = x.section == "skills" and not x.heading and x.text
-        bullet = bool(inside and BULLET.match(x.text))
-        closes = bool(inside and out and out[-1].section == "skills" and not out[-1].heading and out[-1].text.count("(") > out[-1].text.count(")"))
-        if inside and not bullet and (open_item or closes) and wraps(out[-1].text, x.text, joined):
-            out[-1] = Line(f"{out[-1].text} {x.text}", x.section, False)
-            joined += 1
-            continue
-        out.append(x)
-        joined, open_item = 0, bullet
-    return out
-
-
-def skill_inventory(lines: list[Line], extra: list[str] = ()) -> list[str]:
-    """Skills as the resume words them: the items of its skill sections, else catalog names it mentions."""
+def mentioned_skills(lines: list[Line], extra: list[str] = ()) -> list[str]:
+    """Names of the catalog that a resume mentions, as it words them."""
     out: dict[str, str] = {}
 
     def add(value: str) -> None:
@@ -171,15 +117,6 @@ def skill_inventory(lines: list[Line], extra: list[str] = ()) -> list[str]:
         if key:
             out.setdefault(key, value)
 
-    for x in unwrapped(lines):
-        inline = re.match(r"^\s*[-*•▪]?\s*skills?\s*:\s*(.+)$", x.text, re.I)
-        if inline or (x.section == "skills" and not x.heading):
-            value = inline[1] if inline else re.sub(r"^(?:[\w/& ]{1,40}):\s*", "", x.text) if re.match(r"^(?:programming\s+)?(?:languages?|frameworks?|databases?|tools?|soft skills?|hard skills?|platforms?|technical|others?)\s*:", x.text, re.I) else x.text
-            for item in split_items(BULLET.sub("", value).replace(": ", ", ")):
-                if valid_skill(item):
-                    add(item)
-    if out:
-        return list(out.values())
     disclaimed = re.compile(lx.DISCLAIMED_BEFORE, re.I)
     open_lines = [x.text for x in lines if x.section not in ("education", "personal", "references", "awards", "certifications", "training", "affiliations")]
     whole = "\n".join(open_lines).lower()
@@ -211,12 +148,12 @@ def _first_mention(lines: list[str], names: list[str], disclaimed: re.Pattern) -
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def skills_for_job(text: pd.Series, extra: pd.Series) -> pd.Series:
-    """The skill inventory of a resume for a job, whose own skills count as catalog names."""
-    return pd.Series([skill_inventory(sections(t or ""), [] if e is None else [x for x in e if x]) for t, e in zip(text, extra, strict=True)])
+    """The skills a resume mentions for a job, whose own skills count as catalog names; for resumes that list none."""
+    return pd.Series([mentioned_skills(sections(t or ""), [] if e is None else [x for x in e if x]) for t, e in zip(text, extra, strict=True)])
 
 
-def parse(text: str | None, as_of: str, extra: list[str] = ()) -> dict:
-    """All parsed facts of one text; ``own_text`` is the text without a section of referees, null where there is none."""
+def parse(text: str | None, as_of: str, listed: list[str] | None = None) -> dict:
+    """All parsed facts of one text, whose listed skills are known; ``own_text`` is the text without a section of referees, null where there is none."""
     text = text or ""
     lines = sections(text)
     own = [(raw, x) for raw, x in zip(text.splitlines(), lines, strict=True) if x.section != "references"]
@@ -227,7 +164,7 @@ def parse(text: str | None, as_of: str, extra: list[str] = ()) -> dict:
         "experience": experience(lines, as_of),
         "education": education(lines),
         "credentials": credentials(lines),
-        "skills": skill_inventory(lines, extra),
+        "skills": mentioned_skills(lines) if listed is None else list(listed),
         "own_text": own_text,
     }
 
@@ -235,6 +172,8 @@ def parse(text: str | None, as_of: str, extra: list[str] = ()) -> dict:
 def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: str = "text") -> DataFrame:
     """One row per resume: ``key``, ``text`` and all facts. ``as_of`` (yyyy-mm-dd) is what "present" means.
 
+    Skills are those that the resume lists (``listed`` is true, see ``skill_items``), else those of the catalog that it mentions.
+
     Total years: a stated total; else the months that the dated ranges of the work section cover
     together (at most 40 years); else the sum of the records' years. Addresses and numbers below a
     heading of references are the referees' and not taken. A null text counts as empty: unknown
@@ -243,12 +182,17 @@ def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [parse(t, as_of) for t in batch["text"]]
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(found, columns=["name", "experience", "education", "credentials", "skills", "own_text"])], axis=1)
+            found = [parse(*x) for x in zip(batch["text"], [as_of] * len(batch), batch["listed"], strict=True)]
+            yield pd.concat([batch.drop(columns="listed").assign(listed=batch["listed"].notna()).reset_index(drop=True), pd.DataFrame(found, columns=["name", "experience", "education", "credentials", "skills", "own_text"])], axis=1)
 
     rows = resumes.select(F.col(key), F.col(text).alias("text"))
     kind = dict(rows.dtypes)[key]
-    parsed = rows.mapInPandas(run, f"{key} {kind}, text string, {SCHEMA}, own_text string")
+    # Rows of one text have one list, whatever their keys. Only texts with the word of a heading are looked through.
+    rows = rows.withColumn("__text_key", F.when(F.col("text").rlike(_MAY_LIST), F.sha2("text", 256)))
+    texts = rows.where("__text_key is not null").select("__text_key", "text").dropDuplicates(["__text_key"])
+    lists = listed_skills(texts, "__text_key").withColumnRenamed("skills", "listed")
+    rows = rows.join(lists, "__text_key", "left").select(key, "text", "listed")
+    parsed = rows.mapInPandas(run, f"{key} {kind}, text string, listed boolean, {SCHEMA}, own_text string")
     own = F.coalesce("own_text", "text")
     return parsed.withColumns({"email": email_of(own), "phone": phone_of(own), "years": total_years(F.col("text"), F.col("experience"), as_of)}).drop("own_text")
 

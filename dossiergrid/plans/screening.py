@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossiergrid.functions import text
-from dossiergrid.operators import duplicates, history, layout, lines, ranking, review, skill_join
+from dossiergrid.operators import duplicates, history, layout, lines, ranking, review, skill_claims, skill_items, skill_join
 from dossiergrid.plans.catalog import _RESULTS, query, results, table
 from dossiergrid.scratch import new_path, spread
 from dossiergrid.sources.versioned import VersionedTable
@@ -346,3 +346,57 @@ def skills_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("makes "), F.substring(name, F.lit(1), at), F.substring(name, at + 2, F.length(name)), F.lit(" daily"))
     rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")).join(parts, F.col("p_partkey") == F.col("l_partkey"))
     return skill_join.similar_skills(rows.select("l_orderkey", "l_linenumber", line.alias("line")), parts, skill="p_name")
+
+
+@query(
+    "listed_skills",
+    f"""
+    WITH r AS (
+      SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}, l_discount) AS k,
+             CASE WHEN l_discount <= 0.02 THEN [p_name, p_brand, p_type] WHEN l_discount <= 0.05 THEN [p_name || ' (' || p_brand || ', ' || p_type || ')']
+                  WHEN l_discount <= 0.08 THEN [p_name || ' and ' || p_type || ' ' || p_brand] ELSE [p_type || ' Skills', p_name] END AS items
+      FROM lineitem JOIN part ON p_partkey = l_partkey
+    ), i AS (SELECT l_orderkey, unnest(items) AS item, 10 * k + generate_subscripts(items, 1) AS place FROM r),
+    d AS (
+      SELECT l_orderkey, arg_min(item, place) AS item, min(place) AS place FROM i
+      GROUP BY l_orderkey, regexp_replace(trim(regexp_replace(lower(item), '[^a-z0-9+#.]+', ' ', 'g')), ' skills$', '')
+    )
+    SELECT l_orderkey, count(*) AS n_skills, string_agg(item, ' / ' ORDER BY place) AS skills FROM d GROUP BY l_orderkey
+    """,
+)
+def listed_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a resume whose lines list skills below a category, with brackets, broken over two lines, or beside denied ones; each skill once."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    discount = F.col("l_discount")
+    row = (
+        F.when(discount <= 0.02, F.format_string("Tools: %s - %s,  %s", "p_name", "p_brand", "p_type"))
+        .when(discount <= 0.05, F.format_string("- %s (%s, %s)", "p_name", "p_brand", "p_type"))
+        .when(discount <= 0.08, F.format_string("- %s and\n%s %s", "p_name", "p_type", "p_brand"))
+        .otherwise(F.format_string("• %s Skills | no %s; for %s | %s", "p_type", "p_brand", "p_name", "p_name"))
+    )
+    whole = F.array_sort(F.collect_list(F.struct(*_ORDER.split(", "), "l_discount", row.alias("row"))))
+    text = F.concat(F.lit("Summary\n- no item\nTechnical Skills\n"), F.array_join(whole["row"], "\n"), F.lit("\nEducation\n- no item"))
+    found = skill_items.listed_skills(rows.groupBy("l_orderkey").agg(text.alias("text")), "l_orderkey")
+    return found.select("l_orderkey", F.size("skills").cast("long").alias("n_skills"), F.array_join("skills", " / ").alias("skills"))
+
+
+@query(
+    "claimed_skills",
+    """
+    WITH r AS (SELECT l_orderkey, p_name, l_discount AS d FROM lineitem JOIN part ON p_partkey = l_partkey),
+    o AS (SELECT l_orderkey, bool_or(d > 0.02 AND d <= 0.05) AS docker, bool_or(d > 0.05 AND d <= 0.08) AS sharp FROM r GROUP BY l_orderkey)
+    SELECT l_orderkey, p_name AS skill, bool_or(d <= 0.02) AS named, NULL::VARCHAR AS implied_by FROM r GROUP BY ALL
+    UNION ALL SELECT l_orderkey, 'Containerization', false, CASE WHEN docker THEN 'docker' END FROM o
+    UNION ALL SELECT l_orderkey, 'c  sharp', sharp, NULL FROM o
+    """,
+)
+def claimed_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a resume that names parts, denies them or hopes to learn them, asked for all its parts and for two skills that it names otherwise."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    discount = F.col("l_discount")
+    line = (
+        F.when(discount <= 0.02, F.format_string("Built tools with %s", F.upper("p_name"))).when(discount <= 0.05, F.format_string("no experience  with %s; uses Docker", "p_name"))
+        .when(discount <= 0.08, F.format_string("eager to learn %s. Knows C#", "p_name")).otherwise(F.format_string("sells un%ss", "p_name"))
+    )
+    orders = rows.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"), F.concat(F.collect_set("p_name"), F.array(F.lit("Containerization"), F.lit("c  sharp"), F.lit(" "))).alias("skills"))
+    return skill_claims.skill_claims(lines.line_table(orders, "l_orderkey"), orders, "l_orderkey").select("l_orderkey", "skill", "named", "implied_by")
