@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import date_ranges, email_of, half_even, months_covered, phone_of, ranges_near_work, stated_years, text_or_empty
+from dossiergrid.hot_keys import join_split
 from dossiergrid.operators.names import applicant
 from dossiergrid.operators.records import BULLET, DATE, MONTH, education, experience, tidy, years_of
 from dossiergrid.operators.skill_items import listed_skills
@@ -169,6 +170,24 @@ def parse(text: str | None, as_of: str, listed: list[str] | None = None) -> dict
     }
 
 
+def with_listed_skills(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``text``) and ``listed``, the skills that the text lists; null where it lists none.
+
+    Rows of one text share one list, whatever their keys; a text of very many rows meets it where they are. Texts without a word
+    that headings of lists have are neither looked through nor moved.
+    """
+    none = F.lit(None).cast("array<string>")
+    may = F.coalesce(F.col("text").rlike(_MAY_LIST), F.lit(False))
+    some = rows.where(may).withColumn("__text_key", F.sha2("text", 256))
+    total = rows.where(may).count()
+    if not total:
+        return rows.withColumn("listed", none)
+    texts = some.groupBy("__text_key").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    lists = listed_skills(texts, "__text_key").withColumnRenamed("skills", "listed")
+    known = texts.select("__text_key", "n").join(lists, "__text_key", "left")
+    return join_split(some, known, ["__text_key"], total).drop("__text_key").unionByName(rows.where(~may).withColumn("listed", none))
+
+
 def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: str = "text") -> DataFrame:
     """One row per resume: ``key``, ``text`` and all facts. ``as_of`` (yyyy-mm-dd) is what "present" means.
 
@@ -187,11 +206,7 @@ def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: s
 
     rows = resumes.select(F.col(key), F.col(text).alias("text"))
     kind = dict(rows.dtypes)[key]
-    # Rows of one text have one list, whatever their keys. Only texts with the word of a heading are looked through.
-    rows = rows.withColumn("__text_key", F.when(F.col("text").rlike(_MAY_LIST), F.sha2("text", 256)))
-    texts = rows.where("__text_key is not null").select("__text_key", "text").dropDuplicates(["__text_key"])
-    lists = listed_skills(texts, "__text_key").withColumnRenamed("skills", "listed")
-    rows = rows.join(lists, "__text_key", "left").select(key, "text", "listed")
+    rows = with_listed_skills(rows).select(key, "text", "listed")
     parsed = rows.mapInPandas(run, f"{key} {kind}, text string, listed boolean, {SCHEMA}, own_text string")
     own = F.coalesce("own_text", "text")
     return parsed.withColumns({"email": email_of(own), "phone": phone_of(own), "years": total_years(F.col("text"), F.col("experience"), as_of)}).drop("own_text")

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dossiergrid.operators import skill_items
+from dossiergrid import hot_keys
+from dossiergrid.operators import facts, skill_items
 from dossiergrid.operators.lines import line_table
 
 CASES = [
@@ -64,3 +65,15 @@ def test_clashing_columns_and_no_rows(spark):
     lines = line_table(rows).withColumns({c: F.lit("x") for c in ("kind", "t", "anchor", "inside", "named", "__key")})
     assert [tuple(r) for r in skill_items.skill_inventory(lines).collect()] == [(1, ["Dance"])]
     assert skill_items.skill_inventory(lines.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("least", [1, 1000])
+def test_every_row_of_repeated_texts_has_its_list(spark, monkeypatch, least):
+    """Copies of one text, as a hot key and as a plain one; texts without a list, empty and null ones stay."""
+    monkeypatch.setattr(hot_keys, "LEAST", least)
+    texts = ["Skills\nDance"] * 40 + ["Skills\nSong"] + ["skilled in nothing"] * 5 + ["plain", "", None]
+    rows = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "resume_id long, text string")
+    got = sorted((r.resume_id, str(r.text), r.listed) for r in facts.with_listed_skills(rows).collect())
+    lists = {"Skills\nDance": ["Dance"], "Skills\nSong": ["Song"]}
+    assert got == sorted((i % 7, str(t), lists.get(t)) for i, t in enumerate(texts))
+    assert [r.listed for r in facts.with_listed_skills(rows.where("text = 'plain'")).collect()] == [None]
