@@ -73,19 +73,22 @@ def drop_absorbed(records: DataFrame, key: str = "resume_id", title: str = "job_
 
     Such a title has swallowed the employer's line. Titles are compared by their signature, durations to two digits; records
     without a title or a positive duration stay and drop nothing. As ends of ends are ends, the order of records
-    doesn't matter. Each title meets others by its own proper ends, an equality, so no pair of records is
-    compared: a resume with very many records of one duration costs their titles' lengths.
+    doesn't matter. Each title meets others by those of its proper ends that are as long as another title beside it, an
+    equality, so no pair of records is compared: a resume with very many records of one duration costs their
+    titles' different lengths. All of it is by windows within one resume and duration, which one exchange puts together.
     """
     rows = records.withColumn("__title", text_signature(F.col(title))).withColumn("__years", F.round(F.col(years).cast("decimal(20,6)"), 2))
-    able = rows.where((F.col("__title") != "") & (F.col("__years") > 0)).select(F.col(key).alias("__key"), F.col("__years").alias("__y"), F.col("__title").alias("__t")).distinct()
-    # A single character has no proper end.
-    long = able.where(F.length("__t") > 1)
-    ends = long.select("__key", "__y", "__t", F.explode(F.sequence(F.lit(2), F.length("__t"))).alias("__from"))
-    ends = ends.select("__key", "__y", "__t", F.expr("substring(__t, __from)").alias("__end"))
-    known = able.select("__key", "__y", F.col("__t").alias("__end"))
-    gone = ends.join(known, ["__key", "__y", "__end"], "left_semi").select("__key", "__y", "__t").distinct()
-    same = (F.col(key) == F.col("__key")) & (F.col("__years") == F.col("__y")) & (F.col("__title") == F.col("__t"))
-    return rows.join(gone, same, "left_anti").select(*records.columns)
+    able = F.coalesce((F.col("__title") != "") & (F.col("__years") > 0), F.lit(False)) & F.col(key).isNotNull()
+    same = [F.col(key), F.col("__years")]
+    rows = rows.withColumn("__length", F.when(able, F.length("__title"))).withColumn("__lengths", F.collect_set("__length").over(Window.partitionBy(*same)))
+    # The title itself, and the ends that another title can be; the rest is told apart by the row's number.
+    shorter = F.filter("__lengths", lambda n: n < F.col("__length"))
+    end = lambda n: F.struct(F.substring(F.col("__title"), F.col("__length") - n + 1, n).alias("end"), F.lit(False).alias("whole"))
+    ends = F.concat(F.array(F.struct(F.when(able, F.col("__title")).alias("end"), F.lit(True).alias("whole"))), F.coalesce(F.transform(shorter, end), F.array()))
+    rows = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__end", F.explode(ends)).drop("__lengths", "__length", "__title")
+    rows = rows.withColumn("__known", F.max("__end.whole").over(Window.partitionBy(*same, "__end.end")))
+    gone = F.max(F.col("__known") & ~F.col("__end.whole")).over(Window.partitionBy(*same, "__row"))
+    return rows.withColumn("__gone", gone).where("__end.whole and not __gone").select(*records.columns)
 
 
 # Toggled sections ------------------------------------------------------------

@@ -126,6 +126,14 @@ def test_absorbed_records(spark):
     assert history.drop_absorbed(table.where("false")).count() == 0
 
 
+def test_absorbed_records_are_exchanged_once(spark):
+    """Every end of every title was sent to its own key before; records without a resume stay."""
+    rows = [(None, "clerk", 1.0, 0), (None, "acme clerk", 1.0, 1), (1, "clerk", 1.0, 2), (1, "acme clerk", 1.0, 3), (1, "acme clerk", 2.0, 4)]
+    kept = history.drop_absorbed(spark.createDataFrame(rows, "resume_id long, job_title string, years double, n int"))
+    assert sorted(r.n for r in kept.collect()) == [0, 1, 2, 4]
+    assert kept._jdf.queryExecution().sparkPlan().toString().count("Join") == 0 and kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 def test_toggled_sections_are_those_of_one_text(spark):
     """The line table gives the lines that a walk over one text gives."""
     rng = random.Random(9)
