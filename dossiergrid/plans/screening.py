@@ -257,12 +257,15 @@ def versioned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "results_unknown_status",
     f"""
-    WITH {_RESULTS} SELECT id, fit_score FROM results ORDER BY fit_score DESC NULLS LAST, id DESC LIMIT 20
+    WITH {_RESULTS}, r AS (SELECT id, fit_score, row_number() OVER (ORDER BY fit_score DESC NULLS LAST, id DESC) AS place FROM results)
+    SELECT id, fit_score, place FROM r WHERE place <= 20
     """,
 )
 def results_unknown_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A status that doesn't exist filters nothing: the first page of all results."""
-    return review.ranked_results(results(spark, sf_dir), status="Archived").select("id", "fit_score")
+    """A status that doesn't exist filters nothing: the first page of all results, and their places in it."""
+    rows = results(spark, sf_dir)
+    places = review.candidate_navigation(rows, status="Archived").select("id", F.col("position").alias("place"))
+    return review.ranked_results(rows, status="Archived").join(places, "id").select("id", "fit_score", "place")
 
 
 _PAGE_WORDS = """

@@ -40,6 +40,12 @@ def test_against_sql(spark, duck, name):
         assert all(x == pytest.approx(y, rel=1e-9) if isinstance(x, float) and y is not None else x == y for x, y in zip(a, b, strict=True)), (a, b)
 
 
+def test_places_of_an_unknown_status(spark):
+    """The list is the whole first page with its places, though the status selects nothing."""
+    names, got = rows_of(spark, "results_unknown_status")
+    assert names == ["fit_score", "id", "place"] and sorted(r[2] for r in got) == list(range(1, 21))
+
+
 def test_phones(spark):
     pattern = re.compile(
         r"(?<!\d)(?:(?:\+?63|0)[- .]?9\d{2}(?:[- .]?\d){7}|(?:\+?63|0)[- .]?(?:9\d{2}|2)[- .]?\d{3}[- .]?\d{4}"
