@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,8 +29,9 @@ def text_or_empty(value: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines by any line boundary, without a last empty one; none for an empty text."""
-    open_end = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return let(F.split(text_or_empty(text), _LINE_BREAK), open_end)
+    # One character is cut at without compiling an expression for every row.
+    text = F.regexp_replace(text_or_empty(text), _LINE_BREAK, "\n")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
 
 
 def text_signature(text: Column) -> Column:
@@ -214,23 +216,54 @@ def best_text(candidates: Column) -> Column:
     return let(F.array_max(scored), lambda b: F.when(b.isNotNull(), F.struct(b["method"].alias("method"), b["text"].alias("text"))))
 
 
+def _wordings(pattern: str) -> set[str]:
+    """All texts that a pattern of optional letters and groups and of sets of letters stands for."""
+    found = re.search(r"\(\?:([^)]*)\)\?|\[([^\]]*)\]|(.)\?", pattern)
+    if not found:
+        return {pattern}
+    group, letters, letter = found.groups()
+    options = [*group.split("|"), ""] if group is not None else list(letters) if letters is not None else [letter, ""]
+    return {text for option in options for text in _wordings(pattern[: found.start()] + option + pattern[found.end() :])}
+
+
+_HEADINGS = {section: sorted(set().union(*map(_wordings, aliases))) for section, aliases in lx.SECTION_ALIASES.items()}
+#: What every line with a heading matches: nothing but signs and "and", and perhaps a numbering letter, before the first word of a heading.
+_LIKE_HEADING = rf"(?iuU)^(?:[\s\-*•▪,&/|.]|and\b)*+(?:[A-Z]\s*[.)-](?:[\s\-,&/|.]|and\b)*+)?(?:{'|'.join(sorted({w.split()[0] for words in _HEADINGS.values() for w in words}))})"
+
+
 def section_of_heading(line: Column) -> Column:
-    """All sections a heading line names, in order; none unless every part of it is a heading."""
+    """All sections a heading line names, in order; none unless every part of it is a heading.
+
+    One match tells most lines, which don't begin like a heading, and a look-up those that are one heading in its plain form; only
+    the others are cut and compared.
+    """
+    none = F.array().cast("array<string>")
+    line = text_or_empty(line)
+    plain = F.lower(F.trim(F.rtrim(F.trim(line), F.lit(":"))))
+    single = {w: section for section, words in reversed(_HEADINGS.items()) for w in words if not re.search(r"\band\b", w)}
+    known = F.create_map(*[x for w, section in single.items() for x in (F.lit(w), F.array(F.lit(section)))])
+    return F.when(line.rlike(_LIKE_HEADING), F.coalesce(F.try_element_at(known, plain), _sections(line))).otherwise(none)
+
+
+def _sections(line: Column) -> Column:
     raw = F.regexp_replace(text_or_empty(line), r"^[\s\-*•▪]+", "")
     raw = F.regexp_replace(F.trim(raw), r"(?i)^[A-Z]\s*[.)-]\s*", "")
     raw = F.element_at(F.split(raw, ":"), 1)
-    parts = F.filter(F.transform(F.split(raw, r"(?i)\s*(?:,|&|/|\band\b)\s*"), lambda x: F.trim(x)), lambda p: p != "")
+    cut = F.regexp_replace(F.translate(raw, "\u0001", "\u0002"), r"(?i)\s*(?:,|&|/|\band\b)\s*", "\u0001")
+    parts = F.filter(F.transform(F.split(cut, "\u0001"), lambda x: F.trim(x)), lambda p: p != "")
+
+    plain = lambda part: F.lower(F.btrim(F.regexp_replace(part, r"(?U)\s+", " "), F.lit(" ,/&-|.")))
 
-    def name(part: Column) -> Column:
-        plain = F.lower(F.btrim(F.regexp_replace(part, r"(?U)\s+", " "), F.lit(" ,/&-|.")))
-        out = F.lit(None).cast("string")
+    def name(plain: Column) -> Column:
+        # Letters beyond ASCII may be other forms of those of a heading; only patterns tell.
+        out = odd = F.lit(None).cast("string")
         for section, pattern in reversed(lx.SECTION_HEADINGS.items()):
-            out = F.when(plain.rlike(rf"(?iu)^(?:{pattern})$"), F.lit(section)).otherwise(out)
-        return out
+            out = F.when(plain.isin(_HEADINGS[section]), F.lit(section)).otherwise(out)
+            odd = F.when(plain.rlike(rf"(?iu)^(?:{pattern})$"), F.lit(section)).otherwise(odd)
+        return F.when(plain.rlike(r"[^\x00-\x7f]"), odd).otherwise(out)
 
-    named = F.transform(parts, name)
-    whole = ~F.exists(named, lambda x: x.isNull())
-    return F.when(whole, F.array_distinct(named)).otherwise(F.array().cast("array<string>"))
+    whole = lambda named: F.when(~F.exists(named, lambda x: x.isNull()), F.array_distinct(named)).otherwise(F.array().cast("array<string>"))
+    return let(F.transform(parts, lambda part: let(plain(part), name)), whole)
 
 
 def degree_rank(degree: Column) -> Column:

@@ -33,7 +33,7 @@ LOWER_LINES, INLINE_LINES = 4, 2
 
 
 def _words(text: Column) -> Column:
-    return F.when(F.trim(text) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(text), r"\s+")))
+    return F.when(F.trim(text) == "", F.lit(0)).otherwise(_count(F.trim(text), r"\s+") + 1)
 
 
 def _count(text: Column, pattern: str) -> Column:

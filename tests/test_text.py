@@ -158,3 +158,11 @@ def test_indel_and_stems():
     assert {w: similarity.stem(w) for w in known} == known
     assert similarity.all_stems_near("managing the classroom", "classroom management")
     assert not similarity.phrase_like("go", "go") and similarity.phrase_like("comunication skill", "communication skills")
+
+
+def test_all_wordings_of_headings_are_found(spark):
+    """Lines that don't begin like a heading are told by one match; every wording of every heading has to pass it, with its numbering and signs."""
+    names = list(t.lx.SECTION_HEADINGS)
+    rows = [(f"{before}{w.upper()}{behind}", next(n for n in names if w in t._HEADINGS[n])) for n in names for w in t._HEADINGS[n] for before, behind in (("", ""), (" • b) ", " :"), ("and ", ": x")) if "and" not in w]
+    found = spark.createDataFrame(rows, "line string, section string").select("line", "section", t.section_of_heading(t.F.col("line")).alias("found")).collect()
+    assert len(rows) > 300 and all(r.found == [r.section] for r in found), [r for r in found if r.found != [r.section]]
