@@ -1,10 +1,10 @@
 """Personal data, and the terms that give it away.
 
-Four patterns find protected entities. What a term near an entity tells about it is estimated
+Four patterns find protected entities. What a term in the text of an entity tells about it is estimated
 from the whole corpus: with N documents, IC(e) = log2(N / df(e)) bits are hidden, and a term t
-that stands near e in df(e, t) of the df(t) documents that hold it leaves
+that stands with e in df(e, t) of the df(t) documents that hold it leaves
 -log2(df(e, t) / df(t)) of them, that is, it discloses IC(e) less that rest. A term whose rest
-is at most ``REMOVE_BITS`` is removed beside the entity, one up to ``GENERALISE_BITS`` is replaced by
+is at most ``REMOVE_BITS`` is removed from the entity's text, one up to ``GENERALISE_BITS`` is replaced by
 its kind. An estimate needs ``LEAST_CONTEXTS`` different surroundings, so that copies of one
 passage prove nothing.
 """
@@ -13,22 +13,21 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+import sys
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossiergrid.hot_keys import join_split
+from dossiergrid.hot_keys import join_dealt, join_split
 from dossiergrid.llm.batches import bound_batches
 from dossiergrid.scratch import materialize, spread
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that may give it away, and code points within which they stand.
-WINDOW, REACH = 6, 512
+#: Words on each side of an entity that may give it away, and code points within which they stand: all of the text's.
+WINDOW = REACH = sys.maxsize
 #: Different surroundings in which a term must have stood near an entity.
 LEAST_CONTEXTS = 3
 #: Bits of an entity that a term leaves hidden: up to the first it is removed, up to the second generalised.
@@ -97,11 +96,8 @@ def entity(kind: int, value: str) -> bytes:
     return hashlib.md5(f"{KINDS[kind]}:{plain}".encode()).digest()
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[bytes, str, int, int, int]]:
-    """(entity, term, context, start, end) of the words around each span, but those inside a span.
-
-    Near are up to ``WINDOW`` words on each side that lie within ``REACH`` code points. The context is a hash of them all.
-    """
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all words of the text that no span touches."""
     out = []
     covered: list[list[int]] = []  # the spans' union, as far as it doesn't touch
     for a, b in sorted((a, b) for _, a, b in spans):
@@ -109,26 +105,18 @@ def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[bytes
             covered[-1][1] = max(b, covered[-1][1])
         else:
             covered.append([a, b])
-    starts = [a for a, _ in covered]
-    for kind, start, end in spans:
-        low, high = max(0, start - REACH), min(len(text), end + REACH)
-        while 0 < low < start and text[low - 1].isalnum():
-            low += 1
-        while end < high < len(text) and text[high].isalnum():
-            high -= 1
-        close = covered[max(0, bisect_right(starts, low) - 1) : bisect_right(starts, high)]
-        free = lambda m: not any(x < m.end() and m.start() < y for x, y in close)  # noqa: B023, E731
-        before = [(m.start(), m.end()) for m in _WORD.finditer(text, low, start) if free(m)][-WINDOW:]
-        after = [(m.start(), m.end()) for m in islice(filter(free, _WORD.finditer(text, end, high)), WINDOW)]
-        named = [text[a:b].lower() for a, b in before + after]
-        context = int.from_bytes(hashlib.blake2b(" ".join(named).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-        who = entity(kind, text[start:end])
-        out += [(who, t, context, a, b) for t, (a, b) in zip(named, before + after, strict=True)]
+    at = 0
+    for m in _WORD.finditer(text):
+        start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        if at == len(covered) or end <= covered[at][0]:
+            out.append((m[0].lower(), start, end))
     return out
 
 
-_PAIRS = "array<struct<entity:binary,term:string,context:long,first:boolean,start:int,end:int>>"
-_PAIR_TYPE = pa.list_(pa.struct([("entity", pa.binary()), ("term", pa.string()), ("context", pa.int64()), ("first", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))
+_WORDS = "array<struct<term:string,start:int,end:int>>"
+_WORDS_TYPE = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,36 +127,39 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row its base spans and the terms near them; texts are read once and not passed on."""
+    """Per row its base spans; of a text with any, its entities and all its other words too. Texts are read once and not passed on.
+
+    ``context`` is a hash of those words.
+    """
     rows = _keyed(docs, id_col, text_col)
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
-            base, pairs = [], []
+            base, who, context, offsets = [], [], [], [0]
+            terms, starts, ends = [], [], []
             for value in batch.column(2):
                 text = value.as_py().decode("utf-8", "replace")
                 spans = base_spans(text)
                 for k in range(len(KINDS)):
                     counts[k].append(sum(s[0] == k for s in spans))
                 base.append(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans))
-                seen: set[tuple[bytes, str]] = set()
-                near = []
-                for who, term, context, a, b in near_terms(text, spans) if spans else ():
-                    near.append((who, term, context, (who, term) not in seen, a, b))
-                    seen.add((who, term))
-                pairs.append(near)
+                who.append(list({entity(k, text[a:b]): None for k, a, b in spans}))
+                words = free_words(text, spans) if spans else []
+                named = " ".join(w[0] for w in words).encode("utf-8", "replace")
+                context.append(int.from_bytes(hashlib.blake2b(named, digest_size=8).digest(), "big", signed=True))
+                for column, values in zip((terms, starts, ends), zip(*words, strict=True)):
+                    column.extend(values)
+                offsets.append(len(terms))
             numbers = [pa.array(c, pa.int64()) for c in counts]
-            made = [dict(zip(("entity", "term", "context", "first", "start", "end"), p, strict=True)) for x in pairs for p in x]
-            offsets = [0]
-            for x in pairs:
-                offsets.append(offsets[-1] + len(x))
-            listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(made, _PAIR_TYPE.value_type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(base), listed], ["doc_id", "h", *(f"n_{k}" for k in KINDS), "base", "pairs"])
+            each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=list(_WORDS_TYPE.value_type))
+            listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)
+            columns = [batch.column(0), batch.column(1), *numbers, pa.array(base), pa.array(who, pa.list_(pa.binary())), pa.array(context, pa.int64()), listed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", *(f"n_{k}" for k in KINDS), "base", "who", "context", "words"])
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, h {kinds['h']}, {counts}, base string, pairs {_PAIRS}")
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, h {kinds['h']}, {counts}, base string, who array<binary>, context long, words {_WORDS}")
 
 
 def _document_counts(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -198,46 +189,63 @@ def _document_counts(docs: DataFrame, terms: DataFrame, id_col: str, text_col: s
     return counted if few else counted.join(terms, "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(entity, term, together, df, rest_bits, n): the terms that leave at most ``GENERALISE_BITS`` of an entity hidden.
+def _texts(found: DataFrame) -> DataFrame:
+    """(h, rows, context, who, words): every different text with an entity once."""
+    some = found.where(F.size("who") > 0)
+    return some.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), *[F.any_value(c).alias(c) for c in ("context", "who", "words")])
 
-    ``found``: what ``_found`` gives for ``docs``. ``n`` is the number of rows in which they stand together.
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h, term, removed): of every text the terms that leave at most ``GENERALISE_BITS`` of one of its entities hidden.
+
+    ``texts``: what ``_texts`` gives for ``docs``. A term is ``removed`` if it leaves at most ``REMOVE_BITS``. Entities of fewer
+    surroundings than an estimate needs, and terms that most rows hold without such an entity, are ruled out by
+    counts of their own before entities and terms are paired; what they rule out can't pass.
     """
-    pairs = found.select(F.inline("pairs"))
-    # Partial sums first: an entity or a passage that very many rows hold costs a row a task.
-    per_context = pairs.groupBy("entity", "term", "context").agg(F.count_if("first").alias("rows"))
-    together = per_context.groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.count(F.lit(1)).alias("contexts"))
-    together = materialize(together.where(F.col("contexts") >= LEAST_CONTEXTS).select("entity", "term", "together"), "pii-together")
-    best = materialize(together.groupBy("term").agg(F.max("together").alias("best"), F.count(F.lit(1)).alias("n")), "pii-terms")
     rest = lambda part, whole: -F.log2(F.col(part) / F.col(whole))
+    named = texts.select("h", "rows", "context", F.explode("who").alias("entity"))
+    # Partial sums first: an entity or a passage that very many rows hold costs a row a task.
+    known = named.groupBy("entity", "context").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n"))
+    known = known.groupBy("entity").agg(F.sum("rows").alias("seen"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
+    known = materialize(known.where(F.col("contexts") >= LEAST_CONTEXTS).drop("contexts"), "pii-entities")
+    named = materialize(join_split(named, known, ["entity"], named.count()), "pii-named")
+    held = texts.join(named.select("h").distinct(), "h", "left_semi").select("h", "rows", F.explode(F.array_distinct("words.term")).alias("term"))
+    held = materialize(held, "pii-held")
+    best = held.groupBy("term").agg(F.sum("rows").alias("best"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_CONTEXTS)
+    best = materialize(best, "pii-terms")
     counted = _document_counts(docs, best.select("term"), id_col, text_col)
-    # A term that doesn't give away the entity it is seen with most gives away none.
-    telling = best.join(counted, "term").where(rest("best", "df") <= GENERALISE_BITS).select("term", "df", "n")
-    met = join_split(together, telling, ["term"], together.count())
-    return met.withColumn("rest_bits", rest("together", "df")).where(F.col("rest_bits") <= GENERALISE_BITS).withColumn("n", F.col("together"))
+    telling = materialize(best.join(counted, "term").where(rest("best", "df") <= GENERALISE_BITS).select("term", "df", "n"), "pii-telling")
+    told = join_split(held.select("h", "term"), telling, ["term"], held.count())
+    pairs = join_dealt(told, named, ["h"], F.col("term"), held.count()).where(rest("seen", "df") <= GENERALISE_BITS)
+    pairs = materialize(pairs.select("h", "rows", "context", "entity", "term", "df"), "pii-pairs")
+    per_context = pairs.groupBy("entity", "term", "context").agg(F.sum("rows").alias("rows"), F.any_value("df").alias("df"), F.count(F.lit(1)).alias("n"))
+    together = per_context.groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.any_value("df").alias("df"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
+    rules = together.where(F.col("contexts") >= LEAST_CONTEXTS).where(rest("together", "df") <= GENERALISE_BITS)
+    rules = materialize(rules.select("entity", "term", (rest("together", "df") <= REMOVE_BITS).alias("removed"), "n"), "pii-rules")
+    hits = join_split(pairs.select("h", "entity", "term"), rules, ["entity", "term"], pairs.count())
+    return hits.groupBy("h", "term").agg(F.max("removed").alias("removed"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``h``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base``, ``terms`` of every row.
 
     ``base`` lists the entities as kind:start:end, joined by commas; ``terms`` has (start, end, removed) of the
-    words near them that give them away, by start. Offsets are code points. Null texts are empty and have
+    words of the text that give them away, by start. Offsets are code points. Null texts are empty and have
     neither. Repeated rows are alike (and count as often as they occur); identifiers may repeat or be null. Other
     columns are ignored, whatever their names. An empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
     found = materialize(_found(docs, id_col, text_col), "pii-found")
-    rules = materialize(disclosing_terms(docs, found, id_col, text_col), "pii-rules")
-    near = found.where(F.size("pairs") > 0).select("doc_id", "h", F.inline("pairs"))
-    near = near.select("doc_id", "h", "entity", "term", "start", "end")
-    told = rules.select("entity", "term", (F.col("rest_bits") <= REMOVE_BITS).alias("removed"), "n")
-    # A term may stand near an entity several times in a row of the table; n counts rows, so it is a lower bound.
-    hits = join_split(near, told, ["entity", "term"], found.count())
-    spans = hits.groupBy("doc_id", "h", "start", "end").agg(F.max("removed").alias("removed"))
-    spans = spans.groupBy(F.col("doc_id").alias("of_doc"), F.col("h").alias("of_h")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    texts = materialize(_texts(found), "pii-texts")
+    hits = disclosing_terms(docs, texts, id_col, text_col)
+    spans = texts.select("h", F.inline("words")).join(hits, ["h", "term"])
+    spans = spans.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    every = texts.select("h", F.col("rows").alias("n")).join(spans, "h", "left")
+    some, rows = F.size("who") > 0, found.drop("words", "context")
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    out = found.drop("pairs").join(spans, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("h") == F.col("of_h")), "left")
-    return out.withColumn("terms", F.coalesce("terms", none)).drop("of_doc", "of_h")
+    met = join_split(rows.where(some), every, ["h"], rows.where(some).count())
+    out = met.unionByName(rows.where(~some).withColumn("terms", F.lit(None).cast("array<struct<start:int,end:int,removed:boolean>>")))
+    return out.select("doc_id", "h", *[f"n_{k}" for k in KINDS], "base", F.coalesce("terms", none).alias("terms"))
 
 
 def all_spans(base: Column, terms: Column) -> Column:

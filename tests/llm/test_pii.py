@@ -113,3 +113,13 @@ def test_whole_table(spark):
     want = {i: b for i, b, _ in brute(rows)}
     got = {r.doc_id: r for r in op.op11_personal_data(spark, sf).collect()}
     assert {i: ",".join(x for x in r.spans.split(",") if not x.startswith("term")) for i, r in got.items()} == want and any(want.values())
+
+
+def test_terms_anywhere_in_the_text(spark):
+    """A term gives an entity away wherever it stands: here 40 words and some 2000 code points off, on either side."""
+    far = lambda n: " ".join(f"w{n}x{k}" + "y" * 45 for k in range(40))
+    rows = [(n, f"Zelda {far(n)} {MAIL} {far(n + 10)} Marsh") for n in range(3)] + [(8, "Marsh and many others"), (9, "nobody here")]
+    got = {r.doc_id: r for r in op.find_personal_data(docs(spark, rows)).collect()}
+    for n, text in rows[:3]:
+        assert [(text[t.start : t.end], t.removed) for t in got[n].terms] == [("Zelda", True), ("Marsh", True)]
+    assert not got[8].terms and not got[9].terms
