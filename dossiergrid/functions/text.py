@@ -30,8 +30,8 @@ def text_or_empty(value: Column) -> Column:
 def split_lines(text: Column) -> Column:
     """Lines by any line boundary, without a last empty one; none for an empty text."""
     # One character is cut at without compiling an expression for every row.
-    text = F.regexp_replace(text_or_empty(text), _LINE_BREAK, "\n")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
+    broken = F.regexp_replace(text_or_empty(text), _LINE_BREAK, "\n")
+    return F.when(text_or_empty(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(broken, r"\n\z", ""), "\n"))
 
 
 def text_signature(text: Column) -> Column:
@@ -116,7 +116,9 @@ def distinct_word_share(text: Column) -> Column:
 
 def drop_adjacent_duplicates(lines: Column) -> Column:
     """Lines without those whose words equal the line before; an empty line ends a run."""
-    key = lambda line: F.lower(F.trim(F.regexp_replace(line, r"(?U)[^\w]+", " ")))
+    # Without other letters the plain class means the same, and is much faster.
+    words = lambda line: F.when(F.octet_length(line) == F.length(line), F.regexp_replace(line, r"[^\w]+", " ")).otherwise(F.regexp_replace(line, r"(?U)[^\w]+", " "))
+    key = lambda line: F.lower(F.trim(words(line)))
 
     def kept(lines: Column) -> Column:
         pairs = F.transform(lines, lambda line: F.struct(line.alias("line"), key(line).alias("key")))
@@ -143,8 +145,16 @@ _SPACED_HEADINGS = {
 }
 
 
+#: What every line has that is one of them but for other signs between its letters.
+_LIKE_SPACED = rf"(?i)^[^A-Za-z&]*+(?:{'|'.join('[^A-Za-z&]*+'.join(k) for k in _SPACED_HEADINGS)})[^A-Za-z&]*+\z"
+
+
 def plain_heading(line: Column) -> Column:
-    """A heading written letter by letter as words; other lines stripped."""
+    """A heading written letter by letter as words; other lines stripped. One match tells most lines, which have other letters."""
+    return F.when(line.rlike(_LIKE_SPACED), _plain_heading(line)).otherwise(F.trim(line))
+
+
+def _plain_heading(line: Column) -> Column:
     flat = F.trim(line)
     tokens = F.split(flat, r"(?U)\s+")
     single = F.size(F.filter(tokens, lambda t: F.length(F.regexp_replace(t, "[^A-Za-z]", "")) <= 1))
@@ -158,13 +168,13 @@ def clean_text(text: Column) -> Column:
     lines, spaced-out headings, repeated lines, runs of empty lines. Null stays null."""
     out = F.translate(text, " ’‘–—•​­", " ''-----")
     for pattern, by in (
-        (r"(?U)(?<=[A-Za-z]{2})-\s*\n\s*(?=[A-Za-z]{2})", ""),
+        (r"(?U)-(?<=[A-Za-z]{2}-)\s*\n\s*(?=[A-Za-z]{2})", ""),
         (r"(?U)\s+-\s*\n\s*", " - "),
         (r"(?U)\n\s*-\s+", "\n- "),
         (r"\b((?:19|20)\d)\s+(\d)\b", "$1$2"),
     ):
         out = F.regexp_replace(out, pattern, by)
-    lines = drop_adjacent_duplicates(F.transform(split_lines(out), plain_heading))
+    lines = drop_adjacent_duplicates(let(out, lambda t: F.transform(split_lines(t), plain_heading)))
     out = F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n")
     return F.when(text.isNotNull(), F.regexp_replace(out, r"(?U)^\s+|\s+$", ""))
 
@@ -183,37 +193,64 @@ def text_quality(text: Column, cleaned: bool = False) -> Column:
 
 def _quality(t: Column) -> Column:
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    lines = F.filter(F.transform(split_lines(t), lambda x: F.trim(x)), lambda x: x != "")
     words = count(r"[A-Za-z][A-Za-z'\-]*")
-    visible = F.length(F.regexp_replace(t, r"(?U)\s", ""))
-    letters = F.length(F.regexp_replace(t, r"\P{L}", ""))
-    contacts = t.rlike(r"[\w.+-]+@[\w.-]+\.\w{2,}").cast("int") + t.rlike(r"\+?\d[\d ()-]{7,}\d").cast("int")
-    too_long = F.aggregate(lines, F.lit(0), lambda s, x: s + F.greatest(F.lit(0), F.length(x) - 220))
+    visible = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
+    letters = F.length(F.regexp_replace(t, r"\P{L}+", ""))
+    contacts = (F.contains(t, F.lit("@")) & t.rlike(r"[\w.+-]+@[\w.-]+\.\w{2,}")).cast("int") + t.rlike(r"\+?\d[\d ()-]{7,}\d").cast("int")
     glued = count(r"(?i)\b(?:WORKEXPERIENCE|PROFESSIONALSUMMARY|TECHNICALSKILLS|PERSONALINFORMATION|EDUCATIONALBACKGROUND)\b")
-    ends_in_heading = F.coalesce(F.try_element_at(lines, F.lit(-1)).rlike(rf"(?i)^{_QUALITY_HEADING}$"), F.lit(False)).cast("int")
-    score = (
-        F.least(words, F.lit(1200)) * 0.035
-        + F.least(F.size(lines), F.lit(120)) * 0.18
-        + count(rf"(?im)^\s*{_QUALITY_HEADING}$") * 5
-        + contacts * 2.5
-        + F.least(count(r"\b(?:19|20)\d{2}\b"), F.lit(20)) * 0.35
-        + letters / F.greatest(F.lit(1), visible) * 8
-        - count("[-�]") * 1.5
-        - too_long * 0.035
-        - glued * 5
-        - count(r"\s+[,.!?;:]") * 0.12
-        - ends_in_heading * 8
-    )
-    return F.when(words > 0, score).otherwise(F.lit(float("-inf")))
+
+    def score(words: Column, lines: Column) -> Column:
+        too_long = F.aggregate(lines, F.lit(0), lambda s, x: s + F.greatest(F.lit(0), F.length(x) - 220))
+        ends_in_heading = F.coalesce(F.try_element_at(lines, F.lit(-1)).rlike(rf"(?i)^{_QUALITY_HEADING}$"), F.lit(False)).cast("int")
+        return (
+            F.least(words, F.lit(1200)) * 0.035
+            + F.least(F.size(lines), F.lit(120)) * 0.18
+            + count(rf"(?im)^\s*{_QUALITY_HEADING}$") * 5
+            + contacts * 2.5
+            + F.least(count(r"\b(?:19|20)\d{2}\b"), F.lit(20)) * 0.35
+            + letters / F.greatest(F.lit(1), visible) * 8
+            - count("[\ue000-\uf8ff\ufffd]") * 1.5
+            - too_long * 0.035
+            - glued * 5
+            - count(r"\s+[,.!?;:]") * 0.12
+            - ends_in_heading * 8
+        )
+
+    lines = F.filter(F.transform(split_lines(t), lambda x: F.trim(x)), lambda x: x != "")
+    scored = let(F.struct(words.alias("words"), lines.alias("lines")), lambda x: F.when(x["words"] > 0, score(x["words"], x["lines"])).otherwise(F.lit(float("-inf"))))
+    return scored
+
+
+def _best(scored: Column) -> Column:
+    return let(F.array_max(scored), lambda b: F.when(b.isNotNull(), F.struct(b["method"].alias("method"), b["text"].alias("text"))))
+
+
+def _candidate(score: Column, place: Column, method: Column, text: Column) -> Column:
+    return F.struct(score.alias("score"), (-place).alias("first"), method.alias("method"), text.alias("text"))
+
+
+def _worded(text: Column) -> Column:
+    return F.trim(text_or_empty(text)) != ""
 
 
 def best_text(candidates: Column) -> Column:
     """Of ``array<struct<method,text>>`` the element with the best text; the first one on ties, null without text."""
-    scored = F.transform(
-        F.filter(candidates, lambda c: F.trim(text_or_empty(c["text"])) != ""),
-        lambda c, i: F.struct(text_quality(c["text"]).alias("score"), (-i).alias("first"), c["method"].alias("method"), c["text"].alias("text")),
-    )
-    return let(F.array_max(scored), lambda b: F.when(b.isNotNull(), F.struct(b["method"].alias("method"), b["text"].alias("text"))))
+    some = F.filter(candidates, lambda c: _worded(c["text"]))
+    return _best(F.transform(some, lambda c, i: _candidate(text_quality(c["text"]), i, c["method"], c["text"])))
+
+
+def judged(text: Column) -> Column:
+    """``struct<quality,method>``: ``text_quality`` of a text, and which is ``best_text`` of it ("raw") and its cleaned form ("clean").
+
+    The text is cleaned once for both.
+    """
+
+    def of(x: Column) -> Column:
+        both = F.array(_candidate(x["quality"], F.lit(0), F.lit("raw"), x["text"]), _candidate(text_quality(x["clean"]), F.lit(1), F.lit("clean"), x["clean"]))
+        return F.struct(x["quality"].alias("quality"), _best(F.filter(both, lambda c: _worded(c["text"])))["method"].alias("method"))
+
+    cleaned = let(clean_text(text), lambda c: F.struct(text.alias("text"), c.alias("clean"), text_quality(c, cleaned=True).alias("quality")))
+    return let(cleaned, of)
 
 
 def _wordings(pattern: str) -> set[str]:

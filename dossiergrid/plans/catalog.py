@@ -359,8 +359,7 @@ def doc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The better of the text and its cleaned form; held against a plain version in the tests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pair = F.array(F.struct(F.lit("raw").alias("method"), F.col("text")), F.struct(F.lit("clean").alias("method"), text.clean_text(F.col("text")).alias("text")))
-    return docs.select("doc_id", text.text_quality(F.col("text")).alias("quality"), text.best_text(pair)["method"].alias("method"))
+    return docs.select("doc_id", text.judged(F.col("text")).alias("j")).select("doc_id", "j.quality", "j.method")
 
 
 @query(

@@ -166,3 +166,15 @@ def test_all_wordings_of_headings_are_found(spark):
     rows = [(f"{before}{w.upper()}{behind}", next(n for n in names if w in t._HEADINGS[n])) for n in names for w in t._HEADINGS[n] for before, behind in (("", ""), (" • b) ", " :"), ("and ", ": x")) if "and" not in w]
     found = spark.createDataFrame(rows, "line string, section string").select("line", "section", t.section_of_heading(t.F.col("line")).alias("found")).collect()
     assert len(rows) > 300 and all(r.found == [r.section] for r in found), [r for r in found if r.found != [r.section]]
+
+
+def test_judged_is_quality_and_best_text(spark):
+    """Both from one cleaning: the plan has it once for the text and once for its cleaned form."""
+    good = "EXPERIENCE\nTeacher at Some School 2019\nTeacher at Some School 2019\nmail a.b@c.org"
+    texts = [None, "", " \n ", "!!! 123", good, "S K I L L S\nS K I L L S\nwords here  �", "con-\ntinued 201 9\nÉtude é\nétude É", "\n- x\n\n\n\n- y ", "E D U-C A T I O N\nx"]
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate(texts)], "n int, x string")
+    pair = F.array(F.struct(F.lit("raw").alias("method"), F.col("x").alias("text")), F.struct(F.lit("clean").alias("method"), t.clean_text(F.col("x")).alias("text")))
+    want = rows.select("n", t.text_quality(F.col("x")).alias("quality"), t.best_text(pair)["method"].alias("method")).collect()
+    got = rows.select("n", t.judged(F.col("x")).alias("j")).select("n", "j.quality", "j.method")
+    assert sorted(got.collect()) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2
