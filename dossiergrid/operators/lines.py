@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +71,39 @@ def segments(lines: DataFrame, key: str = "resume_id") -> DataFrame:
     return out.select(key, "segment", "section", "heading", "line_no", F.col("l.line").alias("lines"))
 
 
+def _branches(words: set[str]) -> str:
+    """A pattern of the beginnings that ``words`` share, which a text leaves at its first other letter."""
+    if "" in words:
+        return ""
+    heads = {w[0]: {v[1:] for v in words if v[0] == w[0]} for w in words}
+    return "(?:" + "|".join(re.escape(c) + _branches(rest) for c, rest in sorted(heads.items())) + ")"
+
+
+def _beginnings(pattern: str) -> set[str]:
+    """The plain letters that each of the alternatives of a pattern begins with."""
+    depth, parts = 0, [""]
+    for c in pattern:
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return {re.match("[a-z ]+", part)[0] for part in parts}
+
+
+_SKILL_WORDS = [v.lower() for name, variants in lx.EDUCATION_SKILLS.items() for v in (name, *variants)]
+#: What every line with an entity, or in lower case with a skill, matches: the beginning of one at the start of a word.
+_LIKE_ENTITY = rf"(?i)\b{_branches(set().union(*(_beginnings(pattern) for _, pattern, _ in _ENTITIES)))}"
+_LIKE_SKILL = rf"\b{_branches(set(_SKILL_WORDS))}"
+
+
 def entities(lines: DataFrame, key: str = "resume_id") -> DataFrame:
-    """(key, type, name, evidence, section, line_no, confidence): terms of the teaching domain; each text of a line once."""
-    rows = sectioned(lines, key).where("not is_heading").withColumn("evidence", F.trim("line")).where("evidence <> ''")
+    """(key, type, name, evidence, section, line_no, confidence): terms of the teaching domain; each text of a line once.
+
+    Lines are moved, and compared with the terms, only if one match finds how a term begins, or if they are headings.
+    """
+    like = F.col("line").rlike(_LIKE_ENTITY) | F.lower("line").rlike(_LIKE_SKILL) | (F.size(section_of_heading(F.col("line"))) > 0)
+    rows = sectioned(lines.where(like), key).where("not is_heading").withColumn("evidence", F.trim("line")).where("evidence <> ''")
     found = []
     for kind, pattern, sure in _ENTITIES:
         grade = F.lit("high") if sure is None else F.when(F.col("section").isin(*sure), "high").otherwise("medium") if sure else F.lit("medium")

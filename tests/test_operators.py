@@ -362,3 +362,15 @@ def test_candidate_evidence(spark):
     assert (got.skill_total, got.experience_total, got.education_total, got.experience_met, got.education_met) == (3, 2, 1, True, False)
     assert [tuple(m) for m in got.missing] == [("SQL", "Required")] and got.education[0].excerpt.startswith("State University")
     assert [r.record.company for r in got.experience] == ["Greenfield High School", "Northside College"]
+
+
+def test_entities_move_only_lines_that_begin_a_term_or_a_section(spark):
+    """Every term is still found; other lines are dropped before they are moved and ordered."""
+    terms = [w for name, more in lexicon.EDUCATION_SKILLS.items() for w in (name, *more)]
+    terms += ["Teacher", "dean", "pre-k", "PRE K", "prek", "Grades 1 to 12", "Junior High", "Edukasyon sa Pagpapakatao", "TLE", "Let Passer", "Guidance Counselor"]
+    texts = [(n, f"no word of it\n  SKILLS:\nplain words ({w}) here\nmore of them") for n, w in enumerate(terms)]
+    table = lines.line_table(spark.createDataFrame(texts, "resume_id int, text string"))
+    got = lines.entities(table)
+    assert {r.resume_id for r in got.collect()} == set(range(len(terms))) and {r.section for r in got.collect()} == {"skills"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert lines._LIKE_SKILL in plan[plan.rindex("Window ") :]
