@@ -204,20 +204,21 @@ def by_key(rows: DataFrame, value: object, key: str = "id") -> DataFrame:
     return rows.where(F.col(key) == F.lit(value))
 
 
-def insert_numbered(rows: DataFrame, new: DataFrame, key: str = "id", buckets: int = 1024) -> DataFrame:
+def insert_numbered(rows: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """``rows`` and ``new``, whose keys go on from the highest one without a gap.
 
-    New rows are numbered within buckets of their hash, and a bucket begins where those before
-    it end, so that no task numbers them all. Equal rows get numbers of their own.
+    A new row has its place in the part of the table that it is read with, and a part begins where those before it
+    end: nothing is moved or ordered, whatever the values are. Only the parts' sizes meet in one task.
     """
-    new = materialize(new.withColumn("__bucket", F.pmod(F.xxhash64(*new.columns), F.lit(buckets)).cast("int")), "numbered")
-    sizes = new.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    base = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__base"))
+    new = materialize(new.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    # The number of the part from bit 33 on, below it the place in the part.
+    new = new.select("*", F.shiftright("__at", 33).alias("__part"), (F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("__place")).drop("__at")
+    sizes = new.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    base = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
     top = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*[c for c in new.columns if c != "__bucket"]))
     ids = (F.col("__top") + F.col("__base") + F.col("__place")).cast(rows.schema[key].dataType).alias(key)
-    kept = [c for c in new.columns if c not in (key, "__bucket")]
-    numbered = new.withColumn("__place", place).join(F.broadcast(base), "__bucket").crossJoin(F.broadcast(top)).select(ids, *kept)
+    kept = [c for c in new.columns if c not in (key, "__part", "__place")]
+    numbered = new.join(F.broadcast(base), "__part").crossJoin(F.broadcast(top)).select(ids, *kept)
     return rows.unionByName(numbered, allowMissingColumns=True)
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dossiergrid.operators import duplicates
+from dossiergrid.operators import duplicates, review
 from dossiergrid.operators.review import cascade_delete, upsert
 from dossiergrid.sources.versioned import VersionedTable, delete_cascading
 from dossiergrid.streaming.keyed import KeyTable
@@ -169,3 +169,13 @@ def test_cascades_and_refusals(spark, tmp_path):
     empty = VersionedTable.create(jobs.where("false"), str(tmp_path / "empty"), "id", 4)
     empty.upsert(jobs)
     assert empty.read().count() == 2
+
+
+def test_new_rows_of_one_value_are_numbered_where_they_are(spark):
+    """No task gets all equal rows: the plan has no shuffle or order of the new rows themselves."""
+    rows = spark.createDataFrame([(7, "a")], "id long, name string")
+    new = spark.range(0, 1000, numPartitions=6).where("id % 7 <> 0").select(F.lit("same").alias("name"))
+    both = review.insert_numbered(rows, new)
+    assert sorted(r.id for r in both.collect()) == list(range(7, 7 + both.count()))
+    assert both.count() == 1 + new.count() and "row_number" not in both._jdf.queryExecution().optimizedPlan().toString()
+    assert review.insert_numbered(rows, new.limit(0)).count() == 1
