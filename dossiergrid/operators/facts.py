@@ -10,17 +10,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossiergrid.batches import bound_batches
 from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import date_ranges, email_of, half_even, months_covered, phone_of, ranges_near_work, stated_years, text_or_empty
 from dossiergrid.hot_keys import join_split
 from dossiergrid.operators.names import applicant
-from dossiergrid.operators.records import BULLET, DATE, MONTH, education, experience, tidy, years_of
+from dossiergrid.operators.records import BULLET, DATE, MONTH, education, experience, plain_letters, tidy, years_of
 from dossiergrid.operators.skill_items import listed_skills
 
 __all__ = ["education", "experience", "years_of"]
@@ -44,6 +46,8 @@ _KNOWN_CREDENTIALS = [
     (r"certified public accountant|\bcpa\b", "Certified Public Accountant", "Professional License"),
     (r"registered nurse", "Registered Nurse", "Professional License"),
 ]
+#: One of these is in every text of a known credential.
+_CREDENTIAL_WORDS = ("let passer", "licensure examination", "civil service", "aws certified", "project management", "pmp", "public accountant", "cpa", "registered nurse")
 _KINDS = [
     (r"licen[sc]|board exam|passer", "Professional License"), (r"eligib", "Eligibility"), (r"training|seminar|workshop", "Training"), (r"award|recognition", "Award"),
 ]
@@ -67,11 +71,23 @@ def sections(text: str) -> list[Line]:
     return out
 
 
+_CUT = re.compile(r"\s*(?:,|&|/|\band\b)\s*", re.I)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The parts between the cuts, one by one: of a line that is no heading only the first is looked at."""
+    at = 0
+    for m in _CUT.finditer(text):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 def headings(line: str) -> list[str]:
     """The sections a heading line names; none unless all its parts are headings."""
     raw = re.sub(r"^[A-Z]\s*[.)-]\s*", "", BULLET.sub("", line).strip(), flags=re.I).split(":", 1)[0]
     out = []
-    for part in filter(None, (p.strip() for p in re.split(r"\s*(?:,|&|/|\band\b)\s*", raw, flags=re.I))):
+    for part in filter(None, map(str.strip, _parts(raw))):
         plain = re.sub(r"\s+", " ", part).strip(" ,/&-|.").casefold()
         name = next((n for n, p in _SECTIONS.items() if p.fullmatch(plain)), None)
         if name is None:
@@ -95,12 +111,13 @@ def credentials(lines: list[Line]) -> list[dict]:
             out[key] = new
 
     for x in lines:
-        for pattern, name, kind in _KNOWN_CREDENTIALS:
-            if m := re.search(pattern, x.text, re.I):
-                add(name or tidy(m[0]).title(), kind, x.text)
-        if x.heading or x.section not in ("certifications", "training", "awards") or len(x.text) > 200:
-            continue
-        if any(re.search(p, x.text, re.I) for p, _, _ in _KNOWN_CREDENTIALS):
+        low = plain_letters(x.text)
+        known = any(w in low for w in _CREDENTIAL_WORDS) and any(re.search(p, x.text, re.I) for p, _, _ in _KNOWN_CREDENTIALS)
+        if known:
+            for pattern, name, kind in _KNOWN_CREDENTIALS:
+                if m := re.search(pattern, x.text, re.I):
+                    add(name or tidy(m[0]).title(), kind, x.text)
+        if known or x.heading or x.section not in ("certifications", "training", "awards") or len(x.text) > 200:
             continue
         name = tidy(re.sub(rf"\b(?:by|from)\s+[A-Z][\w&. ]+|{DATE}", " ", BULLET.sub("", x.text), flags=re.I))
         default = {"training": "Training", "awards": "Award"}.get(x.section, "Certification")
@@ -109,6 +126,18 @@ def credentials(lines: list[Line]) -> list[dict]:
     return list(out.values())
 
 
+@lru_cache(1024)
+def _vocabulary(extra: tuple[str, ...] = ()) -> list[list[tuple[str, str]]]:
+    """Of every name of the catalog and of ``extra``, its wordings, the longest first, each with its first word."""
+    vocabulary: dict[str, list[str]] = {**lx.SKILL_CATALOG, **lx.EDUCATION_SKILLS}
+    spelled = {n.lower(): n for n in vocabulary}
+    for skill in extra:
+        name = spelled.get(skill.lower(), skill)
+        vocabulary[name] = [*vocabulary.get(name, []), skill, *lx.SKILL_ALIASES.get(skill.lower(), [])]
+    long = ((name, variants) for name, variants in vocabulary.items() if len(re.sub(r"[^A-Za-z0-9]", "", name)) > 2)
+    return [sorted(((v, v.lower().split()[0]) for v in {name: 0, **dict.fromkeys(variants)} if v.split()), key=lambda v: len(v[0]), reverse=True) for name, variants in long]
+
+
 def mentioned_skills(lines: list[Line], extra: list[str] = ()) -> list[str]:
     """Names of the catalog that a resume mentions, as it words them."""
     out: dict[str, str] = {}
@@ -121,15 +150,8 @@ def mentioned_skills(lines: list[Line], extra: list[str] = ()) -> list[str]:
     disclaimed = re.compile(lx.DISCLAIMED_BEFORE, re.I)
     open_lines = [x.text for x in lines if x.section not in ("education", "personal", "references", "awards", "certifications", "training", "affiliations")]
     whole = "\n".join(open_lines).lower()
-    vocabulary: dict[str, list[str]] = {**lx.SKILL_CATALOG, **lx.EDUCATION_SKILLS}
-    spelled = {n.lower(): n for n in vocabulary}
-    for skill in filter(None, (e.strip() for e in extra)):
-        name = spelled.get(skill.lower(), skill)
-        vocabulary[name] = [*vocabulary.get(name, []), skill, *lx.SKILL_ALIASES.get(skill.lower(), [])]
-    for name, variants in vocabulary.items():
-        if len(re.sub(r"[^A-Za-z0-9]", "", name)) <= 2:
-            continue
-        known = sorted((v for v in {name: 0, **dict.fromkeys(variants)} if v.split() and v.lower().split()[0] in whole), key=len, reverse=True)
+    for variants in _vocabulary(tuple(filter(None, (e.strip() for e in extra)))):
+        known = [v for v, first in variants if first in whole]
         said = _first_mention(open_lines, known, disclaimed) if known else None
         if said and not any(said.lower() in x.lower() or x.lower() in said.lower() for x in out.values()):
             add(said)
@@ -204,6 +226,7 @@ def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: s
             found = [parse(*x) for x in zip(batch["text"], [as_of] * len(batch), batch["listed"], strict=True)]
             yield pd.concat([batch.drop(columns="listed").assign(listed=batch["listed"].notna()).reset_index(drop=True), pd.DataFrame(found, columns=["name", "experience", "education", "credentials", "skills", "own_text"])], axis=1)
 
+    bound_batches(resumes.sparkSession)
     rows = resumes.select(F.col(key), F.col(text).alias("text"))
     kind = dict(rows.dtypes)[key]
     rows = with_listed_skills(rows).select(key, "text", "listed")

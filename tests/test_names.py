@@ -39,3 +39,15 @@ CASES = [
 def test_names(text, want):
     email = re.search(lexicon.EMAIL, text)
     assert names.applicant(sections(text), email[0] if email else "") == want
+
+
+def test_prose_is_left_before_it_is_rebuilt(monkeypatch):
+    """A line of more words than a name has is told from its words; what stays is found as before."""
+    prose = "this long line has many more plain words than any name can have"
+    assert names._wordy(prose) and not names._wordy("Dr. Ana Maria de la Cruz Jr., CPA, MBA, PhD, RN, LPT")
+    seen = []
+    whole = names._name_in
+    monkeypatch.setattr(names, "_name_in", lambda value: seen.append(value) or whole(value))
+    line = lambda text: type("Line", (), {"text": text, "section": "header"})()
+    assert names.applicant([line(prose), line("Ana Cruz"), line("x " * 40 + "linkedin: y")], "") == "Ana Cruz"
+    assert prose not in seen and "Ana Cruz" in seen
