@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossiergrid.batches import bound_batches
 from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import half_even, text_or_empty
 from dossiergrid.operators.matching import with_jobs
@@ -85,6 +86,7 @@ def text_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, left_ke
 
     The right texts are jobs: broadcast behind a count of their size, else joined by salted key.
     """
+    bound_batches(left.sparkSession)
     known = left.select(left_key, F.col("text").alias("left_text"))
     rows = with_jobs(pairs.select(left_key, F.col(right_key).alias("job_id")).join(known, left_key), right.select(F.col(right_key).alias("job_id"), F.col("text").alias("right_text")))
     value = pair_similarity(F.col("left_text"), F.col("right_text"))

@@ -374,3 +374,18 @@ def test_entities_move_only_lines_that_begin_a_term_or_a_section(spark):
     assert {r.resume_id for r in got.collect()} == set(range(len(terms))) and {r.section for r in got.collect()} == {"skills"}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert lines._LIKE_SKILL in plan[plan.rindex("Window ") :]
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    """Operators that hand whole texts to Python lower the rows of a batch, so a worker holds no more at a larger table."""
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(1, 1, "sql")], "resume_id int, job_id int, text string")
+    jobs = spark.createDataFrame([(1, ["sql"], "sql")], "job_id int, skills array<string>, text string")
+    before = spark.conf.get(key)
+    for make in (
+        lambda: matching.claimed_skills(docs, ["sql"]), lambda: matching.analyze_skills(docs, jobs), lambda: facts.resume_facts(docs, "2026-06-23"),
+        lambda: text_similarity(docs.select("resume_id", "job_id"), docs, jobs, "resume_id", "job_id"),
+    ):
+        spark.conf.set(key, "10000")
+        make()
+        assert int(spark.conf.get(key)) == 1024
+    spark.conf.set(key, before)
