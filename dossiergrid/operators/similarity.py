@@ -34,12 +34,13 @@ def bag_of_words(text: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), " ")
 
 
-_WORD = re.compile(r"\b\w\w+\b")
+#: A match is as long as it can be, so it needs no test of its ends.
+WORD = re.compile(r"\w\w+")
 
 
 def term_weights(text: str) -> tuple[dict[str, float], float]:
     """1 + ln(tf) of the single words of at least two characters and of neighbouring pairs, and the sum of squares."""
-    words = _WORD.findall(text.lower())
+    words = WORD.findall(text.lower())
     count = Counter(words)
     count.update(map(" ".join, zip(words, words[1:], strict=False)))
     weights = {t: 1 + math.log(n) for t, n in count.items()}

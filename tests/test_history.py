@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dossiergrid import hot_keys
 from dossiergrid.functions import claims
-from dossiergrid.operators import history, lines, ranking
+from dossiergrid.operators import corpus_terms, history, lines, ranking
 
 
 def terms(text):
@@ -73,6 +73,39 @@ def test_bounds_rule_jobs_out(spark, monkeypatch):
     assert written["ranking-found"].count() < 80 * 40 / 8
 
 
+@pytest.mark.parametrize("run", ["rank", "pairs"])
+def test_terms_of_texts_are_never_rows(spark, monkeypatch, run):
+    """Every term of every text was a row of several tables before; small chunks, buckets and index blocks give the same result."""
+    written = {}
+    for module in (ranking, corpus_terms):
+        monkeypatch.setattr(module, "materialize", lambda df, name, real=module.materialize: written.setdefault(name, real(df, name)))
+    resumes, jobs = frames(spark)
+    pairs = resumes.select("resume_id").crossJoin(jobs.select("job_id"))
+    result = lambda: sorted(map(tuple, (ranking.rank_jobs(resumes, jobs, 3) if run == "rank" else ranking.corpus_similarity(pairs, resumes, jobs, "resume_id", "job_id")).collect()))
+    whole = result()
+    texts = [t for _, t in RESUMES + JOBS if t]
+    assert sum(t.count() for n, t in written.items() if n.startswith("terms-")) < sum(len(terms(t)) for t in texts) / 10
+    written.clear()
+    monkeypatch.setattr(corpus_terms, "CHUNK", 40)
+    monkeypatch.setattr(corpus_terms, "BUCKET", 300)
+    monkeypatch.setattr(ranking, "BLOCK", 100)
+    cut = result()
+    assert [r[:3] for r in cut] == [r[:3] for r in whole] if run == "rank" else [r[:2] for r in cut] == [r[:2] for r in whole]
+    assert [r[-1] for r in cut] == pytest.approx([r[-1] for r in whole], abs=0.0101 if run == "pairs" else 2e-6)
+    assert written["terms-0"].where("bucket < 0").count() > 20 and written["terms-0"].select("bucket").distinct().count() > 10
+
+
+def test_bounds_complete_few_jobs(spark, monkeypatch):
+    """How many jobs get a whole score, not only how many of the best are listed."""
+    written = {}
+    real = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    said = lambda k: " ".join(f"s{k % 20}x{i}" for i in range(12)) + " common0 common1"
+    rows = lambda n: [(i, said(i)) for i in range(n)]
+    ranking.rank_jobs(spark.createDataFrame(rows(80), "resume_id long, text string"), spark.createDataFrame(rows(40), "job_id long, text string"), 2).collect()
+    assert written["ranking-found"].selectExpr("max(completed)").first()[0] <= 4
+
+
 def test_corpus_similarity(spark):
     """Weights are fitted over both texts of the pair and all other resumes."""
     resumes, jobs = frames(spark)
