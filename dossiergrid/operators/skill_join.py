@@ -9,7 +9,7 @@ threshold. Which runs can is told by two joins, never by trying a skill against
   from their lengths: an insertion or deletion spoils at most two of a side's pairs and the order of words spoils none. Two sets
   that share t of their pairs hold two shared ones among their rarest (size - t + 2), so sets meet by two pairs at once.
 
-Equal runs are compared once, by their distinct words. What meets is counted before its ratio is taken. Skills and runs are
+Equal lines are cut into runs once, and equal runs are compared once, by their distinct words. What meets is counted before its ratio is taken. Skills and runs are
 joined by Spark, hot keys dealt; only the ratio of the pairs that are left is Python.
 """
 
@@ -161,7 +161,7 @@ def similar_skills(lines: DataFrame, skills: DataFrame, line: str = "line", skil
     if threshold <= 80:
         raise ValueError("threshold must be above 80")
     keys = [c for c in lines.columns if c != line]
-    clash = {"size", "words", "run", "skill", "ratio", "w", "id"} & set(keys)
+    clash = {"size", "words", "run", "skill", "ratio", "w", "id", "n", "like"} & set(keys)
     if clash:
         raise ValueError(f"columns of lines that clash with the result's or working ones: {sorted(clash)}")
     own = materialize(skill_table(skills, skill), "skills")
@@ -170,7 +170,10 @@ def similar_skills(lines: DataFrame, skills: DataFrame, line: str = "line", skil
     if not lengths:
         return lines.select(*keys).where("false").select(*keys, F.lit("").alias("skill"), F.lit(0.0).alias("ratio"))
     identifier = lambda c: F.xxhash64(F.array_join(c, " "))
-    runs = materialize(_runs(lines, lengths, line).withColumn("run", identifier(F.col("words"))), "skill-runs")
+    # Lines that many rows hold are cut into runs once; the rows themselves meet only what their line is like.
+    rows = materialize(lines.where(F.col(line).isNotNull()), "skill-rows")
+    texts = materialize(rows.groupBy(line).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "skill-lines")
+    runs = materialize(_runs(texts.select("id", line), lengths, line).withColumn("run", identifier(F.col("words"))), "skill-runs")
     # A set that several runs, or skills, have is compared once.
     sets = runs.groupBy("run").agg(F.first("words").alias("words")).select(F.col("run").alias("id"), F.lit(0).alias("side"), "words")
     named = own.withColumn("skill_id", identifier(F.col("words")))
@@ -180,5 +183,8 @@ def similar_skills(lines: DataFrame, skills: DataFrame, line: str = "line", skil
     like = materialize(like, "skill-ratios")
     # A skill counts for runs of its own length and up to MORE words more.
     wanted = like.join(named.select("skill_id", "skill", "n"), "skill_id").select("run", "skill", "n", "ratio")
-    found = join_dealt(runs.select(*keys, "size", "run"), wanted, ["run"], F.xxhash64(*keys), runs.count()).where(F.col("size").between(F.col("n"), F.col("n") + MORE))
-    return found.groupBy(*keys, "skill").agg(F.max("ratio").alias("ratio"))
+    found = join_dealt(runs.select("id", "size", "run"), wanted, ["run"], F.col("id"), runs.count()).where(F.col("size").between(F.col("n"), F.col("n") + MORE))
+    best = found.groupBy("id", "skill").agg(F.max("ratio").alias("ratio"))
+    like = materialize(best.groupBy("id").agg(F.collect_list(F.struct("skill", "ratio")).alias("like")).join(texts, "id").drop("id"), "skill-likes")
+    met = join_split(rows, like, [line], rows.count()).select(*keys, F.explode("like").alias("like"))
+    return met.groupBy(*keys, F.col("like.skill").alias("skill")).agg(F.max("like.ratio").alias("ratio"))

@@ -69,3 +69,15 @@ def test_hot_runs_and_lost_threshold(spark):
         op.similar_skills(rows.withColumnRenamed("k", "run"), skills)
     with pytest.raises(ValueError, match="above 80"):
         op.similar_skills(rows, skills, threshold=70)
+
+
+def test_equal_lines_are_cut_into_runs_once(spark, monkeypatch):
+    """Each row's line was cut into runs of its own before; rows that have one key and different lines still count together."""
+    written = {}
+    real = op.materialize
+    monkeypatch.setattr(op, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    rows = [(i // 2, ["uses data scence daily", "database work", "makes nothing", None][i % 4]) for i in range(4000)]
+    skills = spark.createDataFrame([("data science",), ("database",)], "skill string")
+    got = op.similar_skills(spark.createDataFrame(rows, "k long, line string"), skills).groupBy("skill").count().collect()
+    assert {r["skill"]: r["count"] for r in got} == {"data science": 1000, "database": 1000}
+    assert written["skill-runs"].count() < 40
