@@ -4,6 +4,7 @@ A corpus has far more pairs of text and term than texts, so these are never rows
 its different terms once, as sorted 64-bit hashes with the number of its texts that hold each, cut into buckets by the hash.
 All chunks' entries of a bucket meet in one group, which is of bounded size (the number of buckets follows from the size of the
 texts) and has no hot term (a term is there once a chunk); the frequencies go back to their chunks in the order of the hashes.
+Hashes are shuffled once and stored nowhere else.
 """
 
 from __future__ import annotations
@@ -21,12 +22,21 @@ from dossiergrid.batches import bound_batches
 from dossiergrid.operators.similarity import WORD
 from dossiergrid.scratch import materialize, spread
 
-#: Words in a chunk, but for the last text's.
-CHUNK = 1 << 19
+#: Words in a chunk, but for the last text's, and the most texts of one (their numbers have two bytes).
+CHUNK, MOST = 1 << 19, 1 << 16
 #: Characters of text for every bucket; about a million entries.
 BUCKET = 8_000_000
 
-_U8, _U4 = np.dtype("<u8"), np.dtype("<u4")
+_U8, _U4, _U2 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<u2")
+
+
+def _planes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes byte by byte, so that what they begin with compresses."""
+    return hashes.astype(_U8).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(_U8).ravel()
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,35 +57,34 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(words: list[str], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different terms of some texts (sorted hashes), and of each text and term the text's number, the term's place and its count."""
+    """The different terms of some texts (sorted hashes), and of each term and text (by term) the term's place, the text's number and the count."""
     coded = pa.array(words, pa.string()).dictionary_encode()
     own = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)
     of = own[coded.indices.to_numpy()]
     text = np.repeat(np.arange(len(sizes)), sizes)
     inside = text[1:] == text[:-1]
     terms, place = _numbered(np.concatenate([of, _mixed(of[:-1], of[1:])[inside]]))
-    code, count = np.unique((np.concatenate([text, text[1:][inside]]) << 32) | place, return_counts=True)
+    code, count = np.unique((place << 32) | np.concatenate([text, text[1:][inside]]), return_counts=True)
     return terms, code >> 32, code & 0xFFFFFFFF, count
 
 
 def _packed(texts: DataFrame, key: str, side: int, buckets: int) -> DataFrame:
-    """A row of every chunk and bucket (hashes, counts), and one of every chunk alone (bucket -1): its texts' keys, numbers of terms, and terms' places and counts."""
+    """A row of every chunk and bucket (hashes, counts), and one of every chunk alone (a negative bucket): its texts' keys, and of its terms the texts' numbers and counts."""
     rows = spread(texts.select(F.col(key).alias("key"), F.col("text").alias("text")).where("text <> ''"))
     kind = rows.dtypes[0][1]
 
     def chunk_rows(chunk: int, keys: list, keys_type: pa.DataType, words: list[str], sizes: list[int]) -> pa.RecordBatch:
-        terms, text, place, count = _counted(words, sizes)
+        terms, place, text, count = _counted(words, sizes)
         cuts = np.searchsorted(((terms >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
         held = np.bincount(place, minlength=len(terms)).astype(_U4)
         some = np.flatnonzero(np.diff(cuts)).tolist()
-        cut = lambda values: [values[cuts[b] : cuts[b + 1]].tobytes() for b in some] + [None]
+        cut = lambda values, packed: pa.array([packed(values[cuts[b] : cuts[b + 1]]) for b in some] + [None], pa.binary())
         alone = lambda value, of: pa.array([None] * len(some) + [value], of)
         n = len(some) + 1
         columns = {
-            "side": pa.array([side] * n, pa.int32()), "chunk": pa.array([chunk] * n, pa.int64()), "bucket": pa.array([*some, -1], pa.int32()),
-            "hashes": pa.array(cut(terms), pa.binary()), "counts": pa.array(cut(held), pa.binary()), "keys": alone(keys, pa.list_(keys_type)),
-            "sizes": alone(np.bincount(text, minlength=len(sizes)).astype(_U4).tobytes(), pa.binary()),
-            "places": alone(place.astype(_U4).tobytes(), pa.binary()), "tfs": alone(count.astype(_U4).tobytes(), pa.binary()),
+            "side": pa.array([side] * n, pa.int32()), "chunk": pa.array([chunk] * n, pa.int64()), "bucket": pa.array([*some, -1 - chunk], pa.int64()),
+            "hashes": cut(terms, _planes), "counts": cut(held, np.ndarray.tobytes), f"keys{side}": alone(keys, pa.list_(keys_type)),
+            "texts": alone(text.astype(_U2).tobytes(), pa.binary()), "tfs": alone(count.astype(_U4).tobytes(), pa.binary()),
         }
         return pa.RecordBatch.from_pydict(columns)
 
@@ -90,53 +99,58 @@ def _packed(texts: DataFrame, key: str, side: int, buckets: int) -> DataFrame:
                     keys.append(name)
                     words += found
                     sizes.append(len(found))
-                if len(words) >= CHUNK:
+                if len(words) >= CHUNK or len(keys) == MOST:
                     yield chunk_rows(chunk, keys, keys_type, words, sizes)
                     chunk, keys, words, sizes = chunk + 1, [], [], []
         if words:
             yield chunk_rows(chunk, keys, keys_type, words, sizes)
 
-    return rows.mapInArrow(run, f"side int, chunk long, bucket int, hashes binary, counts binary, keys array<{kind}>, sizes binary, places binary, tfs binary")
+    return rows.mapInArrow(run, f"side int, chunk long, bucket long, hashes binary, counts binary, keys{side} array<{kind}>, texts binary, tfs binary")
 
 
 def _joined(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _frequencies(asked: DataFrame, both: bool) -> DataFrame:
-    """For every row (side, chunk, bucket, hashes, counts): ``dfs`` of its hashes, whether a right text has them (``held``), and those that one has (``names``)."""
+def _frequencies(rows: DataFrame, both: bool) -> DataFrame:
+    """For every row with hashes: ``dfs`` of them, whether a right text has them (``held``), and those that one has (``names``); the others as they are."""
+    kept = [f for f in rows.schema.fields if f.name != "hashes"]
+    names = [f.name for f in kept]
 
     def count(table: pa.Table) -> pa.Table:
-        hashes, counts = _joined(table["hashes"], _U8), _joined(table["counts"], _U4)
-        size = np.array([len(x) // 8 for x in table["hashes"].to_pylist()])
+        if table["bucket"][0].as_py() < 0:
+            none = pa.nulls(table.num_rows, pa.binary())
+            return pa.table([*[table[c] for c in names], none, none, none], [*names, "dfs", "held", "names"])
+        parts = [_from_planes(x) for x in table["hashes"].to_pylist()]
+        hashes, counts, size = np.concatenate(parts), _joined(table["counts"], _U4), [len(x) for x in parts]
         right = np.repeat(table["side"].to_numpy() == 1, size)
         terms, place = _numbered(hashes)
         has = np.bincount(place[right], minlength=len(terms)) > 0
         df = np.bincount(place, counts if both else np.where(right, 0, counts), len(terms)).astype(_U4)[place]
         held = has[place]
         ends = np.cumsum(size)[:-1]
-        cut = lambda values: [x.tobytes() for x in np.split(values, ends)]
-        names = [h[m].tobytes() for h, m in zip(np.split(hashes, ends), np.split(held, ends), strict=True)]
-        columns = {"side": table["side"], "chunk": table["chunk"], "bucket": table["bucket"], "dfs": pa.array(cut(df), pa.binary()), "held": pa.array(cut(held), pa.binary()), "names": pa.array(names, pa.binary())}
-        return pa.table(columns)
+        cut = lambda values: pa.array([x.tobytes() for x in np.split(values, ends)], pa.binary())
+        named = pa.array([h[m].tobytes() for h, m in zip(parts, np.split(held, ends), strict=True)], pa.binary())
+        return pa.table([*[table[c] for c in names], cut(df), cut(held), named], [*names, "dfs", "held", "names"])
 
-    return asked.groupBy("bucket").applyInArrow(count, "side int, chunk long, bucket int, dfs binary, held binary, names binary")
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return rows.groupBy("bucket").applyInArrow(count, f"{out}, dfs binary, held binary, names binary")
 
 
 class Chunk:
     """The texts of a chunk: ``keys``, and of each text and term (by text) its number ``text``, the ``tf`` (1 + ln of the count), the ``df`` and, where ``held`` by a right text, its ``name``."""
 
-    def __init__(self, table: pa.Table):
-        bucket = table["bucket"].to_numpy()
-        own = table.slice(int(np.flatnonzero(bucket < 0)[0]), 1)
-        told = table.take(pa.array(np.argsort(bucket)[1:]))
+    def __init__(self, table: pa.Table, keys: str):
+        order = np.argsort(table["bucket"].to_numpy())
+        own, told = table.slice(int(order[0]), 1), table.take(pa.array(order[1:]))
         df, held = _joined(told["dfs"], _U4), _joined(told["held"], np.dtype(bool))
         names = np.zeros(len(df), _U8)
         names[held] = _joined(told["names"], _U8)
-        place = _joined(own["places"], _U4)
-        self.keys = own["keys"][0].values
-        self.text = np.repeat(np.arange(len(self.keys)), _joined(own["sizes"], _U4))
-        self.tf, self.df = 1 + np.log(_joined(own["tfs"], _U4)), df[place].astype(np.float64)
+        text = _joined(own["texts"], _U2)
+        by = np.argsort(text, kind="stable")
+        place = np.repeat(np.arange(len(df)), _joined(told["counts"], _U4))[by]
+        self.keys, self.text = own[keys][0].values, text[by].astype(np.int64)
+        self.tf, self.df = 1 + np.log(_joined(own["tfs"], _U4)[by]), df[place].astype(np.float64)
         self.held, self.name = held[place], names[place]
 
 
@@ -148,13 +162,12 @@ def corpus(left: DataFrame, right: DataFrame, left_key: str, right_key: str, bot
     bound_batches(left.sparkSession)
     chars = sum(t.agg(F.sum(F.length("text"))).first()[0] or 0 for t in (left, right))
     buckets = 1 + chars // BUCKET
-    sides = [materialize(_packed(t, k, i, buckets), f"terms-{i}") for i, (t, k) in enumerate(((left, left_key), (right, right_key)))]
-    asked = [t.where("bucket >= 0").select("side", "chunk", "bucket", "hashes", "counts") for t in sides]
-    told = materialize(_frequencies(asked[0].unionByName(asked[1]), both), "term-frequencies")
+    sides = [_packed(t, k, i, buckets) for i, (t, k) in enumerate(((left, left_key), (right, right_key)))]
+    told = materialize(_frequencies(sides[0].unionByName(sides[1], allowMissingColumns=True), both), "corpus-terms")
 
     def chunks(side: int, make: Callable[[Chunk], pa.Table], schema: str) -> DataFrame:
-        own = sides[side].where("bucket < 0").select("chunk", "bucket", "keys", "sizes", "places", "tfs")
-        rows = own.unionByName(told.where(F.col("side") == side).drop("side"), allowMissingColumns=True)
-        return rows.groupBy("chunk").applyInArrow(lambda table: make(Chunk(table)), schema)
+        keys = f"keys{side}"
+        rows = told.where(F.col("side") == side).select("chunk", "bucket", "counts", "dfs", "held", "names", keys, "texts", "tfs")
+        return rows.groupBy("chunk").applyInArrow(lambda table: make(Chunk(table, keys)), schema)
 
     return chunks
