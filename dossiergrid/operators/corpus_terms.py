@@ -23,9 +23,11 @@ from dossiergrid.operators.similarity import WORD
 from dossiergrid.scratch import materialize, spread
 
 #: Words in a chunk, but for the last text's, and the most texts of one (their numbers have two bytes).
-CHUNK, MOST = 1 << 19, 1 << 16
-#: Characters of text for every bucket; about a million entries.
-BUCKET = 8_000_000
+CHUNK, MOST = 3 << 17, 1 << 16
+#: Words that are kept as objects at a time.
+PACKED = 1 << 16
+#: Characters of text for every bucket; some 600,000 entries.
+BUCKET = 5_000_000
 
 _U8, _U4, _U2 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<u2")
 
@@ -56,9 +58,10 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[order], place[codes]
 
 
-def _counted(words: list[str], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counted(words: pa.ChunkedArray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different terms of some texts (sorted hashes), and of each term and text (by term) the term's place, the text's number and the count."""
-    coded = pa.array(words, pa.string()).dictionary_encode()
+    coded = words.combine_chunks().dictionary_encode()
+    del words
     own = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)
     of = own[coded.indices.to_numpy()]
     text = np.repeat(np.arange(len(sizes)), sizes)
@@ -73,7 +76,7 @@ def _packed(texts: DataFrame, key: str, side: int, buckets: int) -> DataFrame:
     rows = spread(texts.select(F.col(key).alias("key"), F.col("text").alias("text")).where("text <> ''"))
     kind = rows.dtypes[0][1]
 
-    def chunk_rows(chunk: int, keys: list, keys_type: pa.DataType, words: list[str], sizes: list[int]) -> pa.RecordBatch:
+    def chunk_rows(chunk: int, keys: list, keys_type: pa.DataType, words: pa.ChunkedArray, sizes: list[int]) -> pa.RecordBatch:
         terms, place, text, count = _counted(words, sizes)
         cuts = np.searchsorted(((terms >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
         held = np.bincount(place, minlength=len(terms)).astype(_U4)
@@ -90,7 +93,8 @@ def _packed(texts: DataFrame, key: str, side: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = side << 56 | TaskContext.get().partitionId() << 32
-        keys, words, sizes, keys_type = [], [], [], pa.null()
+        keys, words, sizes, keys_type, packed, n = [], [], [], pa.null(), [], 0
+        strings = lambda: pa.array(words, pa.string())
         for batch in batches:
             keys_type = batch.column(0).type
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -99,11 +103,13 @@ def _packed(texts: DataFrame, key: str, side: int, buckets: int) -> DataFrame:
                     keys.append(name)
                     words += found
                     sizes.append(len(found))
-                if len(words) >= CHUNK or len(keys) == MOST:
-                    yield chunk_rows(chunk, keys, keys_type, words, sizes)
-                    chunk, keys, words, sizes = chunk + 1, [], [], []
-        if words:
-            yield chunk_rows(chunk, keys, keys_type, words, sizes)
+                if len(words) >= PACKED:  # as objects, words take several times their letters
+                    packed, n, words = [*packed, strings()], n + len(words), []
+                if n + len(words) >= CHUNK or len(keys) == MOST:
+                    yield chunk_rows(chunk, keys, keys_type, pa.chunked_array([*packed, strings()]), sizes)
+                    chunk, keys, words, sizes, packed, n = chunk + 1, [], [], [], [], 0
+        if keys:
+            yield chunk_rows(chunk, keys, keys_type, pa.chunked_array([*packed, strings()]), sizes)
 
     return rows.mapInArrow(run, f"side int, chunk long, bucket long, hashes binary, counts binary, keys{side} array<{kind}>, texts binary, tfs binary")
 
