@@ -14,7 +14,8 @@ from dossiergrid.functions.text import text_or_empty
 from dossiergrid.operators.history import claimed_lines
 
 #: What disclaims a mention behind it. Spaces are single where it is looked for, so that it is of bounded length.
-_GUARD = f"(?:{lx.NEGATION}|{lx.ASPIRATION})".replace(r"\s+", " ") + "[^.;:]{0,60}"
+_CUE = f"(?:{lx.NEGATION}|{lx.ASPIRATION})".replace(r"\s+", " ")
+_GUARD = _CUE + "[^.;:]{0,60}"
 
 
 def _flat(value: Column) -> Column:
@@ -42,9 +43,10 @@ def names(flat: Column, name: Column) -> Column:
     Names with signs match anywhere, others as whole words.
     """
     body = F.when(name.rlike("[^a-z0-9 ]"), F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))).otherwise(F.concat(F.lit(r"\b"), name, F.lit(r"\b")))
-    # Small letters hold no end of a quotation.
-    pattern = F.concat(F.lit("(?U)(?="), body, F.lit(f")(?<!{_GUARD})"))
-    return (name != "") & F.contains(flat, name) & F.regexp_like(flat, pattern)
+    # Small letters hold no end of a quotation. The long pattern is made only for lines that disclaim something.
+    plain = F.regexp_like(flat, F.concat(F.lit("(?U)"), body))
+    guarded = F.regexp_like(flat, F.concat(F.lit("(?U)(?="), body, F.lit(f")(?<!{_GUARD})")))
+    return (name != "") & F.contains(flat, name) & F.when(flat.rlike(f"(?U){_CUE}"), guarded).otherwise(plain)
 
 
 def _asked(skill: Column) -> Column:
