@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 from dossiergrid.functions import lexicon as lx
-from dossiergrid.functions.similarity import all_stems_near, stem, token_set_ratio, too_short
+from dossiergrid.functions.similarity import all_stems_near, common_lengths, irregular_forms, kept_by_stem, stem, token_set_ratio, too_short
 
 THRESHOLD = 85
 #: Characters of text that are worked on at a time.
@@ -23,11 +23,16 @@ CHUNK = 1 << 21
 #: A disclaimer reaches at most 60 characters; its own words are far shorter than this.
 LOOK_BACK = 1000
 _LETTERS = 64
+_PART = re.compile(r"[a-z0-9]+")
+_PART_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _CUE = re.compile(f"{lx.NEGATION}|{lx.ASPIRATION}", re.I)
 #: Every disclaimer begins with one of these.
 _CUE_WORDS = frozenset(
     "no not without lack lacks lacking unfamiliar interested willing eager hoping seeking would currently planning hope aspire want wants wanting".split()
 )
+_CUE_WORD = re.compile(f"(?:{'|'.join(sorted(_CUE_WORDS))})(?![a-z0-9])")
+#: A line with one of these as a whole word disclaims.
+_NEGATIONS = ("no", "not", "without", "lack", "lacks", "lacking")
 _DISCLAIMED = re.compile(lx.DISCLAIMED_BEFORE, re.I)
 
 
@@ -67,6 +72,7 @@ def work_lines(text: str) -> list[str]:
     return out or lines
 
 
+@lru_cache(1 << 14)
 def skill_names(skill: str) -> list[str]:
     """A skill and its aliases, lower-cased, the longest first."""
     plain = skill.strip().lower()
@@ -87,6 +93,8 @@ def named(lines: list[str], whole: str, skill: str) -> bool:
         if not name or name.split()[0] not in whole:
             continue
         pattern = _mention(name)
+        if not pattern.search(whole):  # a line's mention is one of the whole, too
+            continue
         for line in lines:
             for m in pattern.finditer(line):
                 if not _DISCLAIMED.search(line, max(0, m.start() - LOOK_BACK), m.start()):
@@ -105,42 +113,60 @@ class _Batch:
         for row, lines in texts.items():
             for line in lines:
                 words = line.split()
-                own.extend([numbers[w] for w in words])
+                own.extend(map(numbers.__getitem__, words))
                 counts.append(len(words))
                 row_of_line.append(row)
                 self.lines.append(line)
         self.numbers, self.words = dict(numbers), list(numbers)
-        parts = [re.findall(r"[a-z0-9]+", w) for w in self.words]
+        self.text = "\n".join(self.words)
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.starts = np.cumsum(self.length + 1) - self.length - 1
         own_words, line_of = np.array(own, np.int64), np.repeat(np.arange(len(counts)), counts)
         # Only lines with a word of a disclaimer are searched for one.
-        warns = np.array([not _CUE_WORDS.isdisjoint(p) for p in parts], bool)
+        denies = np.zeros(len(self.words), bool)
+        denies[[self.numbers[w] for w in _NEGATIONS if w in self.numbers]] = True
         keep = np.ones(len(counts), bool)
-        for i in np.unique(line_of[warns[own_words]]).tolist() if len(own_words) else ():
+        keep[line_of[denies[own_words]]] = False
+        warns = np.zeros(len(counts), bool)
+        warns[line_of[self._having(_CUE_WORD)[own_words]]] = True
+        for i in np.flatnonzero(warns & keep).tolist():
             keep[i] = not _CUE.search(self.lines[i])
         open_words = keep[line_of]
         self.own, self.line_of = own_words[open_words], line_of[open_words]
         self.row_of = np.array(row_of_line, np.int64)[self.line_of]
-        self.length = np.array([len(w) for w in self.words], np.int64)
-        letters = np.frombuffer("".join(self.words).encode("utf-32-le", "surrogatepass"), np.uint32) % _LETTERS
-        at = np.repeat(np.arange(len(self.words)), self.length) * _LETTERS + letters
-        self.letters = np.bincount(at, minlength=len(self.words) * _LETTERS).reshape(-1, _LETTERS)
-        # Each word stands for the stems of its parts, one after the other.
-        self.roots: dict[str, int] = defaultdict()
-        self.roots.default_factory = self.roots.__len__
-        flat = np.array([self.roots[stem(x)] for p in parts for x in p], np.int64)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        many = sizes[self.own]
-        at = np.arange(many.sum()) + np.repeat(starts[self.own] - (np.cumsum(many) - many), many)
-        self.own_roots, self.root_line_of, self.root_row_of = flat[at], np.repeat(self.line_of, many), np.repeat(self.row_of, many)
-
-    @staticmethod
-    def _gather(rows: list[int], values: np.ndarray, lines: np.ndarray, of_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(values, lines, rows) of some texts; ``of_row`` is sorted."""
-        begins, ends = np.searchsorted(of_row, rows, "left"), np.searchsorted(of_row, rows, "right")
+        self.letters = np.frombuffer("".join(self.words).encode("utf-32-le", "surrogatepass"), np.uint32) % _LETTERS
+        self.word_of_letter = np.repeat(np.arange(len(self.words)), self.length)
+        self.counts: dict[int, np.ndarray] = {}
+
+    def _having(self, pattern: re.Pattern, test: Callable[[str], bool] = bool) -> np.ndarray:
+        """Which words have a part (small letters and digits in a row) that the pattern matches whole and that passes the test.
+
+        The pattern must reach the end of a part.
+        """
+        text, found = self.text, []
+        for m in pattern.finditer(text):
+            at = m.start()
+            if (not at or text[at - 1] not in _PART_CHARACTERS) and test(m.group()):
+                found.append(at)
+        flags = np.zeros(len(self.words), bool)
+        flags[np.searchsorted(self.starts, np.array(found, np.int64), "right") - 1] = True
+        return flags
+
+    def _common(self, tokens: list[str]) -> np.ndarray:
+        """At least as many letters as each word shares with the tokens."""
+        letters, many = np.unique(np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32) % _LETTERS, return_counts=True)
+        common = np.zeros(len(self.words), np.int32)
+        for letter, most in zip(letters.tolist(), many.tolist(), strict=True):
+            if letter not in self.counts:
+                self.counts[letter] = np.bincount(self.word_of_letter[self.letters == letter], minlength=len(self.words)).astype(np.int32)
+            common += np.minimum(self.counts[letter], most)
+        return common
+
+    def _places(self, rows: list[int]) -> np.ndarray:
+        """The places of the words of some texts; ``row_of`` is sorted."""
+        begins, ends = np.searchsorted(self.row_of, rows, "left"), np.searchsorted(self.row_of, rows, "right")
         size = ends - begins
-        at = np.arange(size.sum()) + np.repeat(begins - (np.cumsum(size) - size), size)
-        return values[at], lines[at], of_row[at]
+        return np.arange(size.sum()) + np.repeat(begins - (np.cumsum(size) - size), size)
 
     def worded_alike(self, skill: str, rows: list[int]) -> set[int]:
         """Of the texts ``rows``, those with a run of as many words as the skill has, or one or two more, that is worded like it."""
@@ -150,16 +176,26 @@ class _Batch:
         tokens = skill.split()
         distinct = sorted(set(tokens))
         la = len(" ".join(distinct))
-        bag = np.bincount(np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), np.uint32) % _LETTERS, minlength=_LETTERS)
-        common = np.minimum(self.letters, bag).sum(1)
-        words, lines, of_row = self._gather(rows, self.own, self.line_of, self.row_of)
+        common = self._common(distinct)
+        # A window that shares no word with the skill passes the bound below only if these values of its words,
+        # none of them negative, reach ``least`` together; a shared word reaches it alone.
+        least = THRESHOLD * la + 200 - THRESHOLD
+        value = np.clip(200 * common - THRESHOLD * self.length + 200 - THRESHOLD, 0, least)
+        value[[self.numbers[t] for t in distinct if t in self.numbers]] = least
+        places = self._places(rows)
+        words, longest = self.own[places], len(tokens) + 2
+        total = np.zeros(len(words) + longest + 1, np.int64)
+        np.cumsum(value[words], out=total[1 : len(words) + 1])
+        total[len(words) + 1 :] = total[len(words)]
+        begins = np.flatnonzero(total[longest:-1] - total[: len(words)] >= least)
         found: set[int] = set()
-        for size in range(len(tokens), len(tokens) + 3):
-            n = len(words) - size + 1
-            if n <= 0:
-                continue
-            at = np.flatnonzero(lines[:n] == lines[size - 1 :])
-            at = at[~np.isin(of_row[at], list(found))] if found else at
+        for size in range(len(tokens), longest + 1):
+            at = begins[(begins + size <= len(words)) & (total[begins + size] - total[begins] >= least)]
+            at = at[self.line_of[places[at]] == self.line_of[places[at + size - 1]]]
+            of_row = self.row_of[places[at]]
+            if found:
+                new = ~np.isin(of_row, list(found))
+                at, of_row = at[new], of_row[new]
             w = [words[at + j] for j in range(size)]
             new = [np.ones(len(at), bool)]
             for j in range(1, size):
@@ -177,38 +213,52 @@ class _Batch:
             some = shared > 0
             sure = some & ((shared == len(distinct)) | (shared == kinds))
             sure |= some & ((200.0 * both / (both + la) >= THRESHOLD) | (200.0 * both / (both + lb) >= THRESHOLD))
-            found |= set(of_row[at[sure]].tolist())
+            found |= set(of_row[sure].tolist())
             maybe = np.flatnonzero(~sure & (200.0 * np.minimum(np.minimum(possible, la), lb) / (la + lb) >= THRESHOLD))
+            alone, beside = maybe[~some[maybe]], maybe[some[maybe]]
+            texts = [" ".join(sorted({self.words[x] for x in window})) for window in zip(*[x[alone].tolist() for x in w], strict=True)]
+            kept = common_lengths(" ".join(distinct), texts)
+            found |= set(of_row[alone[200.0 * kept / (la + lb[alone]) >= THRESHOLD]].tolist())
             tried: dict[tuple, bool] = {}
-            for i in maybe.tolist():
-                row = int(of_row[at[i]])
+            for row, *window in zip(of_row[beside].tolist(), *[x[beside].tolist() for x in w], strict=True):
                 if row in found:
                     continue
-                window = tuple(int(x[i]) for x in w)
+                window = tuple(window)
                 if window not in tried:
                     tried[window] = token_set_ratio(skill, " ".join(self.words[x] for x in window)) >= THRESHOLD
                 if tried[window]:
                     found.add(row)
         return found
 
+    def _with_stem(self, root: str) -> np.ndarray | None:
+        """Which words have a part with this stem, None if none has; only parts that begin like it are stemmed."""
+        begins = [x for x in (kept_by_stem(root), *irregular_forms(root)) if x in self.text]
+        flags = self._having(re.compile(f"(?:{'|'.join(begins)})[a-z0-9]*"), lambda part: stem(part) == root) if begins else None
+        return flags if begins and flags.any() else None
+
     def stemmed(self, skill: str, rows: list[int]) -> set[int]:
         """Of the texts ``rows``, those with a line that has the stems of all words of the skill close together."""
         skill = skill.strip().lower()
         if too_short(skill):
             return set()
-        wanted = {self.roots.get(stem(w)) for w in re.findall(r"[a-z0-9]+", skill)}
-        if not wanted or None in wanted:
-            return set()
-        roots, lines, of_row = self._gather(rows, self.own_roots, self.root_line_of, self.root_row_of)
-        hold = None
+        wanted = {stem(w) for w in _PART.findall(skill)}
+        having = []
         for root in wanted:
-            here = np.unique(lines[roots == root])
+            having.append(self._with_stem(root))
+            if having[-1] is None:
+                return set()
+        if not having:
+            return set()
+        places = self._places(rows)
+        words, lines, hold = self.own[places], self.line_of[places], None
+        for flags in having:
+            here = np.unique(lines[flags[words]])
             hold = here if hold is None else np.intersect1d(hold, here, assume_unique=True)
-        row_of = dict(zip(lines.tolist(), of_row.tolist(), strict=True)) if len(hold) else {}
+        row_of_line = self.row_of[np.searchsorted(self.line_of, hold)]
         found: set[int] = set()
-        for line in hold.tolist():
-            if row_of[line] not in found and all_stems_near(self.lines[line], skill):
-                found.add(row_of[line])
+        for line, row in zip(hold.tolist(), row_of_line.tolist(), strict=True):
+            if row not in found and all_stems_near(self.lines[line], skill):
+                found.add(row)
         return found
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossiergrid.functions import claims, lexicon
-from dossiergrid.functions.similarity import all_stems_near, phrase_like
+from dossiergrid.functions.similarity import all_stems_near, common_length, common_lengths, irregular_forms, kept_by_stem, phrase_like, stem
 from dossiergrid.operators import duplicates, evaluation, facts, lines, matching, metrics, review, scoring
 from dossiergrid.operators.similarity import bag_of_words, text_similarity
 from dossiergrid.sources import documents
@@ -118,6 +118,34 @@ def test_claims_against_plain_comparison():
     assert 0 < sum(map(len, got)) < len(texts) * len(skills)
 
 
+def test_only_words_like_a_skill_are_worked_on(monkeypatch):
+    """Words that don't begin like a skill's stem are not stemmed, and what shares too few letters isn't compared."""
+    stemmed, compared = [], []
+    monkeypatch.setattr(claims, "stem", lambda w: stemmed.append(w) or stem(w))
+    monkeypatch.setattr(claims, "common_lengths", lambda a, others: compared.extend(others) or common_lengths(a, others), raising=False)
+    rng = random.Random(3)
+    texts = [[" ".join("".join(rng.choices("bcdfghjkmnou", k=6)) for _ in range(50))] for _ in range(40)]
+    texts += [["it was planed and lesson-planning too"], ["agill work"], ["resting and apis"]]
+    got = claims.claimed(texts, [["agile", "lesson planning", "rest api"]] * len(texts))
+    assert got == [set()] * 40 + [{"lesson planning"}, {"agile"}, {"rest api"}]
+    assert len(set(stemmed)) <= 12 and len(compared) <= 12
+
+
+def test_stems_keep_what_words_begin_with():
+    rng = random.Random(4)
+    ends = "ational tional enci anci izer bli biliti bility logi icate ful ness ement ion ous e y s ed ing ies ied ll eed sses".split()
+    words = {"".join(rng.choices("abeilstyz", k=rng.randint(1, 5))) + "".join(rng.choices(ends, k=rng.randint(0, 2))) for _ in range(20000)} | {"dying", "skies", "sensibility"}
+    assert [w for w in words if not w.startswith(kept_by_stem(stem(w))) and w not in irregular_forms(stem(w))] == []
+
+
+def test_common_lengths_of_many_texts():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab é\U0001f600", k=rng.randint(0, 70))) for _ in range(300)]
+    for a in ["abba é", "\U0001f600b", "ab " * 21, "ab " * 22, "", "a\0b"]:
+        assert common_lengths(a, texts).tolist() == [common_length(a, b) for b in texts]
+    assert common_lengths("a", []).tolist() == []
+
+
 def test_many_jobs_are_joined_by_salted_key(spark, monkeypatch):
     monkeypatch.setattr(matching, "MOST_JOBS", 1)
     jobs = spark.createDataFrame([(1, ["SQL"]), (2, [None, "Go"]), (3, None)], "job_id int, skills array<string>")
