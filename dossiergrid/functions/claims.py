@@ -60,16 +60,20 @@ def claimed_lines(text: str) -> list[str]:
 
 def work_lines(text: str) -> list[str]:
     """Lines below headings of work experience; all lines where none stands below one."""
+    return work_section(text) or [x.strip() for x in text.splitlines() if x.strip()]
+
+
+def work_section(text: str) -> list[str]:
+    """Lines below headings of work experience."""
     out, inside = [], False
-    lines = [x.strip() for x in text.splitlines() if x.strip()]
-    for line in lines:
+    for line in (x.strip() for x in text.splitlines() if x.strip()):
         if _WORK.match(line):
             inside = True
         elif inside and any(p.match(line) for p in _LEAVES):
             inside = False
         elif inside:
             out.append(line)
-    return out or lines
+    return out
 
 
 @lru_cache(1 << 14)
@@ -306,28 +310,69 @@ def claimed(texts: list[list[str]], wanted: list[list[str]]) -> list[set[str]]:
 
 def with_implied(texts: list[list[str]], wanted: list[list[str]]) -> tuple[list[set[str]], list[dict[str, str]]]:
     """What each text claims, and of what is missing the skills that an entailing one gives, with the first such."""
-    entailing = lambda s: lx.SKILL_IMPLICATIONS.get(s.strip().lower(), [])
     have, by = [], []
     for a, b in _chunks(texts):
         chunk = _Chunk(texts[a:b])
         here = chunk.claimed(wanted[a:b])
-        missing = [[s for s in skills if s not in h] for skills, h in zip(wanted[a:b], here, strict=True)]
-        for known, lacks in zip(chunk.claimed([[i for s in lacks for i in entailing(s)] for lacks in missing]), missing, strict=True):
-            firsts = {s: next((i for i in entailing(s) if i in known), None) for s in lacks}
-            by.append({s: i for s, i in firsts.items() if i})
+        by += _implied(chunk, wanted[a:b], here)
         have += here
     return have, by
 
 
+def _implied(chunk: _Chunk, wanted: list[list[str]], have: list[set[str]]) -> list[dict[str, str]]:
+    entailing = lambda s: lx.SKILL_IMPLICATIONS.get(s.strip().lower(), [])
+    missing = [[s for s in skills if s not in h] for skills, h in zip(wanted, have, strict=True)]
+    by = []
+    for known, lacks in zip(chunk.claimed([[i for s in lacks for i in entailing(s)] for lacks in missing]), missing, strict=True):
+        firsts = {s: next((i for i in entailing(s) if i in known), None) for s in lacks}
+        by.append({s: i for s, i in firsts.items() if i})
+    return by
+
+
+def screened(texts: list[str], needed: list[list[str]], preferred: list[list[str]], titles: list[str]) -> tuple[list[set[str]], list[dict[str, str]], list[set[str]], list[bool]]:
+    """For each text ``with_implied`` of what is needed, ``claimed`` of what is preferred, and ``related_work`` of both and the title.
+
+    Words are numbered once for all of them. A text without a work section of its own is related by what it claims.
+    """
+    lines = [claimed_lines(t) for t in texts]
+    every = [[*a, *b] for a, b in zip(needed, preferred, strict=True)]
+    have, by, liked = [], [], []
+    for a, b in _chunks(lines):
+        chunk = _Chunk(lines[a:b])
+        here = chunk.claimed(every[a:b])
+        have += [h & set(skills) for h, skills in zip(here, needed[a:b], strict=True)]
+        liked += [h & set(skills) for h, skills in zip(here, preferred[a:b], strict=True)]
+        by += _implied(chunk, needed[a:b], here)
+    related, apart = [], {}
+    for k, (text, title) in enumerate(zip(texts, titles, strict=True)):
+        own = lines[k]
+        work = work_section(text)
+        if work:
+            own = claimed_lines("\n".join(work))
+        related.append(_has_word(own, title) or (not work and bool(have[k] or liked[k])))
+        if work and not related[k]:
+            apart[k] = own
+    for k, found in zip(apart, claimed(list(apart.values()), [every[k] for k in apart]), strict=True):
+        related[k] = bool(found)
+    return have, by, liked, related
+
+
 def words_of(text: str) -> set[str]:
     """Words of four letters and more."""
     return set(re.findall(r"[a-z]{4,}", text.lower()))
 
 
+def _has_word(lines: list[str], title: str) -> bool:
+    """Whether lines hold a word of a title as a whole word."""
+    low = "\n".join(lines).lower()
+    wanted = {w for w in words_of(title) - set(lx.TITLE_NOISE) if w in low}
+    return bool(wanted and wanted & words_of(low))
+
+
 def related_work(texts: list[str], skills: list[list[str]], titles: list[str]) -> list[bool]:
     """Whether the work section of each text claims a skill or holds a word of the job's title."""
     lines = [claimed_lines("\n".join(work_lines(t))) for t in texts]
-    out = [bool((words_of(title) - set(lx.TITLE_NOISE)) & words_of("\n".join(own))) for own, title in zip(lines, titles, strict=True)]
+    out = [_has_word(own, title) for own, title in zip(lines, titles, strict=True)]
     left = [k for k, known in enumerate(out) if not known]
     for k, have in zip(left, claimed([lines[k] for k in left], [skills[k] for k in left]), strict=True):
         out[k] = bool(have)

@@ -62,7 +62,7 @@ def json_list(value: Column) -> Column:
 
 def email_of(text: Column) -> Column:
     """The first e-mail address, lower-cased, or the placeholder."""
-    found = F.regexp_extract(text_or_empty(text), lx.EMAIL, 0)
+    found = F.when(F.contains(text_or_empty(text), F.lit("@")), F.regexp_extract(text_or_empty(text), lx.EMAIL, 0)).otherwise(F.lit(""))
     return F.when(found == "", F.lit(lx.UNKNOWN_EMAIL)).otherwise(F.lower(F.btrim(found, F.lit(" .,;:"))))
 
 
@@ -264,8 +264,10 @@ def _wordings(pattern: str) -> set[str]:
 
 
 _HEADINGS = {section: sorted(set().union(*map(_wordings, aliases))) for section, aliases in lx.SECTION_ALIASES.items()}
+#: The first words of all headings, as a pattern.
+HEADING_STARTS = "|".join(sorted({w.split()[0] for words in _HEADINGS.values() for w in words}))
 #: What every line with a heading matches: nothing but signs and "and", and perhaps a numbering letter, before the first word of a heading.
-_LIKE_HEADING = rf"(?iuU)^(?:[\s\-*•▪,&/|.]|and\b)*+(?:[A-Z]\s*[.)-](?:[\s\-,&/|.]|and\b)*+)?(?:{'|'.join(sorted({w.split()[0] for words in _HEADINGS.values() for w in words}))})"
+_LIKE_HEADING = rf"(?iuU)^(?:[\s\-*•▪,&/|.]|and\b)*+(?:[A-Z]\s*[.)-](?:[\s\-,&/|.]|and\b)*+)?(?:{HEADING_STARTS})"
 
 
 def section_of_heading(line: Column) -> Column:
@@ -303,23 +305,30 @@ def _sections(line: Column) -> Column:
     return let(F.transform(parts, lambda part: let(plain(part), name)), whole)
 
 
+_BEGINS = r"\b"
+
+
 def degree_rank(degree: Column) -> Column:
     """5 doctorate, 4 master's, 3 bachelor's (and unfinished master's), 2 associate's, 1 school, 0 unknown."""
-    low = F.lower(text_or_empty(degree))
-    out = F.lit(0)
-    for rank, pattern in reversed(lx.DEGREE_RANKS):
-        value = F.when(low.rlike(lx.UNFINISHED), F.lit(3)).otherwise(F.lit(4)) if rank == 4 else F.lit(rank)
-        out = F.when(low.rlike(pattern), value).otherwise(out)
-    return out
+
+    def rank_of(low: Column) -> Column:
+        out = F.lit(0)
+        for rank, pattern in reversed(lx.DEGREE_RANKS):
+            value = F.when(low.rlike(lx.UNFINISHED), F.lit(3)).otherwise(F.lit(4)) if rank == 4 else F.lit(rank)
+            # Every alternative begins at a word, which one step tells for all of them.
+            out = F.when(low.rlike(rf"\b(?:{pattern.removeprefix(_BEGINS).replace(f'|{_BEGINS}', '|')})"), value).otherwise(out)
+        return out
+
+    return let(F.lower(text_or_empty(degree)), rank_of)
 
 
 def degree_field(degree: Column) -> Column:
     """The field of study named by the longest word found; null if none is."""
-    low = F.lower(text_or_empty(degree))
     words = [(word, field) for field, names in lx.DEGREE_FIELDS.items() for word in names]
     known = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(len(w)).alias("n"), F.lit(-k).alias("k"), F.lit(f).alias("f")) for k, (w, f) in enumerate(words)])
-    found = F.transform(F.filter(known, lambda x: F.contains(low, x["word"])), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["f"].alias("f")))
-    return F.array_max(found)["f"]
+    # The text is lower-cased once, not once a word.
+    named = let(F.lower(text_or_empty(degree)), lambda low: F.filter(known, lambda x: F.contains(low, x["word"])))
+    return F.array_max(F.transform(named, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["f"].alias("f"))))["f"]
 
 
 def field_relevance(candidate: Column, required: Column) -> Column:
@@ -381,7 +390,7 @@ def ranges_near_work(text: Column, as_of: str) -> Column:
     def of(lines: Column) -> Column:
         beside = lambda i: F.concat_ws(" ", F.slice(lines, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)))
         fits = lambda x, i: beside(i).rlike(work) & ~beside(i).rlike(f"(?i){lx.STUDY_HINTS}") & ~x.rlike(f"(?i){lx.HONOUR_HINTS}")
-        return F.flatten(F.transform(lines, lambda x, i: F.when(x.rlike(DATE_RANGE) & fits(x, i), F.slice(date_ranges(x, as_of), 1, 1)).otherwise(none)))
+        return F.flatten(F.transform(lines, lambda x, i: F.when(x.rlike("[0-9]{4}") & x.rlike(DATE_RANGE) & fits(x, i), F.slice(date_ranges(x, as_of), 1, 1)).otherwise(none)))
 
     return let(F.split(text_or_empty(text), "\n"), of)
 
@@ -396,7 +405,8 @@ def stated_years(text: Column) -> Column:
         rf"(?i)\b(\d+(?:\.\d+)?)\s*[- ]year\s+{kind}experience\b",
     )
     found = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in patterns])
-    return F.array_max(F.filter(F.transform(found, lambda x: x.cast("double")), lambda v: (v > 0) & (v <= 50)))
+    most = F.array_max(F.filter(F.transform(found, lambda x: x.cast("double")), lambda v: (v > 0) & (v <= 50)))
+    return F.when(F.contains(F.lower(t), F.lit("experience")), most)  # every pattern has that word
 
 
 def term_found(text: Column, term: Column) -> Column:

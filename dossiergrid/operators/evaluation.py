@@ -9,7 +9,7 @@ from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions.text import degree_rank, field_relevance, half_even
 from dossiergrid.operators import scoring
 from dossiergrid.operators.facts import skills_for_job
-from dossiergrid.operators.matching import SIDES, found_skills, matched_in, preferred_bonus, related_work, trimmed, with_jobs
+from dossiergrid.operators.matching import SIDES, matched_in, preferred_bonus, screened, trimmed, with_jobs
 from dossiergrid.operators.similarity import pair_similarity
 from dossiergrid.scratch import materialize
 
@@ -33,31 +33,33 @@ def evaluate(facts: DataFrame, jobs: DataFrame, key: str = "resume_id") -> DataF
     jobs = jobs.withColumns({f"wanted_{s}": trimmed(F.col(s)) for s in SIDES} | {"job_words": words})
     jobs = jobs.withColumns({"needed": F.array_union("wanted_required", "wanted_critical"), "every": F.array_union("wanted_required", F.array_union("wanted_critical", "wanted_preferred"))})
     c = F.col
+    # All that reads the text is told before the table is written: behind it, an expression is made again for each place it is used in.
+    degrees = F.array_join(F.transform("education", lambda r: r["degree"]), " ")
+    some = F.size("education") > 0
+    rank = F.when(some, F.array_max(F.transform("education", lambda r: degree_rank(r["degree"])))).otherwise(degree_rank(c("text")))
     rows = with_jobs(facts, jobs).withColumns(
         {
-            "found": found_skills(c("text"), c("needed"), True),
-            "found_preferred": found_skills(c("text"), c("wanted_preferred"), False),
-            "related": related_work(c("text"), c("every"), c("title")),
-            "mentioned": skills_for_job.asNondeterministic()(F.when(~c("listed"), c("text")), c("every")),
+            "screened": screened(c("text"), c("needed"), c("wanted_preferred"), c("title")),
             "similarity": pair_similarity(c("text"), c("job_words"), bags=True),
+            "readability": scoring.readability(c("text")),
+            "candidate_rank": rank,
+            "field_relevance": field_relevance(F.when(some, degrees).otherwise(c("text")), c("education_req")),
         }
     )
-    rows = materialize(rows, "skills-found").withColumns({"similarity": half_even(c("similarity"), 2), "skills": F.when(c("listed"), c("skills")).otherwise(c("mentioned"))})
+    # No score needs what is mentioned, so it isn't looked for where the skills aren't asked for.
+    mentioned = skills_for_job(F.when(~c("listed"), c("text")), c("every"))
+    rows = materialize(rows, "skills-found").withColumns({"similarity": half_even(c("similarity"), 2), "skills": F.when(c("listed"), c("skills")).otherwise(mentioned)})
+    rows = rows.withColumns({"found": c("screened.found"), "related": c("screened.related")})
     lists = {}
     for side in SIDES:
-        parts = matched_in(F.col(f"wanted_{side}"), F.col("found_preferred" if side == "preferred" else "found"), implied=side != "preferred")
+        parts = matched_in(F.col(f"wanted_{side}"), F.struct(c("screened.preferred").alias("claimed"), c("found.inferred").alias("inferred")) if side == "preferred" else c("found"), implied=side != "preferred")
         lists |= {n if side == "required" else f"{n}_{side}": parts[n] for n in ("matched", "missing")}
     rows = rows.withColumns(lists | {"implied": F.col("found.inferred")})
-    degrees = F.array_join(F.transform("education", lambda r: r["degree"]), " ")
-    some = F.size("education") > 0
-    rank = F.when(some, F.array_max(F.transform("education", lambda r: degree_rank(r["degree"])))).otherwise(degree_rank(F.col("text")))
     rows = rows.withColumns(
         {
             "bonus": preferred_bonus(c("matched_preferred"), F.size("wanted_preferred")),
             "relevance": F.when(c("related"), 1.0).otherwise(0.4),
             "years_score": scoring.years_score(c("years"), c("experience_req")),
-            "candidate_rank": rank,
-            "field_relevance": field_relevance(F.when(some, degrees).otherwise(c("text")), c("education_req")),
         }
     )
     rows = rows.withColumns(

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from dossiergrid.batches import bound_batches
 from dossiergrid.functions import lexicon as lx
-from dossiergrid.functions.text import date_ranges, email_of, half_even, months_covered, phone_of, ranges_near_work, stated_years, text_or_empty
+from dossiergrid.functions.text import HEADING_STARTS, date_ranges, email_of, half_even, months_covered, phone_of, ranges_near_work, stated_years, text_or_empty
 from dossiergrid.hot_keys import join_split
 from dossiergrid.operators.names import applicant
 from dossiergrid.operators.records import BULLET, DATE, MONTH, education, experience, plain_letters, tidy, years_of
@@ -71,6 +71,8 @@ def sections(text: str) -> list[Line]:
     return out
 
 
+#: What every line with a heading, case-folded, begins with: signs, "and", perhaps a numbering letter, and the first word of a heading.
+_LIKE_HEADING = re.compile(rf"(?:[\W_]|and(?!\w))*(?:[a-z](?:[\W_]|and(?!\w))+)?(?:{HEADING_STARTS})", re.I)
 _CUT = re.compile(r"\s*(?:,|&|/|\band\b)\s*", re.I)
 
 
@@ -85,6 +87,8 @@ def _parts(text: str) -> Iterator[str]:
 
 def headings(line: str) -> list[str]:
     """The sections a heading line names; none unless all its parts are headings."""
+    if not _LIKE_HEADING.match(line.casefold()):
+        return []
     raw = re.sub(r"^[A-Z]\s*[.)-]\s*", "", BULLET.sub("", line).strip(), flags=re.I).split(":", 1)[0]
     out = []
     for part in filter(None, map(str.strip, _parts(raw))):
@@ -110,9 +114,11 @@ def credentials(lines: list[Line]) -> list[dict]:
         elif key:
             out[key] = new
 
+    whole = plain_letters("\n".join(x.text for x in lines))
+    words = [w for w in _CREDENTIAL_WORDS if w in whole]
     for x in lines:
-        low = plain_letters(x.text)
-        known = any(w in low for w in _CREDENTIAL_WORDS) and any(re.search(p, x.text, re.I) for p, _, _ in _KNOWN_CREDENTIALS)
+        low = plain_letters(x.text) if words else ""
+        known = any(w in low for w in words) and any(re.search(p, x.text, re.I) for p, _, _ in _KNOWN_CREDENTIALS)
         if known:
             for pattern, name, kind in _KNOWN_CREDENTIALS:
                 if m := re.search(pattern, x.text, re.I):
@@ -175,19 +181,19 @@ def skills_for_job(text: pd.Series, extra: pd.Series) -> pd.Series:
     return pd.Series([mentioned_skills(sections(t or ""), [] if e is None else [x for x in e if x]) for t, e in zip(text, extra, strict=True)])
 
 
-def parse(text: str | None, as_of: str, listed: list[str] | None = None) -> dict:
-    """All parsed facts of one text, whose listed skills are known; ``own_text`` is the text without a section of referees, null where there is none."""
+def parse(text: str | None, as_of: str, listed: list[str] | None = None, mentioned: bool = True) -> dict:
+    """All parsed facts of one text, whose listed skills are known; without them, those it mentions, if ``mentioned``; ``own_text`` is the text without a section of referees, null where there is none."""
     text = text or ""
     lines = sections(text)
     own = [(raw, x) for raw, x in zip(text.splitlines(), lines, strict=True) if x.section != "references"]
     own_text = None if len(own) == len(lines) else "\n".join(raw for raw, _ in own)
-    email = re.search(lx.EMAIL, text if own_text is None else own_text)
+    email = re.search(lx.EMAIL, text if own_text is None else own_text) if "@" in text else None
     return {
         "name": applicant([x for _, x in own], email[0] if email else ""),
         "experience": experience(lines, as_of),
         "education": education(lines),
         "credentials": credentials(lines),
-        "skills": mentioned_skills(lines) if listed is None else list(listed),
+        "skills": list(listed) if listed is not None else mentioned_skills(lines) if mentioned else [],
         "own_text": own_text,
     }
 
@@ -210,10 +216,11 @@ def with_listed_skills(rows: DataFrame) -> DataFrame:
     return join_split(some, known, ["__text_key"], total).drop("__text_key").unionByName(rows.where(~may).withColumn("listed", none))
 
 
-def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: str = "text") -> DataFrame:
+def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: str = "text", mentioned: bool = True) -> DataFrame:
     """One row per resume: ``key``, ``text`` and all facts. ``as_of`` (yyyy-mm-dd) is what "present" means.
 
     Skills are those that the resume lists (``listed`` is true, see ``skill_items``), else those of the catalog that it mentions.
+    Not ``mentioned``, a resume that lists none has none: ``evaluate`` looks for them itself, with those of the job.
 
     Total years: a stated total; else the months that the dated ranges of the work section cover
     together (at most 40 years); else the sum of the records' years. Addresses and numbers below a
@@ -223,7 +230,7 @@ def resume_facts(resumes: DataFrame, as_of: str, key: str = "resume_id", text: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [parse(*x) for x in zip(batch["text"], [as_of] * len(batch), batch["listed"], strict=True)]
+            found = [parse(t, as_of, have, mentioned) for t, have in zip(batch["text"], batch["listed"], strict=True)]
             yield pd.concat([batch.drop(columns="listed").assign(listed=batch["listed"].notna()).reset_index(drop=True), pd.DataFrame(found, columns=["name", "experience", "education", "credentials", "skills", "own_text"])], axis=1)
 
     bound_batches(resumes.sparkSession)

@@ -63,6 +63,21 @@ def _related_work(text: pd.Series, skills: pd.Series, title: pd.Series) -> pd.Se
     return pd.Series(claims.related_work([x or "" for x in text], _lists(skills), [x or "" for x in title]))
 
 
+_SCREENED = T.StructType().add("found", _FOUND).add("preferred", T.ArrayType(T.StringType())).add("related", T.BooleanType())
+
+
+@F.pandas_udf(_SCREENED)
+def _screened(text: pd.Series, needed: pd.Series, preferred: pd.Series, title: pd.Series) -> pd.DataFrame:
+    have, by, liked, related = claims.screened([x or "" for x in text], _lists(needed), _lists(preferred), [x or "" for x in title])
+    found = [{"claimed": sorted(x), "inferred": i} for x, i in zip(have, by, strict=True)]
+    return pd.DataFrame({"found": found, "preferred": [sorted(x) for x in liked], "related": related})
+
+
+def screened(text: Column, needed: Column, preferred: Column, title: Column) -> Column:
+    """``struct<found,preferred,related>``: ``found_skills`` of the needed skills with implied ones, the preferred skills claimed, and ``related_work`` of all."""
+    return _screened.asNondeterministic()(text, needed, preferred, title)
+
+
 def found_skills(text: Column, skills: Column, implied: bool) -> Column:
     """``struct<claimed,inferred>``: the skills that a text claims, and a map of entailed ones to what entails them.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossiergrid.functions import lexicon as lx
 from dossiergrid.functions import wording as say
-from dossiergrid.functions.text import as_percent, degree_label, degree_rank, half_even, pick_phrase, split_lines, text_or_empty
+from dossiergrid.functions.text import as_percent, degree_label, degree_rank, half_even, let, pick_phrase, split_lines, text_or_empty
 
 
 def weighted_score(skill: Column, experience: Column, education: Column, similarity: Column | None = None) -> Column:
@@ -77,18 +77,27 @@ def overruled(label: Column, e: dict[str, Column]) -> Column:
     )
 
 
+def readability(text: Column) -> Column:
+    """``struct<length,words,variety,lines>``: how much a text says. Put it in a column of its own where it is used more than once."""
+    text = text_or_empty(text)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z'-]+"), F.lit(0))
+
+    def of(w: Column) -> Column:
+        variety = F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
+        lines = F.size(F.filter(split_lines(text), lambda x: F.trim(x) != ""))
+        return F.struct(F.length(F.trim(text)).alias("length"), F.size(w).alias("words"), variety.alias("variety"), lines.alias("lines"))
+
+    return let(words, of)
+
+
 def confidence(e: dict[str, Column]) -> Column:
     """``struct<score,level,reason>``: how far the evidence supports the result.
 
-    ``e``: label, text, name, email, phone, education (array<struct<degree,institution>>), experience
+    ``e``: label, readability (of the text), name, email, phone, education (array<struct<degree,institution>>), experience
     (array<struct<job_title,company,years>>), years, required, matched, missing, matched_critical,
     missing_critical, experience_score, education_score, fit, experience_req, education_req, minimum.
     """
-    text = text_or_empty(e["text"])
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z'-]+"), F.lit(0))
-    length, n = F.length(F.trim(text)), F.size(words)
-    variety = F.when(n > 0, F.size(F.array_distinct(words)) / n).otherwise(F.lit(0.0))
-    lines = F.size(F.filter(split_lines(text), lambda x: F.trim(x) != ""))
+    length, n, variety, lines = (e["readability"][k] for k in ("length", "words", "variety", "lines"))
     some = lambda name: F.size(e[name]) > 0
     both = lambda a, b: lambda r: (F.coalesce(r[a], F.lit("")) != "") & (F.coalesce(r[b], F.lit("")) != "")
     none = F.lit(None).cast("string")

@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,24 +48,41 @@ def term_weights(text: str) -> tuple[dict[str, float], float]:
     return weights, math.fsum(w * w for w in weights.values())
 
 
-_item_weights = lru_cache(1024)(term_weights)
+@lru_cache(1024)
+def _item_weights(text: str) -> tuple[dict[str, float], dict[tuple[str, str], float], float]:
+    """``term_weights`` with words and pairs apart; a pair is a tuple."""
+    weights, square = term_weights(text)
+    return {t: w for t, w in weights.items() if " " not in t}, {tuple(t.split(" ")): w for t, w in weights.items() if " " in t}, square
 
 
 def cosine(left: str, right: str) -> float:
     """0..100 for two texts; 0 where they share no term. The right one is a job's, seen again and again."""
-    (a, all_a), (b, all_b) = term_weights(left), _item_weights(right)
-    few, many = (a, b) if len(a) < len(b) else (b, a)
-    shared = [t for t in few if t in many]
+    return _cosine_of_words(WORD.findall(left.lower()), right)
+
+
+def _cosine_of_words(words: list[str], right: str) -> float:
+    """``cosine`` of a text of these words. Its terms are counted, and weighed only where shared; sums don't depend on their order."""
+    both = [(Counter(words), 0), (Counter(zip(words, words[1:], strict=False)), 1)]
+    *items, all_b = _item_weights(right)
+    shared = [(1 + math.log(count[t]), items[k][t]) for count, k in both for t in count.keys() & items[k].keys()]
     if not shared:
         return 0.0
-    one, two = math.fsum(a[t] ** 2 for t in shared), math.fsum(b[t] ** 2 for t in shared)
+    often = Counter(chain.from_iterable(count.values() for count, _ in both))
+    squares = ((1 + math.log(n), many) for n, many in often.items())
+    all_a = math.fsum(chain.from_iterable(repeat(w * w, many) for w, many in squares))
+    one, two = math.fsum(a**2 for a, _ in shared), math.fsum(b**2 for _, b in shared)
     norm = math.sqrt(C2 * (all_a - one) + one) * math.sqrt(C2 * (all_b - two) + two)
-    return math.fsum(a[t] * b[t] for t in shared) / norm * 100
+    return math.fsum(a * b for a, b in shared) / norm * 100
+
+
+def _bag(text: str) -> list[str]:
+    return [w for w in re.findall(r"[a-z]{2,}", text.lower()) if w not in _STOP]
 
 
+@lru_cache(1024)
 def plain_words(text: str) -> str:
-    """What ``bag_of_words`` gives, for one text."""
-    return " ".join(w for w in re.findall(r"[a-z]{2,}", text.lower()) if w not in _STOP)
+    """What ``bag_of_words`` gives, for one text, which is a job's."""
+    return " ".join(_bag(text))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -74,7 +92,7 @@ def _cosines(left: pd.Series, right: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _cosines_of_bags(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([cosine(plain_words(a or ""), plain_words(b or "")) for a, b in zip(left, right, strict=True)], dtype="float64")
+    return pd.Series([_cosine_of_words(_bag(a or ""), plain_words(b or "")) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
 def pair_similarity(left: Column, right: Column, bags: bool = False) -> Column:

@@ -537,7 +537,7 @@ def resume_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def screening_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document screened against a job, end to end."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("resume_id"), "text")
-    found = facts.resume_facts(docs, "2026-06-23").withColumn("job_id", F.pmod("resume_id", F.lit(2)).cast("int"))
+    found = facts.resume_facts(docs, "2026-06-23", mentioned=False).withColumn("job_id", F.pmod("resume_id", F.lit(2)).cast("int"))
     jobs = spark.createDataFrame(
         [
             (0, "Teacher", ["the", "classroom management"], ["the"], ["that"], "Bachelor of Education", 2, 50.0, True),
